@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, media, urlfilter
+from tidewatch.llm import bpe, chat, media, packing, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = bpe.decode_column(bpe.encode_column(documents(spark, sf_dir), *table), *table)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(documents(spark, sf_dir)))
 
@@ -33,6 +44,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_media_columns": op7_media_columns,
     "op9_url_filters": op9_url_filters,
     "op10_chat_formatting": op10_chat_formatting,
