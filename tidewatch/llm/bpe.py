@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+#: Marks that form a piece of their own after a word.
+PLAIN = frozenset(".,;:!?)")
 #: A space before another white space or at the end: there a space alone doesn't begin a piece.
 LOOSE = re.compile(r" (?:\s|\Z)")
 
@@ -118,42 +120,52 @@ class RankEncoder:
 
     def backtrack(self, text: str) -> list[int]:
         """The encoding where taking the longest token each time doesn't give it."""
-        best, size = self.longest_from(text), self.size
+        best, size, fits, shorter = self.longest_from(text), self.size, self.fits, self.shorter
         out: list[int] = []
-        dead, at, n = bytearray(len(text) + 1), 0, len(text)
+        dead, at, n, last = bytearray(len(text) + 1), 0, len(text), None
         now: int | None = best[0]
         while True:
             end = at + size[now]
-            if not dead[end] and (not out or self.may_follow(out[-1], now)):
-                out.append(now)
-                at = end
-                if at == n:
-                    return out
-                now = best[at]
-                continue
-            now = self.next_shorter(now)
+            if not dead[end]:
+                pair = (last, now)
+                if last is None or (fits[pair] if pair in fits else self.may_follow(last, now)):
+                    if end == n:
+                        out.append(now)
+                        return out
+                    out.append(now)
+                    at, last, now = end, now, best[end]
+                    continue
+            now = shorter[now] if now in shorter else self.next_shorter(now)
             while now is None:  # no token fits here: this place is dead, go back
                 dead[at] = 1
-                last = out.pop()
-                at -= size[last]
-                now = self.next_shorter(last)
+                now = out.pop()
+                at -= size[now]
+                last = out[-1] if out else None
+                now = self.next_shorter(now)
 
     def encode_stretch(self, text: str) -> bytes:
         """The ids of a text that stands between safe cuts, as little-endian unsigned 32-bit integers."""
-        out, pieces, packed = [], self.pieces, self.packed
-        for piece in self.pattern.findall(text):
-            if (ids := pieces.get(piece)) is None:
-                ids = b"".join([packed[i] for i in self.encode_piece(piece.encode())])
-                if len(piece) <= 64:
-                    if len(pieces) >= self.memory:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():  # one piece: a run of letters, with or without its space
+            return self.packed_piece(text)
+        if word[-1:] in PLAIN and word[:-1].isalpha():
+            return self.packed_piece(text[:-1]) + self.packed_piece(text[-1])
+        return b"".join(map(self.packed_piece, self.pattern.findall(text)))
+
+    def packed_piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            packed = self.packed
+            ids = b"".join([packed[i] for i in self.encode_piece(piece.encode())])
+            if len(piece) <= 64:
+                if len(self.pieces) >= self.memory:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
 
     def remembered(self, text: str) -> bytes:
+        """The ids of a space and text."""
         if (ids := self.older.get(text)) is None:
-            ids = self.encode_stretch(text)
+            ids = self.encode_stretch(" " + text)
         if len(text) <= 64:
             if len(self.stretches) >= self.memory:
                 self.older, self.stretches = self.stretches, {}
@@ -163,13 +175,16 @@ class RankEncoder:
     def encode(self, text: str) -> bytes:
         if LOOSE.search(text):
             cuts = [m.start() for m in SAFE.finditer(text)]
-            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            ends = [*cuts, len(text)]
+            parts = [text[: ends[0]], *(text[a + 1 : b] for a, b in zip(cuts, ends[1:], strict=True))]
         else:
-            first, *rest = text.split(" ")
-            parts = [first, *map(" ".__add__, rest)]
+            parts = text.split(" ")
         known = list(map(self.stretches.get, parts))
+        known[0] = self.encode_stretch(parts[0])
         if None in known:
-            known = [self.remembered(part) if ids is None else ids for part, ids in zip(parts, known, strict=True)]
+            for i, ids in enumerate(known):
+                if ids is None:
+                    known[i] = self.remembered(parts[i])
         return b"".join(known)
 
     def decode(self, ids: bytes) -> bytes:
