@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, media, minhash, packing, urlfilter
+from tidewatch.llm import bpe, chat, media, minhash, packing, substring, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(documents(spark, sf_dir)))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), [urlfilter.parse_rule(r) for r in URL_RULES])
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_columns": op7_media_columns,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_chat_formatting": op10_chat_formatting,
 }
