@@ -61,6 +61,46 @@ def test_equals_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_groups_near_the_threshold_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "TASK_ROWS", 30)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(90):  # pairs of copies are alike by 0.6 to 0.95
+        copy = list(base)
+        for j in rng.sample(range(80), rng.randrange(1, 9)):
+            copy[j] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(copy), "n", "c"))
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+
+
+def test_cross_links_join_what_is_linked():
+    rng = np.random.default_rng(3)
+    base = np.arange(1000, 1400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < 0.9], rng.integers(0, 999, 5).astype(np.uint64)])) for _ in range(40)]
+    labels, every = np.arange(40), np.arange(40)
+    links = minhash.cross_links(sets, minhash.sketch(sets), labels, every, every, 80, 0.13)
+    up = list(range(40))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    def joined(pairs):
+        up[:] = range(40)
+        for a, b in pairs:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(40)]
+
+    def same(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
+
+    assert joined(links) == joined([(a, b) for a in range(40) for b in range(a) if same(a, b)])
+    assert len(links) < 40
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -6,11 +6,10 @@ the earliest point t as clamp(floor(1 - log_b t), 0, q + 1). Registers of unions
 maxima, so sketches are mergeable, and equal registers are the likelier the more alike two sets are.
 
 Documents with equal sets are one node from the start. Nodes that agree on all registers of a band
-share a bucket. Buckets are linked by stars: first all members against the least, then, in rounds,
-the members whose component differs from a further leader's. What then still differs within a bucket
-is compared in full against the bucket's minority. So no pairs within a found component are listed, and
-every pair in a bucket is either compared or already connected. Candidates are filtered by a
-joint likelihood estimate of their similarity from both sketches and confirmed on full shingle sets.
+share a bucket. Buckets are first linked by stars: all members against the least. What a bucket then holds besides its
+most common component is compared in full, within tasks and in blocks of bounded size, with the whole bucket;
+such a task gives only links that join components, so no pairs within a group are listed. Candidates are filtered by
+a joint likelihood estimate of their similarity from both sketches and confirmed on full shingle sets.
 
 With 40 bands of 6 registers a pair of exactly 0.8 similarity shares no bucket with probability 5e-6.
 
@@ -38,8 +37,8 @@ BANDS, ROWS, BASE, RATE, Q = 40, 6, 1.001, 20.0, (1 << 16) - 2
 REGISTERS = BANDS * ROWS
 #: A pair is checked in full if its estimate is within this many standard errors of the threshold.
 MARGIN = 5.0
-#: Rounds of stars with further leaders, and the nodes up to which their list is broadcast.
-STAR_ROUNDS, BROADCAST_NODES = 3, 1_000_000
+#: Nodes up to which their list is broadcast, members of a block, and rows that a task of blocks gets.
+BROADCAST_NODES, BLOCK, TASK_ROWS = 1_000_000, 512, 4_000
 
 
 @lru_cache(maxsize=1)
@@ -164,10 +163,100 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.mapInArrow(run, "u long, v long")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+def cross_links(sets: list[np.ndarray], sketches: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, margin: float) -> list[tuple[int, int]]:
+    """Links (i, j) between members of left and right that join components which weren't joined before."""
+    sizes = np.array([len(s) for s in sets])
+    root = {int(x): int(x) for x in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out: list[tuple[int, int]] = []
+    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    fine = (labels[i] != labels[j]) & ((i < j) | (left is not right)) & (100 * small >= percent * large)
+    i, j = i[fine], j[fine]
+    near = np.empty(len(i), dtype=bool)
+    for at in range(0, len(i), 20_000):
+        part = slice(at, at + 20_000)
+        near[part] = joint_estimate(sketches[i[part]], sketches[j[part]], sizes[i[part]].astype(float), sizes[j[part]].astype(float)) >= percent / 100 - margin
+    i, j = i[near], j[near]
+    if not len(i):
+        return out
+    common = _intersections(sets, i, j)
+    good = 100 * common >= percent * (sizes[i] + sizes[j] - common)
+    for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+        a, b = find(int(labels[x])), find(int(labels[y]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j: pair by pair, or as a matrix product where pairs are many."""
+    used = np.unique(np.concatenate([i, j]))
+    if len(i) <= 4 * len(used):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    every = np.concatenate([sets[a] for a in used])
+    row = np.repeat(np.arange(len(used)), [len(sets[a]) for a in used])
+    values, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(used), len(used)), dtype=np.float32)
+    width = 4096
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        dense = np.zeros((len(used), width), dtype=np.float32)
+        dense[row[a:b], column[a:b] - first] = 1
+        total += dense @ dense.T
+    return total[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
+
+
+def joining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, threshold: float, tasks: int) -> DataFrame:
+    """Links (u, v) within buckets between nodes of different components, enough to join all that are linked there."""
+    percent, margin = round(100 * threshold), MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+    marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    split = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    placed = marked.join(split.select("key", "most", blocks(F.col("n") - F.col("n_most")).alias("a"), blocks(F.col("n_most")).alias("b")), "key")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    block = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    mine = place(F.col("a"))  # sides: 0 and 1 the first and second of two blocks outside the most common component, 2 a block of that component
+    outside = F.concat(
+        upto(F.col("a"), lambda j: F.when(j < mine, block(j, mine, 1)).otherwise(block(mine, j, 0))),
+        upto(F.col("b"), lambda j: F.struct(mine.alias("i"), (-1 - j).alias("j"), F.lit(0).alias("side"))),
+    )
+    inside = upto(F.col("a"), lambda i: F.struct(i.alias("i"), (-1 - place(F.col("b"))).alias("j"), F.lit(2).alias("side")))
+    dealt = placed.select("key", "node", "label", F.explode(F.when(F.col("label") == F.col("most"), inside).otherwise(outside)).alias("p")).select("key", "p.i", "p.j", "p.side", "node", "label")
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+        where = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+        cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), len(node)]
+        u, v = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a < 2 or (label[a:b] == label[a]).all():
+                continue
+            part = table.slice(a, b - a)
+            sets = list(shingle_sets(pa.concat_arrays([c.cast(pa.large_string()) for c in part.column("text").chunks]), k))
+            marks = np.array([np.frombuffer(x, dtype="<u2") for x in part.column("sketch").to_pylist()])
+            sides = side[a:b]
+            left = np.flatnonzero(sides == 0)
+            right = np.flatnonzero(sides == 2) if (sides == 2).any() else np.flatnonzero(sides == 1) if (sides == 1).any() else left
+            for x, y in cross_links(sets, marks, label[a:b], left, right, percent, margin):
+                u.append(int(node[a + x]))
+                v.append(int(node[a + y]))
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.join(nodes.select("node", "sketch", "text"), "node").groupBy("task").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -189,34 +278,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     few = wanted.count() <= BROADCAST_NODES
     full = docs.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
     texts = shelf.put(full.dropDuplicates(["node", "text"]))
-    sketches = shelf.put(nodes.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "n_shingles", "sketch"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = shelf.put(likely(pairs.where("u != v").distinct(), sketches, threshold))
-        return shelf.put(confirmed(pairs, texts, k, threshold).distinct())
-
-    found = links(members.select(F.col("leader").alias("u"), F.col("node").alias("v")))
-    labels = components(spark, found)
-    open_keys = members.where("n > 2").select("key", "node")
-    for turn in range(STAR_ROUNDS + 1):
-        open_keys = _labelled(open_keys, labels)
-        split = open_keys.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("first"))
-        # the label that most members have, and a leader from outside it
-        split = split.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.min_by("first", F.struct("n", "label")).alias("leader"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        open_keys = shelf.put(open_keys.join(split, "key"))
-        if open_keys.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            leads = open_keys.where("node = leader").select("key", F.col("label").alias("lead_label")).distinct()
-            pairs = open_keys.join(leads, "key").where("label != lead_label").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-        else:
-            few_side = open_keys.where("label != most").select("key", F.col("node").alias("u"), F.col("label").alias("mine"))
-            pairs = open_keys.join(few_side, "key").where("label != mine AND (label = most OR u < node)").select("u", F.col("node").alias("v"))
-        more = links(pairs)
-        found = found.union(more)
-        if not more.isEmpty():
-            labels = components(spark, found)
-        open_keys = open_keys.select("key", "node")
+    sketches = shelf.put(nodes.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "n_shingles", "fingerprint", "sketch"))
+
+    stars = members.select(F.col("leader").alias("u"), F.col("node").alias("v")).where("u != v").distinct()
+    found = shelf.put(confirmed(shelf.put(likely(stars, sketches, threshold)), texts, k, threshold).distinct())
+    labels = shelf.put(components(spark, found))
+
+    crowded = members.where("n > 2")  # of two, the star has told all
+    full = texts.join(sketches.select("node", "sketch"), "node")
+    more = shelf.put(joining_links(crowded, labels, full, k, threshold, max(1, crowded.count() // TASK_ROWS)))
+    if not more.isEmpty():
+        relabelled = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        merged = more.join(relabelled("u"), "u", "left").join(relabelled("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+        above = components(spark, merged).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        # above has heads of components and nodes that had no link so far, none of which is a node of labels
+        labels = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(above.select(F.col("component").alias("node"), F.col("top").alias("component")))
 
     component = F.coalesce("component", "node", "doc_id")
     rows = marked.select("doc_id", "n_shingles", "fingerprint").join(same, "fingerprint", "left").join(labels, "node", "left")
