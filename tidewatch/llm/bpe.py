@@ -45,6 +45,10 @@ class RankEncoder:
         self.automaton.make_automaton()
         self.size = {i: len(t) for i, t in self.token.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.token}
+        self.sizes = np.zeros(max(self.token) + 1, dtype=np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), dtype=np.uint8)
         self.split: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
@@ -100,44 +104,36 @@ class RankEncoder:
             self.shorter[token] = next((self.rank[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.rank), None)
         return self.shorter[token]
 
-    def longest_from(self, text: str) -> list[int]:
-        """For each place the longest token that begins there."""
-        best, size = [-1] * len(text), self.size
-        for end, token in self.automaton.iter(text):
-            best[end - size[token] + 1] = token  # ends come in ascending order: the last is the longest
-        return best
-
     def encode_piece(self, piece: bytes) -> list[int]:
         text = piece.decode("latin-1")
         if (whole := self.rank.get(text)) is not None:
             return [whole]
         out = [token for _, token in self.automaton.iter_long(text)]
         fits = self.fits
-        for pair in zip(out, out[1:]):
+        for i, pair in enumerate(zip(out, out[1:])):
             if not (fits[pair] if pair in fits else self.may_follow(*pair)):
-                return self.backtrack(text)
+                return self.backtrack(text, out[: i + 1], out[i + 1])
         return out
 
-    def backtrack(self, text: str) -> list[int]:
-        """The encoding where taking the longest token each time doesn't give it."""
-        best, size, fits, shorter = self.longest_from(text), self.size, self.fits, self.shorter
-        out: list[int] = []
-        dead, at, n, last = bytearray(len(text) + 1), 0, len(text), None
-        now: int | None = best[0]
+    def backtrack(self, text: str, out: list[int], now: int | None) -> list[int]:
+        """The encoding whose first tokens are out, as far as is known, where `now` doesn't fit."""
+        size, fits, shorter, longest = self.size, self.fits, self.shorter, self.automaton.iter_long
+        dead, n, last = set(), len(text), out[-1]
+        at = sum(map(size.__getitem__, out))
         while True:
             end = at + size[now]
-            if not dead[end]:
+            if end not in dead:
                 pair = (last, now)
                 if last is None or (fits[pair] if pair in fits else self.may_follow(last, now)):
+                    out.append(now)
                     if end == n:
-                        out.append(now)
                         return out
-                    out.append(now)
-                    at, last, now = end, now, best[end]
+                    at, last = end, now
+                    _, now = next(longest(text, end))  # each byte is a token, so this one begins at once
                     continue
             now = shorter[now] if now in shorter else self.next_shorter(now)
             while now is None:  # no token fits here: this place is dead, go back
-                dead[at] = 1
+                dead.add(at)
                 now = out.pop()
                 at -= size[now]
                 last = out[-1] if out else None
@@ -188,7 +184,12 @@ class RankEncoder:
         return b"".join(known)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """The bytes that the ids stand for, gathered from all tokens' bytes laid end to end."""
+        at = np.frombuffer(ids, dtype="<u4").astype(np.int64)
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)
+        return self.flat[where].tobytes()
 
 
 #: Where a text with loose spaces may still be cut: a single space between visible characters.
