@@ -101,3 +101,13 @@ def target_lag(run_events: DataFrame) -> DataFrame:
     """Records produced less records consumed at each target."""
     n = F.when(F.col("Kind") == "Produce", F.col("RecordCount")).when(F.col("Kind") == "Consume", -F.col("RecordCount"))
     return run_events.groupBy("Target").agg(F.sum(n).cast("long").alias("lag"))
+
+
+def run_events_scan(log: DataFrame, run_id: str, start: datetime) -> DataFrame:
+    """A run's performance events from a moment on, by start, with nulls as empty values; a chunk id stands for a missing name."""
+    have = set(log.columns)
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c) if c in have else F.lit("").alias(c)
+    name = F.coalesce(*[F.col(c) for c in ("Name", "ChunkId") if c in have], F.lit("")).alias("Name")
+    count = F.coalesce("RecordCount", F.lit(0)).alias("RecordCount") if "RecordCount" in have else F.lit(0).alias("RecordCount")
+    rows = log.where((F.col("RunId") == run_id) & (F.col("Start") >= F.lit(start).cast("timestamp_ntz")))
+    return rows.select("Id", name, *(text(c) for c in ("Service", "Pipeline", "Server", "Source", "Info")), "Start", "Finish", "Error", count).orderBy("Start", "Id")

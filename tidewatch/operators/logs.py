@@ -118,3 +118,45 @@ def merge_folders(*listings: DataFrame) -> DataFrame:
     for more in listings[1:]:
         every = every.unionByName(more)
     return every.groupBy(F.lower("name").alias("low")).agg(F.min_by("name", "server").alias("name")).select("name").orderBy(F.upper("name"), "name")
+
+
+def detect(sample: DataFrame, templates: list[Template]) -> int | None:
+    """The template that fits at least two of some lines: of these the one with most fields, then most matched text."""
+    if not templates:
+        return None
+    fits = [F.count_if(F.col("line").rlike(t.pattern)) for t in templates]
+    size = [F.coalesce(F.sum(F.length(F.regexp_extract("line", t.pattern, 0))), F.lit(0)) for t in templates]
+    row = sample.agg(*(c.alias(f"f{i}") for i, c in enumerate(fits)), *(c.alias(f"s{i}") for i, c in enumerate(size))).first()
+    good = [i for i in range(len(templates)) if row[f"f{i}"] >= 2]
+    return max(good, key=lambda i: (len(templates[i].fields), row[f"s{i}"], -i), default=None)
+
+
+def search_pattern(text: str, regex: bool = False, case_sensitive: bool = False) -> str:
+    body = text if regex else "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    re.compile(text if regex else re.escape(text))
+    return ("" if case_sensitive else "(?iu)") + body
+
+
+def search(rows: DataFrame, column: str, text: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """Rows that hold the text, with what is found in double angle brackets."""
+    pattern = search_pattern(text, regex, case_sensitive)
+    return rows.where(F.col(column).rlike(pattern)).withColumn("highlighted", F.regexp_replace(column, f"({pattern})", "«$1»"))
+
+
+def log_path(pattern: str, service: str, server: str, pid: int, env: str, day) -> str:
+    """A path pattern with {date}, {date-1}, {server}, {service}, {pid} and {env} filled in."""
+    from datetime import timedelta
+
+    values = {"{date}": f"{day:%Y%m%d}", "{date-1}": f"{day - timedelta(days=1):%Y%m%d}", "{server}": server, "{service}": service, "{pid}": str(pid), "{env}": env}
+    for name, value in values.items():
+        pattern = pattern.replace(name, value)
+    return pattern
+
+
+def newest_file(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """For each key the newest file that its pattern fits; of a key's patterns the first with any file counts.
+
+    patterns: key, idx, pattern (% for anything), a handful for each service in view, so they are broadcast.
+    """
+    hit = files.join(F.broadcast(patterns), F.like(F.lower("FullPath"), F.lower("pattern")))
+    return hit.groupBy("key").agg(F.max_by("FullPath", F.struct(-F.col("idx"), "ModifiedUtc", "FullPath")).alias("FullPath"))

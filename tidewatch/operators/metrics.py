@@ -130,3 +130,25 @@ def parse_metrics_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     good = lines.where(F.contains(F.col(line), F.lit(METRICS_MARK)) & (F.size(parts) >= 7))
     numbers = [F.regexp_extract(line, p, 1).try_cast("long").alias(n) for n, p in METRICS_NUMBERS.items()]
     return good.select(*[c for c in lines.columns if c != line], F.get(parts, F.lit(0)).try_cast("timestamp_ntz").alias("ts"), *numbers).where("current_bytes IS NOT NULL")
+
+
+def matched_samples(messages: DataFrame, heartbeats: DataFrame) -> DataFrame:
+    """Metric messages (host, service, instance, ...) with the process id of their heartbeat, names in any case; others are dropped."""
+    low = lambda *cols: [F.lower(c) for c in cols]
+    beat = heartbeats.groupBy(*(c.alias(n) for c, n in zip(low("HostName", "ServiceName", "ServiceInstanceId"), ("h", "s", "i"), strict=True))).agg(F.min("ProcessId").alias("ProcessId"))
+    m = messages.withColumns(dict(zip(("h", "s", "i"), low("host", "service", "instance"), strict=True)))
+    return m.join(beat, ["h", "s", "i"]).drop("h", "s", "i")
+
+
+def broker_health(checks: DataFrame) -> DataFrame:
+    """Brokers online at each check: all Healthy, some Degraded, none by the streak of such checks. checks: key, ts, id, online, total."""
+    rows = streaks(checks.select("key", "ts", "id", (F.col("online") > 0).alias("ok")))
+    both = rows.join(checks, ["key", "ts", "id"])
+    return both.select("key", "ts", "id", F.when((F.col("online") > 0) & (F.col("online") < F.col("total")), "Degraded").otherwise(F.col("status")).alias("status"))
+
+
+def payload_value(document: Column, name: str, kind: str = "string") -> Column:
+    """A member of a JSON object by its name in any case."""
+    fields = F.from_json(document, "map<string,string>")
+    found = F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == name.lower())
+    return F.get(found, F.lit(0))["value"].try_cast(kind)
