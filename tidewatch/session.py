@@ -24,8 +24,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+#: Rows of a batch for Python workers: rows here are whole texts, so fewer than Spark's usual 10,000.
+BATCH_ROWS = "2000"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place where the driver found it."""
+    """Let Python workers import this package from the place where the driver found it, and keep their batches small unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
