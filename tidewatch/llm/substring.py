@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.textops import U64, Hasher, string_buffers, text_chunks, word_spans
 
 WINDOW, PREFIX, BIN_BITS = 13, 4, 16
-#: Text bytes in a batch and nodes in a group: what one task holds at a time. Raise both for very large corpora.
-BATCH_BYTES, GROUP_NODES = 16 << 20, 2_000_000
+#: Text bytes in a batch and nodes in a group: what one task holds at a time, about 20 bytes for each byte of text and 60 for each node.
+#: Raise both for very large corpora, where batches times groups is the number of rows shuffled.
+BATCH_BYTES, GROUP_NODES = 6 << 20, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -116,23 +117,24 @@ class Nodes:
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         self.texts = table.column("text").take(pa.array(self.order))
-        of, prints, groups = [np.empty(0, np.int64)], [np.empty(0, U64)], [np.empty(0, np.int64)]
-        self.sizes = []
+        of, prints, groups = [np.empty(0, np.int32)], [np.empty(0, U64)], [np.empty(0, np.int32)]
         for at, words in texts_of(self.texts):
             _, text, fingerprint, bins = words.windows(window, prefix)
-            of.append(text + at)
+            of.append((text + at).astype(np.int32))
             prints.append(fingerprint)
-            groups.append(first[bins] + (fingerprint % parts[bins].astype(U64)).astype(np.int64))
-            self.sizes.append(len(text))
+            groups.append((first[bins] + (fingerprint % parts[bins].astype(U64)).astype(np.int64)).astype(np.int32))
         self.of, prints, groups = np.concatenate(of), np.concatenate(prints), np.concatenate(groups)
         by = np.argsort(prints, kind="stable")
         by = by[np.argsort(groups[by], kind="stable")]
         new = np.ones(len(by), dtype=bool)
-        new[1:] = (prints[by][1:] != prints[by][:-1]) | (groups[by][1:] != groups[by][:-1])
+        sorted_ = prints[by]
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        sorted_ = groups[by]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
         lead = by[new]  # in each node's run the stable sorts leave the smallest doc_id first
         self.prints, self.groups, self.owner = prints[lead], groups[lead], self.ids[self.of[lead]] if len(lead) else self.ids[:0]
-        self.node = np.empty(len(by), dtype=np.int64)
-        self.node[by] = np.cumsum(new) - 1
+        self.node = np.empty(len(by), dtype=np.int32)
+        self.node[by] = np.cumsum(new, dtype=np.int32) - 1
 
     def by_group(self) -> Iterator[tuple[int, np.ndarray]]:
         cuts = np.flatnonzero(np.diff(self.groups)) + 1
@@ -181,6 +183,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
         if key[0].as_py() >= 0:
             out = [(g, key[0].as_py(), p.tobytes()) for g, p in Nodes(table, window, prefix, first, parts).by_group()]
         cols = list(zip(*out, strict=True)) or [()] * 3
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["grp", "batch", "prints"])
 
     def own(key: tuple, table: pa.Table) -> pa.Table:
@@ -226,6 +229,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
         kept = pa.LargeStringArray.from_buffers(len(order), pa.py_buffer(np.concatenate(offsets)), pa.py_buffer(np.concatenate([np.empty(0, np.uint8), *data]))).cast(pa.string())
         table = table.take(pa.array(order))
         none = np.empty(0, np.int64)
+        pa.default_memory_pool().release_unused()
         return pa.table([table.column("doc_id"), table.column("text"), pa.array(np.concatenate([none, *total])), pa.array(np.concatenate([none, *removed])), kept, table.column("row")], names=["doc_id", "text", "n_words", "n_removed", "kept", "row"])
 
     kind = rows.schema["row"].dataType.simpleString()
