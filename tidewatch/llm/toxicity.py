@@ -37,6 +37,9 @@ SEED_WEIGHT, STEMS, STEM_MARK = 5.0, (4, 5, 6, 7, 8), "*"
 #: Least likelihood ratio (twice its logarithm) of a term, and least log odds.
 LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS = 25.0, 2.5, 10_000
 
+#: Terms that a task counts before it hands them on.
+COUNTED_TERMS = 50_000
+
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = dict(
     zip(
@@ -148,16 +151,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             marks = [_marks(t or "") for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([m[0] for m in marks], pa.string()), pa.array([m[1] for m in marks], pa.string())], names=["doc_id", "label", "text", "m1", "m2"])
 
+    def counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+        terms = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in seen)], names=["term", "clean", "toxic"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[label].update(_terms(text or ""))
                 seen[label][""] += 1
-        terms = list(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(terms), 100_000):
-            part = terms[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in seen)], names=["term", "clean", "toxic"])
+                if len(seen[0]) + len(seen[1]) > COUNTED_TERMS:  # the sums are made by Spark anyway
+                    yield counted(seen)
+                    seen = (Counter(), Counter())
+        yield counted(seen)
 
     chosen = F.broadcast(learnable(labels, "toxic", 3, 1, sample_rows))  # at most sample_rows rows
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "label", "text")
