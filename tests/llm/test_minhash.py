@@ -101,6 +101,12 @@ def test_cross_links_join_what_is_linked():
     assert len(links) < 40
 
 
+def test_rows_without_id(spark):
+    rows = [(None, "a b c", "n", "c"), (4, "a b c", "n", "c"), (None, "x y z", "n", "c"), (None, None, "n", "c"), (7, "a b c", "n", "c")]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [("4", 2, "4", True), ("7", 2, "4", False), ("None", 0, "None", True), ("None", 2, "4", False), ("None", 2, "None", True)]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -14,8 +14,9 @@ a joint likelihood estimate of their similarity from both sketches and confirmed
 With 40 bands of 6 registers a pair of exactly 0.8 similarity shares no bucket with probability 5e-6.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing. Repeated
-rows are linked with each other; a doc_id repeated with different texts gives a row for each text. Long
-texts are hashed in pieces. Extra columns are not read.
+rows are linked with each other; a doc_id repeated with different texts gives a row for each text. Rows without a
+doc_id have the component of an equal set, else none, and are kept in that case. Long texts are hashed in pieces. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -152,8 +153,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
         for batch in batches:
             good = []
             for u, text, theirs in zip(batch.column(0).to_pylist(), batch.column(2), shingle_sets(batch.column(3), k), strict=True):
-                if (u, len(text)) != last if (text := text.as_py()) is not None else True:
-                    last, kept = (u, len(text)), next(shingle_sets(pa.array([text]), k))
+                if (u, text.as_py()) != last:
+                    last = (u, text.as_py())
+                    kept = next(shingle_sets(pa.array([last[1]], pa.string()), k))
                 common = len(np.intersect1d(kept, theirs, assume_unique=True))
                 good.append(100 * common >= percent * (len(kept) + len(theirs) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -264,7 +266,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     shelf = Shelf(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = shelf.put(signatures(docs, k))
-    same = marked.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
+    same = shelf.put(marked.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))  # a table, so that Spark can split a join on a common fingerprint
     nodes = marked.withColumnRenamed("doc_id", "node").join(same, ["fingerprint", "node"], "left_semi")
     nodes = shelf.put(nodes.dropDuplicates(["node", "fingerprint"]).select("node", "fingerprint", "n_shingles", "sketch"))
 
