@@ -21,25 +21,30 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs with all columns in one, so that names which an operator adds can't clash."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     ship_package(spark)
-    scored = quality.score(docs, quality.learn(docs, _labels(spark, sf_dir)))
-    return scored.where("predicted = 1").select(docs.columns)
+    model = quality.learn(docs.select("doc_id", "text"), _labels(spark, sf_dir))
+    return quality.score(_whole(docs), model).where("predicted = 1").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     ship_package(spark)
-    scored = toxicity.score(docs, toxicity.learn(docs, _labels(spark, sf_dir)))
-    return scored.where("predicted = 0").select(docs.columns)
+    lexicon = toxicity.learn(docs.select("doc_id", "text"), _labels(spark, sf_dir))
+    return toxicity.score(_whole(docs), lexicon).where("predicted = 0").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 similarity of five-word shingles, the one with the least doc_id; of repeated rows of it, one."""
+    """Of documents linked by 0.8 similarity of five-word shingles, the one with the least doc_id; of repeated rows of it, one. Rows without a doc_id stay."""
     ship_package(spark)
-    kept = minhash.near_duplicates(spark, docs, k=5, threshold=0.8).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = minhash.near_duplicates(spark, docs.select("doc_id", "text"), k=5, threshold=0.8).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

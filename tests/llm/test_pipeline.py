@@ -66,3 +66,18 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_clashing_columns_and_rows_without_id(spark):
+    text = "a passage that says one thing after the other and then some more words to fill it " * 3
+    rows = [(1, text, 9.5, 1, "k"), (None, text, 9.5, 1, "k"), (None, None, None, None, None), (2, text, None, None, None), (2, text, None, None, None), (3, "", 1.0, 0, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, `row` string")
+    for _, stage in p.STAGES[:4]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and after.schema == docs.schema
+        after.collect()
+    got = p.near_dedup_stage(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None", "None"]
+    got = p.substring_stage(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None", "None"]
+    assert p.packing_stage(spark, docs, SF).count() == len(rows)
