@@ -99,3 +99,58 @@ FROM parts
 """
 
 ORACLE_SQL = {"op9_url_filters": OP9_SQL}
+
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORD = r"'[^\x20\x09-\x0D]+'"
+
+#: Shingle sets joined on their rarest fifth: sets that are alike enough share one of these.
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), {WORD}) AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT g, count(*) AS df FROM s GROUP BY 1),
+r AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY df, s.g) AS k FROM s JOIN f USING (g) JOIN n USING (doc_id)),
+p AS (SELECT * FROM r WHERE k <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+l AS (SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y, nx, ny HAVING 100 * count(*) >= 80 * (nx + ny - count(*))),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+t AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(t.m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(t.m, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS o FROM p GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM p JOIN m USING (g) WHERE o < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT words.doc_id, count(*) AS n_words, count(gone.k) AS n_removed, string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL) AS kept FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+STRIDE = (chat.BUDGET - chat.HISTORY) // 2
+ESCAPED = "length(replace(replace({0}, '&', '&amp;'), '<', '&lt;'))"
+SIZE = "13 + length(replace(replace(replace({role}, '&', '&amp;'), '<', '&lt;'), '|', '&bar;')) + " + ESCAPED.format("{text}")
+
+OP10_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{CONTROL_TURN}'), (-7, 1, 'assistant', '{CONTROL_TURN}'))),
+b AS (SELECT *, 1 + CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}) AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM c),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  sum(CASE WHEN n > {STRIDE} THEN 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) - CASE WHEN n > {STRIDE} THEN 1 ELSE 0 END AS run,
+  first_value(role) OVER (PARTITION BY conv_id ORDER BY place) AS role0, first_value(text) OVER (PARTITION BY conv_id ORDER BY place) AS text0 FROM b),
+q AS (SELECT *, floor((start - min(start) OVER (PARTITION BY conv_id, run)) / {STRIDE}) AS span FROM p),
+s AS (SELECT *, CASE WHEN lag(run) OVER k <> run OR lag(span) OVER k <> span THEN 1 ELSE 0 END AS step FROM q WINDOW k AS (PARTITION BY conv_id ORDER BY place)),
+t AS (SELECT *, sum(step) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS win FROM s),
+u AS (SELECT *, max(start + n) OVER (PARTITION BY conv_id, win) AS win_end, max(win) OVER (PARTITION BY conv_id) AS last_win FROM t),
+v AS (SELECT *, {SIZE.format(role="role", text="text")} AS size, {SIZE.format(role="role0", text="text0")} AS size0 FROM u)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size + CASE WHEN win < last_win AND win_end - start <= {chat.HISTORY} AND place > 1 THEN size ELSE 0 END + CASE WHEN step = 1 AND role0 = 'system' THEN size0 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM v GROUP BY 1
+"""
+
+ORACLE_SQL |= {"op1_minhash_near_dedup": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op10_chat_formatting": OP10_SQL}
