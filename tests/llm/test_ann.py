@@ -53,3 +53,12 @@ def test_traversal_is_by_summed_distance():
     one, two, counts = rng.random(9), rng.random(7), np.ones((9, 7), int)
     sums = [one[i] + two[j] for i, j in ann.traverse(one, two, counts, 63)]
     assert len(sums) == 63 and sums == sorted(sums)
+
+
+def test_share_follows_the_structure():
+    rng = np.random.default_rng(2)
+    loose = ann.unit(rng.normal(size=(3000, 32)))
+    middles = rng.normal(size=(60, 32))
+    tight = ann.unit(middles[rng.integers(0, 60, 3000)] + 0.05 * rng.normal(size=(3000, 32)))
+    share = [ann.needed_share(x, (ann.centroids(x[:, :16], 8), ann.centroids(x[:, 16:], 8)), 16, 5) for x in (loose, tight)]
+    assert share[0] > 0.4 and share[1] < 0.2

@@ -8,9 +8,9 @@ Entries and queries meet by the first centroid, in blocks of bounded size, so on
 entries of a block are rows of the result. Equal query vectors are searched once. Of equal entry vectors the k + 1 with the
 smallest ids are kept: ties go to smaller ids, so no other copy can be in a result.
 
-Only the codebooks (fitted on at most `sample_rows` vectors, chosen by a hash of their id) and the number of
-entries in each cell go through the driver. Half of the entries give a recall above 0.9 even where vectors have no
-structure; clustered vectors need fewer.
+Only a sample (at most `sample_rows` vectors, chosen by a hash of their id) and the number of entries in each cell go
+through the driver. On the sample the codebooks are fitted, and the share of entries that a query has to see is
+measured there against brute force: over half where vectors have no structure, far less where they are clustered.
 
 Defined results: rows without an id, and vectors that are null, zero, of another length than most, or hold null or
 non-finite components, take no part. An id is never its own neighbour, repeated or not. Extra columns
@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, SHARE, ENTRY_BLOCK, QUERY_BLOCK = 20_000, 0.55, 8_000, 2_000
+SAMPLE_ROWS, ENTRY_BLOCK, QUERY_BLOCK = 20_000, 8_000, 2_000
+#: Part of the true neighbours that the share of visited entries is chosen for, on how many queries, and the least share.
+TARGET, TRIALS, LEAST_SHARE = 0.97, 300, 0.02
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -66,6 +68,22 @@ def traverse(one: np.ndarray, two: np.ndarray, counts: np.ndarray, want: float)
     return out
 
 
+def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], half: int, k: int) -> float:
+    """The share of entries, in the order of visiting, that holds TARGET of the k true neighbours of some rows of x."""
+    d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+    cell = d1.argmin(axis=1) * len(books[1]) + d2.argmin(axis=1)
+    counts, needs = np.bincount(cell, minlength=len(books[0]) * len(books[1])), []
+    for i in np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int):
+        near = x @ x[i]
+        near[i] = -np.inf
+        best = np.argsort(-near)[: min(k, len(x) - 1)]
+        order = np.argsort((d1[i][:, None] + d2[i][None, :]).ravel())
+        seen = np.empty(len(counts))
+        seen[order] = np.cumsum(counts[order])
+        needs.extend(seen[cell[best]] / len(x))
+    return float(np.clip(np.quantile(needs, TARGET), LEAST_SHARE, 1)) if needs else 1.0
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of an array column of one length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -88,7 +106,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.where(F.size("x") == (common["n"] if common else 0))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", share: float = SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", share: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
     rows = usable(vectors, id_col, vector)
     n = rows.count()
@@ -98,6 +116,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     half, size = (sample.shape[1] + 1) // 2, int(np.clip(np.sqrt(n / 50), 1, 256))
     books = centroids(sample[:, :half], size), centroids(sample[:, half:], size) if sample.shape[1] > 1 else np.zeros((1, 0))
     k1, k2 = len(books[0]), len(books[1])
+    share = needed_share(sample, books, half, k) if share is None else share
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
