@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 U64 = np.uint64
 
 SPACE = np.zeros(256, dtype=bool)
@@ -100,8 +100,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def text_chunks(offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about size bytes; a longer text stands alone."""
+def text_chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about size bytes (what fits into caches); a longer text stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
