@@ -219,11 +219,12 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
 
 
-def joining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, threshold: float, tasks: int) -> DataFrame:
+def joining_links(shelf: Shelf, members: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, threshold: float, tasks: int) -> DataFrame:
     """Links (u, v) within buckets between nodes of different components, enough to join all that are linked there."""
     percent, margin = round(100 * threshold), MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     split = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    split = shelf.put(split)  # so that Spark can split the join on a common key
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     placed = marked.join(split.select("key", "most", blocks(F.col("n") - F.col("n_most")).alias("a"), blocks(F.col("n_most")).alias("b")), "key")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -274,7 +275,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     key = F.xxhash64("band", F.substring("sketch", F.col("band") * 2 * ROWS + 1, F.lit(2 * ROWS)))
     rows = nodes.select("node", "sketch", band.alias("band")).select("node", key.alias("key")).repartition("key")
     shared = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = shelf.put(rows.join(shared, "key"))
+    members = shelf.put(rows.join(shared, "key"))  # a key has the members of one band only, so even a common one is a small part of all rows
 
     wanted = members.select("node").distinct()
     few = wanted.count() <= BROADCAST_NODES
@@ -288,7 +289,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
 
     crowded = members.where("n > 2")  # of two, the star has told all
     full = texts.join(sketches.select("node", "sketch"), "node")
-    more = shelf.put(joining_links(crowded, labels, full, k, threshold, max(1, crowded.count() // TASK_ROWS)))
+    more = shelf.put(joining_links(shelf, crowded, labels, full, k, threshold, max(1, crowded.count() // TASK_ROWS)))
     if not more.isEmpty():
         relabelled = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         merged = more.join(relabelled("u"), "u", "left").join(relabelled("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
