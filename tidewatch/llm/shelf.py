@@ -20,11 +20,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Folders of this process' shelves.
+FOLDERS: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; call it when no result that reads them is needed any more."""
+    while FOLDERS:
+        delete(spark, FOLDERS.pop())
+
+
 class Shelf:
     """Writes intermediate tables; what is no longer needed can be taken off."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        FOLDERS.append(self.folder)
 
     def put(self, df: DataFrame) -> DataFrame:
         """df as a table that is read back from the shared folder."""
@@ -36,8 +52,5 @@ class Shelf:
         return kept
 
     def take_off(self, df: DataFrame) -> None:
-        path = getattr(df, "_shelf_path", None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path := getattr(df, "_shelf_path", None):
+            delete(self.spark, path)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.quality import learnable
+from tidewatch.llm.shelf import Shelf
 
 SAMPLE_ROWS, THRESHOLD = 40_000, 0.7
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "clown", "imbecile", "vermin", "bastard", "asshole", "bitch", "retard")
@@ -171,6 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     marked = known.mapInArrow(mark, "doc_id long, label int, text string, m1 string, m2 string")
     once = marked.groupBy("label", "m1").agg(F.min_by(F.struct("text", "m2", "doc_id"), "doc_id").alias("d")).groupBy("label", "d.m2").agg(F.min_by("d.text", "d.doc_id").alias("text"))
     counts = once.select("label", "text").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = Shelf(docs.sparkSession, "toxicity").put(counts.where("term = '' OR toxic > 1"))  # a term of one toxic text is never beyond doubt
     sizes = counts.where("term = ''").first()
     if sizes is None or not sizes.clean or not sizes.toxic:
         return Lexicon()
