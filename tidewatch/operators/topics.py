@@ -63,8 +63,11 @@ def group_lag(messages: DataFrame, commits: DataFrame, assigned_only: bool = Tru
     assigned_only: topics of which the group has committed anything; else all that aren't internal.
     """
     high = partition_stats(messages).where(~F.col("Topic").startswith("__")).select("Topic", "Part", "high")
-    pairs = commits.select("grp", "Topic").distinct() if assigned_only else commits.select("grp").distinct().join(high.select("Topic").distinct(), F.lit(True))
-    every = pairs.join(high, "Topic").join(commits, ["grp", "Topic", "Part"], "left")
+    if assigned_only:
+        every = commits.select("grp", "Topic").distinct().join(high, "Topic")
+    else:  # each partition once for each consumer group, of which there are few
+        every = high.withColumn("grp", F.explode(commits.agg(F.collect_set("grp")).scalar()))
+    every = every.join(commits, ["grp", "Topic", "Part"], "left")
     return every.groupBy("grp", "Topic").agg(F.sum(F.greatest(F.col("high") - F.coalesce("Committed", F.lit(0)), F.lit(0))).alias("lag"), F.count("*").alias("partitions"))
 
 
