@@ -21,9 +21,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         before = digest
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are dealt anew, so that Spark can split the join where a node has a great many links
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("m")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition(F.xxhash64("a"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).repartition("m")
+        least = large.groupBy("a").agg(F.min("b").alias("m")).repartition(F.xxhash64("a"))
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = large.join(least, "a").select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a > b").distinct()
         after = shelf.put(small)
