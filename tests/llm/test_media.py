@@ -1,6 +1,8 @@
 import hashlib
 import zlib
 
+import numpy as np
+
 from tidewatch.llm import media
 
 
@@ -20,3 +22,34 @@ def test_round_trip(spark):
     assert got[0][1:] == got[1][1:] and got[2][1:] == got[6][1:] and got[2].feature != got[5].feature
     assert {r.doc_id: len(r.codes) == len(r.times) for r in stored.collect()} == {i: True for i in range(len(texts))}
     assert media.media_digests(media.media_columns(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_every_byte_enters_a_transform():
+    rng = np.random.default_rng(3)
+    for size in (64, 128, 256, 320, 448, 512, 1024):
+        samples = rng.integers(32, 127, size).astype(np.uint8)
+        plain = np.concatenate(list(media.spectra(samples)))
+        for at in range(size):
+            other = samples.copy()
+            other[at] ^= 64
+            assert np.abs(np.concatenate(list(media.spectra(other))) - plain).max() > 10
+
+
+def test_text_ends_and_frame_borders_reach_the_feature(spark):
+    texts = []
+    for size in (300, 320, 448, 700):
+        text = "".join(map(chr, np.random.default_rng(size).integers(97, 123, size)))
+        texts += [text, text[:-64] + "aazz" * 16, text[:240] + "aazz" * 8 + text[272:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in media.media_digests(media.media_columns(df)).collect()}
+    for i in range(0, len(texts), 3):
+        assert got[i] != got[i + 1] and got[i] != got[i + 2]
+
+
+def test_blocks_of_frames_join(monkeypatch):
+    samples = np.random.default_rng(5).integers(0, 256, 128 * 40 + 64).astype(np.uint8)
+    whole = media.spectral_peaks(samples)
+    assert len(whole) == 42
+    for block in (1, 2, 7, 42):
+        monkeypatch.setattr(media, "BLOCK", block)
+        assert (media.spectral_peaks(samples) == whole).all()

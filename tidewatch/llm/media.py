@@ -4,7 +4,11 @@ A payload is written as the samples of a mono 8-bit WAV file by the `wave` modul
 it. Short-time Fourier transforms of what was read give spectral peaks; pairs of near peaks (two
 frequencies and the time between them), each with its time code, form the fingerprint.
 
-Defined results: null and empty texts have a payload of 64 zero bytes. Long payloads are transformed
+Frames overlap by half, from half a frame before the first sample to half a frame or more after the last, where the
+samples are mirrored: each sample lies in two frames, in one of them well inside the window, and no step at an end
+outweighs them. For the same reason the zero bytes that fill up a payload are stored but not transformed.
+
+Defined results: null and empty texts have a payload of 64 zero bytes, which is transformed. Long payloads are transformed
 in blocks of frames, so memory beyond the payload itself is bounded. Repeated rows give repeated
 rows; extra columns are not read.
 """
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RATE, FRAME, HOP, BLOCK, FAN = 8000, 256, 256, 4096, 3
+RATE, FRAME, HOP, BLOCK, FAN = 8000, 256, 128, 4096, 3
 WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -46,19 +50,20 @@ def from_wav(stored: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def spectral_peaks(samples: np.ndarray) -> np.ndarray:
-    """The frequency bin of the strongest component of each frame, the mean aside."""
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)))
-    n = (len(samples) - FRAME) // HOP + 1
-    peaks = np.empty(n, dtype=np.int64)
+def spectra(samples: np.ndarray) -> Iterator[np.ndarray]:
+    """The strength of each frequency in each frame, in blocks of frames."""
+    n = -(-len(samples) // HOP) + 1
     for at in range(0, n, BLOCK):
         m = min(BLOCK, n - at)
-        part = samples[at * HOP : at * HOP + (m - 1) * HOP + FRAME].astype(np.float32) - 128
+        place = np.arange((at - 1) * HOP, (at + m) * HOP) % (2 * len(samples))
+        part = samples[np.minimum(place, 2 * len(samples) - 1 - place)].astype(np.float32) - 128
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        power = np.abs(np.fft.rfft(frames * WINDOW, axis=1))
-        peaks[at : at + m] = power[:, 2:].argmax(axis=1) + 2
-    return peaks
+        yield np.abs(np.fft.rfft(frames * WINDOW, axis=1))
+
+
+def spectral_peaks(samples: np.ndarray) -> np.ndarray:
+    """The frequency bin of the strongest component of each frame, the mean aside."""
+    return np.concatenate([power[:, 2:].argmax(axis=1) + 2 for power in spectra(samples)])
 
 
 def fingerprint(samples: np.ndarray, fan: int = FAN) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = (text or "").encode()
                 media.append(to_wav(pad(data)))
                 sizes.append(len(data))
-                c, t = fingerprint(np.frombuffer(from_wav(media[-1]), dtype=np.uint8))
+                c, t = fingerprint(np.frombuffer(from_wav(media[-1]), dtype=np.uint8)[: len(data) or None])
                 codes.append(c)
                 times.append(t)
             yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=["id", "n_bytes", "media", "codes", "times"])
