@@ -34,3 +34,20 @@ def test_verdicts(spark):
     ]
     assert (10, None, "allow") in got
     assert u.filter_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+
+
+def test_the_whole_url_is_judged(spark):
+    rows = [
+        ("http://x.net/search?q=casino", "", "block"),
+        ("http://x.net/#PORN", "", "block"),
+        ("casino.example/xxx", None, "block"),
+        ("http://x.net/cheap?for=pills", "", "block"),
+        ("http://x.net/cheap?for=cheap#cheap", "", "allow"),
+        ("http://x.net/?q=casinos", "", "allow"),
+        ("https://example.org/?q=casino", "org/", "allow"),
+        ("plain words", None, "allow"),
+    ]
+    got = u.filter_urls(spark.createDataFrame([(i, url) for i, (url, _, _) in enumerate(rows)], "page_id long, url string"), RULES).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: verdict for i, (_, _, verdict) in enumerate(rows)}
+    assert {r.page_id: r.rule for r in got} == {i: rule or None for i, (_, rule, _) in enumerate(rows)}
+    assert got[2].host == got[2].path == "" and {r.host for r in got[:2]} == {"x.net"} and got[0].path == "/search"

@@ -1,12 +1,12 @@
 """URL filtering by site rules and a weighted URL vocabulary.
 
 Host and path are cut out with SQL functions. Rules are native column expressions. Urls without a
-rule are judged by one Aho-Corasick pass over host and path: a term counts only between characters
+rule are judged by one Aho-Corasick pass over the whole url: a term counts only between characters
 that are no ASCII letters or digits; one strict term rejects, and so do `soft_limit` distinct soft terms.
 
-Defined results: a null, empty or malformed url (no `://`) has an empty host and path, no rule and
-the verdict `allow`. Urls of any length are read whole. Repeated rows give repeated rows. Extra
-columns of the input are not read.
+Defined results: a null, empty or malformed url (no `://`) has an empty host and path and no rule; the
+vocabulary judges what text there is, and allows null and empty ones. Urls of any length are read
+whole. Repeated rows give repeated rows. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def filter_urls(
     soft_limit: int = 2,
 ) -> DataFrame:
     """Columns `keep`, host, path, rule (null if none fits) and verdict, one row per input row."""
-    parts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    parts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.coalesce(ascii_lower(F.col(url)), F.lit("")).alias("_judged"))
     judge = vocabulary_verdict(strict, soft, soft_limit)
     host, path = F.col("host"), F.col("path")
     return parts.select(
@@ -111,7 +111,7 @@ def filter_urls(
         "host",
         "path",
         matching_rule(host, path, rules, "name").alias("rule"),
-        F.coalesce(matching_rule(host, path, rules, "verdict"), judge(ascii_lower(F.concat(host, path)))).alias("verdict"),
+        F.coalesce(matching_rule(host, path, rules, "verdict"), judge(F.col("_judged"))).alias("verdict"),
     )
 
 
