@@ -23,6 +23,18 @@ def test_terms_boundaries_and_exceptions():
     assert feats("idiot " + "word " * 500)[2] < feats("idiot word")[2]
 
 
+def test_stand_ins_at_the_end_and_for_l():
+    plain = {"assh0l3": "asshole", "imb3c1l3": "imbecile", "imbec11e": "imbecile", "worthle55": "worthless", "1oser": "loser", "1053r": "loser", "b1tch": "bitch", "5tup1d": "stupid", "MOR0N$$": "moron", "retard5": "retard"}
+    for shown, word in plain.items():
+        for around in ("{}", "you {}!", "a\n{}\nb", "3 {} 4"):
+            assert feats(around.format(shown)) == feats(around.format(word)) != (0.0, 0.0, 0.0), (shown, around)
+    assert feats("costs 30$ or 5, 1 or 11, 455 h0135 @ $5") == feats("ioser woser1 asshol morons5x") == (0.0, 0.0, 0.0)
+    assert feats("c1as5 c1own, a tra5h can") == (0.0, 0.0, 0.0)
+    assert feats("1oser", weights={"loser": 2.0, "ioser": 3.0}) == feats("ioser", weights={"ioser": 3.0})
+    assert feats("fail fall", weights={"fail": 2.0, "fall": 3.0})[1] == 2**0.5
+    assert feats("fai1 fall", weights={"fail": 2.0})[0] == feats("fail fall", weights={"fail": 2.0})[0]
+
+
 def corpus():
     rng = random.Random(1)
     rows = []

@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded: lower case, marks and look-alike letters to plain ones, digits and signs that stand for letters to
-those letters. One Aho-Corasick pass finds terms and exception phrases; a term counts as a whole word, or as a word's
+those letters. Digits and signs at a word's end may stand for letters or not, 1 for i or l: both readings are
+tried. One Aho-Corasick pass finds terms and exception phrases; a term counts as a whole word, or as a word's
 beginning if it is a stem, and not within an exception phrase. The score is a logistic function of the
 weight found, of the number of different terms and of the weight for each hundred words.
 
@@ -52,6 +53,8 @@ LOOK_ALIKE = dict(
 #: Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 DISGUISED = re.compile(r"[0134578@$]+(?=[^\W\d_])")
+#: The same after a letter, where no letter follows.
+TRAILING = re.compile(r"[0134578@$](?<=[^\W\d_].)[0134578@$]*")
 HIDDEN = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF, *range(0x300, 0x370)])
 
 
@@ -67,12 +70,29 @@ def _fold_table() -> dict[int, str | None]:
 FOLD = _fold_table()
 
 
-def fold(text: str) -> str:
-    """The text with case, marks, look-alikes and stand-ins taken back to plain letters."""
+def plain(text: str) -> str:
+    """The text with case, marks and look-alikes taken back to plain letters."""
     text = text.lower()
-    if not text.isascii():
-        text = text.translate(FOLD)
-    return DISGUISED.sub(lambda m: "".join(map(STANDS_FOR.__getitem__, m[0])), text)
+    return text if text.isascii() else text.translate(FOLD)
+
+
+def letters(m: re.Match) -> str:
+    return "".join(map(STANDS_FOR.__getitem__, m[0]))
+
+
+def fold(text: str) -> str:
+    """The plain text with stand-ins before letters taken back to letters."""
+    return DISGUISED.sub(letters, plain(text))
+
+
+def coarse(folded: str) -> str:
+    """A folded text with stand-ins after letters taken back too, and l as i: what any reading of it shares, at the same places."""
+    return TRAILING.sub(letters, folded).replace("l", "i")
+
+
+def spells(shown: str, word: str) -> bool:
+    """Whether the plain text shown can be read as the word."""
+    return all(c == w or STANDS_FOR.get(c) == w or (c == "1" and w == "l") for c, w in zip(shown, word, strict=True))
 
 
 @dataclass
@@ -89,36 +109,45 @@ class Lexicon:
         automaton = ahocorasick.Automaton()
         kinds: dict[str, list] = {}
         for term, weight in self.weights.items():
-            kinds.setdefault(fold(term.removesuffix(STEM_MARK)), []).append((weight, term.endswith(STEM_MARK)))
+            word = fold(term.removesuffix(STEM_MARK))
+            kinds.setdefault(coarse(word), []).append((word, weight, term.endswith(STEM_MARK)))
         for phrase in self.exceptions:
-            kinds.setdefault(fold(phrase), []).append(None)
+            kinds.setdefault(coarse(fold(phrase)), []).append((fold(phrase), None, False))
         for text, found in kinds.items():
-            automaton.add_word(text, (text, found))
+            automaton.add_word(text, (len(text), found))
         if kinds:
             automaton.make_automaton()
 
         def features(text: str) -> tuple[float, float, float]:
-            text = fold(text)
+            shown = plain(text)
+            text = DISGUISED.sub(letters, shown)
+            read = coarse(text)
             hits, spans = [], []
-            for end, (word, found) in automaton.iter(text) if kinds else ():
-                start = end - len(word) + 1
-                if start and text[start - 1].isalpha():
+            for end, (size, found) in automaton.iter(read) if kinds else ():
+                start = end - size + 1
+                if start and read[start - 1].isalpha():
                     continue
                 whole = end + 1 == len(text) or not text[end + 1].isalpha()
-                for kind in found:
-                    if kind is None:
-                        if whole:
-                            spans.append((start, end))
-                    elif whole or kind[1]:
-                        hits.append((start, end, word, kind[0]))
+                for word, weight, stem in found:
+                    if not (whole or stem):
+                        continue
+                    same = text.startswith(word, start)
+                    if not same and not spells(shown[start : end + 1], word):
+                        continue
+                    if weight is None:
+                        spans.append((start, end))
+                    else:
+                        hits.append((start, end, word, weight, same))
             if spans:
                 hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spans)]
             best: dict[int, float] = {}
-            for start, _, _, weight in hits:  # of a word and its stems the heaviest counts
+            for start, _, _, weight, _ in hits:  # of a word and its stems the heaviest counts
                 best[start] = max(best.get(start, 0.0), weight)
             total = sum(best.values())
+            first = {h[0] for h in hits if h[4]}  # another reading of a term that is found as it stands is no second term
+            different = {h[2][:4] for h in hits if h[4] or h[0] not in first}
             words = text.count(" ") + text.count("\n") + 1
-            return float(np.log1p(total)), float(len({h[2][:4] for h in hits})) ** 0.5, float(np.log1p(100 * total / words))
+            return float(np.log1p(total)), float(len(different)) ** 0.5, float(np.log1p(100 * total / words))
 
         return features
 
