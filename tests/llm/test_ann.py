@@ -48,6 +48,31 @@ def test_few_and_none(spark):
     assert ann.nearest(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_rows_and_equal_cosines(spark):
+    rng = np.random.default_rng(9)
+    base = np.float32(rng.normal(size=(300, 8))).tolist()
+    x, y = base[0], base[1]
+    rows = [(100 + i, base[i], "r") for i in range(300)] * 7  # each row seven times
+    rows += [(i, x, "r") for i in (1, 2, 3, 4, 5, 6, 7)] * 7  # one vector, seven ids
+    rows += [(1000 + i, [v * 2.0 ** (40 - i) for v in y], "r") for i in range(40)]  # one direction, forty vectors
+    want = {}
+    unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v, _ in rows}
+    ids = np.array(sorted(unit))
+    for q in ids[ids % 50 == 0]:
+        score = np.round(np.array([unit[i] @ unit[q] for i in ids]), 12)
+        want[q] = [int(i) for i in ids[np.lexsort((ids, -score))] if i != q][:5]
+    got = {}
+    for r in ann.nearest(spark, spark.createDataFrame(rows, SCHEMA), share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want and got[100] == [1, 2, 3, 4, 5] and got[1000] == [101, 1001, 1002, 1003, 1004]
+
+
+def test_an_id_with_two_vectors_has_one_place(spark):
+    rows = [(0, [1.0, 0.0], "r"), (0, [0.0, 1.0], "r"), (1, [1.0, 0.1], "r"), (1, [0.1, 1.0], "r"), (1, [1.0, 1.0], "r"), (2, [1.0, 0.2], "r"), (3, [0.3, 1.0], "r"), (4, [1.0, 0.4], "r"), (5, [1.0, 0.5], "r"), (6, [0.6, 1.0], "r")]
+    got = {r.rank: (r.vec_id, round(r.score, 6)) for r in ann.nearest(spark, spark.createDataFrame(rows, SCHEMA)).collect() if r.query_id == 0}
+    assert got == {i: (i, round(1 / (1 + (i / 10) ** 2) ** 0.5, 6)) for i in range(1, 6)}
+
+
 def test_traversal_is_by_summed_distance():
     rng = np.random.default_rng(0)
     one, two, counts = rng.random(9), rng.random(7), np.ones((9, 7), int)

@@ -5,8 +5,9 @@ centroids. A query visits centroid pairs by ascending summed distance, kept in a
 seen hold its share of all entries, and reranks these entries by exact cosine in double precision.
 
 Entries and queries meet by the first centroid, in blocks of bounded size, so only a query's few best
-entries of a block are rows of the result. Equal query vectors are searched once. Of equal entry vectors the k + 1 with the
-smallest ids are kept: ties go to smaller ids, so no other copy can be in a result.
+entries of a block are rows of the result. Equal query vectors are searched once. Repeated rows (same id, same vector) are one
+entry; of equal vectors the k + 1 with the smallest ids are kept: ties go to smaller ids, so no other copy can be in a
+result. Places go to different ids: an id with several vectors has one, by its nearest.
 
 Only a sample (at most `sample_rows` vectors, chosen by a hash of their id) and the number of entries in each cell go
 through the driver. On the sample the codebooks are fitted, and the share of entries that a query has to see is
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS, ENTRY_BLOCK, QUERY_BLOCK = 20_000, 8_000, 2_000
+#: More than rounding changes a cosine by.
+SLACK = 1e-9
 #: Part of the true neighbours that the share of visited entries is chosen for, on how many queries, and the least share.
 TARGET, TRIALS, LEAST_SHARE = 0.97, 300, 0.02
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -97,6 +100,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def nearest_ids(near: np.ndarray, u: np.ndarray, x: np.ndarray, ids: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries x, the `places` different ids nearest to u and their cosines; near has the cosines but for rounding, or -inf."""
+    top = 3 * places
+    while True:
+        top = min(top, len(near))
+        some = np.argpartition(-near, top - 1)[:top]
+        some = some[np.argsort(-near[some])]
+        firsts = np.sort(np.unique(ids[some], return_index=True)[1])
+        if len(firsts) >= places or top == len(near):
+            break
+        top *= 4
+    floor = near[some[firsts[places - 1]]] if len(firsts) >= places else -np.inf
+    fit = np.flatnonzero((near >= floor - SLACK) & np.isfinite(near))
+    scores = (u * x[fit]).sum(axis=1)  # equal rows give equal sums, unlike a matrix product
+    order = np.lexsort((ids[fit], -scores))
+    firsts = np.sort(np.unique(ids[fit][order], return_index=True)[1])[:places]
+    return ids[fit][order][firsts], scores[order][firsts]
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """vec_id and x (doubles) of the rows that take part."""
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -108,8 +130,8 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", share: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
-    rows = usable(vectors, id_col, vector)
-    n = rows.count()
+    given = usable(vectors, id_col, vector)
+    rows, n = given.distinct(), given.count()
     if not n:
         return spark.createDataFrame([], RESULT)
     sample = unit(np.array([r.x for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()]))
@@ -133,7 +155,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     want = max(share * counts.sum(), 50 * (k + 1))
     blocks = -(-counts.sum(axis=1) // ENTRY_BLOCK)  # of each first centroid
 
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = given.where(F.col("vec_id") % every == 0)
     distinct = asked.groupBy("x").agg(F.min("vec_id").alias("q"))
     q_blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
 
@@ -166,26 +188,23 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
             x, ids, c2 = unit(matrix(held.column("x"))), held.column("vec_id").to_numpy(), held.column("c2").to_numpy()
             q, u = asked.column("q").to_numpy(), unit(matrix(asked.column("x")))
             c2s = asked.column("c2s").to_pylist()
-            top = min(len(x), 3 * (k + 1))
             for at in range(0, len(q), 200):
                 allowed = np.zeros((min(200, len(q) - at), k2), dtype=bool)
                 for i, cells in enumerate(c2s[at : at + 200]):
                     allowed[i, cells] = True
                 near = np.where(allowed[:, c2], u[at : at + 200] @ x.T, -np.inf)
-                best = np.argpartition(-near, top - 1, axis=1)[:, :top]
-                row, col = np.repeat(np.arange(len(best)), top), best.ravel()
-                good = np.isfinite(near[row, col])
-                row, col = row[good], col[good]
-                out_q.append(q[at + row])
-                out_v.append(ids[col])
-                out_s.append((u[at + row] * x[col]).sum(axis=1))  # equal rows give equal sums, unlike a matrix product
+                for i in range(len(near)):
+                    best, scores = nearest_ids(near[i], u[at + i], x, ids, k + 1)
+                    out_q.append(np.full(len(best), q[at + i]))
+                    out_v.append(best)
+                    out_s.append(scores)
         return pa.table([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["q", "vec_id", "score"])
 
     keys = ("c1", "eb", "qb")
     found = queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rerank, "q long, vec_id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["q", "vec_id"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     members = asked.join(distinct, "x").select(F.col("vec_id").alias("query_id"), "q").distinct()
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = members.join(found, "q").where("query_id != vec_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    pairs = members.join(found, "q").where("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return pairs.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
