@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from tidewatch.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, win string, place string"
@@ -29,20 +31,57 @@ def test_round_trip(spark):
     assert got == brute(rows)
 
 
-def test_windows_hold_the_budget_and_repeat_the_system_turn(spark):
-    rows = [(1, 0, "system", "sys", "x", "y")] + [(1, i, "assistant" if i % 2 else "user", f"{i} " + "w " * 300, "x", "y") for i in range(1, 60)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    shown = chat.turn_windows(df, 1024, 200).collect()
+def tokens(text):
+    return 1 + -(-len(text) // 4)
+
+
+def turns_of(*parts):
+    return [(1, i, role, text, "x", "y") for i, (role, text) in enumerate(parts)]
+
+
+@pytest.mark.parametrize("system", [3, 1000, 1788, 1792, 5000])
+@pytest.mark.parametrize("at", [0, 1, 7])
+def test_windows_hold_the_budget(spark, system, at):
+    talk = [("assistant" if i % 2 else "user", f"{i} " + "w " * (300 + i * 97 % 700)) for i in range(60)]
+    talk[20:20] = [("assistant", "long " * 600), ("user", "w " * 1900), ("assistant", "huge " * 2000), ("user", "short")]
+    rows = turns_of(*talk[:at], ("system", "s" * system), *talk[at:])
+    shown = chat.turn_windows(spark.createDataFrame(rows, SCHEMA), 1024, 128).collect()
     wins = {}
     for r in shown:
         wins.setdefault(r.win, []).append(r)
-    assert len(wins) > 10
+    assert sorted(r.place for r in shown if r.kind == 2) == list(range(1, len(rows) + 1)) and len(wins) > 20
+    held = tokens("s" * system) <= (1024 - 128) // 2
+    left_out = 0
     for win, items in wins.items():
-        assert sum(1 + -(-len(r.text) // 4) for r in items) <= 1024 + 10
-        assert sum(r.role == "system" for r in items) == 1
-        if win:
-            assert any(r.kind == 1 for r in items)
-    assert sorted(r.place for r in shown if r.kind == 2) == list(range(1, 61))
+        size = lambda *kinds: sum(tokens(r.text) for r in items if r.kind in kinds)
+        assert size(0, 1, 2) <= 1024 or ([r.kind for r in items] == [2] and size(2) > 1024)
+        assert size(1) <= 128
+        before = any(r.role == "system" for w in range(win) for r in wins[w] if r.kind == 2)
+        repeated = [r for r in items if r.kind == 0]
+        if before and held and tokens("s" * system) + size(2) <= 1024:
+            assert [r.text for r in repeated] == ["s" * system]
+        else:
+            left_out += before and held
+            assert not repeated
+        if win:  # history ends where the window begins, and isn't shorter than it must be
+            past = sorted((r for r in wins[win - 1] if r.kind == 2), key=lambda r: r.place)
+            got = sorted((r for r in items if r.kind == 1), key=lambda r: r.place)
+            assert [r.text for r in got] == [r.text for r in past[len(past) - len(got) :]] or past[-1].role == "system" or any(r.role == "system" for r in past)
+            if len(got) < len(past) and past[len(past) - len(got) - 1].role != "system" and not any(r.role == "system" for r in past):
+                more = tokens(past[len(past) - len(got) - 1].text)
+                assert size(1) + more > 128 or size(0, 1, 2) + more > 1024
+    assert left_out <= 3
+
+
+def test_the_last_system_turn_is_in_force(spark):
+    talk = [("assistant" if i % 2 else "user", f"{i} " + "w " * 300) for i in range(40)]
+    rows = turns_of(*talk[:10], ("system", "one"), *talk[10:20], ("system", "two"), *talk[20:])
+    wins = {}
+    for r in chat.turn_windows(spark.createDataFrame(rows, SCHEMA)).collect():
+        wins.setdefault(r.win, []).append(r)
+    for items in wins.values():
+        first = min(r.place for r in items if r.kind == 2)
+        assert [r.text for r in items if r.kind == 0] == ([] if first <= 11 else ["one"] if first <= 22 else ["two"])
 
 
 def test_empty(spark):

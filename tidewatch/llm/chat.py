@@ -1,9 +1,14 @@
 """Chat formatting with DataFrame functions only.
 
-Turns of a conversation are dealt into budgeted windows. Prefix sums of turn tokens give each turn its
-window: a window takes the turns whose prefix falls into one stride, so no turn is cut. Every window
-repeats the system turn and, as history, the last turns of the window before it up to `history` tokens;
-repeated turns carry no loss. A turn of more than a stride stands alone in its window.
+Turns of a conversation are dealt into windows of at most `budget` tokens. Prefix sums of turn tokens give each turn
+its window: a window takes the turns whose prefix falls into one stride, so no turn is cut. Every later window
+repeats the system turn in force, the last one before it, and as history the last turns of the window before it, up to
+`history` tokens; repeated turns carry no loss. A stride is half of what history and the conversation's
+longest repeated system turn leave of the budget, so a window's turns, the last of which may reach over its stride's end, fit.
+
+What doesn't fit: a system turn of more than half of what history leaves is shown in its own place only. A turn of
+more than a stride stands alone in its window; there the system turn is repeated if it fits beside it, and history shrinks to what is then
+left. Only a turn that is longer than the budget by itself makes a longer window, and nothing is repeated there.
 
 Template: `<|kind:role|>text<|end|>`, kind `t` for a turn's own place and `r` for a repeat. In roles and
 texts `&` is written `&amp;` and `<` is written `&lt;`, so no text can hold a control string and
@@ -37,32 +42,36 @@ def tokens(text: Column) -> Column:
 
 def turn_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per turn and window that shows it: conv_id, win, place, kind (0 system repeat, 1 history, 2 own), role, text."""
-    stride = (budget - history) // 2
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", tokens(F.col("text")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    placed = base.select(
+    whole = Window.partitionBy("conv_id")
+    order = whole.orderBy("turn", "role", "text")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    system = F.when((F.col("role") == "system") & (F.col("n") <= (budget - history) // 2), F.struct("role", "text", "n"))
+    placed = base.withColumn("own_system", system).select(
         "*",
         F.row_number().over(order).alias("place"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
-        F.sum(F.when(F.col("n") > stride, 2).otherwise(0)).over(upto).alias("run0"),
-        F.first(F.when(F.col("role") == "system", F.struct("role", "text"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("system"),
+        F.last("own_system", ignorenulls=True).over(before).alias("system"),
+        F.floor((budget - history - F.coalesce(F.max("own_system.n").over(whole), F.lit(0))) / 2).alias("stride"),
     )
-    # a long turn has a run of its own (odd), the turns between long ones share the even runs; strides are counted within a run
-    placed = placed.withColumn("run", F.col("run0") - F.when(F.col("n") > stride, 1).otherwise(0))
+    # a long turn has a run of its own (odd), the turns between long ones are in the even runs; strides are counted within a run
+    long = F.when(F.col("n") > F.col("stride"), 1).otherwise(0)
+    placed = placed.withColumn("run", F.sum(2 * long).over(upto) - long)
     first_in_run = F.min("start").over(Window.partitionBy("conv_id", "run"))
-    placed = placed.withColumn("span", F.floor((F.col("start") - first_in_run) / stride))
+    placed = placed.withColumn("span", F.floor((F.col("start") - first_in_run) / F.col("stride")))
     step = F.when((F.lag("run").over(order) != F.col("run")) | (F.lag("span").over(order) != F.col("span")), 1).otherwise(0)
     placed = placed.withColumn("step", step).withColumn("win", F.sum("step").over(upto))
-    in_win = Window.partitionBy("conv_id", "win")
-    placed = placed.withColumn("end_of_win", F.max(F.col("start") + F.col("n")).over(in_win)).withColumn("last_win", F.max("win").over(Window.partitionBy("conv_id")))
-    repeats = (F.col("win") < F.col("last_win")) & (F.col("end_of_win") - F.col("start") <= history) & (F.col("place") > 1)
-    opens = (F.col("step") == 1) & F.col("system").isNotNull()  # the first turn of a later window brings the system turn
+    in_win, next_win = Window.partitionBy("conv_id", "win"), whole.orderBy("win").rangeBetween(1, 1)
+    placed = placed.withColumn("own", F.sum("n").over(in_win)).withColumn("end_of_win", F.max(F.col("start") + F.col("n")).over(in_win))
+    # the first turn of a later window brings the system turn
+    placed = placed.withColumn("opens", (F.col("step") == 1) & F.coalesce(F.col("own") + F.col("system.n") <= budget, F.lit(False)))
+    left = budget - F.max("own").over(next_win) - F.coalesce(F.max(F.when(F.col("opens"), F.col("system.n"))).over(next_win), F.lit(0))
+    repeats = (F.col("end_of_win") - F.col("start") <= F.least(F.lit(history), F.col("left"))) & (F.col("role") != "system")
     item = lambda win, kind, role, text: F.struct(win.cast("long").alias("win"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     own = item(F.col("win"), 2, F.col("role"), F.col("text"))
-    shown = F.array_compact(F.array(own, F.when(repeats, item(F.col("win") + 1, 1, F.col("role"), F.col("text"))), F.when(opens, item(F.col("win"), 0, F.col("system.role"), F.col("system.text")))))
-    return placed.select("conv_id", "place", F.explode(shown).alias("s")).select("conv_id", "place", "s.win", "s.kind", "s.role", "s.text")
+    old = F.when(F.col("left").isNotNull() & repeats, item(F.col("win") + 1, 1, F.col("role"), F.col("text")))
+    shown = F.array_compact(F.array(own, old, F.when(F.col("opens"), item(F.col("win"), 0, F.col("system.role"), F.col("system.text")))))
+    return placed.withColumn("left", left).select("conv_id", "place", F.explode(shown).alias("s")).select("conv_id", "place", "s.win", "s.kind", "s.role", "s.text")
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:

@@ -130,26 +130,29 @@ kept AS (SELECT words.doc_id, count(*) AS n_words, count(gone.k) AS n_removed, s
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-STRIDE = (chat.BUDGET - chat.HISTORY) // 2
 ESCAPED = "length(replace(replace({0}, '&', '&amp;'), '<', '&lt;'))"
 SIZE = "13 + length(replace(replace(replace({role}, '&', '&amp;'), '<', '&lt;'), '|', '&bar;')) + " + ESCAPED.format("{text}")
+ROOM = chat.BUDGET - chat.HISTORY
 
 OP10_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{CONTROL_TURN}'), (-7, 1, 'assistant', '{CONTROL_TURN}'))),
 b AS (SELECT *, 1 + CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}) AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM c),
-p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-  sum(CASE WHEN n > {STRIDE} THEN 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) - CASE WHEN n > {STRIDE} THEN 1 ELSE 0 END AS run,
-  first_value(role) OVER (PARTITION BY conv_id ORDER BY place) AS role0, first_value(text) OVER (PARTITION BY conv_id ORDER BY place) AS text0 FROM b),
-q AS (SELECT *, floor((start - min(start) OVER (PARTITION BY conv_id, run)) / {STRIDE}) AS span FROM p),
+y AS (SELECT *, CASE WHEN role = 'system' AND n <= {ROOM // 2} THEN {{'n': n, 'role': role, 'text': text}} END AS sys FROM b),
+p AS (SELECT *, coalesce(sum(n) OVER k, 0) AS start, last_value(sys IGNORE NULLS) OVER k AS held, ({ROOM} - coalesce(max(sys.n) OVER (PARTITION BY conv_id), 0)) // 2 AS stride FROM y
+  WINDOW k AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, sum(CASE WHEN n > stride THEN 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) - CASE WHEN n > stride THEN 1 ELSE 0 END AS run FROM p),
+q AS (SELECT *, floor((start - min(start) OVER (PARTITION BY conv_id, run)) / stride) AS span FROM r),
 s AS (SELECT *, CASE WHEN lag(run) OVER k <> run OR lag(span) OVER k <> span THEN 1 ELSE 0 END AS step FROM q WINDOW k AS (PARTITION BY conv_id ORDER BY place)),
 t AS (SELECT *, sum(step) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS win FROM s),
-u AS (SELECT *, max(start + n) OVER (PARTITION BY conv_id, win) AS win_end, max(win) OVER (PARTITION BY conv_id) AS last_win FROM t),
-v AS (SELECT *, {SIZE.format(role="role", text="text")} AS size, {SIZE.format(role="role0", text="text0")} AS size0 FROM u)
+u AS (SELECT *, sum(n) OVER w AS own, max(start + n) OVER w AS win_end FROM t WINDOW w AS (PARTITION BY conv_id, win)),
+o AS (SELECT *, step = 1 AND coalesce(own + held.n <= {chat.BUDGET}, false) AS opens FROM u),
+z AS (SELECT *, {chat.BUDGET} - max(own) OVER f - coalesce(max(CASE WHEN opens THEN held.n END) OVER f, 0) AS left_ FROM o WINDOW f AS (PARTITION BY conv_id ORDER BY win RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING)),
+v AS (SELECT *, {SIZE.format(role="role", text="text")} AS size, {SIZE.format(role="held.role", text="held.text")} AS size0 FROM z)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(size + CASE WHEN win < last_win AND win_end - start <= {chat.HISTORY} AND place > 1 THEN size ELSE 0 END + CASE WHEN step = 1 AND role0 = 'system' THEN size0 ELSE 0 END) AS BIGINT) AS formatted_chars
+  CAST(sum(size + CASE WHEN left_ IS NOT NULL AND win_end - start <= least({chat.HISTORY}, left_) AND role <> 'system' THEN size ELSE 0 END + CASE WHEN opens THEN size0 ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM v GROUP BY 1
 """
 
