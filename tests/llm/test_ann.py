@@ -1,6 +1,7 @@
 import numpy as np
 
 from tidewatch.llm import ann
+from tidewatch.llm.queries import op2_nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, rank string"
 
@@ -62,7 +63,7 @@ def test_repeated_rows_and_equal_cosines(spark):
         score = np.round(np.array([unit[i] @ unit[q] for i in ids]), 12)
         want[q] = [int(i) for i in ids[np.lexsort((ids, -score))] if i != q][:5]
     got = {}
-    for r in ann.nearest(spark, spark.createDataFrame(rows, SCHEMA), share=1.0).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(spark, spark.createDataFrame(rows, SCHEMA), fraction=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == want and got[100] == [1, 2, 3, 4, 5] and got[1000] == [101, 1001, 1002, 1003, 1004]
 
@@ -80,10 +81,49 @@ def test_traversal_is_by_summed_distance():
     assert len(sums) == 63 and sums == sorted(sums)
 
 
-def test_share_follows_the_structure():
+def test_fraction_follows_the_structure():
     rng = np.random.default_rng(2)
     loose = ann.unit(rng.normal(size=(3000, 32)))
     middles = rng.normal(size=(60, 32))
     tight = ann.unit(middles[rng.integers(0, 60, 3000)] + 0.05 * rng.normal(size=(3000, 32)))
-    share = [ann.needed_share(x, (ann.centroids(x[:, :16], 8), ann.centroids(x[:, 16:], 8)), 16, 5) for x in (loose, tight)]
-    assert share[0] > 0.4 and share[1] < 0.2
+    need = [ann.needed_fraction(x, (ann.centroids(x[:, :16], 8), ann.centroids(x[:, 16:], 8)), 16, 5) for x in (loose, tight)]
+    assert need[0] > 0.4 and need[1] < 0.2
+
+
+def test_recall_on_the_registered_table(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding is not None and None not in r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i, u in zip(ids, x, strict=True):
+        if i % 50 == 0:
+            near = np.where(ids == i, -np.inf, np.round(x @ u, 12))
+            want[int(i)] = set(ids[np.lexsort((ids, -near))[:5]].tolist())
+    got = {}
+    for r in op2_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = sum(len(got[q] & want[q]) for q in want) / sum(map(len, want.values()))
+    print("recall of the registered query:", recall)
+    assert got.keys() == want.keys() and recall >= 0.9
+
+
+def test_blocks_of_queries_get_what_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "ENTRY_BLOCK", 60)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(40, 8))
+    rows = [(i, np.float32(middles[i % 40] + 0.1 * rng.normal(size=8)).tolist(), "r") for i in range(2000)]
+    whole = {}
+    for fraction in (1.0, None):
+        got = {}
+        for r in ann.nearest(spark, spark.createDataFrame(rows, SCHEMA), every=10, fraction=fraction).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+        whole[fraction] = got
+    want = {q: dict(enumerate((i for i, _ in v), 1)) for q, v in brute(rows, every=10).items()}
+    assert whole[1.0] == want
+    assert sum(len(set(whole[None][q].values()) & set(want[q].values())) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_neighbours_stand_together():
+    assert ann.chain(np.array([[0.0], [9.0], [1.0], [8.0], [2.0]])) == [0, 2, 4, 3, 1]

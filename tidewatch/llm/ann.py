@@ -2,15 +2,16 @@
 
 Both halves of a normalised vector are quantised with codebooks of their own; a vector's cell is the pair of its
 centroids. A query visits centroid pairs by ascending summed distance, kept in a heap, until the cells
-seen hold its share of all entries, and reranks these entries by exact cosine in double precision.
+seen hold its fraction of all entries, and reranks these entries by exact cosine in double precision.
 
-Entries and queries meet by the first centroid, in blocks of bounded size, so only a query's few best
-entries of a block are rows of the result. Equal query vectors are searched once. Repeated rows (same id, same vector) are one
+Queries are dealt into blocks by their own first centroid, neighbouring ones together, so that those of a block visit much
+the same cells; an entry goes to the blocks that visit its cell and to no other. There both meet by the first centroid, in
+blocks of bounded size, so only a query's few best entries of a block are rows of the result. Equal query vectors are searched once. Repeated rows (same id, same vector) are one
 entry; of equal vectors the k + 1 with the smallest ids are kept: ties go to smaller ids, so no other copy can be in a
 result. Places go to different ids: an id with several vectors has one, by its nearest.
 
 Only a sample (at most `sample_rows` vectors, chosen by a hash of their id) and the number of entries in each cell go
-through the driver. On the sample the codebooks are fitted, and the share of entries that a query has to see is
+through the driver. On the sample the codebooks are fitted, and the fraction of entries that a query has to see is
 measured there against brute force: over half where vectors have no structure, far less where they are clustered.
 
 Defined results: rows without an id, and vectors that are null, zero, of another length than most, or hold null or
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS, ENTRY_BLOCK, QUERY_BLOCK = 20_000, 8_000, 2_000
 #: More than rounding changes a cosine by.
 SLACK = 1e-9
-#: Part of the true neighbours that the share of visited entries is chosen for, on how many queries, and the least share.
-TARGET, TRIALS, LEAST_SHARE = 0.97, 300, 0.02
+#: Part of the true neighbours that the fraction of visited entries is chosen for, on how many queries, and the least fraction.
+TARGET, TRIALS, LEAST_FRACTION = 0.97, 300, 0.02
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -71,8 +72,8 @@ def traverse(one: np.ndarray, two: np.ndarray, counts: np.ndarray, want: float)
     return out
 
 
-def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], half: int, k: int) -> float:
-    """The share of entries, in the order of visiting, that holds TARGET of the k true neighbours of some rows of x."""
+def needed_fraction(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], half: int, k: int) -> float:
+    """The fraction of entries, in the order of visiting, that holds TARGET of the k true neighbours of some rows of x."""
     d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
     cell = d1.argmin(axis=1) * len(books[1]) + d2.argmin(axis=1)
     counts, needs = np.bincount(cell, minlength=len(books[0]) * len(books[1])), []
@@ -84,7 +85,17 @@ def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], half: int,
         seen = np.empty(len(counts))
         seen[order] = np.cumsum(counts[order])
         needs.extend(seen[cell[best]] / len(x))
-    return float(np.clip(np.quantile(needs, TARGET), LEAST_SHARE, 1)) if needs else 1.0
+    return float(np.clip(np.quantile(needs, TARGET), LEAST_FRACTION, 1)) if needs else 1.0
+
+
+def chain(c: np.ndarray) -> list[int]:
+    """The centroids in an order in which neighbours are near: each time the nearest that is left."""
+    order, left = [0], set(range(1, len(c)))
+    while left:
+        rest = sorted(left)
+        order.append(rest[int(((c[rest] - c[order[-1]]) ** 2).sum(axis=1).argmin())])
+        left.remove(order[-1])
+    return order
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -128,7 +139,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.where(F.size("x") == (common["n"] if common else 0))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", share: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", fraction: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
     given = usable(vectors, id_col, vector)
     rows, n = given.distinct(), given.count()
@@ -138,7 +149,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     half, size = (sample.shape[1] + 1) // 2, int(np.clip(np.sqrt(n / 50), 1, 256))
     books = centroids(sample[:, :half], size), centroids(sample[:, half:], size) if sample.shape[1] > 1 else np.zeros((1, 0))
     k1, k2 = len(books[0]), len(books[1])
-    share = needed_share(sample, books, half, k) if share is None else share
+    fraction = needed_fraction(sample, books, half, k) if fraction is None else fraction
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,12 +163,17 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     counts = np.zeros((k1, k2), dtype=np.int64)
     for r in entries.groupBy("c1", "c2").count().collect():  # at most one row per cell
         counts[r.c1, r.c2] = r["count"]
-    want = max(share * counts.sum(), 50 * (k + 1))
+    want = max(fraction * counts.sum(), 50 * (k + 1))
     blocks = -(-counts.sum(axis=1) // ENTRY_BLOCK)  # of each first centroid
 
     asked = given.where(F.col("vec_id") % every == 0)
     distinct = asked.groupBy("x").agg(F.min("vec_id").alias("q"))
-    q_blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
+    placed = distinct.select("q", "x").mapInArrow(assign, "vec_id long, x array<double>, c1 int, c2 int").withColumnRenamed("vec_id", "q")
+    asking, start = {r.c1: r["count"] for r in placed.groupBy("c1").count().collect()}, {}  # at most one row per first centroid
+    for c in chain(books[0]):
+        start[c] = sum(asking.get(o, 0) for o in start)
+    look = lambda table: F.get(F.array(*(F.lit(int(table.get(c, 0))).cast("long") for c in range(k1))), F.col("c1"))
+    qb = F.floor((look(start) + F.pmod(F.xxhash64("q"), F.greatest(look(asking), F.lit(1)))) / QUERY_BLOCK).cast("int")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +194,10 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
                         twos.append(bs)
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in (batch.column(0), batch.column(1), batch.column(2))), pa.array(one, pa.int32()), pa.array(block, pa.int32()), pa.array(twos, pa.list_(pa.int32()))], names=["q", "x", "qb", "c1", "eb", "c2s"])
 
-    queries = distinct.select("q", "x", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("qb")).mapInArrow(visit, "q long, x array<double>, qb int, c1 int, eb int, c2s array<int>")
+    queries = placed.select("q", "x", qb.alias("qb")).mapInArrow(visit, "q long, x array<double>, qb int, c1 int, eb int, c2s array<int>")
+    visited = queries.select("c1", F.explode("c2s").alias("c2"), F.col("qb").alias("to")).distinct()
     dealt = F.array(*(F.lit(int(b)) for b in blocks))
-    entries = entries.withColumn("eb", F.pmod(F.xxhash64("vec_id"), F.greatest(F.get(dealt, F.col("c1")), F.lit(1))).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    entries = entries.withColumn("eb", F.pmod(F.xxhash64("vec_id"), F.greatest(F.get(dealt, F.col("c1")), F.lit(1))).cast("int")).join(visited, ["c1", "c2"]).select("vec_id", "x", "c1", "c2", "eb", F.col("to").alias("qb"))
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
