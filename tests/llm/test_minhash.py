@@ -16,21 +16,22 @@ def shingles(text, k):
 
 
 def brute(rows, k, percent=80):
-    ids = sorted({r[0] for r in rows})
-    up = {i: i for i in ids}
+    """doc_id, size and component of each row; a row is a document."""
+    sets, up = [shingles(r[1], k) for r in rows], list(range(len(rows)))
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    sets = [(r[0], shingles(r[1], k)) for r in rows]
-    for i, (a, s) in enumerate(sets):
-        for b, t in sets[:i]:
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
             if s and t and 100 * len(s & t) >= percent * len(s | t):
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
-    return sorted((i, len(s), root(i) if s else i) for i, s in sets)
+                up[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    return sorted((r[0], len(s), least[root(i)]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
 
 
 def corpus(seed=5, n=60):
@@ -50,7 +51,7 @@ def corpus(seed=5, n=60):
     for i in range(60):  # a chain: neighbours are alike, the ends are not
         base[i] = f"chain{i}"
         rows.append((1000 + i, " ".join(base), "n", "c"))
-    return rows + [(2000, None, "n", "c"), (2001, "", "n", "c"), (2002, " \t\n", "n", "c"), (2003, "one", "n", "c"), (2004, "ONE", "n", "c"), (2005, "one two", "n", "c"), (2006, "w1 " * 30000, "n", "c"), (3, rows[3][1], "n", "c")]
+    return rows + [(2000, None, "n", "c"), (2001, "", "n", "c"), (2002, " \t\n", "n", "c"), (2003, "one", "n", "c"), (2004, "ONE", "n", "c"), (2005, "one two", "n", "c"), (2006, "w1 " * 30000, "n", "c"), (3, rows[3][1], "n", "c"), (3, rows[9][1], "n", "c"), (3, "quite another text " * 9, "n", "c"), (2007, "quite another text", "n", "c"), (2007, rows[11][1], "n", "c")]
 
 
 def test_equals_brute_force(spark):
@@ -101,6 +102,65 @@ def test_cross_links_join_what_is_linked():
     assert len(links) < 40
 
 
+def family(rng, n, common, own):
+    """Texts of `common` words that all have, in one place, and `own` words of their own."""
+    base = [f"c{i}" for i in range(common)]
+    return [(i, " ".join(base + [f"o{rng.randrange(1 << 40)}" for _ in range(own)]), "n", "c") for i in range(n)]
+
+
+def test_families_that_are_not_alike_enough(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "TASK_ROWS", 40)
+    rng = random.Random(12)
+    rows = family(rng, 120, 80, 18)  # pairs of about 0.7
+    copies = [(1000 + i, t + " x", "n", "c") for i, (_, t, *_) in enumerate(rows[:40])]
+    base = [f"d{i}" for i in range(100)]
+    for i in range(80):  # pairs of 0.65 to 0.9, by words changed in any place
+        text = list(base)
+        for j in rng.sample(range(100), rng.randrange(2, 12)):
+            text[j] = f"e{rng.randrange(1 << 40)}"
+        rows.append((3000 + i, " ".join(text), "n", "c"))
+    rows += copies
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+
+
+def dealt_rows(spark, rows, monkeypatch):
+    """Rows that the comparison of what stars leave open gets, and buckets' rows by rare shingles."""
+    seen = {"dealt": 0, "rare": 0}
+    put = minhash.Shelf.put
+
+    def counted(self, df):
+        out = put(self, df)
+        if "among" in out.columns:
+            seen["dealt"] += out.selectExpr("coalesce(sum((n - n_most) * (among + b) + n_most * a), 0) AS r").first().r
+        if out.columns == ["key", "node"]:
+            seen["rare"] += out.count()
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(minhash.Shelf, "put", counted)
+        n = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).where("kept").count()
+    return n, seen["dealt"], seen["rare"]
+
+
+def test_open_families_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    few, many = (dealt_rows(spark, family(random.Random(3), n, 40, 9), monkeypatch) for n in (500, 2000))
+    assert few[0] == 500 and many[0] == 2000  # nothing is linked
+    assert few[1] > 500 and many[1] <= 5 * few[1] and few[2] == many[2] == 0
+
+
+def test_one_doc_id_with_different_texts(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen fifteen"
+    cases = [([(1, a), (1, b), (2, c)], 3), ([(2, a), (2, b), (1, a)], 2), ([(1, a), (1, a.upper()), (1, ""), (1, None), (3, a)], 3)]
+    for rows, kept in cases:
+        for parts in (1, 3):
+            got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 2).collect()
+            assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+            assert len({(r.doc_id, r.text_id) for r in got if r.first}) == kept
+
+
 def test_rows_without_id(spark):
     rows = [(None, "a b c", "n", "c"), (4, "a b c", "n", "c"), (None, "x y z", "n", "c"), (None, None, "n", "c"), (7, "a b c", "n", "c")]
     got = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()

@@ -54,6 +54,48 @@ def test_equals_brute_force(spark, seed):
         assert {r.row.batch for r in got} == {"b"}
 
 
+def spaced(text, gone):
+    """The text without its gone words: each goes with the white space before it, the first ones with that after them."""
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    out, first = "", True
+    for (a, b), g, before in zip(spans, gone, [0, *(b for _, b in spans)], strict=False):
+        if not g:
+            out += (text[a:b] if first and any(gone[: spans.index((a, b))]) else text[before:b])
+            first = False
+    return out + (text[spans[-1][1] :] if spans else text or "")
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_white_space_stays(spark, seed):
+    rows = corpus(seed)
+    got = substring.remove_repeats(spark, spark.createDataFrame(rows, SCHEMA), spaced=True, batch_bytes=9000).collect()
+    plain = substring.remove_repeats(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
+    for a, b in zip(sorted(got, key=key), sorted(plain, key=key), strict=True):
+        assert words(a.kept) == words(b.kept)
+        if not a.n_removed:
+            assert a.kept == (a.text or "")
+    w = substring.Words(np.frombuffer(b" a b\n c  d e f\tg ", dtype=np.uint8), np.array([0, 9, 17]))
+    for bits in range(1 << 7):
+        gone = np.array([bits >> i & 1 for i in range(7)], dtype=bool)
+        data, ends = substring.spaced_texts(w, gone)
+        want = [spaced(" a b\n c  ", gone[:3].tolist()), spaced("d e f\tg ", gone[3:].tolist())]
+        assert [bytes(data[a:b]).decode() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want, (bits, want)
+
+
+def test_batches_hold_their_bytes(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * (rng.randrange(30) if i < 500 else 900), "k", "b") for i in range(520)] + [(100, "y" * 700, "k", "b"), (None, "z", "k", "b"), (77, None, "k", "b")]
+    bounds = substring.batch_bounds(spark.createDataFrame(rows, SCHEMA).repartition(7), 1000)
+    held = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            at = int(np.searchsorted(bounds, i, side="left"))
+            held.setdefault(at, []).append((i, len(t or "")))
+    assert all(sum(n for _, n in b) <= 1000 or len({i for i, _ in b}) == 1 for b in held.values()) and 25 < len(held) < 60
+
+
 def test_groups_hold_their_size():
     counts = np.array([5, 0, 3, 25, 4, 4, 4])
     first, parts = substring.group_plan(counts, 10)

@@ -5,17 +5,21 @@ every element runs a Poisson process whose points fall on random registers, a re
 the earliest point t as clamp(floor(1 - log_b t), 0, q + 1). Registers of unions are register-wise
 maxima, so sketches are mergeable, and equal registers are the likelier the more alike two sets are.
 
-Documents with equal sets are one node from the start. Nodes that agree on all registers of a band
-share a bucket. Buckets are first linked by stars: all members against the least. What a bucket then holds besides its
-most common component is compared in full, within tasks and in blocks of bounded size, with the whole bucket;
-such a task gives only links that join components, so no pairs within a group are listed. Candidates are filtered by
-a joint likelihood estimate of their similarity from both sketches and confirmed on full shingle sets.
-
-With 40 bands of 6 registers a pair of exactly 0.8 similarity shares no bucket with probability 5e-6.
+Documents with equal sets are one node from the start; nodes are numbered in the order of their least doc_id. Nodes that
+agree on all registers of a band meet in a bucket. Buckets are first linked by stars: all members against the least. A bucket may then still
+hold several components. All outside its most common component are compared with that component and with each other, within
+tasks and in blocks of bounded size; such a task gives only links that join components, so no pairs within a group
+are listed. Where more nodes than a block are outside, as in a family of texts that have much in common but not enough,
+they aren't compared block by block with each other: two of them can be similar enough only if they have one of their rarest shingles in common
+(those beyond the number that may differ, by how many nodes of such buckets have them), so they are put into buckets by these
+and only what meets there is compared. Candidates are filtered by a joint likelihood estimate of their similarity
+from both sketches and confirmed on full shingle sets.
+
+With 40 bands of 6 registers a pair of exactly 0.8 similarity meets in no bucket with probability 5e-6.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing. Repeated
-rows are linked with each other; a doc_id repeated with different texts gives a row for each text. Rows without a
-doc_id have the component of an equal set, else none, and are kept in that case. Long texts are hashed in pieces. Extra
+rows are linked with each other. Rows with one doc_id and different texts are different documents, linked only if their texts are.
+Rows without a doc_id have the component of an equal set, else none, and are kept in that case. Long texts are hashed in pieces. Extra
 columns are not read.
 """
 
@@ -38,7 +42,7 @@ BANDS, ROWS, BASE, RATE, Q = 40, 6, 1.001, 20.0, (1 << 16) - 2
 REGISTERS = BANDS * ROWS
 #: A pair is checked in full if its estimate is within this many standard errors of the threshold.
 MARGIN = 5.0
-#: Nodes up to which their list is broadcast, members of a block, and rows that a task of blocks gets.
+#: Nodes up to which their list is broadcast, members of a block, and rows that a task of blocks gets on average.
 BROADCAST_NODES, BLOCK, TASK_ROWS = 1_000_000, 512, 4_000
 
 
@@ -111,19 +115,19 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (of the whole set, null if empty) and sketch."""
+    """doc_id, text_id (a hash of the text), n_shingles, fingerprint (of the whole set, null if empty) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                sets = list(shingle_sets(part.column(1), k))
+                sets = list(shingle_sets(part.column(2), k))
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 rows = [s.tobytes() for s in sketch(sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "fingerprint", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "text_id", "n_shingles", "fingerprint", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, fingerprint binary, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, f"doc_id {kind}, text_id long, n_shingles long, fingerprint binary, sketch binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -145,7 +149,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those of pairs (u, v) whose full shingle sets are similar enough. Many rows may share a u: its set is made once per run of rows."""
+    """Those of pairs (u, v) whose full shingle sets are similar enough. Many rows may have the same u: its set is made once per run of rows."""
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +223,54 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
 
 
-def joining_links(shelf: Shelf, members: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, threshold: float, tasks: int) -> DataFrame:
-    """Links (u, v) within buckets between nodes of different components, enough to join all that are linked there."""
+def rare_shingles(nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Buckets (key, node) in which any two of nodes (node, text) meet that are similar enough: by their rarest shingles.
+
+    Sets of sizes a <= b that have as many elements in common as they must have one among the first
+    a - 2ta/(1 + t) + 1 and b - tb + 1 elements of both, in any order of all elements; here the rarest come first.
+    """
+    percent = round(100 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                sets = list(shingle_sets(part.column(1), k))
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                every = np.concatenate([*sets, np.empty(0, U64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(every)], names=["node", "n", "g"])
+
+    shingles = nodes.select("node", "text").mapInArrow(run, "node long, n long, g long")
+    common = shingles.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    counted = shingles.join(common, "g", "left").select("node", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g").alias("x"))
+    first = lambda numerator, denominator: F.col("n") - F.ceil(F.lit(numerator) * F.col("n") / denominator) + 1
+    ordered = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    prefix = ordered.select("node", first(2 * percent, 100 + percent).alias("ip"), F.posexplode(F.slice("x", F.lit(1), first(percent, 100).cast("int"))).alias("at", "x")).where("x.df > 1")
+    rows = prefix.select(F.col("x.g").alias("key"), "node", (F.col("at") < F.col("ip")).alias("small"))
+    useful = rows.groupBy("key").agg(F.count("*").alias("m"), F.bool_or("small").alias("any")).where("m > 1 AND any").select("key")
+    return rows.select("key", "node").join(useful, "key")
+
+
+def joining_links(shelf: Shelf, members: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, threshold: float, refine: bool = True) -> DataFrame:
+    """Links (u, v) within buckets (key, node) between nodes of different components, enough to join all that are linked there.
+
+    refine: nodes outside a bucket's most common component meet each other by rare shingles where they are more than a block.
+    """
     percent, margin = round(100 * threshold), MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     split = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    split = shelf.put(split)  # so that Spark can split the join on a common key
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    placed = marked.join(split.select("key", "most", blocks(F.col("n") - F.col("n_most")).alias("a"), blocks(F.col("n_most")).alias("b")), "key")
+    split = split.select("key", "most", "n_most", "n", blocks(F.col("n") - F.col("n_most")).alias("a"), blocks(F.col("n_most")).alias("b"))
+    split = shelf.put(split.withColumn("among", F.when(F.lit(refine) & (F.col("a") > 1), 0).otherwise(F.col("a"))))  # so that Spark can split the join on a common key
+    dealt_rows = split.agg(F.sum((F.col("n") - F.col("n_most")) * (F.col("among") + F.col("b")) + F.col("n_most") * F.col("a"))).first()[0] or 0
+    tasks = max(1, dealt_rows // TASK_ROWS)
+    placed = marked.join(split.select("key", "most", "a", "b", "among"), "key")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    upto = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f)
     block = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     mine = place(F.col("a"))  # sides: 0 and 1 the first and second of two blocks outside the most common component, 2 a block of that component
     outside = F.concat(
-        upto(F.col("a"), lambda j: F.when(j < mine, block(j, mine, 1)).otherwise(block(mine, j, 0))),
+        upto(F.col("among"), lambda j: F.when(j < mine, block(j, mine, 1)).otherwise(block(mine, j, 0))),
         upto(F.col("b"), lambda j: F.struct(mine.alias("i"), (-1 - j).alias("j"), F.lit(0).alias("side"))),
     )
     inside = upto(F.col("a"), lambda i: F.struct(i.alias("i"), (-1 - place(F.col("b"))).alias("j"), F.lit(2).alias("side")))
@@ -259,37 +297,49 @@ def joining_links(shelf: Shelf, members: DataFrame, labels: DataFrame, nodes: Da
                 v.append(int(node[a + y]))
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return dealt.join(nodes.select("node", "sketch", "text"), "node").groupBy("task").applyInArrow(compare, "u long, v long")
+    links = dealt.join(nodes.select("node", "sketch", "text"), "node").groupBy("task").applyInArrow(compare, "u long, v long")
+    if refine and not split.where("among < a").isEmpty():
+        crowd = placed.where("among < a AND label != most").select("node").distinct()
+        met = shelf.put(rare_shingles(nodes.join(crowd, "node", "left_semi"), k, threshold))
+        links = links.union(joining_links(shelf, met, labels, nodes, k, threshold, refine=False))
+    return links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id of the document's component) and kept, one row per document."""
+    """doc_id, n_shingles, component_id (the least doc_id of the document's component), kept, text_id and first, one row per document.
+
+    first is true for one text of each component and for texts without words: what is kept where a doc_id may have several texts.
+    """
     shelf = Shelf(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = shelf.put(signatures(docs, k))
-    same = shelf.put(marked.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))  # a table, so that Spark can split a join on a common fingerprint
-    nodes = marked.withColumnRenamed("doc_id", "node").join(same, ["fingerprint", "node"], "left_semi")
-    nodes = shelf.put(nodes.dropDuplicates(["node", "fingerprint"]).select("node", "fingerprint", "n_shingles", "sketch"))
+    least = marked.where("fingerprint IS NOT NULL AND doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_id")).alias("least"))
+    numbered = least.select("fingerprint", F.col("least.doc_id").alias("doc"), F.col("least.text_id").alias("text_id")).orderBy("doc", "fingerprint").withColumn("node", F.monotonically_increasing_id())
+    same = shelf.put(numbered)  # a table: the numbers stay, and Spark can split a join on a common fingerprint
+    owner = same.select("fingerprint", F.col("doc").alias("doc_id"), "text_id", "node")
+    nodes = shelf.put(marked.join(owner, ["fingerprint", "doc_id", "text_id"]).dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     key = F.xxhash64("band", F.substring("sketch", F.col("band") * 2 * ROWS + 1, F.lit(2 * ROWS)))
-    rows = nodes.select("node", "sketch", band.alias("band")).select("node", key.alias("key")).repartition("key")
+    rows = nodes.select("node", "sketch", band.alias("band")).select("node", key.alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = shelf.put(rows.join(shared, "key"))  # a key has the members of one band only, so even a common one is a small part of all rows
+    members = shelf.put(rows.join(shared, "key"))  # both sides are dealt by Spark, which splits a common key
 
     wanted = members.select("node").distinct()
     few = wanted.count() <= BROADCAST_NODES
-    full = docs.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    texts = shelf.put(full.dropDuplicates(["node", "text"]))
-    sketches = shelf.put(nodes.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "n_shingles", "fingerprint", "sketch"))
+    wanted = shelf.put(wanted.join(same.select("node", "doc", "text_id"), "node"))
+    chosen = F.broadcast(wanted) if few else wanted
+    full = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").join(chosen.withColumnRenamed("doc", "doc_id"), ["doc_id", "text_id"])
+    texts = shelf.put(full.dropDuplicates(["node"]).select("node", "text"))
+    sketches = shelf.put(nodes.join(chosen.select("node"), "node", "left_semi"))
 
     stars = members.select(F.col("leader").alias("u"), F.col("node").alias("v")).where("u != v").distinct()
     found = shelf.put(confirmed(shelf.put(likely(stars, sketches, threshold)), texts, k, threshold).distinct())
     labels = shelf.put(components(spark, found))
 
     crowded = members.where("n > 2")  # of two, the star has told all
-    full = texts.join(sketches.select("node", "sketch"), "node")
-    more = shelf.put(joining_links(shelf, crowded, labels, full, k, threshold, max(1, crowded.count() // TASK_ROWS)))
+    both = texts.join(sketches.select("node", "sketch"), "node")
+    more = shelf.put(joining_links(shelf, crowded, labels, both, k, threshold))
     if not more.isEmpty():
         relabelled = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         merged = more.join(relabelled("u"), "u", "left").join(relabelled("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
@@ -297,6 +347,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         # above has heads of components and nodes that had no link so far, none of which is a node of labels
         labels = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(above.select(F.col("component").alias("node"), F.col("top").alias("component")))
 
-    component = F.coalesce("component", "node", "doc_id")
-    rows = marked.select("doc_id", "n_shingles", "fingerprint").join(same, "fingerprint", "left").join(labels, "node", "left")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))
+    heads = labels.join(same.select(F.col("node").alias("component"), F.col("doc").alias("head")), "component").select("node", "head")
+    rows = marked.select("doc_id", "text_id", "n_shingles", "fingerprint").join(same.withColumnRenamed("text_id", "least_text"), "fingerprint", "left").join(heads, "node", "left")
+    component = F.coalesce("head", "doc", "doc_id")
+    alone = F.col("head").isNull() & F.equal_null("doc_id", F.col("doc")) & F.equal_null("text_id", F.col("least_text"))  # labels has no row for the head itself
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"), "text_id", (alone | F.col("fingerprint").isNull()).alias("first"))

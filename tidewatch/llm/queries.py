@@ -17,7 +17,7 @@ URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "a
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark, documents(spark, sf_dir), k=2, threshold=0.8)
+    return minhash.near_duplicates(spark, documents(spark, sf_dir), k=2, threshold=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ ORACLE_SQL = {"op9_url_filters": OP9_SQL}
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORD = r"'[^\x20\x09-\x0D]+'"
 
-#: Shingle sets joined on their rarest fifth: sets that are alike enough share one of these.
+#: Shingle sets joined on their rarest fifth: sets that are alike enough have one of these in common.
 OP1_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), {WORD}) AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) AS g FROM d),

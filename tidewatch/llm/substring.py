@@ -9,14 +9,16 @@ repeated window, and runs of them are the maximal repeats.
 
 Documents are dealt into batches by ascending doc_id, so of two batches the earlier has the smaller doc_ids:
 a batch sends each node once, without document or position, and gets back one bit, whether it owns the
-node. So copies are merged before the shuffle, and a passage that all documents share costs one
-entry per batch.
+node. So copies are merged before the shuffle, and a passage that all documents have costs one
+entry per batch. Batches are cut by running sums of text bytes in the order of doc_id, so a batch has at most BATCH_BYTES
+whatever lies side by side; only one document that is longer by itself, or the rows of one doc_id, make a larger one.
+The driver holds the batches' first doc_ids, at most MOST_BATCHES numbers (8 MB): beyond as many batches they grow instead.
 
 A window is identified by 64 bits of its words and the 16 bits of its prefix's bin. Edges below the
 depth of a window are not built; README gives the reason.
 
 Defined results: null texts have no words. Documents with fewer words than a window lose nothing. Rows
-without a doc_id are returned unchanged and are no source of others. Rows that share a doc_id don't
+without a doc_id are returned unchanged and are no source of others. Rows with the same doc_id don't
 take words from each other. Extra columns are carried as they are.
 """
 
@@ -36,7 +38,7 @@ from tidewatch.llm.textops import U64, Hasher, string_buffers, text_chunks, word
 WINDOW, PREFIX, BIN_BITS = 13, 4, 16
 #: Text bytes in a batch and nodes in a group: what one task holds at a time, about 20 bytes for each byte of text and 60 for each node.
 #: Raise both for very large corpora, where batches times groups is the number of rows shuffled.
-BATCH_BYTES, GROUP_NODES = 6 << 20, 1_000_000
+BATCH_BYTES, GROUP_NODES, MOST_BATCHES = 6 << 20, 1_000_000, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -48,7 +50,7 @@ class Words:
     """Word spans of a range of texts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = data
+        self.data, self.ends_at = data, offsets
         self.starts, self.ends, self.word_at = word_spans(data, offsets)
         self.texts = len(offsets) - 1
 
@@ -93,7 +95,7 @@ def prefix_counts(docs: DataFrame, window: int, prefix: int) -> tuple[np.ndarray
 
 
 def group_plan(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin its first group and the number of groups that it is split into; neighbouring small bins share one."""
+    """For each bin its first group and the number of groups that it is split into; neighbouring small bins have one together."""
     first, parts = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64)
     group, held = 0, 0
     for i, n in enumerate(counts.tolist()):
@@ -109,6 +111,27 @@ def group_plan(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+def batch_bounds(docs: DataFrame, batch_bytes: int) -> np.ndarray:
+    """The last doc_ids of all batches but the last: runs of doc_ids whose texts have at most batch_bytes, counted in order over ranges of doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, ends = 0, None, []
+        for batch in batches:
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is not None and held + n > batch_bytes:
+                    ends.append(last)
+                    held = 0
+                held, last = held + n, i
+        if last is not None:
+            ends.append(last)
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())], names=["last"])
+
+    sizes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    per_id = sizes.groupBy("doc_id").agg(F.sum("n").alias("n")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ends = per_id.mapInArrow(run, "last long").toPandas()["last"].to_numpy(dtype=np.int64)
+    return np.sort(ends)[:-1]
+
+
 class Nodes:
     """The distinct windows of a batch, ordered by group and then by fingerprint."""
 
@@ -160,14 +183,29 @@ def kept_texts(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data[np.cumsum(edge[:-1]) > 0], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, batch_bytes: int = BATCH_BYTES, group_nodes: int = GROUP_NODES) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept (the words left, joined by one space), and `row`, a struct of the other columns of docs."""
+def spaced_texts(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts without the gone words: each goes with the white space before it, a text's first ones with that after them."""
+    edge, ends_at = np.zeros(len(words.data) + 1, dtype=np.int32), words.ends_at
+    of = np.repeat(np.arange(words.texts), np.diff(words.word_at))
+    before = np.where(np.arange(len(gone)) > words.word_at[of], np.concatenate([[0], words.ends[:-1]]), ends_at[of]) if len(gone) else words.ends
+    np.add.at(edge, before[gone], 1)
+    np.add.at(edge, words.ends[gone], -1)
+    keep = np.flatnonzero(~gone)
+    head = keep[np.searchsorted(keep, words.word_at[:-1]).clip(max=max(len(keep) - 1, 0))] if len(keep) else np.empty(0, np.int64)
+    late = np.flatnonzero((head > words.word_at[:-1]) & (head < words.word_at[1:])) if len(keep) else head  # texts whose first words are gone
+    np.add.at(edge, ends_at[late], 1)
+    np.add.at(edge, words.starts[head[late]] if len(late) else late, -1)
+    stay = np.cumsum(edge[:-1]) == 0
+    return words.data[stay], np.concatenate([[0], np.cumsum(stay)])[ends_at]
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, batch_bytes: int = BATCH_BYTES, group_nodes: int = GROUP_NODES, spaced: bool = False) -> DataFrame:
+    """doc_id, text, n_words, n_removed, kept (the words left, joined by one space, or spaced: as they stood), and `row`, a struct of the other columns of docs."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     counts, size = prefix_counts(docs, window, prefix)
     first, parts = group_plan(counts, group_nodes)
-    n_batches = max(1, -(-size // batch_bytes))
-    bounds = docs.approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.25 / n_batches) if n_batches > 1 else []
-    bounds = np.unique(np.floor(np.array(bounds, dtype=np.float64)).astype(np.int64))
+    bounds = batch_bounds(docs, max(batch_bytes, size // MOST_BATCHES))
+    n_batches = len(bounds) + 1
 
     @F.pandas_udf("long")
     def batch_of(ids: pd.Series) -> pd.Series:
@@ -223,7 +261,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
                 gone = np.cumsum(edge[:-1]) > 0
             total.append(np.diff(words.word_at))
             removed.append(np.diff(np.concatenate([[0], np.cumsum(gone)])[words.word_at]))
-            text, ends = kept_texts(words, gone)
+            text, ends = spaced_texts(words, gone) if spaced else kept_texts(words, gone)
             data.append(text)
             offsets.append(ends[1:] + offsets[-1][-1])
         kept = pa.LargeStringArray.from_buffers(len(order), pa.py_buffer(np.concatenate(offsets)), pa.py_buffer(np.concatenate([np.empty(0, np.uint8), *data]))).cast(pa.string())
