@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import minhash, packing, quality, substring, toxicity
@@ -41,20 +41,29 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 similarity of five-word shingles, the one with the least doc_id; of repeated rows of it, one. Rows without a doc_id stay."""
+    """One text of each group linked by 0.8 similarity of five-word shingles, of its least doc_id.
+
+    A doc_id with several texts has them judged each by itself. Of rows with equal doc_id and text one stays, by the order of their
+    other columns. Rows without a doc_id stay.
+    """
     ship_package(spark)
-    kept = minhash.near_duplicates(spark, docs.select("doc_id", "text"), k=5, threshold=0.8).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
+    found = minhash.near_duplicates(spark, docs.select("doc_id", "text"), k=5, threshold=0.8)
+    kept = found.where("first AND doc_id IS NOT NULL").select("doc_id", "text_id").distinct()
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"))
+    order = Window.partitionBy("doc_id", "text_id").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    once = whole.join(kept, ["doc_id", "text_id"], "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return once.select("row.*").union(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 13 words that stand in an earlier one; those with nothing left go."""
+    """Documents without passages of 13 words that stand in an earlier one; what stays keeps its white space, and those with nothing left go."""
     ship_package(spark)
-    done = substring.remove_repeats(spark, docs).where("n_removed < n_words OR n_words = 0")
+    done = substring.remove_repeats(spark, docs, spaced=True).where("n_removed < n_words OR n_words = 0")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     done = done.withColumn("text", text)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return done.select(*((columns.get(c, F.col(f"row.{c}"))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return done.select(*((columns.get(c, F.col(f"row.`{c}`"))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
