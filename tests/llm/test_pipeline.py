@@ -35,7 +35,7 @@ def test_filters_keep_rows_as_they_are(steps):
 
 def test_near_dedup_keeps_one_of_each_group(steps):
     before, after = steps[2]
-    want = sorted(i for i, _, component in near_brute(rows(before), 5) if i == component)
+    want = sorted({i for i, _, component in near_brute(rows(before), 5) if i == component})
     assert sorted(i for i, _ in rows(after)) == want
 
 
@@ -43,7 +43,10 @@ def test_substring_stage_is_brute_force(steps):
     before, after = steps[3]
     texts = dict(rows(before))
     want = {i: kept if gone else texts[i] for i, n, gone, kept in cut_brute(rows(before)) if gone < n or not n}
-    assert dict(rows(after)) == want
+    got = dict(rows(after))
+    plain = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    assert {i: plain(t) for i, t in got.items()} == {i: plain(t) for i, t in want.items()}
+    assert any(gone and "\n" in texts[i] and "\n" in got[i] for i, n, gone, _ in cut_brute(rows(before)) if i in got)
     assert after.columns == before.columns and after.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
@@ -81,3 +84,30 @@ def test_clashing_columns_and_rows_without_id(spark):
     got = p.substring_stage(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None", "None"]
     assert p.packing_stage(spark, docs, SF).count() == len(rows)
+
+
+def test_a_doc_id_with_unlike_texts_keeps_them(spark):
+    a, b, c = ("one two three four five six seven", "seven eight nine ten eleven twelve", "the third text is unlike the others")
+    for given, want in (
+        ([(1, a, "x"), (1, b, "x"), (2, c, "x")], [(1, a), (1, b), (2, c)]),
+        ([(2, a, "x"), (2, b, "x"), (1, a, "x")], [(1, a), (2, b)]),
+        ([(1, a, "y"), (1, a, "x"), (1, a.upper(), "x"), (2, a, "x")], None),
+        ([(1, None, "x"), (1, "", "x"), (None, a, "x"), (1, a, "x")], [(1, None), (1, ""), (None, a), (1, a)]),
+    ):
+        kept = set()
+        for parts in (1, 2, 5):
+            got = p.near_dedup_stage(spark, spark.createDataFrame(given, "doc_id long, text string, text_id string").repartition(parts, "text"), SF).collect()
+            kept.add(tuple(sorted(map(str, got))))
+            if want:
+                assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+            else:
+                assert len(got) == 1
+        assert len(kept) == 1
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "a line of words. " * 200_000), (2, "x" * 3_000_000), (3, "short and clean text"), (4, "a line of words. " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _, stage in p.STAGES[2:]:
+        docs = stage(spark, docs, SF)
+        assert sorted({r.doc_id for r in docs.select("doc_id").collect()}) == [1, 2, 3]
