@@ -1,9 +1,11 @@
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.filters.predicates import Term, TimeOfDay, column
 from tidewatch.functions import jsonpath, text
 from tidewatch.operators import events, graph, logs, metrics, runs, timeline, topics, topology
 
@@ -43,15 +45,91 @@ def test_first_fit_rows(spark):
         a = T0 + timedelta(milliseconds=rng.randrange(200_000))
         rows.append((f"{i:03}", "s" if i % 3 else "t", "p", a, a + timedelta(milliseconds=rng.randrange(3000)) if i % 10 else None))
     df = spark.createDataFrame(rows, "Id string, Service string, Pipeline string, Start timestamp_ntz, Finish timestamp_ntz")
-    got = {r.Id: r.sub_row for r in timeline.sub_rows(df).collect()}
-    want = {}
+    want, count = {}, {}
     for s in ("s", "t"):
         free = []
-        for i, _, _, a, b in sorted((r for r in rows if r[1] == s and r[4]), key=lambda r: (r[3], r[0])):
+        for i, _, _, a, b in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], r[0])):
             at = next((k for k, end in enumerate(free) if end <= a), len(free))
-            free[at : at + 1] = [b]
+            free[at : at + 1] = [b or a + timedelta(milliseconds=5000)]
             want[i] = at
-    assert got == want
+        count[f"{s}/p"] = len(free)
+    for slice_ms in (700, 20_000, 3_600_000):
+        assert {r.Id: r.sub_row for r in timeline.sub_rows(df, slice_ms=slice_ms).collect()} == want
+        assert {r.lane: r.sub_rows for r in timeline.sub_row_counts(df, slice_ms=slice_ms).collect()} == count
+
+
+def test_durations_filter_by_time_of_day(spark):
+    df = spark.createDataFrame([("a", T0, T0 + timedelta(seconds=61)), ("b", T0, T0 + timedelta(seconds=59, milliseconds=7)), ("c", T0, None)], "Id string, Start timestamp_ntz, Finish timestamp_ntz")
+    rich = timeline.enriched(df, "2024-05-05 17:00:00")
+    assert [(r.Id, r.FinishUtc, r.Duration) for r in rich.orderBy("Id").collect()] == [("a", "2024-01-01T00:01:01.000Z", datetime(2024, 5, 5, 0, 1, 1)), ("b", "2024-01-01T00:00:59.007Z", datetime(2024, 5, 5, 0, 0, 59, 7000)), ("c", None, None)]
+    assert [r.Id for r in rich.where(column(Term("duration", "gt", TimeOfDay(60)), rich.schema)).collect()] == ["a"]
+
+
+def test_blueprint(spark):
+    s = lambda rows, schema: spark.createDataFrame(rows, schema)
+    hints = s([(0, "load?er", "source", "g", ["Raw"], []), (1, "SVC-*", "", "h", ["x"], ["raw"]), (2, "Archiver", "sink", "o", [], ["X"]), (3, "archiver", "", "p", [], [])], "idx int, name string, role string, grp string, publishes array<string>, subscribes array<string>")
+    explicit = s([("svc-1", "archiver", 0), ("SVC-1", "Archiver", 1), ("a_b", " ", 2), ("svc-2", "svc-*", 3)], "source string, target string, idx int")
+    declared = topology.declared_edges(hints, explicit)
+    assert sorted(tuple(r) for r in declared.collect()) == [("SVC-*", "Archiver"), ("load?er", "SVC-*"), ("svc-1", "archiver"), ("svc-2", "svc-*")]
+    observed = s([("loadXer",), ("loader",), ("load%er",), ("svc-1-dev",), ("svc-2",)], "id string")
+    label = lambda c: F.regexp_replace(c, "-dev$", "")
+    nodes = topology.blueprint_nodes(observed, hints, label)
+    got = {r.id: (r.is_declared, r.is_observed, r.grp) for r in nodes.collect()}
+    assert got == {"loadXer": (True, True, "g"), "loader": (False, True, None), "load%er": (True, True, "g"), "svc-1-dev": (True, True, "h"), "svc-2": (True, True, "h"), "Archiver": (True, False, "o")}
+    seen = s([("svc-1-dev", "p", "svc-2", "q"), ("svc-2", "q", "svc-1-dev", "p"), ("loader", "p", "svc-2", "q")], "source string, source_pipeline string, target string, target_pipeline string")
+    edges = {(r.source, r.source_pipeline, r.target): (r.is_declared, r.is_observed) for r in topology.blueprint_edges(seen, nodes.select("id"), declared, label).collect()}
+    assert edges == {
+        ("svc-1-dev", "p", "svc-2"): (False, True),
+        ("svc-2", "q", "svc-1-dev"): (True, True),
+        ("loader", "p", "svc-2"): (False, True),
+        **{(a, "", b): (True, False) for a in ("loadXer", "load%er") for b in ("svc-1-dev", "svc-2")},
+        **{(a, "", "Archiver"): (True, False) for a in ("svc-1-dev", "svc-2")},
+    }
+    variants = s([(0, " "), (1, "load_er"), (2, "SVC-?"), (3, "*")], "idx int, any_service string")
+    assert topology.variant(observed, variants).first().variant == 2 and topology.variant(observed, variants.where("idx < 2")).first().variant is None
+
+
+def test_metrics_lines(spark):
+    line = lambda *said: "2024-01-01 00:00:01|INFO|current usage: 7|1|2|" + "".join(said) + "|c"
+    mark = "Sending Metrics Tracker message "
+    rows = [(1, line(mark, "current usage:  10 byte, child peak usage:4")), (2, line(mark, "peak usage: 3")), (3, line(mark, "current usage: 99999999999999999999")), (4, line("current usage: 1")), (5, mark + "current usage: 1")]
+    got = metrics.parse_metrics_lines(spark.createDataFrame(rows, "id int, line string")).collect()
+    assert [tuple(r)[2:] for r in got] == [(10, 0, 0, 4)] and got[0].id == 1 and got[0].ts == datetime(2024, 1, 1, 0, 0, 1)
+
+
+def test_fields_are_trimmed(spark):
+    rows = [("2024-01-01 00:00:01 | ERROR | h | 5 | x | what happened |  me ",), ("[WARN ] < h2> 12",)]
+    df = spark.createDataFrame(rows, "line string").withColumn("continuation", F.lit("more"))
+    got = logs.parse(df, [logs.template("[{level}] <{host}>{*}{pid}"), logs.template("[{level}] <{host}> {pid}")]).collect()
+    assert (got[0].level, got[0].host, got[0].pid, got[0].thread, got[0].message, got[0].caller) == ("ERROR", "h", 5, 0, "what happened\nmore", "me")
+    assert (got[1].level, got[1].host, got[1].message) == ("WARN", "h2", "\nmore") and got[0].timestamp == datetime(2024, 1, 1, 0, 0, 1)
+
+
+def test_files_of_several_formats(spark):
+    text = "lost\r\n[INFO] a: one\nmore\n\nand more\n2024|7|h|two\n[WARN] b: three\n--\ncode 9 here\ntail"
+    formats = [logs.template("[{level}] {host}: {message}{newline}--{newline}code {pid} {*}"), logs.template("{timestamp}|{pid}|{host}|{message}"), logs.template("[{level}] {host}: {message}")]
+    files = spark.createDataFrame([("f", text), ("g", None), ("h", "nothing fits")], "file string, text string")
+    got = [(r.line_index, r.level, r.host, r.pid, r.message, r.continuations, r.n_lines, r.plain) for r in logs.parse_files(files, formats).orderBy("entry").collect()]
+    assert got == [(1, "INFO", "a", 0, "one", ["more", "and more"], 3, False), (5, "", "h", 7, "two", [], 1, False), (6, "WARN", "b", 9, "three", ["tail"], 4, False)]
+    plain = logs.parse_files(files.where("file = 'f'")).orderBy("entry").collect()
+    assert [r.message for r in plain] == text.replace("\r", "").split("\n") and all(r.plain for r in plain)
+
+
+def test_sorts_and_caps(spark):
+    t = spark.createDataFrame([("b", 1, 9), ("A", 3, 9), ("c", 2, 1)], "Topic string, partitions long, messages long")
+    names = lambda d: [r.Topic for r in d.collect()]
+    assert names(topics.sorted_topics(t)) == ["A", "b", "c"] and names(topics.sorted_topics(t, "PartitionCount", True)) == ["A", "c", "b"] and names(topics.sorted_topics(t, "MessageCount")) == ["c", "A", "b"]
+    f = spark.createDataFrame([(f"p{i}", f"f{i % 3}", "h", i, T0, T0 + timedelta(days=i)) for i in range(6)], "FullPath string, FileName string, Server string, SizeBytes long, CreatedUtc timestamp_ntz, ModifiedUtc timestamp_ntz")
+    paths = lambda d: [r.FullPath for r in d.collect()]
+    assert paths(logs.sorted_files(f, most=2)) == ["p5", "p4"] and paths(logs.sorted_files(f, "file", False)) == ["p0", "p3", "p1", "p4", "p2", "p5"]
+    found = f.where("SizeBytes > 1").select(F.col("FullPath").alias("file"))
+    assert [(r.FullPath, r.capped) for r in logs.found_files(f, found, 2).collect()] == [("p2", True), ("p3", True)] and {r.capped for r in logs.found_files(f, found, 4).collect()} == {False}
+
+
+def test_document_times_by_kind(spark):
+    df = spark.createDataFrame([("2020", T0, None), ("x", None, T0)], "timestamp string, createdAt timestamp_ntz, updatedAt timestamp_ntz")
+    assert [r.at for r in df.select(runs.document_time(df).alias("at")).collect()] == [T0, T0]
+    assert df.select(runs.document_time(df.select("timestamp")).alias("at")).first().at is None
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -90,7 +168,7 @@ def test_log_files(spark, tmp_path):
     (tmp_path / "y.txt").write_text("2024-01-01 00:00:01|INFO|h|1|2|other|c\n")
     found = logs.entries(logs.read_lines(spark, str(tmp_path), "*.log"))
     rows = sorted((r.entry_no, r.level, r.pid, r.message, r.continuation) for r in logs.parse(found).collect())
-    assert rows == [(1, "INFO", 1, "first", "more"), (2, "WARN", 0, "second", "")]
+    assert rows == [(1, "INFO", 1, "first\nmore", "more"), (2, "WARN", 0, "second", "")]
     assert sorted(r.FileName for r in logs.file_table(spark, str(tmp_path)).collect()) == ["x.log", "y.txt"]
 
 
@@ -110,7 +188,14 @@ def test_text(spark):
     assert tuple(row) == ("Loader", "svc", "1:02:05", "1.5 GB", "", abs(h) % 12)
     order = spark.createDataFrame([("a10",), ("a2",), ("A1",)], "n string").orderBy(text.natural_key(F.col("n")))
     assert [r.n for r in order.collect()] == ["A1", "a2", "a10"]
+    long = spark.createDataFrame([("x" + "9" * 25,), ("x1" + "0" * 25,), ("x007",)], "n string").orderBy(text.natural_key(F.col("n")))
+    assert [len(r.n) for r in long.collect()] == [4, 26, 27]
     assert text.fill("{A}-{b}", {"a": "1"}) == "1-{b}"
+    assert json.loads(text.typed_body({"a": "1", "b": "2.5", "c": "x, y", "d": "no"}, {"a": "boolean", "b": "number", "c": "multiselect", "d": "number"})) == {"a": True, "b": 2.5, "c": ["x", "y"], "d": "no"}
+    h = 0
+    for unit in (0x68, 0xD83D, 0xDE00, 0xE9):
+        h = (h * 31 + unit + 2**31) % 2**32 - 2**31
+    assert df.select(text.palette_index(F.lit("h😀é"), 12).alias("p"), text.palette_index(F.lit(""), 12).alias("e")).first()[:] == (abs(h) % 12, 0)
 
 
 def test_layers_and_closure(spark):

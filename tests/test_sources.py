@@ -54,17 +54,20 @@ def test_decoding_rules(spark):
 
 
 def test_search_and_detection(spark):
-    df = spark.createDataFrame([("a|b|An Error.",), ("c|d|fine",)], "line string")
+    df = spark.createDataFrame([("a|b|An Error.", 0), ("c|d|fine", 1)], "line string, line_no int")
     assert [r.highlighted for r in logs.search(df, "line", "error.").collect()] == ["a|b|An «Error.»"]
     assert logs.search(df, "line", "^[ac]", regex=True).count() == 2 and logs.search(df, "line", "error", case_sensitive=True).count() == 0
     t = [logs.template("{level} {message}"), logs.template("{level}|{host}|{message}"), logs.template("{level}|{message}")]
-    assert logs.detect(df, t) == 1 and logs.detect(df, t[:1]) is None
+    assert logs.detect(df, t) == 1 and logs.detect(df, t[:1]) == 0 and logs.detect(df, [logs.template("<{level}> {message}")]) is None
+    assert logs.detect(df, t, chars=14) == 1 and logs.detect(df.where("line_no = 0"), t) == 1  # one line that fits is better than none
+    far = spark.createDataFrame([("x" * 9999, 0), ("a|b", 1), ("a|b", 2)], "line string, line_no int")
+    assert logs.detect(far, t) is None and logs.detect(far, t, chars=20_000) == 2
 
 
 def test_newest_file(spark):
     files = spark.createDataFrame([("/l/svc-20240101.log", T0), ("/l/svc-20240101-2.log", datetime(2024, 1, 2)), ("/l/old.log", datetime(2025, 1, 1))], "FullPath string, ModifiedUtc timestamp_ntz")
-    path = logs.log_path("/l/{service}-{date}%.log", "svc", "h", 1, "e", date(2024, 1, 1))
-    patterns = spark.createDataFrame([("k", 0, "/l/none%"), ("k", 1, path), ("k", 2, "/l/old%")], "key string, idx int, pattern string")
+    path = logs.log_path("/L/{service}-{date}*.log", "svc", "h", 1, "e", date(2024, 1, 1))
+    patterns = spark.createDataFrame([("k", 0, "/l/none*"), ("k", 1, path), ("k", 2, "/l/old*")], "key string, idx int, pattern string")
     assert logs.newest_file(files, patterns).first().FullPath == "/l/svc-20240101-2.log"
 
 

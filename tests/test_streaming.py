@@ -29,12 +29,43 @@ def test_streaks_are_the_batch_streaks(spark, tmp_path):
     for k in range(3):
         write(spark, log, [("ab"[i % 2], T0 + timedelta(seconds=k * 100 + i), (i * 5 + k) % 3 == 0, k * 100 + i) for i in range(10)], schema)
     got: list = []
-    query = st.fan_out(st.failure_streaks(st.read_log(spark, log, schema, 1).select("key", "ts", "ok")), str(tmp_path / "c"), lambda batch, _: got.extend(batch.collect()))
+    query = st.fan_out(st.failure_streaks(st.read_log(spark, log, schema, 1)), str(tmp_path / "c"), lambda batch, _: got.extend(batch.collect()))
     query.awaitTermination(120)
     files = metrics.streaks(spark.read.parquet(log)).select("key", F.col("ts"), "streak").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, files))
 
 
+def run(stream, tmp_path, mode="update"):
+    got: list = []
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: got.append(sorted(map(tuple, batch.collect())))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return got
+
+
+def test_history_is_the_batch_history(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "key string, ts timestamp, id long, current long, child long"
+    for k in range(4):
+        write(spark, log, [("ab"[i % 2], T0 + timedelta(seconds=(i * 5 + k * 3) % 17), k * 100 + i, i + k, i) for i in range(12)], schema)
+    got = run(st.history(st.read_log(spark, log, schema, 1), keep=4), tmp_path)
+    last = {r[0]: r for batch in got for r in batch}
+    want: dict = {}
+    for r in metrics.history(spark.read.schema(schema).parquet(log), 4).orderBy("key", "ts").collect():
+        want.setdefault(r.key, []).append((int(r.ts.timestamp() * 1000), r.current, r.child))
+    assert {k: list(zip(r[2], r[3], r[4], strict=True)) for k, r in last.items()} == want and len(want) == 2
+
+
+def test_newest_live_and_eviction(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "Id string, ts timestamp, n long"
+    day = timedelta(days=1)
+    for rows in ([("a", T0, 1), ("b", T0, 2)], [("a", T0 - timedelta(minutes=1), 9), ("b", T0, 3), ("b", T0 + timedelta(minutes=1), 4)], [("c", T0 + 2 * day, 5)], [("c", T0 + 2 * day, 6)], [("a", T0 + 3 * day, 7)], [("d", T0 + 9 * day, 8)]):
+        write(spark, log, rows, schema)
+    got = run(st.newest_live(st.read_log(spark, log, schema, 1), "Id", "ts", schema), tmp_path)
+    flat = [(r[0], r[2]) for batch in got for r in batch]
+    assert sorted(flat) == [("a", 1), ("a", 7), ("b", 2), ("b", 4), ("c", 5), ("d", 8)]
+    state = spark.read.format("statestore").load(str(tmp_path / "c"))
+    assert {r.key[0] for r in state.select("key").collect()} <= {"a", "c", "d"}  # b was forgotten
+
+
 def test_backfill(spark):
     s = lambda rows: spark.createDataFrame(rows, "key string, ts int, v string")
     got = st.with_backfill(s([("a", 5, "live"), ("a", 6, "live")]), s([("a", 4, "file"), ("a", 5, "file"), ("b", 9, "file")]))

@@ -120,6 +120,13 @@ def glob_pattern(glob: str, anchored: bool = True) -> str:
     return rf"(?iu)\A{body}\n?\z" if anchored else f"(?iu){body}"
 
 
+def glob_column(glob: Column) -> Column:
+    """The pattern of glob_pattern for globs in a column."""
+    literal = F.regexp_replace(glob, r"([^\w*? ])", r"\\$1")
+    body = F.replace(F.replace(literal, F.lit("*"), F.lit(r"[^\n]*")), F.lit("?"), F.lit(r"[^\n]"))
+    return F.concat(F.lit(r"(?iu)\A"), body, F.lit(r"\n?\z"))
+
+
 def number_text(value: float) -> str:
     return str(int(value)) if float(value).is_integer() else repr(float(value))
 
@@ -145,8 +152,9 @@ class Compiler:
         found = by_name.get(name.lower()) or by_name.get(SYNONYMS.get(name.lower(), "").lower())
         if found:
             return F.col(f"`{found.name}`"), found.dataType
-        if self.payload:
-            return F.get_json_object(F.col(self.payload), f"$.{name}"), T.StringType()
+        if self.payload:  # a value of the payload by its name, else by the name with a small first letter
+            value = lambda n: F.get_json_object(F.col(self.payload), f"$.{n}")
+            return F.coalesce(value(name), value(name[:1].lower() + name[1:])), T.StringType()
         return F.lit(None).cast("string"), T.StringType()
 
     def leaf(self, t: Term) -> Column:
@@ -316,6 +324,25 @@ def seek(node: object) -> tuple[Seek, object]:
     return Seek(**found), rest
 
 
+def collection_filter(text: str, tree: object = None) -> object:
+    """A filter of collection names: the tree that the caller made of the text, or without one its text, taken literally."""
+    return tree if tree is not None else Term("name", "contains", text.strip()) if text.strip() else None
+
+
+def document_column(text: str, schema: T.StructType, tree: object = None, key: str = "_id") -> Column:
+    """A filter of documents: the caller's tree, or without one the text as a pattern of the key; text that is no pattern is taken literally."""
+    if tree is not None:
+        return column(tree, schema)
+    if not text.strip():
+        return F.lit(True)
+    try:
+        re.compile(text)
+        pattern = text
+    except re.error:
+        pattern = "\\Q" + text.replace("\\E", "") + "\\E"
+    return F.coalesce(F.col(f"`{key}`").cast("string").rlike(f"(?iu){pattern}"), F.lit(False))
+
+
 def match_column(query: dict, schema: T.StructType, payload: str | None = None) -> Column:
     """A document-store match ($eq, $ne, $gt, $gte, $lt, $lte, $in, $nin, $regex, $exists, $and, $or, $nor, $not) as a predicate."""
     compiler = Compiler(schema, "memory", payload)

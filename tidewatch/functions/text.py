@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -51,14 +52,18 @@ def progress_text(finish: Column, error: Column) -> Column:
 
 def palette_index(text: Column, n: int) -> Column:
     """A stable place in a palette: the text's 31-multiplier hash in 32 signed bits, without its sign."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    # two bytes for each of the text's UTF-16 units
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(units), F.lit(4)), F.lit(4)), lambda i: F.conv(F.substr(units, i, F.lit(4)), 16, 10).cast("long"))
+    codes = F.when(F.length(units) > 0, codes).otherwise(F.array().cast("array<bigint>"))
     wrap = lambda x: F.pmod(x + 2**31, F.lit(2**32)) - 2**31
     return F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))) % n
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key by which 2 stands before 10: numbers are padded."""
-    padded = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(F.lower(p)))
+    """A sort key by which 2 stands before 10: numbers, of any length, are led by the length of their digits."""
+    digits = lambda p: F.ltrim(p, F.lit("0"))
+    padded = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 8, "0"), digits(p))).otherwise(F.lower(p)))
     return F.array_join(padded, "")
 
 
@@ -83,3 +88,19 @@ def fill(text: str, values: dict[str, str]) -> str:
     """`{key}` replaced by values, keys in any case; unknown ones stay."""
     low = {k.lower(): v for k, v in values.items()}
     return re.sub(r"\{([^{}]+)\}", lambda m: str(low.get(m[1].lower(), m[0])), text)
+
+
+def typed_body(values: dict[str, object], kinds: dict[str, str]) -> str:
+    """A JSON body of parameter values: booleans, numbers and multiselects (comma-separated or lists) by kind, others as text; unparsable numbers stay text."""
+    body: dict[str, object] = {}
+    for key, value in values.items():
+        kind = kinds.get(key, "text").lower()
+        if kind == "boolean":
+            body[key] = str(value) in ("true", "True", "1")
+        elif kind == "multiselect":
+            body[key] = [str(v).strip() for v in (value if isinstance(value, (list, tuple)) else str(value).split(",")) if str(v)]
+        elif kind == "number" and re.fullmatch(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*", str(value)):
+            body[key] = float(value)
+        else:
+            body[key] = str(value)
+    return json.dumps(body)

@@ -23,9 +23,13 @@ class Cursor:
     last_time: datetime | None = None
 
 
-def since(log: DataFrame, cursor: Cursor | None, as_of: datetime | None = None, lag: timedelta = timedelta(0), id_col: str = "LogId", time_col: str = "LoggedAtUtc") -> DataFrame:
-    """Log rows after the cursor, without those so young that earlier ids may still be written."""
-    rows = log if cursor is None or cursor.last_id is None else log.where(F.col(id_col) > cursor.last_id)
+def since(log: DataFrame, cursor: Cursor | None, as_of: datetime | None = None, lag: timedelta = timedelta(0), id_col: str = "LogId", time_col: str = "LoggedAtUtc", time: Column | None = None) -> DataFrame:
+    """Log rows after the cursor, by id or by a time, without those so young that earlier ids may still be written."""
+    rows = log
+    if cursor is not None and cursor.last_id is not None:
+        rows = rows.where(F.col(id_col) > cursor.last_id)
+    if cursor is not None and cursor.last_time is not None and time is not None:
+        rows = rows.where(time > F.lit(cursor.last_time).cast("timestamp_ntz"))
     return rows.where(F.col(time_col) < F.lit(as_of - lag).cast("timestamp_ntz")) if as_of and lag else rows
 
 
@@ -35,8 +39,9 @@ def advance(batch: DataFrame, cursor: Cursor | None, id_col: str | None = "LogId
     return cursor or Cursor() if row.i is None and row.t is None else Cursor(row.i, row.t)
 
 
-def last_update() -> Column:
-    return F.coalesce("LastUpdate", "Finish", "Start")
+def last_update(events: DataFrame) -> Column:
+    """When an event last changed: its own mark if it has one, else its finish, else its start."""
+    return F.coalesce(*(c for c in ("LastUpdate", "Finish", "Start") if c in events.columns))
 
 
 def bridge(run_events: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def errors(events: DataFrame) -> DataFrame:
 
 
 def target_edges(run_events: DataFrame) -> DataFrame:
-    """Producing and consuming services that share a target."""
+    """Producing and consuming services with a target in common."""
     side = lambda kind, name: run_events.where(F.col("Kind") == kind).select("Target", F.col("Service").alias(name)).distinct()
     return side("Produce", "producer").join(side("Consume", "consumer"), "Target").where("producer != consumer").select("producer", "consumer").distinct()
 

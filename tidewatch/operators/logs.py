@@ -6,11 +6,17 @@ Lines have: file, line_no, line.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.filters.predicates import glob_column
+from tidewatch.session import small
+
+#: The fields of a line and how an entry's first line begins.
 FIELDS = ("timestamp", "level", "host", "pid", "thread", "message", "caller")
 ENTRY_START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 
@@ -24,58 +30,120 @@ class Template:
 
 
 def template(text: str) -> Template | None:
-    """`{timestamp}|{level}|...` as a pattern; {*} skips text, {$} and {newline} end the line. None with less than two captures.
+    """`{timestamp}|{level}|...` as a pattern; {*} skips text, {$} stands for a line's end and {newline} for the step to the next. None with less than two captures.
 
     A capture goes up to the next character of the template; before another capture it is as short as can
-    be, at the end it takes the rest.
+    be, before a line's end and at the template's end it takes the rest of the line.
     """
-    parts, pattern, fields = re.split(r"(\{[^}]*\})", text), "^", []
-    parts = [p for p in parts if p]
+    parts, pattern, fields = [p for p in re.split(r"(\{[^}]*\})", text) if p], "^", []
+    marks = {"$": r"(?=$|\n)", "newline": r"\n", "*": r"[^\n]*"}
     for i, part in enumerate(parts):
-        name = part[1:-1].lower() if part.startswith("{") else None
-        if name in ("$", "newline"):
-            pattern += "$"
-        elif name is None:
+        name = part[1:-1] if part.startswith("{") and part.endswith("}") else None
+        if name is None:
             pattern += re.escape(part)
+        elif name in marks:
+            pattern += marks[name]
         else:
-            after = parts[i + 1] if i + 1 < len(parts) else ""
-            body = ".*" if not after or after in ("{$}", "{newline}") else ".*?" if after.startswith("{") else f"[^{re.escape(after[0])}]*"
-            pattern += body if name == "*" or name not in FIELDS else f"({body})"
-            if name in FIELDS:
-                fields.append(name)
+            after = parts[i + 1] if i + 1 < len(parts) else "{$}"
+            body = r"[^\n]*" if after[1:-1] in marks and after.startswith("{") else r"[^\n]*?" if after.startswith("{") else rf"[^\n{re.escape(after[0])}]*"
+            pattern += f"({body})" if name in FIELDS else f"(?:{body})"
+            fields += [name] if name in FIELDS else []
     return Template(pattern, tuple(fields)) if len(fields) >= 2 else None
 
 
 def captured(line: Column, t: Template, name: str) -> Column:
-    """A field of a line that fits the template, else null."""
+    """A field of a line that fits the template, without blanks around it; empty if the template has no such field, null if the line doesn't fit."""
+    fits = line.rlike(f"(?m){t.pattern}")
     if name not in t.fields:
-        return F.lit(None).cast("string")
-    return F.when(line.rlike(t.pattern), F.regexp_extract(line, t.pattern, t.fields.index(name) + 1))
+        return F.when(fits, "")
+    return F.when(fits, stripped(F.regexp_extract(line, f"(?m){t.pattern}", t.fields.index(name) + 1)))
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
 def piped(line: Column, name: str) -> Column:
     """A field of a line of at least six parts between bars, for lines that fit no template."""
     parts = F.split(line, r"\|")
-    return F.when(F.size(parts) >= 6, F.get(parts, F.lit(FIELDS.index(name))))
+    return F.when(F.size(parts) >= 6, stripped(F.get(parts, F.lit(FIELDS.index(name)))))
 
 
 def parse(lines: DataFrame, templates: list[Template] = (), line: str = "line") -> DataFrame:
-    """Lines with the fields of the first template that fits, else of the bar format; numbers that are none are 0."""
+    """Lines with the fields of the first template that fits, else of the bar format; numbers that are none are 0.
+
+    What belongs to an entry's later lines (a column `continuation`) is appended to its message.
+    """
     out = {}
     for name in FIELDS:
-        text = F.lit(None).cast("string")
-        for t in reversed(templates):
-            text = F.when(F.col(line).rlike(t.pattern), captured(F.col(line), t, name)).otherwise(text)
-        fits = F.lit(False)
-        for t in templates:
-            fits = fits | F.col(line).rlike(t.pattern)
-        out[name] = F.when(fits, text).otherwise(piped(F.col(line), name)) if templates else piped(F.col(line), name)
+        out[name] = F.coalesce(*(captured(F.col(line), t, name) for t in templates), piped(F.col(line), name))
     out["timestamp"] = out["timestamp"].try_cast("timestamp_ntz")
     for name in ("pid", "thread"):
-        out[name] = F.coalesce(F.trim(out[name]).try_cast("int"), F.lit(0))
+        out[name] = F.coalesce(out[name].try_cast("int"), F.lit(0))
+    if "continuation" in lines.columns:
+        more = F.coalesce("continuation", F.lit(""))
+        out["message"] = F.when(more == "", out["message"]).otherwise(F.concat(out["message"], F.lit("\n"), more))
     return lines.select("*", *(c.alias(n) for n, c in out.items()))
 
 
+PARSED = "file string, entry int, line_index int, timestamp string, level string, host string, pid int, thread int, message string, caller string, continuations array<string>, n_lines int, plain boolean"
+
+
+def parse_files(files: DataFrame, templates: list[Template] = ()) -> DataFrame:
+    """Entries of whole files (file, text): wherever one of the templates matches, the first that does; a template may span lines.
+
+    Lines between matches are continuations of the entry before them, lines before the first are left out. Without
+    templates each line is an entry. Numbers that are none are 0. A file is one row, so it must fit into a task.
+    """
+    groups = [[f"t{i}_{name}" for name in t.fields] for i, t in enumerate(templates)]
+    pattern = "|".join(f"(?:{_named(t, gs)})" for t, gs in zip(templates, groups, strict=True))
+
+    def entries_of(text: str) -> list[tuple]:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        if not templates:
+            lines = text.split("\n")
+            return [(i, "", "", "", 0, 0, line, "", [], 1, True) for i, line in enumerate(lines) if line or i < len(lines) - 1]
+        out: list[list] = []
+        at, index = 0, 0
+        for m in re.finditer(pattern, text, re.M):
+            if not m[0]:
+                continue
+            gap = text[at : m.start()]
+            index += gap.count("\n")
+            _continue(out, gap)
+            which = next(i for i, gs in enumerate(groups) if m[gs[0]] is not None)
+            found = {name: m[g] or "" for name, g in zip(templates[which].fields, groups[which], strict=True)}
+            number = lambda name: int(n[0]) if (n := re.match(r"\s*[+-]?\d{1,9}", found.get(name, ""))) else 0  # noqa: E731, B023
+            field = lambda name: found.get(name, "")  # noqa: E731, B023
+            out.append([index, field("timestamp").strip(), field("level").strip(), field("host"), number("pid"), number("thread"), field("message"), field("caller"), [], 1 + m[0].count("\n"), False])
+            index, at = index + m[0].count("\n"), m.end()
+        _continue(out, text[at:])
+        return [tuple(e) for e in out]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PARSED.split(", ")]
+        for part in parts:
+            for file, text in zip(part["file"], part["text"], strict=True):
+                rows = [(file, i, *e) for i, e in enumerate(entries_of(text or ""))]
+                yield pd.DataFrame(rows, columns=names)
+
+    return files.select("file", "text").mapInPandas(run, PARSED)
+
+
+def _named(t: Template, names: list[str]) -> str:
+    """The template's pattern with names for its captures, in order."""
+    left = iter(names)
+    return re.sub(r"(?<!\\)\((?!\?)", lambda _: f"(?P<{next(left)}>", t.pattern)
+
+
+def _continue(out: list[list], text: str) -> None:
+    """Add a text's lines that aren't empty to the last entry."""
+    lines = [line for line in text.split("\n") if line] if out and text.strip() else []
+    if lines:
+        out[-1][8] += lines
+        out[-1][9] += len(lines)
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """Entries: a line that begins with a time and the lines after it, joined; what stands before the first is left out."""
     order = Window.partitionBy("file").orderBy("line_no")
@@ -120,14 +188,20 @@ def merge_folders(*listings: DataFrame) -> DataFrame:
     return every.groupBy(F.lower("name").alias("low")).agg(F.min_by("name", "server").alias("name")).select("name").orderBy(F.upper("name"), "name")
 
 
-def detect(sample: DataFrame, templates: list[Template]) -> int | None:
-    """The template that fits at least two of some lines: of these the one with most fields, then most matched text."""
+def detect(sample: DataFrame, templates: list[Template], chars: int = 10_000) -> int | None:
+    """The template that fits at least two of a file's first lines (file order by line_no, up to so many characters), else one that fits any.
+
+    Of several the one with most fields, then with most matched text.
+    """
     if not templates:
         return None
+    upto = F.sum(F.length("line") + 1).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    first = sample.where(F.col("line_no") <= chars).withColumn("at", F.coalesce(upto, F.lit(0))).where(F.col("at") < chars)  # at most `chars` lines
+    first = first.withColumn("line", F.substring("line", F.lit(1), F.lit(chars) - F.col("at").cast("int")))
     fits = [F.count_if(F.col("line").rlike(t.pattern)) for t in templates]
     size = [F.coalesce(F.sum(F.length(F.regexp_extract("line", t.pattern, 0))), F.lit(0)) for t in templates]
-    row = sample.agg(*(c.alias(f"f{i}") for i, c in enumerate(fits)), *(c.alias(f"s{i}") for i, c in enumerate(size))).first()
-    good = [i for i in range(len(templates)) if row[f"f{i}"] >= 2]
+    row = first.agg(*(c.alias(f"f{i}") for i, c in enumerate(fits)), *(c.alias(f"s{i}") for i, c in enumerate(size))).first()
+    good = [i for i in range(len(templates)) if row[f"f{i}"] >= 2] or [i for i in range(len(templates)) if row[f"f{i}"]]
     return max(good, key=lambda i: (len(templates[i].fields), row[f"s{i}"], -i), default=None)
 
 
@@ -143,6 +217,32 @@ def search(rows: DataFrame, column: str, text: str, regex: bool = False, case_se
     return rows.where(F.col(column).rlike(pattern)).withColumn("highlighted", F.regexp_replace(column, f"({pattern})", "«$1»"))
 
 
+def match_counts(rows: DataFrame, column: str, text: str, regex: bool = False, case_sensitive: bool = False, by: str = "file") -> DataFrame:
+    """How many rows of each file hold the text."""
+    return rows.where(F.col(column).rlike(search_pattern(text, regex, case_sensitive))).groupBy(by).agg(F.count("*").alias("n"))
+
+
+FILE_ORDER = {"host": "Server", "file": "FileName", "size": "SizeBytes", "created": "CreatedUtc", "modified": "ModifiedUtc"}
+
+
+def sorted_files(files: DataFrame, key: str = "modified", descending: bool = True, most: int | None = None) -> DataFrame:
+    """Files by host, file, size, created or modified, ties by path; most: as many as a search shows."""
+    by = F.col(FILE_ORDER[key])
+    rows = files.orderBy(by.desc() if descending else by.asc(), "FullPath")
+    return rows.limit(most) if most is not None else rows
+
+
+#: Files that a search shows.
+MOST_RESULTS = 5000
+
+
+def found_files(files: DataFrame, found: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
+    """The first files by path, up to a cap, that have any of the found entries (file), and whether there are more (capped)."""
+    hit = files.join(found.select(F.col("file").alias("FullPath")).distinct(), "FullPath", "left_semi")
+    some = hit.orderBy("FullPath").limit(most + 1).withColumn("place", F.row_number().over(Window.orderBy("FullPath")))  # at most `most` + 1 rows
+    return some.withColumn("capped", F.max("place").over(Window.partitionBy()) > most).where(F.col("place") <= most).drop("place")
+
+
 def log_path(pattern: str, service: str, server: str, pid: int, env: str, day) -> str:
     """A path pattern with {date}, {date-1}, {server}, {service}, {pid} and {env} filled in."""
     from datetime import timedelta
@@ -156,7 +256,7 @@ def log_path(pattern: str, service: str, server: str, pid: int, env: str, day) -
 def newest_file(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """For each key the newest file that its pattern fits; of a key's patterns the first with any file counts.
 
-    patterns: key, idx, pattern (% for anything), a handful for each service in view, so they are broadcast.
+    patterns: key, idx, pattern (a glob), a handful for each service in view; they are broadcast if they are as few.
     """
-    hit = files.join(F.broadcast(patterns), F.like(F.lower("FullPath"), F.lower("pattern")))
+    hit = files.join(small(patterns.select("key", "idx", glob_column(F.col("pattern")).alias("pattern"))), F.regexp_like("FullPath", F.col("pattern")))
     return hit.groupBy("key").agg(F.max_by("FullPath", F.struct(-F.col("idx"), "ModifiedUtc", "FullPath")).alias("FullPath"))

@@ -24,11 +24,18 @@ def heartbeats(services: DataFrame, as_of: str, minutes: int = 30) -> DataFrame:
 
 
 def sorted_services(services: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """By name, host, pid, updated, memory (null counts as 0)."""
-    by = {"name": F.upper("ServiceName"), "host": F.upper("HostName"), "pid": F.col("ProcessId"), "updated": F.col("Updated"), "mem": F.coalesce("RamMb", F.lit(0.0))}[key]
+    """By name, host, pid, updated, started, memory or peak (null counts as 0), else by name."""
+    columns = {"host": "HostName", "pid": "ProcessId", "updated": "Updated", "started": "Created", "mem": "RamMb", "peak": "PeakMb"}
+    c = F.col(columns.get(key, "ServiceName"))
+    by = F.coalesce(c, F.lit(0.0)) if key in ("mem", "peak") else F.upper(c) if key not in ("pid", "updated", "started") else c
     return services.orderBy(by.desc() if descending else by.asc(), "ServiceName", "HostName", "ProcessId")
 
 
+def oldest_start(services: DataFrame) -> DataFrame:
+    """One row: the earliest process start, from which metrics are read; null without services."""
+    return services.agg(F.min("Created").alias("oldest"))
+
+
 def groups(services: DataFrame, by: str) -> DataFrame:
     """Services counted by a column with the sum and mean of their memory, null as 0."""
     ram = F.coalesce("RamMb", F.lit(0.0))
@@ -93,6 +100,18 @@ def interpolated(points: DataFrame) -> DataFrame:
     return joined.select("series", F.col("t").alias("ts"), F.round(F.when(F.col("ts2").isNull() | (F.col("t") <= F.col("ts")), F.col("value")).otherwise(linear), 6).alias("value"))
 
 
+def stacked(values: DataFrame) -> DataFrame:
+    """Interpolated series (series, ts, value) laid on each other in the order of their names: low and high of each, and top, the sum at that moment."""
+    order = Window.partitionBy("ts").orderBy("series")
+    high = F.sum("value").over(order)  # a row for each series
+    return values.select("series", "ts", F.round(high - F.col("value"), 6).alias("low"), F.round(high, 6).alias("high"), F.round(F.sum("value").over(Window.partitionBy("ts")), 6).alias("top"))
+
+
+def trailing(samples: DataFrame, as_of: str, hours: float) -> DataFrame:
+    """Samples of the last hours, six for a small chart."""
+    return samples.where(F.col("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(hours * 3600).cast("decimal(18,6)")))
+
+
 def spark_points(points: DataFrame) -> DataFrame:
     """Points of a small chart of each key: x from 0 to 100, y from 40 (zero) to 0 (the greatest value)."""
     all_of = Window.partitionBy("key")
@@ -103,14 +122,15 @@ def spark_points(points: DataFrame) -> DataFrame:
 
 
 def streaks(checks: DataFrame) -> DataFrame:
-    """Consecutive failures up to each check and the status that follows. checks: key, ts, id, ok."""
+    """Consecutive failures up to each check and the status that follows. checks: key, ts, id, ok; other columns are carried."""
     order = Window.partitionBy("key").orderBy("ts", "id")
     island = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order)
     rows = checks.withColumn("island", island)
     bad = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy("key", "island").orderBy("ts", "id"))
     rows = rows.withColumn("streak", bad)
     s = F.col("streak")
-    return rows.select("key", "ts", "id", s.cast("long").alias("streak"), F.when(s == 0, "Healthy").when(s == 1, "Degraded").when(s >= 3, "Down").otherwise("DegradedEscalating").alias("status"))
+    others = [c for c in checks.columns if c not in ("key", "ts", "id", "ok")]
+    return rows.select("key", "ts", "id", *others, s.cast("long").alias("streak"), F.when(s == 0, "Healthy").when(s == 1, "Degraded").when(s >= 3, "Down").otherwise("DegradedEscalating").alias("status"))
 
 
 def with_latest(services: DataFrame, samples: DataFrame) -> DataFrame:
@@ -119,17 +139,19 @@ def with_latest(services: DataFrame, samples: DataFrame) -> DataFrame:
     return services.join(last, "ProcessId", "left")
 
 
-#: Fields of a metrics line, and the patterns of its numbers ("usage" alone isn't part of "child usage").
+#: The mark of a metrics line and the patterns of its numbers ("usage" alone isn't part of "child usage").
 METRICS_MARK = "Sending Metrics Tracker message"
-METRICS_NUMBERS = {"current_bytes": r"current usage: (\d+)", "peak_bytes": r"(?<!child )peak usage: (\d+)", "child_bytes": r"child usage: (\d+)", "child_peak_bytes": r"child peak usage: (\d+)"}
+METRICS_NUMBERS = {"current_bytes": r"current usage:\s*(\d+)", "peak_bytes": r"(?<!child )peak usage:\s*(\d+)", "child_bytes": r"child usage:\s*(\d+)", "child_peak_bytes": r"child peak usage:\s*(\d+)"}
 
 
 def parse_metrics_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Samples from log lines of seven fields or more that hold the mark; other lines are left out."""
+    """Samples from log lines of seven fields or more that hold the mark; the sixth has the numbers. Lines without a current usage are left out, other numbers are 0."""
     parts = F.split(line, r"\|")
     good = lines.where(F.contains(F.col(line), F.lit(METRICS_MARK)) & (F.size(parts) >= 7))
-    numbers = [F.regexp_extract(line, p, 1).try_cast("long").alias(n) for n, p in METRICS_NUMBERS.items()]
-    return good.select(*[c for c in lines.columns if c != line], F.get(parts, F.lit(0)).try_cast("timestamp_ntz").alias("ts"), *numbers).where("current_bytes IS NOT NULL")
+    said = F.get(parts, F.lit(5))
+    numbers = {n: F.regexp_extract(said, p, 1).try_cast("long") for n, p in METRICS_NUMBERS.items()}
+    found = [c if n == "current_bytes" else F.coalesce(c, F.lit(0).cast("long")) for n, c in numbers.items()]
+    return good.select(*[c for c in lines.columns if c != line], F.get(parts, F.lit(0)).try_cast("timestamp_ntz").alias("ts"), *(c.alias(n) for n, c in zip(numbers, found, strict=True))).where("current_bytes IS NOT NULL")
 
 
 def matched_samples(messages: DataFrame, heartbeats: DataFrame) -> DataFrame:
@@ -142,9 +164,8 @@ def matched_samples(messages: DataFrame, heartbeats: DataFrame) -> DataFrame:
 
 def broker_health(checks: DataFrame) -> DataFrame:
     """Brokers online at each check: all Healthy, some Degraded, none by the streak of such checks. checks: key, ts, id, online, total."""
-    rows = streaks(checks.select("key", "ts", "id", (F.col("online") > 0).alias("ok")))
-    both = rows.join(checks, ["key", "ts", "id"])
-    return both.select("key", "ts", "id", F.when((F.col("online") > 0) & (F.col("online") < F.col("total")), "Degraded").otherwise(F.col("status")).alias("status"))
+    rows = streaks(checks.select("key", "ts", "id", (F.col("online") > 0).alias("ok"), ((F.col("online") > 0) & (F.col("online") < F.col("total"))).alias("some")))
+    return rows.select("key", "ts", "id", F.when(F.col("some"), "Degraded").otherwise(F.col("status")).alias("status"))
 
 
 def payload_value(document: Column, name: str, kind: str = "string") -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.filters.predicates import column, references
 
@@ -65,6 +66,13 @@ def page_count(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
+def document_time(documents: DataFrame) -> Column:
+    """A document's time: the first of timestamp, createdAt and updatedAt that is a time, else null. Other kinds of value don't count."""
+    fields = {f.name: f.dataType for f in documents.schema.fields}
+    times = [F.col(f"`{n}`").cast("timestamp_ntz") for n in ("timestamp", "createdAt", "updatedAt") if isinstance(fields.get(n), (T.TimestampType, T.TimestampNTZType))]
+    return F.coalesce(*times) if times else F.lit(None).cast("timestamp_ntz")
+
+
 def environments(runs: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """Runs with the region of their customer as environment."""
     place = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey).join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # tables of a fixed size

@@ -5,7 +5,7 @@ Messages have Topic, Part, Off, Ts, Key, Payload. Commits have grp, Topic, Part
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.filters.predicates import Seek
@@ -16,7 +16,7 @@ MAX_FETCH = 2000
 def read(messages: DataFrame, where: Seek, topic: str | None = None, cap: int | None = MAX_FETCH) -> DataFrame:
     """Messages within the bounds; `latest` beats a first time, and that a first offset. Bounds hold for each partition.
 
-    Bounds are plain comparisons and reach the scan. The cap keeps the first messages in order of time.
+    Bounds are plain comparisons, so they reach the scan of a table that has offsets. The cap keeps the first messages in order of time.
     """
     rows = messages if topic is None else messages.where(F.col("Topic") == topic)
     if where.partitions is not None:
@@ -42,6 +42,22 @@ def latest(messages: DataFrame, n: int) -> DataFrame:
     return few.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= n).drop("_n")
 
 
+def buffered(messages: DataFrame, most: int) -> DataFrame:
+    """The last messages that a viewer keeps, the newest first."""
+    return messages.orderBy(F.desc("Ts"), F.desc("Topic"), F.desc("Part"), F.desc("Off")).limit(most)
+
+
+def sorted_topics(topics: DataFrame, key: str = "Name", descending: bool = False) -> DataFrame:
+    """Topics by PartitionCount, MessageCount or else Name, in any case. topics: Topic, partitions, messages."""
+    by = F.col({"PartitionCount": "partitions", "MessageCount": "messages"}[key]) if key in ("PartitionCount", "MessageCount") else F.upper("Topic")
+    return topics.orderBy(by.desc() if descending else by.asc(), "Topic")
+
+
+def payload_types(messages: DataFrame, wanted: str, kind: Column) -> DataFrame:
+    """Messages of each payload type (null counts as a type) and whether it is the wanted one, in any case."""
+    return messages.groupBy(kind.alias("payload_type")).agg(F.count("*").alias("n")).withColumn("wanted", F.coalesce(F.lower("payload_type") == wanted.lower(), F.lit(False)))
+
+
 def fetch(messages: DataFrame, topic: str, part: int, off: int) -> DataFrame:
     return messages.where((F.col("Topic") == topic) & (F.col("Part") == part) & (F.col("Off") == off))
 

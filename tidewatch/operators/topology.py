@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.filters.predicates import glob_column
+from tidewatch.session import small
+
 #: Pipeline states by rank; a node shows the highest of its rows.
 STATES = ("NotStarted", "Completed", "Idle", "InProgress", "Active", "Errored")
 RECENT_SECONDS = 15
@@ -63,19 +68,28 @@ def hops(events: DataFrame) -> DataFrame:
 EDGE = ("source", "source_pipeline", "target", "target_pipeline")
 
 
+def places_in_common(events: DataFrame) -> DataFrame:
+    """For each pair of places (EDGE) the chunks done at the source that were also seen at the target; source = target counts all done there.
+
+    A chunk's places are collected, of which there are no more than pipelines, so one shuffle by chunk is enough.
+    """
+    places = events.groupBy("Name").agg(F.collect_set(F.struct("Service", "Pipeline", done().alias("done"))).alias("p"))
+    place = lambda p: F.struct(p["Service"].alias("s"), p["Pipeline"].alias("p"))
+    pairs = places.select(F.explode(F.transform(F.filter("p", lambda p: p["done"]), place)).alias("a"), F.array_distinct(F.transform("p", place)).alias("seen"))
+    return pairs.select("a", F.explode("seen").alias("b")).groupBy(F.col("a.s").alias("source"), F.col("a.p").alias("source_pipeline"), F.col("b.s").alias("target"), F.col("b.p").alias("target_pipeline")).agg(F.count("*").alias("both"))
+
+
 def edges(events: DataFrame) -> DataFrame:
     """Hops counted by edge, with the chunks done at the source but not seen at the target, and the source's state.
 
     Waiting is the source's done chunks less those also seen at the target, so the edge's chunks are never listed.
+    Events are read by several branches: give a table rather than a plan.
     """
     counted = hops(events).groupBy(*EDGE).agg(F.count("*").alias("done"))
-    places = events.groupBy("Name", "Service", "Pipeline").agg(F.bool_or(done()).alias("done"))
-    source = places.where("done").select("Name", F.col("Service").alias("source"), F.col("Pipeline").alias("source_pipeline"))
-    target = places.select("Name", F.col("Service").alias("target"), F.col("Pipeline").alias("target_pipeline"))
-    overlap = source.join(target, "Name").groupBy(*EDGE).agg(F.count("*").alias("both"))
-    total = source.groupBy("source", "source_pipeline").agg(F.count("*").alias("at_source"))
+    both = places_in_common(events)
+    total = both.where("source = target AND source_pipeline = target_pipeline").select("source", "source_pipeline", F.col("both").alias("at_source"))
     rows = pipeline_rows(events).select(F.col("Service").alias("source"), F.col("Pipeline").alias("source_pipeline"), "state")
-    joined = counted.join(overlap, list(EDGE), "left").join(total, ["source", "source_pipeline"], "left").join(rows, ["source", "source_pipeline"], "left")
+    joined = counted.join(both, list(EDGE), "left").join(total, ["source", "source_pipeline"], "left").join(rows, ["source", "source_pipeline"], "left")
     zero = F.lit(0).cast("long")
     return joined.select(*EDGE, "done", (F.coalesce("at_source", zero) - F.coalesce("both", zero)).alias("waiting"), F.coalesce("state", F.lit("NotStarted")).alias("state"))
 
@@ -98,51 +112,64 @@ def replay_range(events: DataFrame) -> DataFrame:
 
 
 def declared_edges(hints: DataFrame, explicit: DataFrame) -> DataFrame:
-    """Edges from what services publish and subscribe to, and explicit ones; the first of equal names is kept.
+    """Edges from what services publish and other hints subscribe to, and explicit ones; the first of equal names is kept.
 
-    hints: idx, name, publishes, subscribes; explicit: source, target, idx.
+    hints: idx, name, publishes, subscribes; explicit: source, target, idx. Names may be globs.
     """
     published = hints.select("idx", F.col("name").alias("source"), F.explode("publishes").alias("p"))
     subscribed = hints.select(F.col("idx").alias("j"), F.col("name").alias("target"), F.explode("subscribes").alias("s"))
-    matched = published.join(subscribed, F.lower("p") == F.lower("s")).where("lower(source) != lower(target)").select("source", "target", F.struct(F.lit(0).alias("k"), "idx", "j").alias("o"))
-    every = matched.unionByName(explicit.where("lower(source) != lower(target)").select("source", "target", F.struct(F.lit(1).alias("k"), "idx", F.lit(0).cast("int").alias("j")).alias("o")))
-    first = every.groupBy(F.lower("source").alias("a"), F.lower("target").alias("b")).agg(F.min_by(F.struct("source", "target"), "o").alias("e"))
+    order = lambda k, *c: F.struct(F.lit(k).alias("k"), *(x.cast("long").alias(n) for x, n in zip(c, "ij", strict=True))).alias("o")
+    matched = published.join(subscribed, F.lower("p") == F.lower("s")).where("idx != j").select("source", "target", order(0, F.col("idx"), F.col("j")))
+    named = explicit.where("trim(source) != '' AND trim(target) != ''").select("source", "target", order(1, F.col("idx"), F.lit(0)))
+    first = matched.unionByName(named).groupBy(F.lower("source").alias("a"), F.lower("target").alias("b")).agg(F.min_by(F.struct("source", "target"), "o").alias("e"))
     return first.select("e.source", "e.target")
 
 
-def hint_like(name: Column, pattern: Column) -> Column:
-    """Whether a name fits a hint's name, in which % stands for anything, without regard to case."""
-    return F.like(F.lower(name), F.lower(pattern))
+def plain(c: Column) -> Column:
+    return c
+
+
+Label = Callable[[Column], Column]
 
 
-def blueprint_nodes(observed: DataFrame, hints: DataFrame) -> DataFrame:
-    """Observed services with the first hint that fits, and declared services that were not observed.
+def blueprint_nodes(observed: DataFrame, hints: DataFrame, label: Label = plain) -> DataFrame:
+    """Observed services with the first hint whose name or glob fits their label, and declared services, no globs, that were not observed.
 
-    Hints are a configuration file's rows, so they are broadcast. observed: id; hints: idx, name, role, grp; * in
-    a name stands for anything.
+    Labels without regard to case. observed: id; hints: idx, name, role, grp.
     """
-    small = F.broadcast(hints.select("idx", F.replace("name", F.lit("*"), F.lit("%")).alias("pattern"), "role", "grp"))
-    found = observed.join(small, hint_like(F.col("id"), F.col("pattern")), "left").groupBy("id").agg(F.min_by(F.struct("role", "grp"), "idx").alias("h"), F.count("idx").alias("n"))
+    pattern = small(hints.select("idx", glob_column(F.col("name")).alias("pattern"), "role", "grp"))
+    found = observed.join(pattern, F.regexp_like(label(F.col("id")), F.col("pattern")), "left").groupBy("id").agg(F.min_by(F.struct("role", "grp"), "idx").alias("h"), F.count("idx").alias("n"))
     seen = found.select("id", (F.col("n") > 0).alias("is_declared"), F.lit(True).alias("is_observed"), "h.role", "h.grp")
-    literal = hints.where(~F.contains("name", F.lit("*"))).join(observed.select(F.lower("id").alias("low")), F.lower("name") == F.col("low"), "left_anti")
-    return seen.unionByName(literal.select(F.col("name").alias("id"), F.lit(True).alias("is_declared"), F.lit(False).alias("is_observed"), "role", "grp"))
+    literal = hints.where(~F.col("name").rlike("[*?]")).groupBy(F.lower("name").alias("low")).agg(F.min_by(F.struct("name", "role", "grp"), "idx").alias("h"))
+    unseen = literal.join(observed.select(F.lower(label(F.col("id"))).alias("low")), "low", "left_anti")
+    return seen.unionByName(unseen.select(F.col("h.name").alias("id"), F.lit(True).alias("is_declared"), F.lit(False).alias("is_observed"), "h.role", "h.grp"))
+
+
+def resolved_edges(nodes: DataFrame, declared: DataFrame, label: Label = plain) -> DataFrame:
+    """Declared edges between the nodes (id) whose labels their ends' names or globs fit, without loops: source, target."""
+    ends = declared.select("source").union(declared.select("target")).distinct().select(F.col("source").alias("name"))
+    fit = nodes.join(small(ends.withColumn("pattern", glob_column(F.col("name")))), F.regexp_like(label(F.col("id")), F.col("pattern"))).select("name", "id")
+    end = lambda c: fit.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
+    pairs = declared.join(end("source"), "source").join(end("target"), "target").where("lower(source_id) != lower(target_id)")
+    return pairs.groupBy(F.lower("source_id").alias("a"), F.lower("target_id").alias("b")).agg(F.min(F.struct("source_id", "target_id")).alias("e")).select(F.col("e.source_id").alias("source"), F.col("e.target_id").alias("target"))
 
 
-def blueprint_edges(observed: DataFrame, declared: DataFrame) -> DataFrame:
-    """Observed edges flagged if declared between their services, and declared edges that were not observed."""
+def blueprint_edges(observed: DataFrame, nodes: DataFrame, declared: DataFrame, label: Label = plain) -> DataFrame:
+    """Observed edges flagged if declared between their services, and declared edges between nodes that were not observed. nodes: id, seen or declared."""
     pair = lambda d: d.select(F.lower("source").alias("a"), F.lower("target").alias("b"))
-    flagged = observed.join(F.broadcast(pair(declared).distinct().withColumn("yes", F.lit(True))), (F.lower("source") == F.col("a")) & (F.lower("target") == F.col("b")), "left")
+    wanted = resolved_edges(nodes, declared, label)
+    flagged = observed.join(pair(wanted).withColumn("yes", F.lit(True)), (F.lower("source") == F.col("a")) & (F.lower("target") == F.col("b")), "left")
     seen = flagged.select(*EDGE, F.coalesce("yes", F.lit(False)).alias("is_declared"), F.lit(True).alias("is_observed"))
-    missing = declared.join(pair(observed).distinct(), (F.lower("source") == F.col("a")) & (F.lower("target") == F.col("b")), "left_anti")
+    missing = wanted.join(pair(observed).distinct(), (F.lower("source") == F.col("a")) & (F.lower("target") == F.col("b")), "left_anti")
     return seen.unionByName(missing.select("source", F.lit("").alias("source_pipeline"), "target", F.lit("").alias("target_pipeline"), F.lit(True).alias("is_declared"), F.lit(False).alias("is_observed")))
 
 
 def variant(observed: DataFrame, variants: DataFrame) -> DataFrame:
-    """The first variant of which some observed service fits a pattern; none if none does. variants: idx, any_service."""
-    small = F.broadcast(variants.select("idx", F.replace("any_service", F.lit("*"), F.lit("%")).alias("pattern")))
-    return observed.join(small, hint_like(F.col("id"), F.col("pattern"))).agg(F.min("idx").alias("variant"))
+    """The first variant of which some observed service fits the glob; null, so the default, if none does. variants: idx, any_service."""
+    pattern = small(variants.where("trim(any_service) != ''").select("idx", glob_column(F.col("any_service")).alias("pattern")))
+    return observed.join(pattern, F.regexp_like("id", F.col("pattern"))).agg(F.min("idx").alias("variant"))
 
 
 def group_colours(groups: DataFrame) -> DataFrame:
-    """The last colour declared for each group name, without regard to case. groups: idx, name, color."""
-    return groups.groupBy(F.lower("name").alias("grp")).agg(F.max_by("color", "idx").alias("color"))
+    """The last colour declared for each group name, without regard to case; blank names and colours count for nothing. groups: idx, name, color."""
+    return groups.where("trim(name) != '' AND trim(color) != ''").groupBy(F.lower("name").alias("grp")).agg(F.max_by("color", "idx").alias("color"))

@@ -1,18 +1,32 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and keeping what several branches of a plan read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint, in the folder the session names; in a local session without one, in a temporary folder."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder; it is set to the one the session names, in a local session without one to a temporary folder."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewatch-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint."""
+    folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder as a table, so that each branch of a plan reads only its columns of it."""
+    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.filters.predicates import VIEWS, And, Not, Or, Seek, Term, column, match_column, seek
+from tidewatch.filters.predicates import VIEWS, And, Not, Or, Seek, Term, TimeOfDay, column, match_column, seek
 from tidewatch.functions import jsonpath, text
 from tidewatch.operators import events as ev
 from tidewatch.operators import graph, logs, metrics, runs, timeline, topics, topology
@@ -19,6 +19,7 @@ from tidewatch.sources.adapters import messages as message_table
 from tidewatch.sources.adapters import raw_events
 from tidewatch.sources.adapters import runs as run_table
 from tidewatch.sources.adapters import services as service_table
+from tidewatch.sources.adapters import stored_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,8 +124,9 @@ def events_upsert(spark, sf):
 
 @query("events_poll_cursor", E + """SELECT Id AS id, coalesce(Finish, "Start") AS last_update FROM ev WHERE coalesce(Finish, "Start") > TIMESTAMP '2000-06-01'""")
 def events_poll_cursor(spark, sf):
-    rows = event_table(spark, sf).withColumn("at", F.coalesce("Finish", "Start"))
-    return rows.where(F.col("at") > F.lit("2000-06-01").cast("timestamp_ntz")).select(F.col("Id").alias("id"), F.col("at").alias("last_update"))
+    rows = event_table(spark, sf)
+    changed = ev.last_update(rows)
+    return ev.since(rows, ev.Cursor(last_time=datetime(2000, 6, 1)), time=changed).select(F.col("Id").alias("id"), changed.alias("last_update"))
 
 
 RUN_EVENTS_SQL = E[:-1] + """, run_events AS (SELECT Id AS EventId, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_orderkey AS VARCHAR) END AS CorrelationId, 'svc-' || CAST(l_suppkey % 5 AS VARCHAR) AS Service, 'pipe-' || CAST(l_partkey % 3 AS VARCHAR) AS Pipeline,
@@ -188,10 +190,10 @@ SELECT Service, Pipeline, count(Finish) AS done, count(*) - count(Finish) AS in_
 topo AS (SELECT Service, Pipeline, done, in_progress, errors, round(CASE WHEN done + in_progress = 0 THEN 0 ELSE done / (done + in_progress) END, 6) AS progress, round(CASE WHEN done = 0 THEN 0 ELSE least(recent / done, 1) END, 6) AS throughput,
 CASE WHEN errors > 0 THEN 'Errored' WHEN recent > 0 THEN 'Active' WHEN in_progress > 0 THEN 'InProgress' WHEN done > 0 THEN 'Completed' ELSE 'Idle' END AS state FROM rows_) """
 
-query("topo_rows", TOPO + "SELECT * FROM topo")(lambda spark, sf: topology.pipeline_rows(event_table(spark, sf)))
+query("topo_rows", TOPO + "SELECT * FROM topo")(lambda spark, sf: topology.pipeline_rows(stored_events(spark, sf)))
 query("topo_nodes", TOPO + """SELECT Service, n AS instances, pipelines, CASE r WHEN 5 THEN 'Errored' WHEN 4 THEN 'Active' WHEN 3 THEN 'InProgress' WHEN 2 THEN 'Idle' WHEN 1 THEN 'Completed' ELSE 'NotStarted' END AS header_state
 FROM (SELECT Service, count(*) AS pipelines, max(CASE state WHEN 'Errored' THEN 5 WHEN 'Active' THEN 4 WHEN 'InProgress' THEN 3 WHEN 'Idle' THEN 2 WHEN 'Completed' THEN 1 ELSE 0 END) AS r FROM topo GROUP BY 1) JOIN (SELECT Service, count(DISTINCT Server || ':' || ProcessId) AS n FROM ev GROUP BY 1) USING (Service)""")(
-    lambda spark, sf: topology.nodes(event_table(spark, sf))
+    lambda spark, sf: topology.nodes(stored_events(spark, sf))
 )
 query("topo_instances", E + """SELECT Service, Pipeline, Server, ProcessId, count(Finish) AS done, count(*) - count(Finish) AS in_progress, count(*) FILTER (coalesce(Error <> '', false)) AS errors, max(coalesce(Finish, "Start")) AS last_activity FROM ev GROUP BY 1, 2, 3, 4""")(
     lambda spark, sf: topology.instances(event_table(spark, sf))
@@ -203,67 +205,91 @@ both_ AS (SELECT a.Service AS source, a.Pipeline AS source_pipeline, b.Service A
 tot AS (SELECT Service, Pipeline, count(*) AS n FROM place WHERE fin GROUP BY 1, 2),
 edges AS (SELECT e.*, coalesce(tot.n, 0) - coalesce(both_.n, 0) AS waiting, coalesce(topo.state, 'NotStarted') AS state FROM e LEFT JOIN both_ USING (source, source_pipeline, target, target_pipeline)
 LEFT JOIN tot ON tot.Service = e.source AND tot.Pipeline = e.source_pipeline LEFT JOIN topo ON topo.Service = e.source AND topo.Pipeline = e.source_pipeline) """
-query("topo_edges", EDGES_SQL + "SELECT * FROM edges")(lambda spark, sf: topology.edges(event_table(spark, sf)))
+query("topo_edges", EDGES_SQL + "SELECT * FROM edges")(lambda spark, sf: topology.edges(stored_events(spark, sf)))
 query("topo_summary", E + """SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS events, CAST(sum(d) AS BIGINT) AS done, CAST(sum(n) - sum(d) AS BIGINT) AS in_progress, round(least(sum(d) / (max(hops) * count(*)), 1), 6) AS progress
 FROM (SELECT Name, count(*) AS n, count(Finish) AS d, count(DISTINCT Service || '|' || Pipeline) AS hops FROM ev GROUP BY 1)""")(lambda spark, sf: topology.summary(event_table(spark, sf)))
 query("topo_replay", TOPO.replace("ev AS (", "ev0 AS (").replace(", t AS (", """, ev AS (SELECT * FROM ev0 WHERE "Start" <= TIMESTAMP '1999-01-01'), t AS (""", 1) + "SELECT * FROM topo")(
-    lambda spark, sf: topology.pipeline_rows(topology.replay(event_table(spark, sf), "1999-01-01"))
+    lambda spark, sf: topology.pipeline_rows(topology.replay(stored_events(spark, sf), "1999-01-01"))
 )
 query("topo_replay_range", E + """SELECT min("Start") AS first, max(coalesce(Finish, "Start")) AS last FROM ev""")(lambda spark, sf: topology.replay_range(event_table(spark, sf)))
 
-HINTS = [(0, "svc-0", "source", "in", ["Raw"], []), (1, "svc-1", "", "mid", ["clean"], ["raw"]), (2, "svc-*", "", "rest", [], ["CLEAN"]), (3, "Archiver", "sink", "out", [], ["clean"]), (4, "SVC-2", "sink", "out", ["x"], ["x"])]
-HINTS_SQL = "hints(idx, name, role, grp) AS (VALUES " + ", ".join(f"({i}, '{n}', '{r}', '{g}')" for i, n, r, g, _, _ in HINTS) + ")"
-EXPLICIT = [("svc-3", "Archiver", 0), ("SVC-0", "SVC-1", 1), ("svc-4", "svc-4", 2)]
-DECLARED = [("svc-0", "svc-1"), ("svc-1", "svc-*"), ("svc-1", "Archiver"), ("svc-3", "Archiver")]
-DECLARED_SQL = "declared(source, target) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DECLARED) + ")"
+#: Nations as hints: literal names, other spellings, globs with ? and *, and names that nobody has.
+HINTS_SQL = """hints AS (SELECT CAST(n_nationkey AS INTEGER) AS idx, CASE n_nationkey % 5 WHEN 0 THEN 'svc-' || CAST(n_regionkey AS VARCHAR) WHEN 1 THEN n_name WHEN 2 THEN 'SVC-' || CAST(n_nationkey * 3 % 7 AS VARCHAR)
+  WHEN 3 THEN 's?c-' || CAST(n_regionkey AS VARCHAR) ELSE CASE WHEN n_nationkey = 24 THEN 'svc-*' ELSE lower(n_name) || '*' END END AS name,
+  CASE WHEN n_regionkey < 2 THEN 'source' ELSE 'sink' END AS role, 'g' || CAST(n_regionkey AS VARCHAR) AS grp, 't' || CAST(n_nationkey % 9 AS VARCHAR) AS pub, 'T' || CAST(n_nationkey % 7 AS VARCHAR) AS sub FROM nation)"""
+EXPLICIT_SQL = "explicit AS (SELECT 'svc-' || CAST(r_regionkey AS VARCHAR) AS source, CASE WHEN r_regionkey % 2 = 0 THEN 'SVC-*' ELSE '' END AS target, CAST(r_regionkey AS INTEGER) AS idx FROM region)"
+DECLARED_SQL = f"""{HINTS_SQL}, {EXPLICIT_SQL}, wanted AS (SELECT p.name AS source, c.name AS target, (0, p.idx, c.idx) AS o FROM hints p JOIN hints c ON lower(p.pub) = lower(c.sub) AND p.idx <> c.idx
+  UNION ALL SELECT source, target, (1, idx, 0) FROM explicit WHERE target <> ''), declared AS (SELECT arg_min(source, o) AS source, arg_min(target, o) AS target FROM wanted GROUP BY lower(source), lower(target))"""
+LIKE_SQL = "lower({0}) LIKE replace(replace(lower({1}), '*', '%'), '?', '_')"
 
 
-def hints(spark):
-    return spark.createDataFrame(HINTS, "idx int, name string, role string, grp string, publishes array<string>, subscribes array<string>")
+def hints(spark, sf):
+    n, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    loose = F.when(n == 24, "svc-*").otherwise(F.concat(F.lower("n_name"), F.lit("*")))
+    name = F.when(n % 5 == 0, F.concat(F.lit("svc-"), r)).when(n % 5 == 1, F.col("n_name")).when(n % 5 == 2, F.concat(F.lit("SVC-"), (n * 3 % 7).cast("string"))).when(n % 5 == 3, F.concat(F.lit("s?c-"), r)).otherwise(loose)
+    role = F.when(F.col("n_regionkey") < 2, "source").otherwise("sink")
+    token = lambda prefix, m: F.array(F.concat(F.lit(prefix), (n % m).cast("string")))
+    return table(spark, sf, "nation").select(n.cast("int").alias("idx"), name.alias("name"), role.alias("role"), F.concat(F.lit("g"), r).alias("grp"), token("t", 9).alias("publishes"), token("T", 7).alias("subscribes"))
 
 
-def declared(spark):
-    return topology.declared_edges(hints(spark), spark.createDataFrame(EXPLICIT, "source string, target string, idx int"))
+def declared(spark, sf):
+    r = F.col("r_regionkey")
+    explicit = table(spark, sf, "region").select(F.concat(F.lit("svc-"), r.cast("string")).alias("source"), F.when(r % 2 == 0, "SVC-*").otherwise("").alias("target"), r.cast("int").alias("idx"))
+    return topology.declared_edges(hints(spark, sf), explicit)
 
 
-query("topo_declared_edges", f"WITH {DECLARED_SQL} SELECT * FROM declared")(lambda spark, sf: declared(spark))
+def seen_services(events):
+    return events.select(F.col("Service").alias("id")).distinct()
 
 
-@query(
-    "topo_blueprint_nodes",
-    E[:-1] + f""", {HINTS_SQL}, obs AS (SELECT DISTINCT Service AS id FROM ev), m AS (SELECT id, idx, role, grp, row_number() OVER (PARTITION BY id ORDER BY idx) AS n FROM obs LEFT JOIN hints ON lower(id) LIKE replace(lower(name), '*', '%'))
-SELECT id, idx IS NOT NULL AS is_declared, true AS is_observed, role, grp FROM m WHERE n = 1 UNION ALL SELECT name, true, false, role, grp FROM hints WHERE NOT contains(name, '*') AND lower(name) NOT IN (SELECT lower(id) FROM obs)""",
-)
-def topo_blueprint_nodes(spark, sf):
-    return topology.blueprint_nodes(event_table(spark, sf).select(F.col("Service").alias("id")).distinct(), hints(spark))
+query("topo_declared_edges", f"WITH {DECLARED_SQL} SELECT * FROM declared")(declared)
+NODES_SQL = f"""obs AS (SELECT DISTINCT Service AS id FROM ev), m AS (SELECT id, idx, role, grp, row_number() OVER (PARTITION BY id ORDER BY idx) AS n FROM obs LEFT JOIN hints ON {LIKE_SQL.format("id", "name")}),
+nodes AS (SELECT id, idx IS NOT NULL AS is_declared, true AS is_observed, role, grp FROM m WHERE n = 1 UNION ALL
+SELECT arg_min(name, idx), true, false, arg_min(role, idx), arg_min(grp, idx) FROM hints WHERE NOT regexp_matches(name, '[*?]') AND lower(name) NOT IN (SELECT lower(id) FROM obs) GROUP BY lower(name))"""
+query("topo_blueprint_nodes", E[:-1] + f", {HINTS_SQL}, {NODES_SQL} SELECT * FROM nodes")(lambda spark, sf: topology.blueprint_nodes(seen_services(event_table(spark, sf)), hints(spark, sf)))
 
 
 @query(
     "topo_blueprint_edges",
-    EDGES_SQL[:-1] + f""", {DECLARED_SQL} SELECT source, source_pipeline, target, target_pipeline, EXISTS (SELECT 1 FROM declared d WHERE lower(d.source) = lower(edges.source) AND lower(d.target) = lower(edges.target)) AS is_declared, true AS is_observed FROM edges
-UNION ALL SELECT source, '', target, '', true, false FROM declared d WHERE NOT EXISTS (SELECT 1 FROM edges WHERE lower(d.source) = lower(edges.source) AND lower(d.target) = lower(edges.target))""",
+    EDGES_SQL[:-1] + f""", {DECLARED_SQL}, {NODES_SQL}, want AS (SELECT DISTINCT a.id AS source, b.id AS target FROM declared d JOIN nodes a ON {LIKE_SQL.format("a.id", "d.source")} JOIN nodes b ON {LIKE_SQL.format("b.id", "d.target")} WHERE lower(a.id) <> lower(b.id))
+SELECT source, source_pipeline, target, target_pipeline, EXISTS (SELECT 1 FROM want d WHERE d.source = edges.source AND d.target = edges.target) AS is_declared, true AS is_observed FROM edges
+UNION ALL SELECT source, '', target, '', true, false FROM want d WHERE NOT EXISTS (SELECT 1 FROM edges WHERE d.source = edges.source AND d.target = edges.target)""",
 )
 def topo_blueprint_edges(spark, sf):
-    return topology.blueprint_edges(topology.edges(event_table(spark, sf)), declared(spark))
+    events, given = stored_events(spark, sf), hints(spark, sf)
+    return topology.blueprint_edges(topology.edges(events), topology.blueprint_nodes(seen_services(events), given).select("id"), declared(spark, sf))
+
+
+@query("topo_variant", E[:-1] + f""", variants AS (SELECT r_regionkey AS idx, CASE WHEN r_regionkey = 0 THEN '' WHEN r_regionkey = 1 THEN lower(r_name) || '*' ELSE '?VC-' || CAST(r_regionkey AS VARCHAR) END AS g FROM region)
+SELECT CAST(min(idx) AS INTEGER) AS variant FROM variants WHERE g <> '' AND EXISTS (SELECT 1 FROM ev WHERE {LIKE_SQL.format("Service", "g")})""")
+def topo_variant(spark, sf):
+    r = F.col("r_regionkey")
+    named = F.when(r == 0, "").when(r == 1, F.concat(F.lower("r_name"), F.lit("*"))).otherwise(F.concat(F.lit("?VC-"), r.cast("string")))
+    return topology.variant(seen_services(event_table(spark, sf)), table(spark, sf, "region").select(r.cast("int").alias("idx"), named.alias("any_service")))
 
 
-query("topo_variant", "SELECT 1 AS variant")(
-    lambda spark, sf: topology.variant(event_table(spark, sf).select(F.col("Service").alias("id")).distinct(), spark.createDataFrame([(0, "loader*"), (1, "SVC-3"), (2, "svc-*")], "idx int, any_service string"))
+query("topo_group_colours", "SELECT lower(n) AS grp, arg_max(n_name, n_nationkey) AS color FROM (SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE lower(r_name) END AS n FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1")(
+    lambda spark, sf: topology.group_colours(table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("idx"), F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.lower("r_name")).alias("name"), F.col("n_name").alias("color")))
 )
-query("topo_group_colours", "SELECT * FROM (VALUES ('in', 'red'), ('out', 'blue')) v(grp, color)")(lambda spark, sf: topology.group_colours(spark.createDataFrame([(0, "In", "green"), (1, "out", "blue"), (2, "IN", "red")], "idx int, name string, color string")))
 FORWARD_SQL = EDGES_SQL[:-1] + ", p AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), fwd AS (SELECT * FROM p WHERE NOT (source > target AND EXISTS (SELECT 1 FROM p q WHERE q.source = p.target AND q.target = p.source))) "
 query("layout_layers", FORWARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + """, walk(node, layer) AS (SELECT DISTINCT source, 0 FROM fwd UNION SELECT fwd.target, walk.layer + 1 FROM walk JOIN fwd ON walk.node = fwd.source) SELECT node, max(layer) AS layer FROM walk GROUP BY 1""")(
-    lambda spark, sf: graph.layers(graph.forward_edges(topology.edges(event_table(spark, sf))))
+    lambda spark, sf: graph.layers(graph.forward_edges(topology.edges(stored_events(spark, sf))))
 )
 query("closure", FORWARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", reach AS (SELECT source, target FROM fwd UNION SELECT reach.source, fwd.target FROM reach JOIN fwd ON reach.target = fwd.source) SELECT * FROM reach")(
-    lambda spark, sf: graph.closure(graph.forward_edges(topology.edges(event_table(spark, sf))))
+    lambda spark, sf: graph.closure(graph.forward_edges(topology.edges(stored_events(spark, sf))))
 )
 
 
-@query("run_descendants", "WITH c AS (SELECT o_orderkey // 4 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey > 0), a AS (SELECT child AS root, child AS node, 0 AS depth FROM c WHERE child <= 20), b AS (SELECT root, child AS node, 1 AS depth FROM a JOIN c ON node = parent), d AS (SELECT root, child AS node, 2 AS depth FROM b JOIN c ON node = parent) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d")
+CHILDREN_SQL = "WITH c AS (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey - o_orderkey % 4 ELSE o_orderkey - o_orderkey % 16 END AS parent, o_orderkey AS child FROM orders WHERE o_orderkey % 16 <> 0)"
+
+
+@query("run_descendants", CHILDREN_SQL + ", a AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey NOT IN (SELECT child FROM c)), b AS (SELECT root, child AS node, 1 AS depth FROM a JOIN c ON node = parent), d AS (SELECT root, child AS node, 2 AS depth FROM b JOIN c ON node = parent) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d")
 def run_descendants(spark, sf):
-    c = table(spark, sf, "orders").where("o_orderkey > 0").select(F.floor(F.col("o_orderkey") / 4).alias("parent"), F.col("o_orderkey").alias("child"))
-    return graph.descendants(c, c.where("child <= 20").select(F.col("child").alias("node")), 2)
+    """All runs that have no parent, with what is below them: every fourth run has the three after it, every sixteenth the three fourths after it."""
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    children = orders.where(k % 16 != 0).select(F.when(k % 4 != 0, k - k % 4).otherwise(k - k % 16).alias("parent"), k.alias("child"))
+    roots = orders.select(k.alias("node")).join(children.select(F.col("child").alias("node")), "node", "left_anti")
+    return graph.descendants(children, roots, 2)
 
 
 # --- timeline -----------------------------------------------------------------------------------------------------
@@ -276,14 +302,19 @@ query("tl_stack", E + f"""SELECT Name, Id, CAST(coalesce(sum({MS}) OVER w, 0) AS
 WINDOW w AS (PARTITION BY Name ORDER BY "Start", Id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")(lambda spark, sf: timeline.stack(event_table(spark, sf)))
 query("tl_stack_domain", E + f"SELECT CAST(max(t) AS BIGINT) AS domain FROM (SELECT sum({MS}) AS t FROM ev WHERE Finish IS NOT NULL GROUP BY Name)")(lambda spark, sf: timeline.stack_domain(event_table(spark, sf)))
 query("tl_heatmap", E + """, d AS (SELECT min(epoch_ms("Start")) AS a, greatest(max(epoch_ms(coalesce(Finish, "Start"))) - min(epoch_ms("Start")), 1000) AS s FROM ev), c AS (SELECT CAST(floor((epoch_ms("Start") - a) / s * 499) AS BIGINT) AS bucket, count(*) AS n FROM ev, d GROUP BY 1)
-SELECT bucket, n, round(0.12 + 0.88 * n / (SELECT max(n) FROM c), 6) AS opacity FROM c""")(lambda spark, sf: timeline.heatmap(event_table(spark, sf)))
-
+SELECT bucket, n, round(0.12 + 0.88 * n / (SELECT max(n) FROM c), 6) AS opacity FROM c""")(lambda spark, sf: timeline.heatmap(stored_events(spark, sf)))
 
-@query("tl_packing", E + """, f AS (SELECT Service || '/' || Pipeline AS lane, epoch_ms("Start") AS a, epoch_ms(Finish) AS b FROM ev WHERE Finish IS NOT NULL),
-p AS (SELECT lane, a AS t, 1 AS d FROM f UNION ALL SELECT lane, b, -1 FROM f) SELECT lane, CAST(max(n) AS BIGINT) AS sub_rows FROM (SELECT lane, sum(d) OVER (PARTITION BY lane ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM p) GROUP BY 1""")
-def tl_packing(spark, sf):
-    return timeline.sub_rows(event_table(spark, sf)).groupBy("lane").agg((F.max("sub_row") + 1).cast("long").alias("sub_rows"))
 
+SPANS_SQL = E[:-1] + """, f AS (SELECT Service || '/' || Pipeline AS lane, epoch_ms("Start") AS a, coalesce(epoch_ms(Finish), epoch_ms("Start") + 5000) AS b FROM ev),
+p AS (SELECT lane, a AS t, 1 AS d FROM f UNION ALL SELECT lane, b, -1 FROM f), rows_ AS (SELECT lane, CAST(max(n) AS BIGINT) AS sub_rows FROM (SELECT lane, sum(d) OVER (PARTITION BY lane ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM p) GROUP BY 1) """
+query("tl_packing", SPANS_SQL + "SELECT lane, sub_rows, events FROM rows_ JOIN (SELECT lane, count(*) AS events FROM f GROUP BY 1) USING (lane)")(
+    lambda spark, sf: timeline.sub_rows(event_table(spark, sf)).groupBy("lane").agg((F.max("sub_row") + 1).cast("long").alias("sub_rows"), F.count("*").alias("events"))
+)
+query("tl_sub_row_counts", SPANS_SQL + "SELECT * FROM rows_")(lambda spark, sf: timeline.sub_row_counts(event_table(spark, sf)))
+query("tl_wall_clock", E + """SELECT min(epoch_ms("Start")) AS low, greatest(max(epoch_ms(coalesce(Finish, "Start"))) - min(epoch_ms("Start")), 1000) AS span FROM ev""")(lambda spark, sf: timeline.wall_clock(event_table(spark, sf)))
+query("tl_duration_filter", E + """SELECT Id AS id, strftime("Start", '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms("Start") % 1000 AS VARCHAR), 3, '0') || 'Z' AS start_utc FROM ev WHERE epoch(Finish) - epoch("Start") > 30""")(
+    lambda spark, sf: (lambda e: e.where(column(Term("Duration", "gt", TimeOfDay(30)), e.schema)).select(F.col("Id").alias("id"), F.col("StartUtc").alias("start_utc")))(timeline.enriched(event_table(spark, sf), AS_OF))
+)
 
 # --- services and memory ------------------------------------------------------------------------------------------
 
@@ -311,7 +342,7 @@ query("mem_series", SAMPLES_SQL + "SELECT grp, ts, round(CAST(sum(current) + sum
 query("mem_legend", SAMPLES_SQL + "SELECT grp, count(*) AS members, round(sum((current + child) / 1e6), 6) AS sum_mb, round(avg((current + child) / 1e6), 6) AS avg_mb FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS n FROM samples) WHERE n = 1 GROUP BY 1")(
     lambda spark, sf: metrics.legend(samples(spark, sf), "grp")
 )
-POINTS_SQL = SAMPLES_SQL[:-1] + ", points AS (SELECT grp AS series, epoch_ms(date_trunc('hour', ts)) AS ts, avg(CAST(id AS DOUBLE)) AS value FROM samples WHERE id % 3 = 0 GROUP BY 1, 2) "
+POINTS_SQL = SAMPLES_SQL[:-1] + ", points AS (SELECT key AS series, epoch_ms(date_trunc('hour', ts)) AS ts, avg(CAST(id AS DOUBLE)) AS value FROM samples GROUP BY 1, 2) "
 
 
 @query("mem_interpolated", POINTS_SQL[:-1] + """, g AS (SELECT s.series, t.ts, p.value FROM (SELECT DISTINCT series FROM points) s CROSS JOIN (SELECT DISTINCT ts FROM points) t LEFT JOIN points p ON p.series = s.series AND p.ts = t.ts),
@@ -319,8 +350,12 @@ n AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS)
 WINDOW a AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT series, ts, round(CASE WHEN t1 IS NULL THEN v2 WHEN t2 IS NULL OR t1 = t2 THEN v1 ELSE v1 + (v2 - v1) * ((ts - t1) / (t2 - t1)) END, 6) AS value FROM n""")
 def mem_interpolated(spark, sf):
-    p = samples(spark, sf).where("id % 3 = 0").groupBy(F.col("grp").alias("series"), F.unix_millis(F.date_trunc("hour", "ts").cast("timestamp")).alias("ts")).agg(F.avg(F.col("id").cast("double")).alias("value"))
-    return metrics.interpolated(p)
+    return metrics.interpolated(hourly(spark, sf))
+
+
+def hourly(spark, sf):
+    """Points of each key by hour; a key isn't seen in every hour."""
+    return samples(spark, sf).groupBy(F.col("key").alias("series"), F.unix_millis(F.date_trunc("hour", "ts").cast("timestamp")).alias("ts")).agg(F.avg(F.col("id").cast("double")).alias("value"))
 
 
 query("spark_points", SAMPLES_SQL + """, w AS (SELECT *, epoch_us(ts) AS t, min(epoch_us(ts)) OVER k AS a, max(epoch_us(ts)) OVER k AS b, max(value) OVER k AS top, count(*) OVER k AS n FROM samples WINDOW k AS (PARTITION BY key))
@@ -451,3 +486,6 @@ def docs_raw_match(spark, sf):
     e = table(spark, sf, "events")
     match = {"$or": [{"event_type": {"$in": ["click", "view"]}, "value": {"$gte": 50}}, {"user_id": {"$not": {"$ne": 7}}}, {"event_type": {"$regex": "^sig"}}]}
     return e.where(match_column(match, e.schema)).select("event_id")
+
+
+from tidewatch.plans import more as _more  # noqa: E402, F401  its queries register themselves

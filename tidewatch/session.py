@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -39,6 +40,11 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
 
 
+def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows, marked for broadcasting if they are counted to be at most so many; else Spark chooses."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

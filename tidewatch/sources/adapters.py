@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.events import upsert
+from tidewatch.plans.lineage import stored
 from tidewatch.session import table
 
 RUNS_SQL = """
@@ -85,6 +86,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(raw_events(spark, sf_dir))
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once, for plans of several branches."""
+    return stored(events(spark, sf_dir))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages of topics, with partition and offset."""
     from pyspark.sql import Window
@@ -98,11 +104,12 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as services on nations as hosts, last seen some minutes before 2024-01-31."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     seen = F.lit("2024-01-31").cast("timestamp_ntz") - F.make_dt_interval(secs=(F.col("s_suppkey") % 61).cast("decimal(18,6)"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.concat(F.lit("svc-"), (F.col("s_suppkey") % 5).cast("string")).alias("ServiceName"), F.col("n_name").alias("HostName"), F.col("s_suppkey").cast("int").alias("ProcessId"), seen.alias("Updated"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") / 10).alias("RamMb"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.concat(F.lit("svc-"), (F.col("s_suppkey") % 5).cast("string")).alias("ServiceName"), F.col("n_name").alias("HostName"), F.col("s_suppkey").cast("int").alias("ProcessId"), seen.alias("Updated"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") / 10).alias("RamMb"), (seen - F.make_dt_interval(hours=(F.col("s_suppkey") % 200).cast("int"))).alias("Created"), F.when(F.col("s_acctbal") > 5000, F.col("s_acctbal") / 5).alias("PeakMb"))
 
 
 SERVICES_SQL = """
 services AS (
   SELECT 'svc-' || CAST(s_suppkey % 5 AS VARCHAR) AS ServiceName, n_name AS HostName, CAST(s_suppkey AS INTEGER) AS ProcessId,
-    TIMESTAMP '2024-01-31' - (s_suppkey % 61) * INTERVAL 1 SECOND AS Updated, CASE WHEN s_acctbal > 0 THEN s_acctbal / 10 END AS RamMb
+    TIMESTAMP '2024-01-31' - (s_suppkey % 61) * INTERVAL 1 SECOND AS Updated, CASE WHEN s_acctbal > 0 THEN s_acctbal / 10 END AS RamMb,
+    TIMESTAMP '2024-01-31' - (s_suppkey % 61) * INTERVAL 1 SECOND - (s_suppkey % 200) * INTERVAL 1 HOUR AS Created, CASE WHEN s_acctbal > 5000 THEN s_acctbal / 5 END AS PeakMb
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""

@@ -1,7 +1,8 @@
 """Streams of events: the batch operators' semantics, kept up to date.
 
-State is Spark's own: grouped `max_by` keeps the newest row of each key, so an older row that comes late changes
-nothing. A watermark, if given, bounds the state; without one it grows with the number of keys.
+State is Spark's own. `newest` is a grouped `max_by`: an older row that comes late changes nothing, and the state grows with the
+number of keys. `newest_live`, `history` and `failure_streaks` take `idle`, an interval of event time after which a key that
+has no new rows is forgotten, so their state is bounded by the keys in use.
 """
 
 from __future__ import annotations
@@ -19,35 +20,82 @@ def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def newest(stream: DataFrame, key: str, order: tuple[str, ...], time: str | None = None, late: str = "3 hours") -> DataFrame:
+def newest(stream: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """The newest row of each key (by order, ascending; nulls are oldest), for update or complete mode."""
-    if time:
-        stream = stream.withWatermark(time, late)
-    rank = F.struct(*order)
-    keys = [key, F.window(time, late)] if time else [key]
-    rows = stream.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), rank).alias("row"))
+    rows = stream.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.struct(*order)).alias("row"))
     return rows.select("row.*")
 
 
+def seconds_of(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.removesuffix("s")]
+
+
+def kept_by_key(stream: DataFrame, key: str, time: str, output: str, state: str, step: Callable, idle: str | None) -> DataFrame:
+    """step(key, new rows, state or None) -> (rows that go out, state), for each key with new rows; keys idle for so long are forgotten."""
+
+    def run(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        out, after = step(keys[0], pd.concat(list(parts)), tuple(held.get) if held.exists else None)
+        held.update(after)
+        if idle:
+            held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + 1000 * seconds_of(idle))
+        yield out
+
+    rows = stream.withWatermark(time, idle) if idle else stream
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, output, state, "update" if idle else "append", timeout)
+
+
+def newest_live(stream: DataFrame, key: str, time: str, columns: str, idle: str = "3 hours") -> DataFrame:
+    """The newest row of each key by time, sent again whenever it changes; of one time the first to arrive. columns: the stream's, as a schema."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def step(_: object, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        best = rows.sort_values(time, kind="stable").drop_duplicates(time).iloc[-1]
+        if held is not None and held[names.index(time)] >= best[time]:
+            return rows.iloc[:0][names], held
+        return pd.DataFrame([best])[names], tuple(best[names])
+
+    return kept_by_key(stream, key, time, columns, columns, step, idle)
+
+
+def history(stream: DataFrame, keep: int = 1000, idle: str | None = "3 hours") -> DataFrame:
+    """Each key's newest samples, one for each moment (the last to arrive), oldest first: key, n and the arrays ts, current and child, sent with each change.
+
+    stream: key, ts, id (order of arrival), current, child.
+    """
+
+    def step(key: object, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        known = dict(zip(held[0], zip(held[1], held[2], strict=True), strict=True)) if held else {}
+        rows = rows.sort_values("id")
+        known |= dict(zip((int(t.timestamp() * 1000) for t in rows["ts"]), zip(rows["current"].tolist(), rows["child"].tolist(), strict=True), strict=True))
+        last = sorted(known.items())[-keep:]
+        state = [t for t, _ in last], [c for _, (c, _) in last], [d for _, (_, d) in last]
+        return pd.DataFrame({"key": [key], "n": [len(last)], "ts": [state[0]], "current": [state[1]], "child": [state[2]]}), state
+
+    return kept_by_key(stream, "key", "ts", "key string, n int, ts array<long>, current array<long>, child array<long>", "ts array<long>, current array<long>, child array<long>", step, idle)
+
+
 def alive(latest: DataFrame, as_of: str, seconds: int = 30) -> DataFrame:
     """Latest heartbeats with whether they are online; liveness is decided when read."""
     age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("Updated").cast("timestamp"))
     return latest.withColumn("IsOnline", age <= seconds)
 
 
-def failure_streaks(stream: DataFrame) -> DataFrame:
-    """Consecutive failures of each key up to each check. stream: key, ts, ok; rows of a batch are taken by ts."""
+def failure_streaks(stream: DataFrame, idle: str | None = None) -> DataFrame:
+    """Consecutive failures of each key up to each check. stream: key, ts, id, ok; rows of a batch are taken by ts and id. idle: after so long a key begins anew."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows, out = pd.concat(list(parts)).sort_values("ts"), []
+    def step(_: object, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        rows, streak, out = rows.sort_values(["ts", "id"]), held[0] if held else 0, []
         for ok in rows["ok"]:
             streak = 0 if ok else streak + 1
             out.append(streak)
-        state.update((streak,))
-        yield pd.DataFrame({"key": rows["key"], "ts": rows["ts"], "streak": out})
+        return pd.DataFrame({"key": rows["key"], "ts": rows["ts"], "streak": out}), (streak,)
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, streak long", "streak long", "append", GroupStateTimeout.NoTimeout)
+    return kept_by_key(stream, "key", "ts", "key string, ts timestamp, streak long", "streak long", step, idle)
 
 
 def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None):
