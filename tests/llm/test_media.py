@@ -1,4 +1,6 @@
+import cmath
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -53,3 +55,22 @@ def test_blocks_of_frames_join(monkeypatch):
     for block in (1, 2, 7, 42):
         monkeypatch.setattr(media, "BLOCK", block)
         assert (media.spectral_peaks(samples) == whole).all()
+
+
+def test_fingerprints_are_those_of_a_plain_transform(spark):
+    def plain(data):
+        """Peaks by sums of sines and cosines, and their pairs in order of time."""
+        n = len(data)
+        at = lambda i: data[(i % (2 * n)) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)] - 128
+        hann = [0.5 - 0.5 * math.cos(2 * math.pi * k / 255) for k in range(256)]
+        peaks = []
+        for f in range(-(-n // 128) + 1):
+            frame = [at((f - 1) * 128 + k) * hann[k] for k in range(256)]
+            power = [abs(sum(x * cmath.exp(-2j * math.pi * b * k / 256) for k, x in enumerate(frame))) for b in range(2, 129)]
+            peaks.append(2 + max(range(len(power)), key=power.__getitem__))
+        return sorted((i, (peaks[i] << 16) | (peaks[i + gap] << 4) | gap) for i in range(len(peaks)) for gap in (1, 2, 3) if i + gap < len(peaks))
+
+    texts = ["".join(map(chr, np.random.default_rng(size).integers(97, 123, size))) for size in (1, 63, 256, 300, 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_columns(df).collect():
+        assert list(zip(r.times, r.codes, strict=True)) == plain(texts[r.doc_id].encode()), len(texts[r.doc_id])

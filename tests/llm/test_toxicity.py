@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidewatch.llm import quality, toxicity
 
 
@@ -66,3 +68,56 @@ def test_empty(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn(docs, labels) == toxicity.Lexicon()
     assert toxicity.score(docs, toxicity.Lexicon()).count() == 0
+
+
+def naive(text, lexicon):
+    """The three features by trying every term at every place."""
+    shown = toxicity.plain(text)
+    folded = toxicity.DISGUISED.sub(toxicity.letters, shown)
+    read = toxicity.coarse(folded)
+    hits, spans = [], []
+    listed = [(toxicity.fold(t.removesuffix("*")), w, t.endswith("*")) for t, w in lexicon.weights.items()] + [(toxicity.fold(p), None, False) for p in lexicon.exceptions]
+    for start in range(len(read)):
+        for word, weight, stem in listed:
+            end = start + len(word)
+            if end > len(read) or read[start:end] != toxicity.coarse(word) or (start and read[start - 1].isalpha()) or (end < len(folded) and folded[end].isalpha() and not stem):
+                continue
+            same = folded[start:end] == word
+            if same or toxicity.spells(shown[start:end], word):
+                (spans if weight is None else hits).append((start, end, word, weight, same))
+    hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, *_ in spans)]
+    best = {}
+    for start, _, _, weight, _ in hits:
+        best[start] = max(best.get(start, 0), weight)
+    plainly = {h[0] for h in hits if h[4]}
+    kinds = {h[2][:4] for h in hits if h[4] or h[0] not in plainly}
+    words = folded.count(" ") + folded.count("\n") + 1
+    return np.log1p(sum(best.values())), len(kinds) ** 0.5, np.log1p(100 * sum(best.values()) / words)
+
+
+def test_matcher_is_a_naive_scan():
+    rng = random.Random(8)
+    weights = {t: 1.0 + i / 7 for i, t in enumerate(toxicity.SEED_TERMS)} | {"idio*": 2.0, "imbec*": 1.5, "fail": 3.0, "fall*": 2.5}
+    lexicon = toxicity.Lexicon(weights=weights)
+    read = lexicon.matcher()
+    parts = [*toxicity.SEED_TERMS, *toxicity.EXCEPTIONS, "fail", "falling", "garden", "trash", "ioser", "30$", "1", "É", "ſ"]
+    disguise = {"o": "0", "i": "1", "l": "1", "e": "3", "a": "@", "s": "$", "t": "7", "c": "с", "p": "р"}
+    some = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", "s ", "!", "\n", "\u200b", "x"]) for _ in range(rng.randrange(7)))
+        text = "".join(disguise.get(c, c) if rng.random() < 0.2 else c.upper() if rng.random() < 0.1 else c for c in text)
+        assert np.allclose(read(text), naive(text, lexicon)), text
+        some += read(text)[0] > 0
+    assert 300 < some < 1400
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    long = "plain words here " * 60_000
+    rows = [(1, long, 9.0, "p"), (1, long, 9.0, "p"), (2, long + "idiot moron scum " * 3000, 9.0, "p"), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    got = toxicity.score(docs, toxicity.Lexicon()).collect()
+    assert toxicity.score(docs, toxicity.Lexicon()).columns == ["doc_id", "text", "score", "predicted"] and len(got) == 4
+    by = {r.doc_id: r.predicted for r in got}
+    assert by == {1: 0, 2: 1, 3: 0}
+    model = quality.fit(np.zeros((0, 1)), np.zeros(0))
+    assert quality.score(docs, model).columns == ["doc_id", "text", "score", "predicted"] and quality.score(docs, model).count() == 4

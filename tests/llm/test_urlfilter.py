@@ -1,3 +1,6 @@
+import random
+import re
+
 from tidewatch.llm import urlfilter as u
 
 RULES = [u.parse_rule(r) for r in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
@@ -51,3 +54,32 @@ def test_the_whole_url_is_judged(spark):
     assert {r.page_id: r.verdict for r in got} == {i: verdict for i, (_, _, verdict) in enumerate(rows)}
     assert {r.page_id: r.rule for r in got} == {i: rule or None for i, (_, rule, _) in enumerate(rows)}
     assert got[2].host == got[2].path == "" and {r.host for r in got[:2]} == {"x.net"} and got[0].path == "/search"
+
+
+def plain(url, terms, limit):
+    """The verdict by looking for each term by itself."""
+    text = "".join(c.lower() if c.isascii() else c for c in url or "")
+    words = {w: n for w, n in terms if re.search(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", text)}
+    return "block" if sum(words.values()) >= limit else "allow"
+
+
+def test_vocabulary_is_a_plain_search(spark):
+    terms = u.vocabulary()
+    assert 150 < len(terms) < 260 and {n for _, n in terms} == {2, 3, 6}
+    rng = random.Random(2)
+    words = [w for w, _ in terms] + ["news", "garden", "bookshelf", "casinos2", "é"]
+    rows = []
+    for i in range(1500):
+        text = "".join(rng.choice(words) + rng.choice(["-", "/", ".", "x", "_", "?", "=", "É"]) for _ in range(rng.randrange(4)))
+        rows.append((i, rng.choice(["http://a.example.net/", "", "HTTP://B.com/"]) + (text.upper() if i % 7 == 0 else text)))
+    for limit in (6, 4):
+        got = {r.page_id: r.verdict for r in u.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [], limit=limit).collect()}
+        assert got == {i: plain(url, terms, limit) for i, url in rows} and len(set(got.values())) == 2
+
+
+def test_a_file_of_terms(spark, tmp_path):
+    (tmp_path / "terms").write_text("# none: x\n6: Alpha\n\n2: beta gamma alpha\n3: beta\n")
+    assert u.vocabulary(str(tmp_path / "terms")) == (("alpha", 6), ("beta", 3), ("gamma", 2))
+    pages = spark.createDataFrame([(1, "http://alpha.x"), (2, "http://beta.gamma"), (3, "http://casino.x")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict) for r in u.filter_urls(pages, [], terms=(("alpha", 6), ("beta", 3), ("gamma", 2))).collect()) == [(1, "block"), (2, "allow"), (3, "allow")]
+    assert {r.verdict for r in u.filter_urls(pages, [], terms=()).collect()} == {"allow"}

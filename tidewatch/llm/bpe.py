@@ -9,7 +9,8 @@ and remembered. The result is what merging by rank gives, in time linear in the
 Encodings of stretches between single spaces are remembered in a bounded table, since a space before a
 visible character always begins a piece.
 
-Defined results: null texts are empty and have no ids. Ranks must hold all 256 bytes.
+Defined results: null and empty texts have no ids, decoded to no bytes. Long texts are encoded whole. Repeated rows, and rows without an id, are
+encoded each; an empty table gives none. Extra columns are not read. Ranks must hold all 256 bytes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.textops import bounded_slices
+
 #: Marks that form a piece of their own after a word.
 PLAIN = frozenset(".,;:!?)")
 #: A space before another white space or at the end: there a space alone doesn't begin a piece.
@@ -213,8 +216,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern).encode
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for part in bounded_slices(batch, 1, 1000):
                 ids = pa.array([encode(t or "") for t in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
 
@@ -228,8 +230,7 @@ def decode_column(encoded: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = encoder(path, pattern).decode
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for part in bounded_slices(batch, 1, 1000):
                 data = pa.array([decode(x) for x in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], names=["id", "ids", "data"])
 

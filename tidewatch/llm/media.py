@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.textops import bounded_slices
+
 RATE, FRAME, HOP, BLOCK, FAN = 8000, 256, 128, 4096, 3
 WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -82,17 +84,16 @@ def fingerprint(samples: np.ndarray, fan: int = FAN) -> tuple[np.ndarray, np.nda
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, len(ids), 256):
+        for part in bounded_slices(batch, 1, 256):
             media, codes, times, sizes = [], [], [], []
-            for text in texts.slice(at, 256).to_pylist():
+            for text in part.column(1).to_pylist():
                 data = (text or "").encode()
                 media.append(to_wav(pad(data)))
                 sizes.append(len(data))
                 c, t = fingerprint(np.frombuffer(from_wav(media[-1]), dtype=np.uint8)[: len(data) or None])
                 codes.append(c)
                 times.append(t)
-            yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=["id", "n_bytes", "media", "codes", "times"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=["id", "n_bytes", "media", "codes", "times"])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ labelled rows, chosen by a hash of their doc_id.
 
 Defined results: null and empty texts have zero statistics and a score like any other. Labels that are null or for
 absent documents are ignored; of several labels for a doc_id the greatest counts. Without usable
-labels every score is 0.5. Repeated rows are scored each. Extra columns are not read.
+labels every score is 0.5. Repeated rows are scored each. Extra columns are carried, but for ones named score or predicted, which
+the results replace.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.textops import U64, Hasher, string_buffers, text_chunks, word_spans
 
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.7
-#: Character classes whose share of the bytes is a statistic.
+#: Character classes whose part of the bytes is a statistic.
 CLASSES = {
     "upper": range(ord("A"), ord("Z") + 1),
     "lower": range(ord("a"), ord("z") + 1),
@@ -80,7 +81,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         length = ends - starts
         longest = np.zeros(n)
         np.maximum.at(longest, of, length)
-        share = lambda flags: np.bincount(of, weights=flags, minlength=n)
+        summed = lambda flags: np.bincount(of, weights=flags, minlength=n)
         breaks = np.flatnonzero(part == 0x0A)
         line_ends = np.union1d(breaks, ends_at[1:][size > 0]) if len(part) else breaks
         line_starts = np.concatenate([[0], line_ends[:-1] + (part[np.minimum(line_ends[:-1], len(part) - 1)] == 0x0A)]) if len(line_ends) else line_ends
@@ -90,10 +91,10 @@ def statistics(texts: pa.Array) -> np.ndarray:
         n_lines = np.bincount(line_of, minlength=n)
         lines = _hasher().words(part, line_starts, line_ends)
         some = lambda x, y: np.divide(x, y, out=np.zeros(n), where=y > 0)
-        cols = [size, n_words, n_lines, some(share(length), n_words), some(size, n_lines)]
+        cols = [size, n_words, n_lines, some(summed(length), n_words), some(size, n_lines)]
         cols += [some(counts[name], size) for name in CLASSES]
         cols += [some(_distinct(words, of, n), n_words), some(_distinct(lines, line_of, n), n_lines), longest]
-        cols += [some(share(TABLES["upper"][part[starts]]), n_words), some(share(TABLES["stop"][part[ends - 1]]), n_words), some(share(TABLES["shout"][part[ends - 1]] | TABLES["symbol"][part[ends - 1]]), n_words)]
+        cols += [some(summed(TABLES["upper"][part[starts]]), n_words), some(summed(TABLES["stop"][part[ends - 1]]), n_words), some(summed(TABLES["shout"][part[ends - 1]] | TABLES["symbol"][part[ends - 1]]), n_words)]
         out.append(np.stack(cols, axis=1).astype(float))
     return np.concatenate(out)
 
@@ -186,7 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted appended."""
+    """docs with score and predicted appended; columns of these names are replaced."""
+    docs = docs.drop("score", "predicted")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,10 +91,10 @@ OP9_SQL = f"""
 WITH parts AS (
   SELECT page_id,
     translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS judged
   FROM pages)
 SELECT page_id, host, path, {_rule_case("name")} AS rule,
-  coalesce({_rule_case("verdict")}, {urlfilter.verdict_sql("translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS verdict
+  coalesce({_rule_case("verdict")}, {urlfilter.verdict_sql("judged")}) AS verdict
 FROM parts
 """
 

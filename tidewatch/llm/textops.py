@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 17
 U64 = np.uint64
@@ -86,6 +87,17 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bounded_slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and about as many bytes in a text or binary column; a longer value stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, none of which reaches over two texts, and len + 1 offsets of each text's words."""
     solid = ~SPACE[data]

@@ -8,11 +8,13 @@ weight found, of the number of different terms and of the weight for each hundre
 
 Weights are log odds, learned from labelled rows: words and word beginnings whose association with the label
 is beyond doubt (a likelihood-ratio test). Near copies of a labelled text count once there, so words of one much
-copied text don't become terms. Fitting takes at most `sample_rows` labelled rows, chosen by a hash of doc_id.
+copied text don't become terms. Fitting takes at most `sample_rows` labelled rows, chosen by a hash of doc_id, and of the terms
+found there the MOST_TERMS with the greatest ratios: both bound the model, not the documents that are scored.
 
 Defined results: null, empty and termless texts have the score of a text without terms. Labels that are
 null or for absent documents are ignored. Without usable labels the seed lexicon and default
-coefficients hold. Repeated rows are scored each. Texts are read whole; extra columns are carried.
+coefficients hold. Repeated rows are scored each. Texts are read whole; extra columns are carried, but for ones named score
+or predicted, which the results replace.
 """
 
 from __future__ import annotations
@@ -36,20 +38,41 @@ SAMPLE_ROWS, THRESHOLD = 40_000, 0.7
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "clown", "imbecile", "vermin", "bastard", "asshole", "bitch", "retard")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "pond scum", "clown fish", "class clown", "loser bracket", "worthless check")
 SEED_WEIGHT, STEMS, STEM_MARK = 5.0, (4, 5, 6, 7, 8), "*"
-#: Least likelihood ratio (twice its logarithm) of a term, and least log odds.
+#: Least likelihood ratio (twice its logarithm) of a term, least log odds, and most terms of a lexicon.
 LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS = 25.0, 2.5, 10_000
 
 #: Terms that a task counts before it hands them on.
 COUNTED_TERMS = 50_000
 
-#: Letters of other scripts that look like Latin ones.
-LOOK_ALIKE = dict(
-    zip(
-        "абвгеёзийкмнорстухіїјѕҽԁԛԝ" + "αβγεηικνορτυχω" + "ıłøđƒ",
-        "a6breeзийkmhopctyxiijseдqw".replace("з", "3").replace("и", "u").replace("й", "u").replace("6", "b").replace("д", "d").replace("h", "h") + "abyenikvoptuxw" + "ilodf",
-        strict=True,
-    )
-)
+#: Letters of other scripts that look like a Latin one (or like a digit that stands for one).
+LOOK_ALIKE = {
+    "3": "з",
+    "a": "аαɑ",
+    "b": "бвβ",
+    "c": "сϲ",
+    "d": "ԁđ",
+    "e": "еёҽεє",
+    "f": "ƒ",
+    "g": "ɡ",
+    "h": "нһ",
+    "i": "іїιıɩ",
+    "j": "јϳ",
+    "k": "кκ",
+    "l": "łӏ",
+    "m": "м",
+    "n": "ηոп",
+    "o": "оοøօ",
+    "p": "рρ",
+    "q": "ԛ",
+    "r": "г",
+    "s": "ѕ",
+    "t": "тτ",
+    "u": "ийυս",
+    "v": "νѵ",
+    "w": "ԝωѡ",
+    "x": "хχ",
+    "y": "уγү",
+}
 #: Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 DISGUISED = re.compile(r"[0134578@$]+(?=[^\W\d_])")
@@ -64,7 +87,7 @@ def _fold_table() -> dict[int, str | None]:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).lower()
         if plain and plain != chr(code):
             table[code] = plain
-    return table | {ord(a): b for a, b in LOOK_ALIKE.items()} | HIDDEN
+    return table | {ord(c): letter for letter, others in LOOK_ALIKE.items() for c in others} | HIDDEN
 
 
 FOLD = _fold_table()
@@ -161,7 +184,7 @@ def _terms(text: str) -> set[str]:
 
 
 def _marks(text: str) -> list[str]:
-    """Two hashes that near copies of a text mostly share: the least of its word triples under two orders."""
+    """Two hashes that near copies of a text mostly have in common: the least of its word triples under two orders."""
     words = text.split()
     triples = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
     return [min(hash_text(t, seed) for t in triples) for seed in ("a", "b")]
@@ -251,7 +274,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted appended."""
+    """docs with score and predicted appended; columns of these names are replaced."""
+    docs = docs.drop("score", "predicted")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

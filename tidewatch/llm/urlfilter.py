@@ -2,7 +2,9 @@
 
 Host and path are cut out with SQL functions. Rules are native column expressions. Urls without a
 rule are judged by one Aho-Corasick pass over the whole url: a term counts only between characters
-that are no ASCII letters or digits; one strict term rejects, and so do `soft_limit` distinct soft terms.
+that are no ASCII letters or digits, and once however often it stands there. A url is rejected when its terms weigh `LIMIT`
+together: one strict term does, soft ones only with other terms. The vocabulary is a file, a parameter; urls that a rule
+has decided aren't searched, and each worker builds its automaton once.
 
 Defined results: a null, empty or malformed url (no `://`) has an empty host and path and no rule; the
 vocabulary judges what text there is, and allows null and empty ones. Urls of any length are read
@@ -13,15 +15,30 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms that reject a url alone, and terms of which several distinct ones do.
-STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "cialis", "escort", "jackpot", "spam", "warez", "gambling", "camgirl", "hentai")
-SOFT_TERMS = ("cheap", "pills", "free", "bets", "bet", "win", "ads", "track", "farm", "bonus", "poker", "slots", "loan", "loans", "adult", "sexy", "nude", "crack", "keygen", "torrent", "click", "deal", "prize", "dating")
+#: The weight that rejects a url, and the file of terms.
+LIMIT, TERMS = 6, str(Path(__file__).with_name("url_terms.txt"))
+
+Vocabulary = tuple[tuple[str, int], ...]
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str = TERMS) -> Vocabulary:
+    """Terms with their weights from a file of lines `weight: term term ...`; of a term given twice the greatest weight counts."""
+    found: dict[str, int] = {}
+    for line in Path(path).read_text(encoding="utf-8").splitlines():
+        weight, colon, terms = line.partition(":")
+        if colon and not line.startswith("#"):
+            for term in terms.lower().split():
+                found[term] = max(found.get(term, 0), int(weight))
+    return tuple(sorted(found.items()))
 
 
 @dataclass(frozen=True)
@@ -67,57 +84,50 @@ def matching_rule(host: Column, path: Column, rules: list[Rule], value: str) ->
     return found
 
 
-def vocabulary_verdict(strict: tuple[str, ...], soft: tuple[str, ...], soft_limit: int):
-    """A pandas UDF: text -> allow or block by the vocabulary."""
+@lru_cache(maxsize=4)
+def automaton(terms: Vocabulary):
+    """One automaton for each worker process."""
+    found = ahocorasick.Automaton()
+    for word, weight in terms:
+        found.add_word(word, (word, weight))
+    found.make_automaton()
+    return found
+
+
+def weighs(text: str, terms: Vocabulary, limit: int) -> bool:
+    """Whether the different terms of a text that stand between other characters than ASCII letters and digits weigh the limit."""
+    seen, total = set(), 0
+    for end, (word, weight) in automaton(terms).iter(text):
+        start = end - len(word)
+        if word in seen or (start >= 0 and text[start].isascii() and text[start].isalnum()) or (end + 1 < len(text) and text[end + 1].isascii() and text[end + 1].isalnum()):
+            continue
+        seen.add(word)
+        total += weight
+        if total >= limit:
+            return True
+    return False
+
+
+def vocabulary_verdict(terms: Vocabulary, limit: int):
+    """A pandas UDF: text -> allow or block by the vocabulary, null for null."""
 
     @F.pandas_udf("string")
     def judge(texts: pd.Series) -> pd.Series:
-        automaton = ahocorasick.Automaton()
-        for word in {*strict, *soft}:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        heavy, out = set(strict), []
-        for text in texts:
-            light, verdict = set(), "allow"
-            for end, word in automaton.iter(text):
-                start = end - len(word)
-                if (start >= 0 and text[start].isascii() and text[start].isalnum()) or (end + 1 < len(text) and text[end + 1].isascii() and text[end + 1].isalnum()):
-                    continue
-                if word in heavy:
-                    verdict = "block"
-                    break
-                light.add(word)
-            out.append("block" if len(light) >= soft_limit else verdict)
-        return pd.Series(out, dtype="str")
+        return pd.Series([None if text is None else "block" if terms and weighs(text, terms, limit) else "allow" for text in texts], dtype="object")
 
     return judge
 
 
-def filter_urls(
-    pages: DataFrame,
-    rules: list[Rule],
-    url: str = "url",
-    keep: tuple[str, ...] = ("page_id",),
-    strict: tuple[str, ...] = STRICT_TERMS,
-    soft: tuple[str, ...] = SOFT_TERMS,
-    soft_limit: int = 2,
-) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", keep: tuple[str, ...] = ("page_id",), terms: Vocabulary | None = None, limit: int = LIMIT) -> DataFrame:
     """Columns `keep`, host, path, rule (null if none fits) and verdict, one row per input row."""
     parts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.coalesce(ascii_lower(F.col(url)), F.lit("")).alias("_judged"))
-    judge = vocabulary_verdict(strict, soft, soft_limit)
-    host, path = F.col("host"), F.col("path")
-    return parts.select(
-        *keep,
-        "host",
-        "path",
-        matching_rule(host, path, rules, "name").alias("rule"),
-        F.coalesce(matching_rule(host, path, rules, "verdict"), judge(F.col("_judged"))).alias("verdict"),
-    )
-
-
-def verdict_sql(text: str, strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[str, ...] = SOFT_TERMS, soft_limit: int = 2) -> str:
+    ruled = parts.select(*keep, "host", "path", "_judged", matching_rule(F.col("host"), F.col("path"), rules, "name").alias("rule"), matching_rule(F.col("host"), F.col("path"), rules, "verdict").alias("_ruled"))
+    judge = vocabulary_verdict(vocabulary() if terms is None else terms, limit)
+    return ruled.select(*keep, "host", "path", "rule", F.coalesce("_ruled", judge(F.when(F.col("_ruled").isNull(), F.col("_judged")))).alias("verdict"))
+
+
+def verdict_sql(text: str, terms: Vocabulary | None = None, limit: int = LIMIT) -> str:
     """The vocabulary's verdict on a SQL text expression, for DuckDB."""
     bounded = lambda w: f"regexp_matches({text}, '(^|[^a-z0-9]){re.escape(w)}($|[^a-z0-9])')"
-    one = " OR ".join(map(bounded, strict))
-    some = " + ".join(f"CAST({bounded(w)} AS INTEGER)" for w in soft)
-    return f"CASE WHEN {one} OR ({some}) >= {soft_limit} THEN 'block' ELSE 'allow' END"
+    weight = " + ".join(f"{n} * CAST({bounded(w)} AS INTEGER)" for w, n in (vocabulary() if terms is None else terms))
+    return f"CASE WHEN {weight} >= {limit} THEN 'block' ELSE 'allow' END"
