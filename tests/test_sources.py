@@ -18,6 +18,13 @@ def test_json_with_comments(tmp_path, spark):
     assert config.hints(spark, str(tmp_path), "none") is None and config.load(str(tmp_path / "none"), 3) == 3
 
 
+def test_environment(tmp_path):
+    (tmp_path / "dev1.json").write_text('{"KAFKA": {"Servers": "a:1", "other": 2}, /* none */ "sql": 3}')
+    defaults = {"Kafka": {"servers": "", "cap": 2000}, "Sql": {"schema": "dbo"}}
+    assert config.environment(str(tmp_path), "DEV1", defaults) == {"Kafka": {"servers": "a:1", "cap": 2000}, "Sql": {"schema": "dbo"}}
+    assert config.environment(str(tmp_path), "none", defaults) == defaults
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([("Load", "full", "A", ["nightly"]), ("Sync", None, "B", None)], "name string, description string, category string, tags array<string>")
     names = lambda d: [r.name for r in d.collect()]
@@ -45,6 +52,10 @@ def test_catalog(spark, tmp_path):
     tables = catalog.parquet_tables(spark, str(tmp_path))
     assert {(r.name, r.files) for r in tables.collect()} == {("One", 1), ("two", 1)}
     assert [r.name for r in catalog.page_of_tables(tables, "O", 2, 1).collect()] == ["two"]
+    stats = {r.name: (r.files, r.rows, r.row_bytes == r.bytes // r.rows) for r in catalog.table_stats(spark, str(tmp_path), ["One", "two"]).collect()}
+    assert stats == {"One": (1, 10, True), "two": (1, 5, True)}
+    columns = catalog.column_stats(spark.createDataFrame([(1, None), (2, "x"), (2, None)], "a int, `b c` string"))
+    assert sorted(map(tuple, columns.collect())) == [("a", "int", 0, 2), ("b c", "string", 2, 1)]
 
 
 def test_decoding_rules(spark):

@@ -75,3 +75,19 @@ def test_backfill(spark):
 def test_liveness(spark):
     df = spark.createDataFrame([(T0,), (T0 - timedelta(minutes=5),)], "Updated timestamp_ntz")
     assert [r.IsOnline for r in st.alive(df, "2024-01-01 00:00:10").collect()] == [True, False]
+
+
+def test_every_sink_gets_every_batch(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "key string, ts timestamp, ok boolean, id long"
+    for k in range(3):
+        write(spark, log, [("a", T0, True, k)], schema)
+    one, two = [], []
+    stream = st.read_log(spark, log, schema, 1)
+    query = st.fan_out(stream, str(tmp_path / "c"), lambda batch, n: one.append((n, [r.id for r in batch.collect()])), lambda batch, n: two.append((n, batch.count())))
+    query.awaitTermination(120)
+    assert [n for n, _ in one] == [0, 1, 2] and sorted(i for _, ids in one for i in ids) == [0, 1, 2] and two == [(0, 1), (1, 1), (2, 1)]
+    write(spark, log, [("a", T0, True, 9)], schema)
+    query = st.fan_out(stream, str(tmp_path / "c"), lambda batch, n: one.append((n, [r.id for r in batch.collect()])), every="400 milliseconds")
+    query.processAllAvailable()
+    query.stop()
+    assert one[-1] == (3, [9])  # goes on where it stopped

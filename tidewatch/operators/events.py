@@ -51,23 +51,47 @@ def bridge(run_events: DataFrame) -> DataFrame:
     return chunk.select(F.col("EventId").alias("Id"), F.col("CorrelationId").alias("Name"), "Service", "Pipeline", "Server", "ProcessId", F.col("TimestampUtc").alias("Start"), F.col("FinishUtc").alias("Finish"), "Error", "Source", count.alias("RecordCount"), "Info")
 
 
-#: Message types of the package catalog, as event kinds; others are dropped.
+#: Message types of the package catalog by kind of event; others are dropped. 40 is written when a task ends.
 CATALOG_KINDS = {30: "Process", 40: "Process", 120: "Error", 130: "Error", 70: "Info"}
+TASK_ENDED = 40
 
 
-def from_catalog(messages: DataFrame, executions: DataFrame) -> DataFrame:
-    """Catalog messages joined with their executions, as events: kind, pipeline and a short id from the path."""
+def from_catalog(messages: DataFrame, executions: DataFrame, run_id: str = "") -> DataFrame:
+    """Catalog messages of executions as run events; the messages of a task's beginning and end have one EventId, so they become one span.
+
+    messages: event_message_id, operation_id, message_time, message_type, package_name, message_source_name, execution_path, message; executions:
+    execution_id, server_name, process_id. event_message_id is carried, for the next cursor.
+    """
     kind = F.lit(None).cast("string")
     for code, name in CATALOG_KINDS.items():
         kind = F.when(F.col("message_type") == code, name).otherwise(kind)
-    joined = messages.join(executions, "operation_id").withColumn("Kind", kind).where(F.col("Kind").isNotNull())
-    return joined.select("event_message_id", "Kind", path_pipeline(F.col("execution_path")).alias("Pipeline"), short_id(F.concat_ws(":", F.col("operation_id").cast("string"), "execution_path")).alias("EventId"))
+    joined = messages.join(executions, messages.operation_id == executions.execution_id).withColumn("Kind", kind).where(F.col("Kind").isNotNull())
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    ended = F.col("message_type") == TASK_ENDED
+    path = F.concat_ws(":", F.col("operation_id").cast("string"), text("execution_path"))
+    return joined.select(
+        "event_message_id",
+        F.lit(run_id).alias("RunId"),
+        short_id(path).alias("EventId"),
+        path.alias("CorrelationId"),
+        text("package_name").alias("Service"),
+        text("server_name").alias("Server"),
+        F.coalesce("process_id", F.lit(0)).alias("ProcessId"),
+        path_pipeline(text("execution_path")).alias("Pipeline"),
+        "Kind",
+        text("message_source_name").alias("Source"),
+        F.col("message_time").alias("TimestampUtc"),
+        F.when(ended, F.col("message_time")).alias("FinishUtc"),
+        F.when(F.col("Kind") == "Error", "Failed").when(ended, "Success").otherwise("None").alias("Status"),
+        F.when(F.col("Kind") == "Error", F.col("message")).alias("Error"),
+        F.when(F.col("Kind") == "Info", F.col("message")).alias("Info"),
+    )
 
 
 def path_pipeline(path: Column) -> Column:
-    """The second part of a backslash path of three parts or more, else the last."""
+    """The second part of a backslash path of three parts or more; a shorter path has none, so it is empty."""
     parts = F.filter(F.split(path, r"\\"), lambda p: p != "")
-    return F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).otherwise(F.try_element_at(parts, F.lit(-1)))
+    return F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).otherwise("")
 
 
 def short_id(text: Column) -> Column:

@@ -57,6 +57,19 @@ def listing(runs: DataFrame, before: datetime, count: int = 0, ask: RunFilter =
     return rows.orderBy(key.desc_nulls_last() if ask.descending else key.asc_nulls_first(), "RunId").limit(min(count if count > 0 else PAGE_SIZE, MAX_RESULTS))
 
 
+def document_listing(documents: DataFrame, before: datetime, count: int = 0, ask: RunFilter = RunFilter()) -> DataFrame:
+    """Runs kept as documents that began before a moment; text is a pattern of RunId or RequestId in any case, and any column sorts."""
+    rows = documents.where(F.col("Start") < F.lit(before).cast("timestamp_ntz"))
+    if text := ask.text.strip():
+        rows = rows.where(F.col("RunId").rlike(f"(?i){text}") | F.col("RequestId").rlike(f"(?i){text}"))
+    if ask.statuses:
+        rows = rows.where(F.col("Status").isin(*ask.statuses))
+    if ask.types:
+        rows = rows.where(F.col("Type").isin(*ask.types))
+    key = F.col({"StartTime": "Start", "EndTime": "End"}.get(ask.sort, f"`{ask.sort}`"))
+    return rows.orderBy(key.desc_nulls_last() if ask.descending else key.asc_nulls_first(), "RunId").limit(min(count if count > 0 else PAGE_SIZE, MAX_RESULTS))
+
+
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """A page (from 1) of rows in a total order."""
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)

@@ -73,6 +73,12 @@ def topic_stats(messages: DataFrame) -> DataFrame:
     return partition_stats(messages).where(~F.col("Topic").startswith("__")).groupBy("Topic").agg(F.count("*").alias("partitions"), F.sum("n").alias("messages"))
 
 
+def with_configs(topics: DataFrame, configs: DataFrame) -> DataFrame:
+    """Topics with their settings as a map (empty without any). configs: Topic, name, value, a few for each topic."""
+    each = configs.groupBy("Topic").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("config"))
+    return topics.join(each, "Topic", "left").withColumn("config", F.coalesce("config", F.create_map().cast("map<string,string>")))
+
+
 def group_lag(messages: DataFrame, commits: DataFrame, assigned_only: bool = True) -> DataFrame:
     """Messages of each topic that a group hasn't committed; a missing commit counts from 0.
 

@@ -13,7 +13,7 @@ from tidewatch.operators import events as ev
 from tidewatch.operators import graph, logs, metrics, runs, topics, topology
 from tidewatch.plans.queries import AS_OF, EVENT_AS_OF, FORWARD_SQL, LINES_SQL, POINTS_SQL, RUN_EVENTS_SQL, SAMPLES_SQL, E, M, R, S, env_runs, filtered, lines, query, run_events, samples
 from tidewatch.session import table
-from tidewatch.sources import config
+from tidewatch.sources import catalog, config
 from tidewatch.sources.adapters import events as event_table
 from tidewatch.sources.adapters import messages as message_table
 from tidewatch.sources.adapters import services, stored_events
@@ -58,6 +58,13 @@ def docs_time(spark, sf):
     return d.select("o_orderkey", runs.document_time(d).alias("at"))
 
 
+@query("runs_document_scan", R + """SELECT RunId AS run_id, "End" AS end_ts FROM runs WHERE "Start" < TIMESTAMP '2001-08-01' AND (regexp_matches(RunId, '7.$|ORDER-1.*5$', 'i') OR regexp_matches(Description, '7.$|ORDER-1.*5$', 'i')) AND Status IN ('Failed', 'Completed') ORDER BY "End" DESC NULLS LAST, RunId LIMIT 200""")
+def runs_document_scan(spark, sf):
+    documents = run_table(spark, sf).withColumn("RequestId", F.col("Description"))
+    ask = runs.RunFilter(text="7.$|ORDER-1.*5$", statuses=("Failed", "Completed"), sort="EndTime")
+    return runs.document_listing(documents, datetime(2001, 8, 1), 200, ask).select(F.col("RunId").alias("run_id"), F.col("End").alias("end_ts"))
+
+
 query("runstats_local_day", R + f"""SELECT strftime("Start" AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York', '%Y-%m-%d') AS bucket, round(avg(CAST(epoch(coalesce("End", TIMESTAMP '{AS_OF}')) - epoch("Start") AS DOUBLE)), 3) AS avg_seconds,
 count(*) AS runs, count(*) FILTER (Status = 'Failed') AS failed, round(count(*) FILTER (Status = 'Failed') / count(*), 6) AS fail_rate FROM runs JOIN customer ON Cust = c_custkey GROUP BY 1""")(
     lambda spark, sf: runs.statistics(env_runs(spark, sf), "day", AS_OF, by_env=False, zone="America/New_York")
@@ -168,6 +175,13 @@ query("payload_values", "SELECT event_id, CAST(json_extract_string(props, '$.k')
 
 query("topic_fetch", M + "SELECT event_id, Payload AS payload FROM messages WHERE Topic = 'click' AND Part = 2 AND Off = 7")(lambda spark, sf: topics.fetch(message_table(spark, sf), "click", 2, 7).select("event_id", F.col("Payload").alias("payload")))
 query("topic_sort", M + "SELECT Topic, count(DISTINCT Part) AS partitions, count(*) AS messages FROM messages GROUP BY 1 ORDER BY messages DESC, Topic LIMIT 3")(lambda spark, sf: topics.sorted_topics(topics.topic_stats(message_table(spark, sf)), "MessageCount", True).limit(3))
+query("topic_configs", M + "SELECT Topic, count(DISTINCT Part) AS partitions, CASE WHEN Topic < 'm' THEN 'delete' END AS policy, CASE WHEN Topic < 'm' THEN CAST(length(Topic) AS VARCHAR) END AS retention FROM messages GROUP BY 1")(
+    lambda spark, sf: (
+        lambda t: topics.with_configs(t, t.where("Topic < 'm'").select("Topic", F.explode(F.create_map(F.lit("policy"), F.lit("delete"), F.lit("retention"), F.length("Topic").cast("string"))).alias("name", "value"))).select(
+            "Topic", "partitions", F.col("config")["policy"].alias("policy"), F.col("config")["retention"].alias("retention")
+        )
+    )(topics.topic_stats(message_table(spark, sf)))
+)
 query("topic_buffer", M + "SELECT event_id, Ts AS ts FROM messages ORDER BY Ts DESC, Topic DESC, Part DESC, Off DESC LIMIT 500")(lambda spark, sf: topics.buffered(message_table(spark, sf), 500).select("event_id", F.col("Ts").alias("ts")))
 query("topic_payload_types", M + "SELECT CASE WHEN Topic <> 'view' THEN Topic END AS payload_type, count(*) AS n, coalesce(CASE WHEN Topic <> 'view' THEN Topic END = 'click', false) AS wanted FROM messages GROUP BY 1, 3")(
     lambda spark, sf: topics.payload_types(message_table(spark, sf), "CLICK", F.when(F.col("Topic") != "view", F.col("Topic")))
@@ -232,6 +246,9 @@ def log_parse_spaced(spark, sf):
 
 # --- scalars ------------------------------------------------------------------------------------------------------
 
+query("column_nulls", S + "SELECT 'RamMb' AS column, count(*) FILTER (RamMb IS NULL) AS nulls FROM services UNION ALL SELECT 'PeakMb', count(*) FILTER (PeakMb IS NULL) FROM services UNION ALL SELECT 'ProcessId', 0")(
+    lambda spark, sf: catalog.column_stats(services(spark, sf)).where(F.col("column").isin("RamMb", "PeakMb", "ProcessId")).select("column", "nulls")
+)
 query("palette", "SELECT n_nationkey, CAST(abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648)) % 12 AS BIGINT) AS place FROM nation")(
     lambda spark, sf: table(spark, sf, "nation").select("n_nationkey", text.palette_index(F.col("n_name"), 12).alias("place"))
 )

@@ -168,19 +168,28 @@ query("errors_list", E + """SELECT Id AS id, "Start" AS start_ts, Error AS error
 )
 
 
-@query(
-    "ssis_kinds",
-    r"""WITH m AS (SELECT event_id AS event_message_id, 1 + event_id % 50 AS operation_id, CASE event_type WHEN 'click' THEN 30 WHEN 'view' THEN 40 WHEN 'error' THEN 120 WHEN 'signup' THEN 70 ELSE 10 END AS message_type,
-'\pkg\task' || CAST(event_id % 5 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN '\step' ELSE '' END AS execution_path FROM events), x AS (SELECT DISTINCT 1 + event_id % 40 AS operation_id FROM events)
-SELECT event_message_id, CASE message_type WHEN 30 THEN 'Process' WHEN 40 THEN 'Process' WHEN 120 THEN 'Error' WHEN 70 THEN 'Info' END AS Kind, 'task' || CAST(event_message_id % 5 AS VARCHAR) AS Pipeline,
-upper(substring(md5(CAST(m.operation_id AS VARCHAR) || ':' || execution_path), 1, 16)) AS EventId FROM m JOIN x USING (operation_id) WHERE message_type <> 10""",
-)
-def ssis_kinds(spark, sf):
+CATALOG_SQL = r"""WITH m AS (SELECT event_id AS event_message_id, 1 + event_id % 50 AS operation_id, ts, CASE event_type WHEN 'click' THEN 30 WHEN 'view' THEN 40 WHEN 'error' THEN 120 WHEN 'signup' THEN 70 ELSE 10 END AS message_type,
+'\pkg\task' || CAST(event_id % 5 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN '\step' ELSE '' END AS execution_path FROM events), x AS (SELECT 1 + event_id % 40 AS execution_id, max(user_id) AS process_id FROM events GROUP BY 1),
+c AS (SELECT *, CASE message_type WHEN 30 THEN 'Process' WHEN 40 THEN 'Process' WHEN 120 THEN 'Error' WHEN 70 THEN 'Info' END AS Kind, CAST(operation_id AS VARCHAR) || ':' || execution_path AS path FROM m JOIN x ON operation_id = execution_id WHERE message_type <> 10) """
+
+
+def catalog_events(spark, sf):
     e, i = table(spark, sf, "events"), F.col("event_id")
     kind = F.when(F.col("event_type") == "click", 30).when(F.col("event_type") == "view", 40).when(F.col("event_type") == "error", 120).when(F.col("event_type") == "signup", 70).otherwise(10)
     path = F.concat(F.lit("\\pkg\\task"), (i % 5).cast("string"), F.when(i % 2 == 0, "\\step").otherwise(""))
-    m = e.select(i.alias("event_message_id"), (1 + i % 50).alias("operation_id"), kind.alias("message_type"), path.alias("execution_path"))
-    return ev.from_catalog(m, e.select((1 + i % 40).alias("operation_id")).distinct())
+    said = F.concat(F.lit("said "), i.cast("string"))
+    m = e.select(i.alias("event_message_id"), (1 + i % 50).alias("operation_id"), F.col("ts").alias("message_time"), kind.alias("message_type"), path.alias("execution_path"), F.lit("pkg").alias("package_name"), F.lit("src").alias("message_source_name"), said.alias("message"))
+    x = e.groupBy((1 + i % 40).alias("execution_id")).agg(F.max("user_id").alias("process_id")).withColumn("server_name", F.lit("host"))
+    return ev.from_catalog(m, x, "run")
+
+
+query("ssis_kinds", CATALOG_SQL + "SELECT event_message_id, Kind, CASE WHEN event_message_id % 2 = 0 THEN 'task' || CAST(event_message_id % 5 AS VARCHAR) ELSE '' END AS Pipeline, upper(substring(md5(path), 1, 16)) AS EventId FROM c")(
+    lambda spark, sf: catalog_events(spark, sf).select("event_message_id", "Kind", "Pipeline", "EventId")
+)
+query("ssis_events", CATALOG_SQL + """SELECT event_message_id, path AS CorrelationId, 'pkg' AS Service, 'host' AS Server, process_id AS ProcessId, ts AS TimestampUtc, CASE WHEN message_type = 40 THEN ts END AS FinishUtc,
+CASE WHEN Kind = 'Error' THEN 'Failed' WHEN message_type = 40 THEN 'Success' ELSE 'None' END AS Status, CASE WHEN Kind = 'Error' THEN 'said ' || CAST(event_message_id AS VARCHAR) END AS Error, CASE WHEN Kind = 'Info' THEN 'said ' || CAST(event_message_id AS VARCHAR) END AS Info FROM c""")(
+    lambda spark, sf: catalog_events(spark, sf).drop("RunId", "EventId", "Pipeline", "Kind", "Source")
+)
 
 
 # --- topology -----------------------------------------------------------------------------------------------------

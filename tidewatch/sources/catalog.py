@@ -17,3 +17,20 @@ def page_of_tables(tables: DataFrame, search: str, number: int, size: int) -> Da
     """Tables whose name holds the text, a page of them by name; only these need statistics."""
     found = tables.where(F.contains(F.lower("name"), F.lit(search.lower())))
     return found.orderBy(F.upper("name"), "name").offset((max(1, number) - 1) * size).limit(size)
+
+
+def table_stats(spark: SparkSession, folder: str, page: list[str]) -> DataFrame:
+    """Rows and mean bytes of a row of the tables of one page, from the tables' footers."""
+    sizes = parquet_tables(spark, folder).where(F.col("name").isin(page))
+    counts = [spark.read.parquet(f"{folder}/{name}.parquet").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name in page]
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.union(more)
+    return sizes.join(rows, "name").withColumn("row_bytes", F.floor(F.coalesce(F.try_divide(F.col("bytes"), F.col("rows")), F.lit(0.0))))
+
+
+def column_stats(table: DataFrame) -> DataFrame:
+    """Each column's type, nulls and different values (estimated by a sketch)."""
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    one = table.agg(*(F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.approx_count_distinct(f"`{c}`").alias("distinct")).alias(c) for c in kinds))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col(f"`{c}`.nulls").alias("nulls"), F.col(f"`{c}`.distinct").alias("distinct")) for c, k in kinds.items()))).alias("s")).select("s.*")

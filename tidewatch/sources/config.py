@@ -28,6 +28,18 @@ def load(path: str, default: object = None) -> object:
         return default
 
 
+def environment(folder: str, env: str, defaults: dict[str, dict]) -> dict[str, dict]:
+    """An environment's sections from `env.json`, names in any case, over the defaults; these alone where the file is missing or invalid."""
+    found = load(f"{folder}/{env.lower()}.json")
+    given = {str(k).lower(): v for k, v in found.items()} if isinstance(found, dict) else {}
+    out = {}
+    for section, values in defaults.items():
+        own = given.get(section.lower())
+        own = {str(k).lower(): v for k, v in own.items()} if isinstance(own, dict) else {}
+        out[section] = {name: own.get(name.lower(), value) for name, value in values.items()}
+    return out
+
+
 def hints(spark: SparkSession, folder: str, run_type: str) -> DataFrame | None:
     """The service hints of a run type as rows in order of declaration, None without a valid file."""
     found = load(f"{folder}/{run_type.lower()}.json")
