@@ -172,6 +172,18 @@ def test_log_files(spark, tmp_path):
     assert sorted(r.FileName for r in logs.file_table(spark, str(tmp_path)).collect()) == ["x.log", "y.txt"]
 
 
+def test_entries_over_slices(spark):
+    rng = random.Random(2)
+    rows = [(f, i * 3, "2024-01-01 00:00:01 x" if rng.random() < 0.3 else f"more {i}") for f in "ab" for i in range(80)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string").repartition(3)
+    whole = sorted(map(tuple, logs.entries(lines).collect()))
+    assert sorted(map(tuple, logs.entries(lines, 7).collect())) == whole == sorted(map(tuple, logs.entries(lines, 100).collect())) and len(whole) > 20
+    for f in "ab":
+        texts = [line for g, _, line in rows if g == f]
+        first = next(i for i, t in enumerate(texts) if t.startswith("2024"))
+        assert [t for r in whole if r[0] == f for t in [r[2], *r[3].split("\n")] if t] == texts[first:]
+
+
 def test_folders(spark):
     paths = spark.createDataFrame([("a",), ("a/b",), ("a/b/log",), ("c",)], "path string")
     assert {r.path for r in logs.kept_folders(paths, F.contains("path", F.lit("log"))).collect()} == {"a", "a/b", "a/b/log"}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidewatch.filters.predicates import glob_column
 from tidewatch.session import small
 
+#: Line numbers in a slice of a file.
+SLICE_LINES = 1_000_000
 #: The fields of a line and how an entry's first line begins.
 FIELDS = ("timestamp", "level", "host", "pid", "thread", "message", "caller")
 ENTRY_START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
@@ -144,10 +146,17 @@ def _continue(out: list[list], text: str) -> None:
         out[-1][9] += len(lines)
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """Entries: a line that begins with a time and the lines after it, joined; what stands before the first is left out."""
-    order = Window.partitionBy("file").orderBy("line_no")
-    numbered = lines.withColumn("entry_no", F.sum(F.when(F.col("line").rlike(ENTRY_START), 1).otherwise(0)).over(order)).where("entry_no > 0")
+def entries(lines: DataFrame, slice_lines: int = SLICE_LINES) -> DataFrame:
+    """Entries: a line that begins with a time and the lines after it, joined; what stands before the first is left out.
+
+    Files are cut into slices of line numbers; of each only its number of entries is carried on to the later ones, so no file is one task.
+    """
+    begins = F.when(F.col("line").rlike(ENTRY_START), 1).otherwise(0)
+    sliced = lines.withColumns({"begins": begins, "slice": F.floor(F.col("line_no") / slice_lines)})
+    later = Window.partitionBy("file").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice of a file
+    before = sliced.groupBy("file", "slice").agg(F.sum("begins").alias("n")).select("file", "slice", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    own = F.sum("begins").over(Window.partitionBy("file", "slice").orderBy("line_no"))
+    numbered = sliced.withColumn("own", own).join(before, ["file", "slice"]).withColumn("entry_no", F.col("own") + F.col("before")).where("entry_no > 0")
     joined = numbered.groupBy("file", "entry_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return joined.select("file", F.col("entry_no").cast("long").alias("entry_no"), F.get("l.line", F.lit(0)).alias("line"), F.array_join(F.slice("l.line", 2, 1 << 30), "\n").alias("continuation"), F.size("l").alias("n_lines"))
 

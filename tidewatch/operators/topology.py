@@ -95,8 +95,8 @@ def edges(events: DataFrame) -> DataFrame:
 
 
 def summary(events: DataFrame) -> DataFrame:
-    """One row: chunks, events, events done and in progress, and the estimated progress."""
-    per_name = events.groupBy("Name").agg(F.countDistinct("Service", "Pipeline").alias("hops"), F.count("*").alias("events"), F.count_if(done()).alias("done"))
+    """One row: chunks, events, events done and in progress, and the estimated progress. A chunk's places are no more than pipelines."""
+    per_name = events.groupBy("Name").agg(F.size(F.collect_set(F.struct("Service", "Pipeline"))).alias("hops"), F.count("*").alias("events"), F.count_if(done()).alias("done"))
     total = per_name.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.max("hops").alias("hops"))
     progress = F.least(F.coalesce(F.try_divide(F.col("done"), F.col("hops") * F.col("chunks")), F.lit(0.0)), F.lit(1.0))
     return total.select("chunks", "events", "done", (F.col("events") - F.col("done")).alias("in_progress"), F.round(progress, 6).alias("progress"))
