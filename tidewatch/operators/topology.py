@@ -68,30 +68,41 @@ def hops(events: DataFrame) -> DataFrame:
 EDGE = ("source", "source_pipeline", "target", "target_pipeline")
 
 
-def places_in_common(events: DataFrame) -> DataFrame:
-    """For each pair of places (EDGE) the chunks done at the source that were also seen at the target; source = target counts all done there.
+def moves_and_places(events: DataFrame) -> DataFrame:
+    """For each pair of places (EDGE) the hops between them, and as `both` the chunks done at the source that were also seen at the target.
 
-    A chunk's places are collected, of which there are no more than pipelines, so one shuffle by chunk is enough.
+    source = target counts all chunks done there. One shuffle by chunk gives both: a chunk's places are collected, of which there are no
+    more than pipelines, and go out with its first event.
     """
-    places = events.groupBy("Name").agg(F.collect_set(F.struct("Service", "Pipeline", done().alias("done"))).alias("p"))
-    place = lambda p: F.struct(p["Service"].alias("s"), p["Pipeline"].alias("p"))
-    pairs = places.select(F.explode(F.transform(F.filter("p", lambda p: p["done"]), place)).alias("a"), F.array_distinct(F.transform("p", place)).alias("seen"))
-    return pairs.select("a", F.explode("seen").alias("b")).groupBy(F.col("a.s").alias("source"), F.col("a.p").alias("source_pipeline"), F.col("b.s").alias("target"), F.col("b.p").alias("target_pipeline")).agg(F.count("*").alias("both"))
+    order = Window.partitionBy("Name").orderBy("Start", "Id")
+    here, none = F.struct("Service", "Pipeline"), F.lit(0).cast("long")
+    marked = events.select(
+        here.alias("to"),
+        F.lag(here).over(order).alias("from"),
+        F.row_number().over(order).alias("k"),
+        F.collect_set(F.struct("Service", "Pipeline", done().alias("done"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("places"),
+    )
+    place = lambda p: F.struct(p["Service"].alias("Service"), p["Pipeline"].alias("Pipeline"))
+    item = lambda a, b, hop: F.struct(a["Service"].alias("source"), a["Pipeline"].alias("source_pipeline"), b["Service"].alias("target"), b["Pipeline"].alias("target_pipeline"), (none + hop).alias("hops"), (none + 1 - hop).alias("both"))
+    seen = F.array_distinct(F.transform("places", place))
+    pairs = F.flatten(F.transform(F.filter("places", lambda p: p["done"]), lambda a: F.transform(seen, lambda b: item(a, b, 0))))
+    moved = F.filter(F.array(item(F.col("from"), F.col("to"), 1)), lambda _: F.coalesce(F.col("from") != F.col("to"), F.lit(False)))
+    items = F.explode(F.when(F.col("k") == 1, F.concat(moved, pairs)).otherwise(moved))
+    return marked.select(items.alias("i")).select("i.*").groupBy(*EDGE).agg(F.sum("hops").alias("hops"), F.sum("both").alias("both"))
 
 
 def edges(events: DataFrame) -> DataFrame:
     """Hops counted by edge, with the chunks done at the source but not seen at the target, and the source's state.
 
     Waiting is the source's done chunks less those also seen at the target, so the edge's chunks are never listed.
-    Events are read by several branches: give a table rather than a plan.
+    Events are read by two branches: give a table rather than a plan.
     """
-    counted = hops(events).groupBy(*EDGE).agg(F.count("*").alias("done"))
-    both = places_in_common(events)
-    total = both.where("source = target AND source_pipeline = target_pipeline").select("source", "source_pipeline", F.col("both").alias("at_source"))
+    counted = moves_and_places(events)
+    total = counted.where("source = target AND source_pipeline = target_pipeline").select("source", "source_pipeline", F.col("both").alias("at_source"))
     rows = pipeline_rows(events).select(F.col("Service").alias("source"), F.col("Pipeline").alias("source_pipeline"), "state")
-    joined = counted.join(both, list(EDGE), "left").join(total, ["source", "source_pipeline"], "left").join(rows, ["source", "source_pipeline"], "left")
+    joined = counted.where("hops > 0").join(total, ["source", "source_pipeline"], "left").join(rows, ["source", "source_pipeline"], "left")
     zero = F.lit(0).cast("long")
-    return joined.select(*EDGE, "done", (F.coalesce("at_source", zero) - F.coalesce("both", zero)).alias("waiting"), F.coalesce("state", F.lit("NotStarted")).alias("state"))
+    return joined.select(*EDGE, F.col("hops").alias("done"), (F.coalesce("at_source", zero) - F.col("both")).alias("waiting"), F.coalesce("state", F.lit("NotStarted")).alias("state"))
 
 
 def summary(events: DataFrame) -> DataFrame:
@@ -156,12 +167,11 @@ def resolved_edges(nodes: DataFrame, declared: DataFrame, label: Label = plain)
 
 def blueprint_edges(observed: DataFrame, nodes: DataFrame, declared: DataFrame, label: Label = plain) -> DataFrame:
     """Observed edges flagged if declared between their services, and declared edges between nodes that were not observed. nodes: id, seen or declared."""
-    pair = lambda d: d.select(F.lower("source").alias("a"), F.lower("target").alias("b"))
-    wanted = resolved_edges(nodes, declared, label)
-    flagged = observed.join(pair(wanted).withColumn("yes", F.lit(True)), (F.lower("source") == F.col("a")) & (F.lower("target") == F.col("b")), "left")
-    seen = flagged.select(*EDGE, F.coalesce("yes", F.lit(False)).alias("is_declared"), F.lit(True).alias("is_observed"))
-    missing = wanted.join(pair(observed).distinct(), (F.lower("source") == F.col("a")) & (F.lower("target") == F.col("b")), "left_anti")
-    return seen.unionByName(missing.select("source", F.lit("").alias("source_pipeline"), "target", F.lit("").alias("target_pipeline"), F.lit(True).alias("is_declared"), F.lit(False).alias("is_observed")))
+    wanted = resolved_edges(nodes, declared, label).select(F.lower("source").alias("a"), F.lower("target").alias("b"), F.col("source").alias("from"), F.col("target").alias("to"))
+    keyed = observed.select(*EDGE, F.lower("source").alias("a"), F.lower("target").alias("b"))
+    both = keyed.join(wanted, ["a", "b"], "full_outer")
+    ends = [F.coalesce("source", "from").alias("source"), F.coalesce("source_pipeline", F.lit("")).alias("source_pipeline"), F.coalesce("target", "to").alias("target"), F.coalesce("target_pipeline", F.lit("")).alias("target_pipeline")]
+    return both.select(*ends, F.col("from").isNotNull().alias("is_declared"), F.col("source").isNotNull().alias("is_observed"))
 
 
 def variant(observed: DataFrame, variants: DataFrame) -> DataFrame:

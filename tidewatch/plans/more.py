@@ -11,7 +11,7 @@ from tidewatch.filters.predicates import VIEWS, And, Not, Or, Term, TimeOfDay, c
 from tidewatch.functions import protobuf, text
 from tidewatch.operators import events as ev
 from tidewatch.operators import graph, logs, metrics, runs, topics, topology
-from tidewatch.plans.queries import AS_OF, EVENT_AS_OF, FORWARD_SQL, LINES_SQL, POINTS_SQL, RUN_EVENTS_SQL, SAMPLES_SQL, E, M, R, S, env_runs, filtered, lines, query, run_events, samples
+from tidewatch.plans.queries import AS_OF, EDGE_COLUMNS, EVENT_AS_OF, FORWARD_SQL, LINES_SQL, POINTS_SQL, RUN_EVENTS_SQL, SAMPLES_SQL, E, M, R, S, env_runs, filtered, lines, query, run_events, samples
 from tidewatch.session import table
 from tidewatch.sources import catalog, config
 from tidewatch.sources.adapters import events as event_table
@@ -117,7 +117,7 @@ LAYERS_SQL = FORWARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + """, walk
 
 
 def forward(spark, sf):
-    return graph.forward_edges(topology.edges(stored_events(spark, sf)))
+    return graph.forward_edges(topology.edges(stored_events(spark, sf, *EDGE_COLUMNS)))
 
 
 query("layout_stops", LAYERS_SQL + "SELECT f.source, f.target, CAST(unnest(range(a.layer + 1, b.layer)) AS INTEGER) AS layer FROM fwd f JOIN layers a ON a.node = f.source JOIN layers b ON b.node = f.target WHERE b.layer > a.layer + 1")(

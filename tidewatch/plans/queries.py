@@ -194,15 +194,17 @@ CASE WHEN Kind = 'Error' THEN 'Failed' WHEN message_type = 40 THEN 'Success' ELS
 
 # --- topology -----------------------------------------------------------------------------------------------------
 
+ROW_COLUMNS = ("Service", "Pipeline", "Start", "Finish", "Error")
+EDGE_COLUMNS = ("Id", "Name", *ROW_COLUMNS)
 TOPO = E[:-1] + """, t AS (SELECT max(coalesce(Finish, "Start")) AS t FROM ev), rows_ AS (
 SELECT Service, Pipeline, count(Finish) AS done, count(*) - count(Finish) AS in_progress, count(*) FILTER (coalesce(Error <> '', false)) AS errors, count(*) FILTER (Finish IS NOT NULL AND epoch(t.t) - epoch(Finish) <= 15) AS recent FROM ev, t GROUP BY 1, 2),
 topo AS (SELECT Service, Pipeline, done, in_progress, errors, round(CASE WHEN done + in_progress = 0 THEN 0 ELSE done / (done + in_progress) END, 6) AS progress, round(CASE WHEN done = 0 THEN 0 ELSE least(recent / done, 1) END, 6) AS throughput,
 CASE WHEN errors > 0 THEN 'Errored' WHEN recent > 0 THEN 'Active' WHEN in_progress > 0 THEN 'InProgress' WHEN done > 0 THEN 'Completed' ELSE 'Idle' END AS state FROM rows_) """
 
-query("topo_rows", TOPO + "SELECT * FROM topo")(lambda spark, sf: topology.pipeline_rows(stored_events(spark, sf)))
+query("topo_rows", TOPO + "SELECT * FROM topo")(lambda spark, sf: topology.pipeline_rows(stored_events(spark, sf, *ROW_COLUMNS)))
 query("topo_nodes", TOPO + """SELECT Service, n AS instances, pipelines, CASE r WHEN 5 THEN 'Errored' WHEN 4 THEN 'Active' WHEN 3 THEN 'InProgress' WHEN 2 THEN 'Idle' WHEN 1 THEN 'Completed' ELSE 'NotStarted' END AS header_state
 FROM (SELECT Service, count(*) AS pipelines, max(CASE state WHEN 'Errored' THEN 5 WHEN 'Active' THEN 4 WHEN 'InProgress' THEN 3 WHEN 'Idle' THEN 2 WHEN 'Completed' THEN 1 ELSE 0 END) AS r FROM topo GROUP BY 1) JOIN (SELECT Service, count(DISTINCT Server || ':' || ProcessId) AS n FROM ev GROUP BY 1) USING (Service)""")(
-    lambda spark, sf: topology.nodes(stored_events(spark, sf))
+    lambda spark, sf: topology.nodes(stored_events(spark, sf, *ROW_COLUMNS, "Server", "ProcessId"))
 )
 query("topo_instances", E + """SELECT Service, Pipeline, Server, ProcessId, count(Finish) AS done, count(*) - count(Finish) AS in_progress, count(*) FILTER (coalesce(Error <> '', false)) AS errors, max(coalesce(Finish, "Start")) AS last_activity FROM ev GROUP BY 1, 2, 3, 4""")(
     lambda spark, sf: topology.instances(event_table(spark, sf))
@@ -214,11 +216,11 @@ both_ AS (SELECT a.Service AS source, a.Pipeline AS source_pipeline, b.Service A
 tot AS (SELECT Service, Pipeline, count(*) AS n FROM place WHERE fin GROUP BY 1, 2),
 edges AS (SELECT e.*, coalesce(tot.n, 0) - coalesce(both_.n, 0) AS waiting, coalesce(topo.state, 'NotStarted') AS state FROM e LEFT JOIN both_ USING (source, source_pipeline, target, target_pipeline)
 LEFT JOIN tot ON tot.Service = e.source AND tot.Pipeline = e.source_pipeline LEFT JOIN topo ON topo.Service = e.source AND topo.Pipeline = e.source_pipeline) """
-query("topo_edges", EDGES_SQL + "SELECT * FROM edges")(lambda spark, sf: topology.edges(stored_events(spark, sf)))
+query("topo_edges", EDGES_SQL + "SELECT * FROM edges")(lambda spark, sf: topology.edges(stored_events(spark, sf, *EDGE_COLUMNS)))
 query("topo_summary", E + """SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS events, CAST(sum(d) AS BIGINT) AS done, CAST(sum(n) - sum(d) AS BIGINT) AS in_progress, round(least(sum(d) / (max(hops) * count(*)), 1), 6) AS progress
 FROM (SELECT Name, count(*) AS n, count(Finish) AS d, count(DISTINCT Service || '|' || Pipeline) AS hops FROM ev GROUP BY 1)""")(lambda spark, sf: topology.summary(event_table(spark, sf)))
 query("topo_replay", TOPO.replace("ev AS (", "ev0 AS (").replace(", t AS (", """, ev AS (SELECT * FROM ev0 WHERE "Start" <= TIMESTAMP '1999-01-01'), t AS (""", 1) + "SELECT * FROM topo")(
-    lambda spark, sf: topology.pipeline_rows(topology.replay(stored_events(spark, sf), "1999-01-01"))
+    lambda spark, sf: topology.pipeline_rows(topology.replay(stored_events(spark, sf, *ROW_COLUMNS), "1999-01-01"))
 )
 query("topo_replay_range", E + """SELECT min("Start") AS first, max(coalesce(Finish, "Start")) AS last FROM ev""")(lambda spark, sf: topology.replay_range(event_table(spark, sf)))
 
@@ -265,7 +267,7 @@ SELECT source, source_pipeline, target, target_pipeline, EXISTS (SELECT 1 FROM w
 UNION ALL SELECT source, '', target, '', true, false FROM want d WHERE NOT EXISTS (SELECT 1 FROM edges WHERE d.source = edges.source AND d.target = edges.target)""",
 )
 def topo_blueprint_edges(spark, sf):
-    events, given = stored_events(spark, sf), hints(spark, sf)
+    events, given = stored_events(spark, sf, *EDGE_COLUMNS), hints(spark, sf)
     return topology.blueprint_edges(topology.edges(events), topology.blueprint_nodes(seen_services(events), given).select("id"), declared(spark, sf))
 
 
@@ -282,10 +284,10 @@ query("topo_group_colours", "SELECT lower(n) AS grp, arg_max(n_name, n_nationkey
 )
 FORWARD_SQL = EDGES_SQL[:-1] + ", p AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), fwd AS (SELECT * FROM p WHERE NOT (source > target AND EXISTS (SELECT 1 FROM p q WHERE q.source = p.target AND q.target = p.source))) "
 query("layout_layers", FORWARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + """, walk(node, layer) AS (SELECT DISTINCT source, 0 FROM fwd UNION SELECT fwd.target, walk.layer + 1 FROM walk JOIN fwd ON walk.node = fwd.source) SELECT node, max(layer) AS layer FROM walk GROUP BY 1""")(
-    lambda spark, sf: graph.layers(graph.forward_edges(topology.edges(stored_events(spark, sf))))
+    lambda spark, sf: graph.layers(graph.forward_edges(topology.edges(stored_events(spark, sf, *EDGE_COLUMNS))))
 )
 query("closure", FORWARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", reach AS (SELECT source, target FROM fwd UNION SELECT reach.source, fwd.target FROM reach JOIN fwd ON reach.target = fwd.source) SELECT * FROM reach")(
-    lambda spark, sf: graph.closure(graph.forward_edges(topology.edges(stored_events(spark, sf))))
+    lambda spark, sf: graph.closure(graph.forward_edges(topology.edges(stored_events(spark, sf, *EDGE_COLUMNS))))
 )
 
 
@@ -311,15 +313,15 @@ query("tl_stack", E + f"""SELECT Name, Id, CAST(coalesce(sum({MS}) OVER w, 0) AS
 WINDOW w AS (PARTITION BY Name ORDER BY "Start", Id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")(lambda spark, sf: timeline.stack(event_table(spark, sf)))
 query("tl_stack_domain", E + f"SELECT CAST(max(t) AS BIGINT) AS domain FROM (SELECT sum({MS}) AS t FROM ev WHERE Finish IS NOT NULL GROUP BY Name)")(lambda spark, sf: timeline.stack_domain(event_table(spark, sf)))
 query("tl_heatmap", E + """, d AS (SELECT min(epoch_ms("Start")) AS a, greatest(max(epoch_ms(coalesce(Finish, "Start"))) - min(epoch_ms("Start")), 1000) AS s FROM ev), c AS (SELECT CAST(floor((epoch_ms("Start") - a) / s * 499) AS BIGINT) AS bucket, count(*) AS n FROM ev, d GROUP BY 1)
-SELECT bucket, n, round(0.12 + 0.88 * n / (SELECT max(n) FROM c), 6) AS opacity FROM c""")(lambda spark, sf: timeline.heatmap(stored_events(spark, sf)))
+SELECT bucket, n, round(0.12 + 0.88 * n / (SELECT max(n) FROM c), 6) AS opacity FROM c""")(lambda spark, sf: timeline.heatmap(stored_events(spark, sf, "Start", "Finish")))
 
 
 SPANS_SQL = E[:-1] + """, f AS (SELECT Service || '/' || Pipeline AS lane, epoch_ms("Start") AS a, coalesce(epoch_ms(Finish), epoch_ms("Start") + 5000) AS b FROM ev),
 p AS (SELECT lane, a AS t, 1 AS d FROM f UNION ALL SELECT lane, b, -1 FROM f), rows_ AS (SELECT lane, CAST(max(n) AS BIGINT) AS sub_rows FROM (SELECT lane, sum(d) OVER (PARTITION BY lane ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM p) GROUP BY 1) """
 query("tl_packing", SPANS_SQL + "SELECT lane, sub_rows, events FROM rows_ JOIN (SELECT lane, count(*) AS events FROM f GROUP BY 1) USING (lane)")(
-    lambda spark, sf: timeline.sub_rows(event_table(spark, sf)).groupBy("lane").agg((F.max("sub_row") + 1).cast("long").alias("sub_rows"), F.count("*").alias("events"))
+    lambda spark, sf: timeline.sub_rows(stored_events(spark, sf, "Id", "Service", "Pipeline", "Start", "Finish")).groupBy("lane").agg((F.max("sub_row") + 1).cast("long").alias("sub_rows"), F.count("*").alias("events"))
 )
-query("tl_sub_row_counts", SPANS_SQL + "SELECT * FROM rows_")(lambda spark, sf: timeline.sub_row_counts(event_table(spark, sf)))
+query("tl_sub_row_counts", SPANS_SQL + "SELECT * FROM rows_")(lambda spark, sf: timeline.sub_row_counts(stored_events(spark, sf, "Id", "Service", "Pipeline", "Start", "Finish")))
 query("tl_wall_clock", E + """SELECT min(epoch_ms("Start")) AS low, greatest(max(epoch_ms(coalesce(Finish, "Start"))) - min(epoch_ms("Start")), 1000) AS span FROM ev""")(lambda spark, sf: timeline.wall_clock(event_table(spark, sf)))
 query("tl_duration_filter", E + """SELECT Id AS id, strftime("Start", '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms("Start") % 1000 AS VARCHAR), 3, '0') || 'Z' AS start_utc FROM ev WHERE epoch(Finish) - epoch("Start") > 30""")(
     lambda spark, sf: (lambda e: e.where(column(Term("Duration", "gt", TimeOfDay(30)), e.schema)).select(F.col("Id").alias("id"), F.col("StartUtc").alias("start_utc")))(timeline.enriched(event_table(spark, sf), AS_OF))

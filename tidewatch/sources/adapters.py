@@ -86,9 +86,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(raw_events(spark, sf_dir))
 
 
-def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, written once, for plans of several branches."""
-    return stored(events(spark, sf_dir))
+def stored_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The same, or the columns of it that are named, written once for plans of several branches."""
+    every = events(spark, sf_dir)
+    return stored(every.select(*columns) if columns else every)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
