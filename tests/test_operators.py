@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.filters.predicates import Term, TimeOfDay, column
 from tidewatch.functions import jsonpath, text
 from tidewatch.operators import events, graph, logs, metrics, runs, timeline, topics, topology
+from tidewatch.plans import lineage
 
 T0 = datetime(2024, 1, 1)
 
@@ -223,6 +224,20 @@ def test_layers_and_closure(spark):
         graph.layers(e.where("source != 'd'"))
 
 
+def test_tables_are_stored_in_the_checkpoint_folder(spark):
+    df = lineage.stored(spark.createDataFrame([(1, "a", None)], "a int, b string, c timestamp_ntz"))
+    assert [tuple(r) for r in df.collect()] == [(1, "a", None)] and df.schema.simpleString() == "struct<a:int,b:string,c:timestamp_ntz>"
+    assert all(lineage.folder(spark).split("/")[-1] in f for f in df.inputFiles())
+
+
+def test_small_tables_are_counted(spark):
+    from tidewatch.session import small
+
+    few, many = spark.range(5), spark.range(20)
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(small(few, 10)) and "broadcast" not in plan(small(many, 10))
+
+
 def test_pages_and_codes(spark):
     assert [runs.page_count(n, 10) for n in (0, 10, 11)] == [1, 1, 2]
     df = spark.createDataFrame([(" f ",), ("x",), (None,)], "c string")

@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The context's checkpoint folder; it is set to the one the session names, in a local session without one to a temporary folder."""
-    context = spark.sparkContext
+    """The folder that the session names for checkpoints, else the context's; in a local session without either a temporary one."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-"))
-    return context.getCheckpointDir()
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.filters.predicates import VIEWS, And, Not, Or, Term, TimeOfDay, collection_filter, column, document_column, from_json, glob_pattern, moment, to_json
+from tidewatch.filters.predicates import And, Not, Or, Term, TimeOfDay, collection_filter, column, document_column, from_json, glob_pattern, moment, to_json
 from tidewatch.functions import protobuf, text
 from tidewatch.operators import events as ev
 from tidewatch.operators import graph, logs, metrics, runs, topics, topology
