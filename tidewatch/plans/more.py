@@ -255,6 +255,6 @@ query("palette", "SELECT n_nationkey, CAST(abs(list_reduce(list_prepend(0::BIGIN
 query("natural_order", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer")(
     lambda spark, sf: table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(text.natural_key(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" end"))))).cast("long").alias("place"))
 )
-query("memory_texts", "SELECT p_partkey, CASE WHEN p_partkey * 3 < 1000 THEN printf('%.0f MB', CAST(p_partkey * 3 AS DOUBLE)) ELSE printf('%.1f GB', p_partkey * 3 / 1024) END AS memory, round(p_partkey / 1048576, 9) AS mib, round(p_partkey / 1e6, 9) AS mb FROM part")(
+query("memory_texts", "SELECT p_partkey, CASE WHEN p_partkey * 3 < 1000 THEN printf('%.0f MB', CAST(p_partkey * 3 AS DOUBLE)) ELSE printf('%.1f GB', round(p_partkey * 3 / 1024, 1)) END AS memory, round(p_partkey / 1048576, 9) AS mib, round(p_partkey / 1e6, 9) AS mb FROM part")(
     lambda spark, sf: table(spark, sf, "part").select("p_partkey", text.memory((F.col("p_partkey") * 3).cast("double")).alias("memory"), F.round(text.mib(F.col("p_partkey")), 9).alias("mib"), F.round(text.mb(F.col("p_partkey")), 9).alias("mb"))
 )
