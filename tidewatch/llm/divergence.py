@@ -1,0 +1,243 @@
+"""How sources of a language differ in their words: divergences of all pairs of sources, and the terms that set a source apart.
+
+Each task counts the terms of its documents in radix tries over bytes, one for each language, whose leaves hold the number of documents and
+the occurrences in each source. A trie is walked in UTF-8 order and written; the tries of all tasks are merged by ranges of that order, leaf by leaf, so
+a frequent term is one leaf of each task and not one row of each document. The merged leaves are walked once more, range by range: a walk sums the divergences of all
+pairs of sources and keeps each source's best terms, in the order of ties. Shares are whole numbers and all arithmetic is exact.
+
+A walk holds a matrix of BLOCK sources by all sources of a language; languages with more sources are walked once for each block.
+
+Defined results: null text, lang and source are empty texts, which make a language or source of their own; repeated rows count again; a group
+without terms is compared as well; ties are ranked in UTF-8 order; other columns are ignored; an empty table gives no rows. Long texts
+enter whole; a task holds the distinct terms of the text at hand.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewatch.llm.shelf import Shelf
+from tidewatch.llm.textops import bounded_slices
+
+#: Documents of its language that a term needs.
+LEAST_DOCS = 10
+#: Terms that are ranked for each source.
+TOP = 10
+#: Counters of a task's tries before they are handed on.
+HELD_COUNTERS = 400_000
+#: Bytes of a text that are split at once.
+PIECE = 1 << 22
+#: Sources of a walk's pairs on one side.
+BLOCK = 512
+#: Numbers of a walk's matrices.
+CELLS = 1 << 20
+
+#: Bytes of terms: letters, lower-cased, and all of a character that isn't ASCII; others part terms.
+TERM_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def terms_of(text: bytes) -> Counter:
+    """Terms of a UTF-8 text and how often they occur."""
+    folded = text.translate(TERM_BYTES)
+    if len(folded) <= PIECE:
+        return Counter(folded.split())
+    found, at = Counter(), 0
+    while at < len(folded):
+        end = folded.find(b" ", at + PIECE)
+        end = len(folded) if end < 0 else end
+        found.update(folded[at:end].split())
+        at = end
+    return found
+
+
+class Trie:
+    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf is [documents, {source: occurrences}]."""
+
+    def __init__(self) -> None:
+        self.root: list = [b"", {}, None]
+        self.known: dict[bytes, list] = {}
+
+    def leaf(self, term: bytes) -> list:
+        """The term's leaf, which is new if need be. Leaves that are known aren't searched from the root again."""
+        if (leaf := self.known.get(term)) is not None:
+            return leaf
+        node, at = self.root, 0
+        while at < len(term):
+            child = node[1].get(term[at])
+            if child is None:
+                child = node[1][term[at]] = [term[at:], {}, None]
+                node, at = child, len(term)
+                continue
+            label, same = child[0], 0
+            most = min(len(label), len(term) - at)
+            while same < most and label[same] == term[at + same]:
+                same += 1
+            if same < len(label):  # the edge parts here
+                upper = node[1][term[at]] = [label[:same], {label[same]: child}, None]
+                child[0], child = label[same:], upper
+            node, at = child, at + same
+        node[2] = [0, {}]
+        self.known[term] = node[2]
+        return node[2]
+
+    def merge(self, term: bytes, docs: int, counts) -> int:
+        """Add a leaf of another trie, or of one document; how many counters are new."""
+        leaf = self.leaf(term)
+        leaf[0] += docs
+        own, before = leaf[1], len(leaf[1])
+        for source, n in counts:
+            own[source] = own.get(source, 0) + n
+        return len(own) - before
+
+    def walk(self) -> Iterator[tuple[bytes, list]]:
+        """Terms and leaves in UTF-8 order."""
+        stack = [(b"", self.root)]
+        while stack:
+            prefix, (label, children, leaf) = stack.pop()
+            term = prefix + label
+            if leaf is not None:
+                yield term, leaf
+            stack.extend((term, children[b]) for b in sorted(children, reverse=True))
+
+
+LEAVES = "lang string, term string, docs long, sources array<string>, counts array<long>"
+
+
+def pack(rows: list[tuple[str, bytes, int, list[str], list[int]]]) -> pa.RecordBatch:
+    lang, term, docs, sources, counts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["lang", "term", "docs", "sources", "counts"])
+
+
+def walked(tries: dict[str, Trie], least: int = 0) -> Iterator[pa.RecordBatch]:
+    """Leaves of all tries that are in enough documents, in order."""
+    rows = []
+    for lang in sorted(tries, key=str.encode):
+        for term, (docs, counts) in tries[lang].walk():
+            if docs >= least:
+                rows.append((lang, term, docs, list(counts), list(counts.values())))
+            if len(rows) == 10_000:
+                yield pack(rows)
+                rows = []
+    if rows:
+        yield pack(rows)
+
+
+def task_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (lang, source, text) to the leaves of this task's tries."""
+    tries, held = {}, 0
+    for batch in batches:
+        for part in bounded_slices(batch, 2, len(batch)):
+            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
+                trie = tries.setdefault(lang, Trie())
+                for term, n in terms_of(text).items():
+                    held += trie.merge(term, 1, ((source, n),))
+                if held >= HELD_COUNTERS:
+                    yield from walked(tries)
+                    tries, held = {}, 0
+    yield from walked(tries)
+
+
+def merge_range(least: int):
+    """Sorted leaves of many tries to the merged ones of a range. The range arrives in UTF-8 order, so a trie is walked and let go between two terms whenever it has grown."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries, held, last = {}, 0, None
+        for batch in batches:
+            columns = (batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            for lang, term, docs, sources, counts in zip(*columns, strict=True):
+                if held >= HELD_COUNTERS and (lang, term) != last:
+                    yield from walked(tries, least)
+                    tries, held = {}, 0
+                last = lang, term
+                held += tries.setdefault(lang, Trie()).merge(term, docs, zip(sources, counts, strict=True))
+        yield from walked(tries, least)
+
+    return run
+
+
+def shares(counts: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """1 + floor(10**9 * (counts + 2) / over), exact in 64 bits for totals below 2 * 10**14."""
+    scaled = (counts + 2) * 31_250
+    return 1 + 32_000 * (scaled // over) + 32_000 * (scaled % over) // over
+
+
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // (p + q)
+
+
+WALK = "lang string, a int, b int, term string, value long"
+
+
+def walk_ranges(top: int):
+    """Leaves (lang, term, counts of all sources, over, over_all, from, upto), in order, to sums of divergences of pairs of sources (term is null) and best terms (b is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        best: dict[tuple[str, int], list[tuple[int, str]]] = {}
+        for batch in batches:
+            langs, at = batch.column(0).to_pylist(), 0
+            firsts = batch.column(5).to_numpy(zero_copy_only=False)
+            while at < len(langs):
+                lang, first = langs[at], int(firsts[at])
+                over = np.array(batch.column(3)[at].as_py(), dtype=np.int64)
+                last = at
+                while last < len(langs) and langs[last] == lang and firsts[last] == first and last - at < max(1, CELLS // len(over)):
+                    last += 1
+                part = batch.slice(at, last - at)
+                counts = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(last - at, len(over))
+                p, q = shares(counts, over), shares(counts.sum(axis=1), np.int64(part.column(4)[0].as_py()))
+                terms = part.column(1).to_pylist()
+                for a in range(first, part.column(6)[0].as_py()):
+                    own = p[:, a]
+                    found = distances(own[:, None], p).sum(axis=0)
+                    sums[lang, a] = sums[lang, a] + found if (lang, a) in sums else found
+                    apart = np.flatnonzero((counts[:, a] > 0) & (own > q))
+                    f = distances(own[apart], q[apart])
+                    picked = np.argsort(-f, kind="stable")[:top]  # terms are in UTF-8 order, so ties stay in it
+                    both = best.get((lang, a), []) + [(-int(f[i]), terms[apart[i]]) for i in picked]
+                    best[lang, a] = sorted(both, key=lambda t: (t[0], t[1].encode()))[:top]
+                at = last
+        rows = [(lang, a, b, None, int(v)) for (lang, a), found in sums.items() for b, v in enumerate(found) if b != a]
+        rows += [(lang, a, None, term, -minus) for (lang, a), found in best.items() for minus, term in found]
+        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), types, strict=True)], ["lang", "a", "b", "term", "value"])
+
+    return run
+
+
+def merged_leaves(shelf: Shelf, docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """Leaves (LEAVES) of the terms that each language keeps. docs: lang, source, text, without nulls."""
+    tries = shelf.put(docs.select("lang", "source", "text").mapInArrow(task_tries, LEAVES))
+    ranges = tries.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+    return shelf.put(ranges.mapInArrow(merge_range(least_docs), LEAVES))
+
+
+def audit(spark: SparkSession, docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK) -> DataFrame:
+    """lang, source, part (`pair`: item is another source; `term`: item is a term), item, value, rank. docs: lang, source, text."""
+    shelf = Shelf(spark, "divergence")
+    docs = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    kept = merged_leaves(shelf, docs, least_docs)
+    sums = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("e")).groupBy("lang", F.col("e.sources").alias("source")).agg(F.sum("e.counts").alias("n"))
+    terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("g"))
+    sides = shelf.put(groups.groupBy("lang").agg(F.array_sort(F.collect_list("g")).alias("g")).join(terms, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.col("g.source").alias("names"), F.col("g.n").alias("n")))
+    over = F.transform("n", lambda n: n + 2 * F.col("v"))
+    blocks = sides.where("v > 0").select("lang", "names", over.alias("over"), (F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n) + 2 * F.col("v")).alias("over_all"), F.explode(F.sequence(F.lit(0), F.size("names") - 1, F.lit(block))).alias("from"))
+    counter = F.map_from_arrays("sources", "counts")
+    full = kept.join(blocks, "lang").withColumn("c", counter)
+    dense = full.select("lang", "term", F.transform("names", lambda s: F.coalesce(F.try_element_at("c", s), F.lit(0).cast("long"))).alias("counts"), "over", "over_all", "from", F.least(F.col("from") + block, F.size("names")).alias("upto"))
+    walks = shelf.put(dense.sortWithinPartitions("lang", "from", "term").mapInArrow(walk_ranges(top), WALK))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    named = sides.select("lang", F.posexplode("names").alias("a", "source"))
+    found = walks.where("b IS NOT NULL").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    pairs = sides.select("lang", "names", F.posexplode("names").alias("a", "source")).select("lang", "a", "source", F.posexplode("names").alias("b", "item")).where("a != b")
+    pair = pairs.join(found, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    term = walks.where("b IS NULL").join(named, ["lang", "a"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    return pair.withColumn("rank", F.row_number().over(order)).unionByName(term.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, bpe, chat, media, minhash, packing, quality, substring, toxicity, urlfilter
+from tidewatch.llm import ann, bpe, chat, divergence, media, minhash, packing, quality, sharding, spelling, substring, toxicity, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(extra)))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.external_shuffle(spark, documents(spark, sf_dir), shards=24)
+    text = F.coalesce("record.text", F.lit(""))
+    return shards.select("record.doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, documents(spark, sf_dir).select("lang", "source", "text"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -79,6 +93,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_sharding": op11_sharding,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
@@ -102,6 +119,7 @@ ORACLE_SQL = {"op9_url_filters": OP9_SQL}
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORD = r"'[^\x20\x09-\x0D]+'"
+TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 
 #: Shingle sets joined on their rarest fifth: sets that are alike enough have one of these in common.
 OP1_SQL = f"""
@@ -157,3 +175,27 @@ FROM v GROUP BY 1
 """
 
 ORACLE_SQL |= {"op1_minhash_near_dedup": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op10_chat_formatting": OP10_SQL}
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {LOWER}) AS text FROM documents),
+o AS (SELECT k, lang, source, unnest(regexp_extract_all(text, {TERM})) AS term FROM d),
+t AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN t USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM t GROUP BY 1),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+l AS (SELECT lang, sum(n) AS n FROM s GROUP BY 1),
+p AS (SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.n + 2 * v.v) AS p
+  FROM s JOIN t USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT t.lang, t.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 2)) // (any_value(l.n) + 2 * any_value(v.v)) AS q
+  FROM t JOIN c USING (lang, term) JOIN l ON l.lang = t.lang JOIN v ON v.lang = t.lang GROUP BY 1, 2),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL["op13_source_divergence"] = OP13_SQL
