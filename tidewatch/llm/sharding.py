@@ -76,7 +76,7 @@ def external_shuffle(spark: SparkSession, records: DataFrame, shards: int = 24,
     """
     shelf = Shelf(spark, "sharding")
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
-    scattered = shelf.put(records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("record"), size.alias("size"), F.monotonically_increasing_id().alias("number")))
+    scattered = shelf.put(records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("record"), size.alias("size"), F.monotonically_increasing_id().alias("number")), "zstd")
     whole = scattered.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     buckets = max(least_buckets, -(-whole.size // bucket_bytes))
     dealt = scattered.select("record", "number", bucket_of(F.col("number"), buckets, seed).alias("bucket"))
@@ -84,6 +84,6 @@ def external_shuffle(spark: SparkSession, records: DataFrame, shards: int = 24,
     placed = dealt.join(starts_of(dealt.select("bucket")), "bucket").groupBy("bucket")
     done = placed.applyInArrow(shuffle_bucket(shards, whole.n, seed), f"record {record}, shard int, slot long")
     path = folder or f"{shelf.folder}/shards"
-    done.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    done.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
     shelf.take_off(scattered)
     return spark.read.schema(done.schema).parquet(path)

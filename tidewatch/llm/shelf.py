@@ -42,11 +42,11 @@ class Shelf:
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         FOLDERS.append(self.folder)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """df as a table that is read back from the shared folder."""
         path = f"{self.folder}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._shelf_path = path
         return kept
