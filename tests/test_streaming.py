@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import metrics
 from tidewatch.operators.events import upsert
 from tidewatch.streaming import events as st
+from tidewatch.streaming import keyed
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "Id string, Start timestamp_ntz, Finish timestamp_ntz, RecordCount int"
@@ -37,33 +39,108 @@ def test_streaks_are_the_batch_streaks(spark, tmp_path):
 
 def run(stream, tmp_path, mode="update"):
     got: list = []
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: got.append(sorted(map(tuple, batch.collect())))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
+    with keyed.no_empty_batches(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: got.append(sorted(map(tuple, batch.collect()), key=str))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
     return got
 
 
 def test_history_is_the_batch_history(spark, tmp_path):
     log, schema = str(tmp_path / "log"), "key string, ts timestamp, id long, current long, child long"
     for k in range(4):
-        write(spark, log, [("ab"[i % 2], T0 + timedelta(seconds=(i * 5 + k * 3) % 17), k * 100 + i, i + k, i) for i in range(12)], schema)
+        write(spark, log, [("ab"[i % 2], T0 + timedelta(seconds=(i * 5 + k * 3) % 17, microseconds=i % 3), k * 100 + i, i + k, i) for i in range(12)], schema)
     got = run(st.history(st.read_log(spark, log, schema, 1), keep=4), tmp_path)
     last = {r[0]: r for batch in got for r in batch}
     want: dict = {}
-    for r in metrics.history(spark.read.schema(schema).parquet(log), 4).orderBy("key", "ts").collect():
-        want.setdefault(r.key, []).append((int(r.ts.timestamp() * 1000), r.current, r.child))
+    for r in metrics.history(spark.read.schema(schema).parquet(log), 4).select("key", F.unix_micros("ts").alias("ts"), "current", "child").orderBy("key", "ts").collect():
+        want.setdefault(r.key, []).append((r.ts, r.current, r.child))
     assert {k: list(zip(r[2], r[3], r[4], strict=True)) for k, r in last.items()} == want and len(want) == 2
 
 
-def test_newest_live_and_eviction(spark, tmp_path):
+def test_newest_live_loses_no_late_key(spark, tmp_path):
     log, schema = str(tmp_path / "log"), "Id string, ts timestamp, n long"
-    day = timedelta(days=1)
-    for rows in ([("a", T0, 1), ("b", T0, 2)], [("a", T0 - timedelta(minutes=1), 9), ("b", T0, 3), ("b", T0 + timedelta(minutes=1), 4)], [("c", T0 + 2 * day, 5)], [("c", T0 + 2 * day, 6)], [("a", T0 + 3 * day, 7)], [("d", T0 + 9 * day, 8)]):
+    day, minute = timedelta(days=1), timedelta(minutes=1)
+    for rows in ([("a", T0 + day, 1), ("z", None, 0)], [("b", T0 + day / 2, 2), ("b", T0 + day / 2 + minute, 3)], [("a", T0, 9), ("a", T0 + day, 8), ("c", T0 - 90 * day, 4), ("z", T0, 5)]):
         write(spark, log, rows, schema)
-    got = run(st.newest_live(st.read_log(spark, log, schema, 1), "Id", "ts", schema), tmp_path)
-    flat = [(r[0], r[2]) for batch in got for r in batch]
-    assert sorted(flat) == [("a", 1), ("a", 7), ("b", 2), ("b", 4), ("c", 5), ("d", 8)]
-    state = spark.read.format("statestore").load(str(tmp_path / "c"))
-    assert {r.key[0] for r in state.select("key").collect()} <= {"a", "c", "d"}  # b was forgotten
+    got = run(st.newest_live(st.read_log(spark, log, schema, 1), "Id", "ts", arrival="n"), tmp_path)
+    assert sorted((r[0], r[2]) for batch in got for r in batch) == [("a", 1), ("b", 3), ("c", 4), ("z", 0), ("z", 5)]
+
+
+def test_ties_of_newest_live_are_those_of_the_upsert(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "Id string, ts timestamp, done timestamp, n long"
+    rows = [("a", T0, None, 1), ("a", T0, T0, 2), ("a", T0, T0 + timedelta(1), 3), ("b", T0, T0, 4), ("b", T0, None, 5), ("c", T0, None, 6), ("c", T0 + timedelta(1), None, 7), ("c", T0, T0, 8)]
+    for i in (0, 3, 6):
+        write(spark, log, rows[i : i + 3], schema)
+    for option, want in ((None, {"a": 1, "b": 4, "c": 7}), ("done", {"a": 2, "b": 4, "c": 7})):
+        folder = tmp_path / str(option)
+        folder.mkdir()
+        got = run(st.newest_live(st.read_log(spark, log, schema, 1), "Id", "ts", arrival="n", prefer_finished=option), folder)
+        assert {r[0]: r[3] for batch in got for r in batch} == want
+        batch = upsert(spark.read.schema(schema).parquet(log), time="ts", arrival="n", prefer_finished=option)
+        assert {r.Id: r.n for r in batch.collect()} == want
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "Id string, ts timestamp, n long"
+    every = []
+    for k in range(3):
+        rows = [(str((i * k) % 4), T0 + timedelta(seconds=(i * 7 + k * 5) % 11), 10 * k + i) for i in range(8)]
+        every += rows
+        write(spark, log, rows, schema)
+        got = run(st.newest_live(st.read_log(spark, log, schema, 1), "Id", "ts", arrival="n"), tmp_path)  # the same checkpoint each time
+        sent = {r[0]: r[2] for batch in got for r in batch} if k == 0 else sent | {r[0]: r[2] for batch in got for r in batch}
+    assert sent == {r.Id: r.n for r in upsert(spark.createDataFrame(every, schema), time="ts", arrival="n").collect()}
+
+
+def test_an_idle_key_is_forgotten_by_itself(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "key string, ts timestamp, ok boolean, id long"
+    stream = lambda: run(st.failure_streaks(st.read_log(spark, log, schema, 1), idle="20 seconds"), tmp_path)
+    write(spark, log, [("a", T0, False, 1), ("b", T0, False, 2)], schema)
+    assert [(r[0], r[2]) for r in stream()[0]] == [("a", 1), ("b", 1)]
+    write(spark, log, [("a", T0 + timedelta(9), False, 3)], schema)
+    assert [(r[0], r[2]) for r in stream()[0]] == [("a", 2)]  # days of event time don't matter
+    time.sleep(21)
+    write(spark, log, [("a", T0, False, 4)], schema)
+    assert [(r[0], r[2]) for r in stream()[0]] == [("a", 1)]
+
+
+def test_heartbeat_states(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "key string, Updated timestamp_ntz"
+    write(spark, log, [("a", T0), ("b", T0), ("a", T0 - timedelta(1))], schema)
+    got: list = []
+    stream = keyed.heartbeat_states(st.read_log(spark, log, schema, 1), "key", "Updated", "8 seconds", "10 minutes")
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda batch, _: got.extend(map(tuple, batch.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while len(got) < 4 and time.time() < until:
+            time.sleep(1)
+        assert sorted(got[:2]) == [("a", T0, "Online"), ("b", T0, "Online")] and sorted(got[2:]) == [("a", T0, "Offline"), ("b", T0, "Offline")]
+        write(spark, log, [("b", T0 + timedelta(1))], schema)
+        while len(got) < 5 and time.time() < until:
+            time.sleep(1)
+        assert got[4] == ("b", T0 + timedelta(1), "Online")
+    finally:
+        query.stop()
+
+
+def test_live_and_backfill_are_one_stream(spark, tmp_path):
+    schema = "key string, ts timestamp_ntz, v string"
+    s = lambda n: T0 + timedelta(seconds=n)
+    live, old = str(tmp_path / "live"), str(tmp_path / "old")
+    write(spark, old, [("a", s(1), "file"), ("a", s(5), "file"), ("b", s(9), "file"), ("b", s(9), "again")], schema)
+    write(spark, live, [("c", s(3), "live")], schema)
+    stream = lambda: keyed.live_with_backfill(st.read_log(spark, live, schema, 1), st.read_log(spark, old, schema, 1), "key", "ts", wait="15 seconds")
+    sent = [r for batch in run(stream(), tmp_path, "append") for r in batch]
+    write(spark, live, [("a", s(5), "live"), ("a", s(6), "live"), ("a", s(5), "twice")], schema)
+    write(spark, old, [("a", s(4), "file"), ("a", s(6), "file"), ("c", s(3), "file"), ("c", s(2), "file")], schema)
+    sent += [r for batch in run(stream(), tmp_path, "append") for r in batch]
+    time.sleep(16)
+    write(spark, live, [("d", s(1), "live")], schema)
+    sent += [r for batch in run(stream(), tmp_path, "append") for r in batch]
+    places = [(r[0], r[1]) for r in sent]
+    assert len(places) == len(set(places))
+    want = st.with_backfill(*(spark.read.schema(schema).parquet(p) for p in (live, old)))
+    assert set(places) == {(r.key, r.ts) for r in want.collect()} and {(r[0], r[1]): r[2] for r in sent}["a", s(4)] == "file"
 
 
 def test_backfill(spark):

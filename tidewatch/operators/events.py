@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(events: DataFrame, key: str = "Id", newest: tuple[str, ...] = ("Start", "Finish", "RecordCount")) -> DataFrame:
-    """The newest row of each key; Spark limits each key to one row before the shuffle."""
-    order = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in newest))
-    return events.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def upsert(events: DataFrame, key: str = "Id", time: str = "Start", arrival: str | None = None, prefer_finished: str | None = None, ties: tuple[str, ...] = ("Finish", "RecordCount")) -> DataFrame:
+    """The newest row of each key by time; Spark limits each key to one row before the shuffle.
+
+    Of rows of one time the first to arrive stays: arrival is a column that numbers them, such as a log id or `_metadata.row_index`. prefer_finished: a column;
+    of rows of one time those where it isn't null come first. Without arrival ties go to the greatest values of other columns, so that results are definite.
+    """
+    order = [F.col(time).desc_nulls_last()]
+    if prefer_finished:
+        order.append(F.col(prefer_finished).isNotNull().desc())
+    order += [F.col(arrival).asc()] if arrival else [F.col(c).desc_nulls_last() for c in ties]
+    return events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 @dataclass(frozen=True)
@@ -98,12 +105,29 @@ def short_id(text: Column) -> Column:
     return F.upper(F.substring(F.md5(text), 1, 16))
 
 
-def merge_sources(*sources: DataFrame, key: str = "Id") -> DataFrame:
-    """Several sources of one run's events, the newest row of each key."""
-    every = sources[0]
-    for more in sources[1:]:
-        every = every.unionByName(more, allowMissingColumns=True)
-    return upsert(every, key)
+def merge_sources(*sources: DataFrame, key: str = "Id", arrival: str | None = None) -> DataFrame:
+    """Several sources of one run's events, the newest row of each key; of rows of one time that of the earlier source, then the first to arrive."""
+    number = lambda i: F.struct(F.lit(i).alias("source"), (F.col(arrival) if arrival else F.lit(0)).cast("long").alias("n"))
+    every = sources[0].withColumn("_arrival", number(0))
+    for i, more in enumerate(sources[1:], 1):
+        every = every.unionByName(more.withColumn("_arrival", number(i)), allowMissingColumns=True)
+    if arrival:
+        return upsert(every, key, arrival="_arrival").drop("_arrival")
+    ties = [c for c in ("Finish", "RecordCount") if c in every.columns]
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last("Start"), "_arrival", *(F.col(c).desc_nulls_last() for c in ties))
+    return every.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_arrival")
+
+
+def pair_spans(run_events: DataFrame) -> DataFrame:
+    """Run events whose messages of a beginning and an end are one span from the earliest to the latest moment.
+
+    Without it such a pair stays two rows of one EventId that begin at their own times, so of an upserted pair the later one is left, with a span of no length.
+    """
+    span = Window.partitionBy("RunId", "EventId", "Kind")
+    paired = F.col("Kind") == "Process"
+    moment = lambda c, f: F.when(paired, f(c).over(span)).otherwise(F.col(c)).alias(c)
+    changed = {"TimestampUtc": F.min, "FinishUtc": F.max}
+    return run_events.select(*(moment(c, changed[c]) if c in changed else F.col(c) for c in run_events.columns))
 
 
 def to_log(events: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ from tidewatch.functions import jsonpath, text
 from tidewatch.operators import events as ev
 from tidewatch.operators import graph, logs, metrics, runs, timeline, topics, topology
 from tidewatch.session import table
-from tidewatch.sources.adapters import EVENTS_SQL, MESSAGES_SQL, RAW_EVENTS_SQL, RUNS_SQL, SERVICES_SQL
+from tidewatch.sources.adapters import ARRIVING_SQL, EVENTS_SQL, MESSAGES_SQL, RUNS_SQL, SERVICES_SQL, arriving_events
 from tidewatch.sources.adapters import events as event_table
 from tidewatch.sources.adapters import messages as message_table
-from tidewatch.sources.adapters import raw_events
 from tidewatch.sources.adapters import runs as run_table
 from tidewatch.sources.adapters import services as service_table
 from tidewatch.sources.adapters import stored_events
@@ -115,11 +114,38 @@ query("run_status_codes", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '
 E = f"WITH {EVENTS_SQL} "
 
 
-@query("events_upsert", f"WITH {RAW_EVENTS_SQL}" + """, keyed AS (SELECT split_part(Id, '-', 1) || '-' || split_part(Id, '-', 2) AS Key, * FROM raw_events)
-SELECT Key AS id, "Start" AS start_ts, Finish AS finish_ts, RecordCount AS records FROM (SELECT *, row_number() OVER (PARTITION BY Key ORDER BY "Start" DESC, Finish DESC NULLS LAST, RecordCount DESC) AS rn FROM keyed) WHERE rn = 1""")
+ARRIVED_SQL = f"WITH {ARRIVING_SQL}, keyed AS (SELECT split_part(Id, '-', 1) || '-' || split_part(Id, '-', 2) AS Key, date_trunc('month', \"Start\") AS Month, * FROM raw_events) "
+NEWEST = {
+    "events_upsert": ("Key", '"Start" DESC, Arrival'),
+    "events_upsert_ties": ("Name", "Month DESC, Arrival"),
+    "events_upsert_finished": ("Name", "Month DESC, Finish IS NULL, Arrival"),
+}
+
+
+def newest_sql(name: str) -> str:
+    key, order = NEWEST[name]
+    return ARRIVED_SQL + f"""SELECT {key} AS id, "Start" AS start_ts, Finish AS finish_ts, RecordCount AS records FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM keyed) WHERE rn = 1"""
+
+
+def newest_rows(events: DataFrame, key: str, time: str, prefer_finished: str | None = None) -> DataFrame:
+    rows = ev.upsert(events, key, time, arrival="Arrival", prefer_finished=prefer_finished)
+    return rows.select(F.col(key).alias("id"), F.col("Start").alias("start_ts"), F.col("Finish").alias("finish_ts"), F.col("RecordCount").alias("records"))
+
+
+@query("events_upsert", newest_sql("events_upsert"))
 def events_upsert(spark, sf):
-    keyed = raw_events(spark, sf).withColumn("Id", F.substring_index("Id", "-", 2))
-    return ev.upsert(keyed).select(F.col("Id").alias("id"), F.col("Start").alias("start_ts"), F.col("Finish").alias("finish_ts"), F.col("RecordCount").alias("records"))
+    return newest_rows(arriving_events(spark, sf).withColumn("Key", F.substring_index("Id", "-", 2)), "Key", "Start")
+
+
+@query("events_upsert_ties", newest_sql("events_upsert_ties"))
+def events_upsert_ties(spark, sf):
+    """Many rows of one key have equal times: the first to arrive stays."""
+    return newest_rows(arriving_events(spark, sf).withColumn("Month", F.date_trunc("month", "Start")), "Name", "Month")
+
+
+@query("events_upsert_finished", newest_sql("events_upsert_finished"))
+def events_upsert_finished(spark, sf):
+    return newest_rows(arriving_events(spark, sf).withColumn("Month", F.date_trunc("month", "Start")), "Name", "Month", "Finish")
 
 
 @query("events_poll_cursor", E + """SELECT Id AS id, coalesce(Finish, "Start") AS last_update FROM ev WHERE coalesce(Finish, "Start") > TIMESTAMP '2000-06-01'""")
@@ -192,6 +218,15 @@ CASE WHEN Kind = 'Error' THEN 'Failed' WHEN message_type = 40 THEN 'Success' ELS
 )
 
 
+@query(
+    "ssis_spans",
+    CATALOG_SQL
+    + """SELECT event_message_id, CASE WHEN Kind = 'Process' THEN min(ts) OVER w ELSE ts END AS TimestampUtc, CASE WHEN Kind = 'Process' THEN max(CASE WHEN message_type = 40 THEN ts END) OVER w END AS FinishUtc FROM c WINDOW w AS (PARTITION BY path, Kind)""",
+)
+def ssis_spans(spark, sf):
+    return ev.pair_spans(catalog_events(spark, sf)).select("event_message_id", "TimestampUtc", "FinishUtc")
+
+
 # --- topology -----------------------------------------------------------------------------------------------------
 
 ROW_COLUMNS = ("Service", "Pipeline", "Start", "Finish", "Error")

@@ -62,12 +62,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as performance events, before upserting."""
+    return as_events(table(spark, sf_dir, "lineitem"))
+
+
+def as_events(lineitem: DataFrame, *more: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     kind = lambda prefix, c, n: F.concat(F.lit(prefix), (F.col(c) % n).cast("string"))
     after = lambda c: F.col("l_shipdate") + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
     open_ = (F.col("l_linestatus") == "O") & (F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz")) & (F.col("l_suppkey") % 5 == 1)
     failed = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09) & (F.col("l_suppkey") % 5 == 0)
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
+        *more,
         F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey")).alias("Id"),
         text("l_orderkey").alias("Name"),
         kind("svc-", "l_suppkey", 5).alias("Service"),
@@ -81,6 +86,16 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The order in which rows arrived, for tables without a number of their own.
+ARRIVING_SQL = RAW_EVENTS_SQL.replace("  SELECT CAST(", "  SELECT row_number() OVER () AS Arrival, CAST(", 1)
+
+
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as performance events with their place in the log as Arrival."""
+    numbered = table(spark, sf_dir, "lineitem").withColumn("Arrival", F.struct("_metadata.file_path", "_metadata.file_block_start", "_metadata.row_index"))
+    return as_events(numbered, "Arrival")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each event id."""
     return upsert(raw_events(spark, sf_dir))

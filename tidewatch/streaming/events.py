@@ -1,18 +1,18 @@
 """Streams of events: the batch operators' semantics, kept up to date.
 
 State is Spark's own. `newest` is a grouped `max_by`: an older row that comes late changes nothing, and the state grows with the
-number of keys. `newest_live`, `history` and `failure_streaks` take `idle`, an interval of event time after which a key that
-has no new rows is forgotten, so their state is bounded by the keys in use.
+number of keys. `newest_live`, `history` and `failure_streaks` take `idle`: a key that has had no rows for so long by the clock is
+forgotten (see `keyed`), so their state is bounded by the keys in use. No row is left out because other keys are further on in time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidewatch.streaming.keyed import kept_by_key, no_empty_batches
 
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -26,57 +26,46 @@ def newest(stream: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     return rows.select("row.*")
 
 
-def seconds_of(interval: str) -> int:
-    n, unit = interval.split()
-    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.removesuffix("s")]
-
-
-def kept_by_key(stream: DataFrame, key: str, time: str, output: str, state: str, step: Callable, idle: str | None) -> DataFrame:
-    """step(key, new rows, state or None) -> (rows that go out, state), for each key with new rows; keys idle for so long are forgotten."""
-
-    def run(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        out, after = step(keys[0], pd.concat(list(parts)), tuple(held.get) if held.exists else None)
-        held.update(after)
-        if idle:
-            held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + 1000 * seconds_of(idle))
-        yield out
+def newest_live(stream: DataFrame, key: str, time: str, idle: str | None = "3 hours", arrival: str | None = None, prefer_finished: str | None = None) -> DataFrame:
+    """The newest row of each key by time, sent again whenever it changes; of one time the first to arrive.
 
-    rows = stream.withWatermark(time, idle) if idle else stream
-    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(run, output, state, "update" if idle else "append", timeout)
-
-
-def newest_live(stream: DataFrame, key: str, time: str, columns: str, idle: str = "3 hours") -> DataFrame:
-    """The newest row of each key by time, sent again whenever it changes; of one time the first to arrive. columns: the stream's, as a schema."""
-    names = [c.split()[0] for c in columns.split(", ")]
+    arrival: a column that orders rows of one batch, such as a log id. prefer_finished: a column that, where the held row has none, lets a row of the same time in.
+    """
+    names, stamps = stream.columns, [f.name for f in stream.schema.fields if f.dataType.typeName() == "timestamp"]
+    schema = ", ".join(f"`{f.name}` {'bigint' if f.name in stamps else f.dataType.simpleString()}" for f in stream.schema.fields)
+    at, finish = names.index(time), names.index(prefer_finished) if prefer_finished else None
 
-    def step(_: object, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        best = rows.sort_values(time, kind="stable").drop_duplicates(time).iloc[-1]
-        if held is not None and held[names.index(time)] >= best[time]:
-            return rows.iloc[:0][names], held
-        return pd.DataFrame([best])[names], tuple(best[names])
+    def step(_: object, rows: Iterator[Row], held: tuple | None) -> tuple[list[Row], tuple]:
+        best = before = tuple(held) if held is not None else None
+        for row in map(tuple, sorted(rows, key=lambda r: r[arrival]) if arrival else rows):
+            finished = finish is not None and best is not None and row[at] == best[at] and best[finish] is None and row[finish] is not None
+            if best is None or finished or (row[at] is not None and (best[at] is None or row[at] > best[at])):
+                best = row
+        return [] if best == before else [Row(**dict(zip(names, best, strict=True)))], best
 
-    return kept_by_key(stream, key, time, columns, columns, step, idle)
+    numbers = stream.select(*(F.unix_micros(c).alias(c) if c in stamps else c for c in names))
+    kept = kept_by_key(numbers, key, schema, schema, step, idle)
+    return kept.select(*(F.timestamp_micros(c).alias(c) if c in stamps else c for c in names))
 
 
 def history(stream: DataFrame, keep: int = 1000, idle: str | None = "3 hours") -> DataFrame:
-    """Each key's newest samples, one for each moment (the last to arrive), oldest first: key, n and the arrays ts, current and child, sent with each change.
+    """Each key's newest samples, one for each moment (the last to arrive), oldest first: key, n and the arrays ts (microseconds), current and child, sent with each change.
 
     stream: key, ts, id (order of arrival), current, child.
     """
+    arrays = "ts array<long>, current array<long>, child array<long>"
 
-    def step(key: object, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        known = dict(zip(held[0], zip(held[1], held[2], strict=True), strict=True)) if held else {}
-        rows = rows.sort_values("id")
-        known |= dict(zip((int(t.timestamp() * 1000) for t in rows["ts"]), zip(rows["current"].tolist(), rows["child"].tolist(), strict=True), strict=True))
+    def step(key: object, rows: Iterator[Row], held: tuple | None) -> tuple[list[Row], tuple]:
+        known = dict(zip(held[0], zip(*held[1:], strict=True), strict=True)) if held is not None else {}
+        for r in rows:
+            if r["at"] not in known or known[r["at"]][0] <= r["id"]:
+                known[r["at"]] = r["id"], r["current"], r["child"]
         last = sorted(known.items())[-keep:]
-        state = [t for t, _ in last], [c for _, (c, _) in last], [d for _, (_, d) in last]
-        return pd.DataFrame({"key": [key], "n": [len(last)], "ts": [state[0]], "current": [state[1]], "child": [state[2]]}), state
+        ts, ids, current, child = [t for t, _ in last], *([v[i] for _, v in last] for i in range(3))
+        return [Row(key=key, n=len(last), ts=ts, current=current, child=child)], (ts, ids, current, child)
 
-    return kept_by_key(stream, "key", "ts", "key string, n int, ts array<long>, current array<long>, child array<long>", "ts array<long>, current array<long>, child array<long>", step, idle)
+    rows = stream.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return kept_by_key(rows, "key", f"key string, n int, {arrays}", "ts array<long>, id array<long>, current array<long>, child array<long>", step, idle)
 
 
 def alive(latest: DataFrame, as_of: str, seconds: int = 30) -> DataFrame:
@@ -88,14 +77,14 @@ def alive(latest: DataFrame, as_of: str, seconds: int = 30) -> DataFrame:
 def failure_streaks(stream: DataFrame, idle: str | None = None) -> DataFrame:
     """Consecutive failures of each key up to each check. stream: key, ts, id, ok; rows of a batch are taken by ts and id. idle: after so long a key begins anew."""
 
-    def step(_: object, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        rows, streak, out = rows.sort_values(["ts", "id"]), held[0] if held else 0, []
-        for ok in rows["ok"]:
-            streak = 0 if ok else streak + 1
-            out.append(streak)
-        return pd.DataFrame({"key": rows["key"], "ts": rows["ts"], "streak": out}), (streak,)
+    def step(_: object, rows: Iterator[Row], held: tuple | None) -> tuple[list[Row], tuple]:
+        streak, out = held[0] if held is not None else 0, []
+        for r in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+            streak = 0 if r["ok"] else streak + 1
+            out.append(Row(key=r["key"], ts=r["ts"], streak=streak))
+        return out, (streak,)
 
-    return kept_by_key(stream, "key", "ts", "key string, ts timestamp, streak long", "streak long", step, idle)
+    return kept_by_key(stream, "key", "key string, ts timestamp, streak long", "streak long", step, idle)
 
 
 def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None):
@@ -108,7 +97,10 @@ def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    if every:
+        return writer.trigger(processingTime=every).start()
+    with no_empty_batches(stream.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def with_backfill(live: DataFrame, backfill: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
