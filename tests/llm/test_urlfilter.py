@@ -59,15 +59,53 @@ def test_the_whole_url_is_judged(spark):
 def plain(url, terms, limit):
     """The verdict by looking for each term by itself."""
     text = "".join(c.lower() if c.isascii() else c for c in url or "")
-    words = {w: n for w, n in terms if re.search(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", text)}
+    words = {}
+    for term, n in terms:
+        before, after = "" if term[0] == "*" else "(?<![a-z0-9])", "" if term[-1] == "*" else "(?![a-z0-9])"
+        if re.search(before + re.escape(term.strip("*")) + after, text):
+            words[term.strip("*")] = max(n, words.get(term.strip("*"), 0))
     return "block" if sum(words.values()) >= limit else "allow"
 
 
+ORDINARY = """essex.gov/adult/education/credit bank.com/mortgage/loan x.org/best/free/online news.net/sport/live-stream/watch
+uni.edu/library/patch/serial shop.com/outlet/sale/deals-of-the-day farm.org/track-record/seeds.html health.gov/pharmacy/prescription
+museum.org/prize-winner/2020 city.gov/parking/offers?order=top sussex.ac.uk/adult-learning/download blog.net/2019/05/how-i-track-my-debt
+middlesexhospital.org/escorting scunthorpe.co.uk/history games.org/poker/rules essays.com/lottery-by-jackson docs.dev/api/redirect?track=off
+credit-union.org/loans/options bookshop.com/hot/new/best x.com/assassins/guide""".split()
+UNWANTED = """freeporn.com x.com/pornhub best-hentai.example videos.net/xxx/live online-casino.example grandcasino.example/en
+buyviagra.example cheap-viagra.example/rx hot-bets.example/poker win-prizes.example/giveaway/spam softwarez.example/crack getkeygen.example
+payday-loans.example/cash free-torrents.example/cracked adult-dating.example/strip/odds""".split()
+
+
+def test_ordinary_urls_pass_and_compound_ones_do_not(spark):
+    pages = spark.createDataFrame([(i, "http://" + url) for i, url in enumerate(ORDINARY + UNWANTED)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in u.filter_urls(pages, []).collect()}
+    wrong = [url for i, url in enumerate(ORDINARY + UNWANTED) if got[i] != ("allow" if i < len(ORDINARY) else "block")]
+    assert wrong == []
+
+
+def test_a_vocabulary_is_learned_from_judged_urls(spark):
+    rng = random.Random(6)
+    bad, both, good = ([f"{kind}{i}" for i in range(n)] for kind, n in (("bad", 400), ("mid", 100), ("good", 400)))
+    def url(blocked):
+        words = [rng.choice(bad if blocked else good), rng.choice(both), rng.choice(good), rng.choice(bad if rng.random() < (0.3 if blocked else 0.002) else both)]
+        rng.shuffle(words)
+        return "http://" + ".".join(words[:2]) + ".com/" + "/".join(words[2:]), blocked
+    rows = [url(int(i % 4 == 0)) for i in range(24_000)] + [(None, 1), ("http://x.com", None)]
+    terms = dict(u.learn_terms(spark.createDataFrame(rows[:20_000] + rows[-2:], "url string, blocked int")))
+    assert 350 < len(terms) <= 400 and all(t.startswith("bad") for t in terms) and max(terms.values()) == u.LIMIT
+    held = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(rows[20_000:-2])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in u.filter_urls(held, [], terms=tuple(terms.items())).collect()}
+    right = [(got[i] == "block") == bool(b) for i, (_, b) in enumerate(rows[20_000:-2])]
+    assert sum(right) > 0.95 * len(right)
+    assert u.learn_terms(spark.createDataFrame([], "url string, blocked int")) == () == u.learn_terms(spark.createDataFrame([("http://a.b", 0)], "url string, blocked int"))
+
+
 def test_vocabulary_is_a_plain_search(spark):
     terms = u.vocabulary()
-    assert 150 < len(terms) < 260 and {n for _, n in terms} == {2, 3, 6}
+    assert 150 < len(terms) < 260 and {n for _, n in terms} == {1, 2, 3, 6}
     rng = random.Random(2)
-    words = [w for w, _ in terms] + ["news", "garden", "bookshelf", "casinos2", "é"]
+    words = [w.strip("*") for w, _ in terms] + ["news", "garden", "bookshelf", "casinos2", "é"]
     rows = []
     for i in range(1500):
         text = "".join(rng.choice(words) + rng.choice(["-", "/", ".", "x", "_", "?", "=", "É"]) for _ in range(rng.randrange(4)))
