@@ -1,7 +1,7 @@
 """How sources of a language differ in their words: divergences of all pairs of sources, and the terms that set a source apart.
 
-Each task counts the terms of its documents in radix tries over bytes, one for each language, whose leaves hold the number of documents and
-the occurrences in each source. A trie is walked in UTF-8 order and written; the tries of all tasks are merged by ranges of that order, leaf by leaf, so
+Each task makes radix tries over bytes from the terms of its documents, one for each language, whose leaves hold the number of documents and
+the occurrences in each source. They are laid out flat, in UTF-8 order, and written; the tries of all tasks are merged by ranges of that order, leaf by leaf, so
 a frequent term is one leaf of each task and not one row of each document. The merged leaves are walked once more, range by range: a walk sums the divergences of all
 pairs of sources and keeps each source's best terms, in the order of ties. Shares are whole numbers and all arithmetic is exact.
 
@@ -14,11 +14,13 @@ enter whole; a task holds the distinct terms of the text at hand.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +44,18 @@ CELLS = 1 << 20
 TERM_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def terms_of(text: bytes) -> Counter:
-    """Terms of a UTF-8 text and how often they occur."""
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """Terms of a UTF-8 text in lists of bounded size, in order, as often as they occur."""
     folded = text.translate(TERM_BYTES)
-    if len(folded) <= PIECE:
-        return Counter(folded.split())
-    found, at = Counter(), 0
-    while at < len(folded):
-        end = folded.find(b" ", at + PIECE)
-        end = len(folded) if end < 0 else end
-        found.update(folded[at:end].split())
+    at = 0
+    while len(folded) - at > PIECE and (end := folded.find(b" ", at + PIECE)) >= 0:
+        yield folded[at:end].split()
         at = end
-    return found
+    yield (folded[at:] if at else folded).split()
 
 
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf is [documents, {source: occurrences}]."""
+    """A radix trie over bytes. A node is [label, children by first byte or None, leaf or None]; a leaf is [documents, {source: occurrences}]."""
 
     def __init__(self) -> None:
         self.root: list = [b"", {}, None]
@@ -65,29 +63,35 @@ class Trie:
 
     def leaf(self, term: bytes) -> list:
         """The term's leaf, which is new if need be. Leaves that are known aren't searched from the root again."""
-        if (leaf := self.known.get(term)) is not None:
-            return leaf
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
+        if (found := self.known.get(term)) is None:
+            found = [0, {}]
+            self.put(term, found)
+        return found
+
+    def put(self, term: bytes, leaf: list) -> None:
+        """A leaf for a term that has none."""
+        self.known[term] = leaf
+        node, rest = self.root, term
+        while rest:
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(rest[0])
             if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node, at = child, len(term)
-                continue
-            label, same = child[0], 0
-            most = min(len(label), len(term) - at)
-            while same < most and label[same] == term[at + same]:
-                same += 1
-            if same < len(label):  # the edge parts here
-                upper = node[1][term[at]] = [label[:same], {label[same]: child}, None]
-                child[0], child = label[same:], upper
-            node, at = child, at + same
-        node[2] = [0, {}]
-        self.known[term] = node[2]
-        return node[2]
-
-    def merge(self, term: bytes, docs: int, counts) -> int:
-        """Add a leaf of another trie, or of one document; how many counters are new."""
+                children[rest[0]] = [rest, None, leaf]
+                return
+            label = child[0]
+            if not rest.startswith(label):  # the edge parts where they differ
+                same, most = 1, min(len(label), len(rest))
+                while same < most and label[same] == rest[same]:
+                    same += 1
+                upper = children[rest[0]] = [label[:same], {label[same]: child}, None] if same < len(label) else child
+                child[0], label, child = label[same:], label[:same], upper
+            node, rest = child, rest[len(label) :]
+        node[2] = leaf
+
+    def merge(self, term: bytes, docs: int, counts: Iterable[tuple[str, int]]) -> int:
+        """Add a leaf of another trie; how many counters are new."""
         leaf = self.leaf(term)
         leaf[0] += docs
         own, before = leaf[1], len(leaf[1])
@@ -103,24 +107,30 @@ class Trie:
             term = prefix + label
             if leaf is not None:
                 yield term, leaf
-            stack.extend((term, children[b]) for b in sorted(children, reverse=True))
+            if children:
+                for b in sorted(children, reverse=True):
+                    stack.append((term, children[b]))
 
 
 LEAVES = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def pack(rows: list[tuple[str, bytes, int, list[str], list[int]]]) -> pa.RecordBatch:
-    lang, term, docs, sources, counts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["lang", "term", "docs", "sources", "counts"])
+def pack(rows: list[tuple[str, bytes, list]]) -> pa.RecordBatch:
+    """Leaves as a batch of LEAVES."""
+    lang, term, leaves = zip(*rows, strict=True)
+    ends = np.cumsum([0, *(len(leaf[1]) for leaf in leaves)], dtype=np.int32)
+    sources = pa.ListArray.from_arrays(ends, pa.array([s for leaf in leaves for s in leaf[1]], pa.string()))
+    counts = pa.ListArray.from_arrays(ends, pa.array([n for leaf in leaves for n in leaf[1].values()], pa.int64()))
+    docs = pa.array([leaf[0] for leaf in leaves], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), docs, sources, counts], ["lang", "term", "docs", "sources", "counts"])
 
 
-def walked(tries: dict[str, Trie], least: int = 0) -> Iterator[pa.RecordBatch]:
-    """Leaves of all tries that are in enough documents, in order."""
+def walked(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
+    """Leaves of all tries in order."""
     rows = []
     for lang in sorted(tries, key=str.encode):
-        for term, (docs, counts) in tries[lang].walk():
-            if docs >= least:
-                rows.append((lang, term, docs, list(counts), list(counts.values())))
+        for term, leaf in tries[lang].walk():
+            rows.append((lang, term, leaf))
             if len(rows) == 10_000:
                 yield pack(rows)
                 rows = []
@@ -128,35 +138,116 @@ def walked(tries: dict[str, Trie], least: int = 0) -> Iterator[pa.RecordBatch]:
         yield pack(rows)
 
 
+def without_gc(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Tries are millions of small objects without circles, which the collector of circles needn't go over again and again."""
+
+    def run(batches: Iterator) -> Iterator:
+        gc.disable()
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
+Held = dict[str, tuple[Counter, dict[str, Counter]]]
+
+
+def flat_tries(held: Held) -> Iterator[pa.RecordBatch]:
+    """What a task has counted (of each language the documents of terms, and the occurrences of each source) as flat tries.
+
+    A flat trie is its leaves in UTF-8 order, which is the walk of the trie: a leaf's edge is what it doesn't share with the one before.
+    """
+    for lang in sorted(held, key=str.encode):
+        docs, sources = held[lang]
+        if not docs:
+            continue
+        terms, n = pa.array(docs.keys(), pa.binary()), np.fromiter(docs.values(), np.int64, len(docs))
+        order = pc.sort_indices(terms)
+        terms, n = terms.take(order), n[order.to_numpy()]
+        leaf = np.concatenate([pc.index_in(pa.array(c.keys(), pa.binary()), terms).to_numpy() for c in sources.values()])
+        owner = np.repeat(np.arange(len(sources), dtype=np.int32), [len(c) for c in sources.values()])
+        counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])
+        by = np.argsort(leaf, kind="stable")
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(terms)))]), pa.int32())
+        names = pa.DictionaryArray.from_arrays(pa.array(owner[by]), pa.array(list(sources), pa.string())).cast(pa.string())
+        columns = [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), terms.cast(pa.string()), pa.array(n), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(counts[by]))]
+        yield from pa.Table.from_arrays(columns, ["lang", "term", "docs", "sources", "counts"]).to_batches(max_chunksize=10_000)
+
+
 def task_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (lang, source, text) to the leaves of this task's tries."""
-    tries, held = {}, 0
+    held, size = {}, 0
     for batch in batches:
         for part in bounded_slices(batch, 2, len(batch)):
             for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
-                trie = tries.setdefault(lang, Trie())
-                for term, n in terms_of(text).items():
-                    held += trie.merge(term, 1, ((source, n),))
-                if held >= HELD_COUNTERS:
-                    yield from walked(tries)
-                    tries, held = {}, 0
-    yield from walked(tries)
-
-
-def merge_range(least: int):
-    """Sorted leaves of many tries to the merged ones of a range. The range arrives in UTF-8 order, so a trie is walked and let go between two terms whenever it has grown."""
+                docs, sources = held.setdefault(lang, (Counter(), {}))
+                counts = sources.setdefault(source, Counter())
+                before, own = len(counts), set()
+                for terms in terms_of(text):
+                    counts.update(terms)
+                    own.update(terms)
+                docs.update(own)
+                size += len(counts) - before
+                if size >= HELD_COUNTERS:
+                    yield from flat_tries(held)
+                    held, size = {}, 0
+    yield from flat_tries(held)
+
+
+def merged_runs(rows: pa.RecordBatch, starts: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[str, bytes, int, list[tuple[str, int]]]]:
+    """Of each chosen run of equal terms, which begin at starts: language, term, documents and the occurrences of each source."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    part = rows.filter(pa.array(np.repeat(chosen, sizes)))
+    if not len(part):
+        return
+    sizes = sizes[chosen]
+    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    docs = np.add.reduceat(part.column(2).to_numpy(), at)
+    sources, counts = part.column(3), part.column(4).flatten().to_numpy()
+    codes = sources.flatten().dictionary_encode()
+    names = codes.dictionary.to_pylist()
+    key = np.repeat(np.repeat(np.arange(len(sizes)), sizes), sources.value_lengths().to_numpy()) * len(names) + codes.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    key, sums = key[order][first], np.add.reduceat(counts[order], first).tolist()
+    ends = np.searchsorted(key, np.arange(len(sizes) + 1) * len(names)).tolist()
+    owners = [names[c] for c in (key % len(names)).tolist()]
+    heads = part.take(pa.array(at))
+    for i, (lang, term, n) in enumerate(zip(heads.column(0).to_pylist(), heads.column(1).cast(pa.binary()).to_pylist(), docs.tolist(), strict=True)):
+        yield lang, term, n, list(zip(owners[ends[i] : ends[i + 1]], sums[ends[i] : ends[i + 1]], strict=True))
+
+
+def merge_range(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted leaves of many tries to the merged ones of a range.
+
+    The range arrives in UTF-8 order, so the leaves of one term are together. Those in too few documents are passed over before anything is merged,
+    and the trie is walked and let go between two terms whenever it has grown. The last term of a batch goes on as one leaf.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, held, last = {}, 0, None
+        tries, size, carried = {}, 0, None
         for batch in batches:
-            columns = (batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4)))
-            for lang, term, docs, sources, counts in zip(*columns, strict=True):
-                if held >= HELD_COUNTERS and (lang, term) != last:
-                    yield from walked(tries, least)
-                    tries, held = {}, 0
-                last = lang, term
-                held += tries.setdefault(lang, Trie()).merge(term, docs, zip(sources, counts, strict=True))
-        yield from walked(tries, least)
+            if not len(batch):
+                continue
+            rows = batch if carried is None else pa.concat_batches([carried, batch.cast(carried.schema)])
+            parted = [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False).astype(bool) for c in (rows.column(0), rows.column(1))]
+            starts = np.concatenate([[0], np.flatnonzero(parted[0] | parted[1]) + 1])
+            chosen = np.add.reduceat(rows.column(2).to_numpy(), starts) >= least
+            chosen[-1] = False
+            for lang, term, docs, counts in merged_runs(rows, starts, chosen):
+                size += tries.setdefault(lang, Trie()).merge(term, docs, counts)
+            if size >= HELD_COUNTERS:
+                yield from walked(tries)
+                tries, size = {}, 0
+            last = rows.slice(starts[-1])
+            [(lang, term, docs, counts)] = merged_runs(last, np.array([0]), np.array([True]))
+            carried = pack([(lang, term, [docs, dict(counts)])])
+        if carried is not None and carried.column(2)[0].as_py() >= least:
+            [(lang, term, docs, counts)] = merged_runs(carried, np.array([0]), np.array([True]))
+            tries.setdefault(lang, Trie()).merge(term, docs, counts)
+        yield from walked(tries)
 
     return run
 
@@ -214,9 +305,9 @@ def walk_ranges(top: int):
 
 def merged_leaves(shelf: Shelf, docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Leaves (LEAVES) of the terms that each language keeps. docs: lang, source, text, without nulls."""
-    tries = shelf.put(docs.select("lang", "source", "text").mapInArrow(task_tries, LEAVES))
+    tries = shelf.put(docs.select("lang", "source", "text").mapInArrow(without_gc(task_tries), LEAVES))
     ranges = tries.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    return shelf.put(ranges.mapInArrow(merge_range(least_docs), LEAVES))
+    return shelf.put(ranges.mapInArrow(without_gc(merge_range(least_docs)), LEAVES))
 
 
 def audit(spark: SparkSession, docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK) -> DataFrame:
