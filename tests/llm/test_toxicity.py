@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -70,31 +71,58 @@ def test_empty(spark):
     assert toxicity.score(docs, toxicity.Lexicon()).count() == 0
 
 
+def reading(folded, shown, start, word):
+    """Whether the word can be read at a place: as it stands, or in another way."""
+    end = start + len(word)
+    if end > len(folded) or toxicity.coarse(folded)[start:end] != toxicity.coarse(word):
+        return None
+    return folded[start:end] == word or (None if not toxicity.spells(shown[start:end], word) else False)
+
+
 def naive(text, lexicon):
-    """The three features by trying every term at every place."""
+    """The three features by trying every term and phrase at every place."""
     shown = toxicity.plain(text)
     folded = toxicity.DISGUISED.sub(toxicity.letters, shown)
-    read = toxicity.coarse(folded)
     hits, spans = [], []
-    listed = [(toxicity.fold(t.removesuffix("*")), w, t.endswith("*")) for t, w in lexicon.weights.items()] + [(toxicity.fold(p), None, False) for p in lexicon.exceptions]
-    for start in range(len(read)):
-        for word, weight, stem in listed:
+    for start in range(len(folded)):
+        if start and toxicity.coarse(folded)[start - 1].isalpha():
+            continue
+        for term, weight in lexicon.weights.items():
+            word = toxicity.fold(term.removesuffix("*"))
             end = start + len(word)
-            if end > len(read) or read[start:end] != toxicity.coarse(word) or (start and read[start - 1].isalpha()) or (end < len(folded) and folded[end].isalpha() and not stem):
-                continue
-            same = folded[start:end] == word
-            if same or toxicity.spells(shown[start:end], word):
-                (spans if weight is None else hits).append((start, end, word, weight, same))
-    hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, *_ in spans)]
+            same = reading(folded, shown, start, word)
+            if same is not None and (term.endswith("*") or end == len(folded) or not folded[end].isalpha()):
+                hits.append((start, end, word, weight, same))
+        for phrase in lexicon.exceptions:
+            at = start
+            for i, word in enumerate(phrase.split()):
+                gap = len(folded[at:]) - len(folded[at:].lstrip(" \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0-\u2010\u2014"))
+                if i and not gap or reading(folded, shown, at + (gap if i else 0), toxicity.fold(word)) is None:
+                    at = None
+                    break
+                at += (gap if i else 0) + len(word)
+            if at and (at == len(folded) or not toxicity.coarse(folded)[at].isalpha()):
+                spans.append((start, at))
+    hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spans)]
     best = {}
     for start, _, _, weight, _ in hits:
         best[start] = max(best.get(start, 0), weight)
     plainly = {h[0] for h in hits if h[4]}
     kinds = {h[2][:4] for h in hits if h[4] or h[0] not in plainly}
-    words = folded.count(" ") + folded.count("\n") + 1
+    words = max(1, len(re.findall("[^\x20\x09-\x0d]+", shown)))
     return np.log1p(sum(best.values())), len(kinds) ** 0.5, np.log1p(100 * sum(best.values()) / words)
 
 
+def test_white_space_between_words_changes_nothing():
+    for text in ("you are an idiot", "a moron and scum here"):
+        for space in (" " * 5000, "\t", "\n\r\n", "\x0b \f"):
+            assert feats(text.replace(" ", space)) == feats(text) == feats(space + text + space)
+    assert feats("idiot " + "word\t" * 500)[2] < feats("idiot word")[2]
+    for phrase in ("trash-can", "TRASH  can", "trash\n\tcans", "tra5h \u2014 can", "class - clown"):
+        assert feats(phrase) == (0.0, 0.0, 0.0)
+    assert feats("trashcan idiot can")[0] > 0 and feats("trash, can")[0] > 0 and feats("trash cannot")[0] > 0
+
+
 def test_matcher_is_a_naive_scan():
     rng = random.Random(8)
     weights = {t: 1.0 + i / 7 for i, t in enumerate(toxicity.SEED_TERMS)} | {"idio*": 2.0, "imbec*": 1.5, "fail": 3.0, "fall*": 2.5}
@@ -104,7 +132,7 @@ def test_matcher_is_a_naive_scan():
     disguise = {"o": "0", "i": "1", "l": "1", "e": "3", "a": "@", "s": "$", "t": "7", "c": "с", "p": "р"}
     some = 0
     for _ in range(1500):
-        text = "".join(rng.choice(parts) + rng.choice([" ", "", "s ", "!", "\n", "\u200b", "x"]) for _ in range(rng.randrange(7)))
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", "s ", "!", "\n", "\u200b", "x", "  ", "-"]) for _ in range(rng.randrange(7)))
         text = "".join(disguise.get(c, c) if rng.random() < 0.2 else c.upper() if rng.random() < 0.1 else c for c in text)
         assert np.allclose(read(text), naive(text, lexicon)), text
         some += read(text)[0] > 0

@@ -12,7 +12,7 @@ a batch sends each node once, without document or position, and gets back one bi
 node. So copies are merged before the shuffle, and a passage that all documents have costs one
 entry per batch. Batches are cut by running sums of text bytes in the order of doc_id, so a batch has at most BATCH_BYTES
 whatever lies side by side; only one document that is longer by itself, or the rows of one doc_id, make a larger one.
-The driver holds the batches' first doc_ids, at most MOST_BATCHES numbers (8 MB): beyond as many batches they grow instead.
+The first doc_ids of the batches are broadcast: 8 bytes for each batch, 1.4 MB for each TB of text, so batches and tasks stay as they are at any size.
 
 A window is identified by 64 bits of its words and the 16 bits of its prefix's bin. Edges below the
 depth of a window are not built; README gives the reason.
@@ -38,7 +38,7 @@ from tidewatch.llm.textops import U64, Hasher, string_buffers, text_chunks, word
 WINDOW, PREFIX, BIN_BITS = 13, 4, 16
 #: Text bytes in a batch and nodes in a group: what one task holds at a time, about 20 bytes for each byte of text and 60 for each node.
 #: Raise both for very large corpora, where batches times groups is the number of rows shuffled.
-BATCH_BYTES, GROUP_NODES, MOST_BATCHES = 6 << 20, 1_000_000, 1_000_000
+BATCH_BYTES, GROUP_NODES = 6 << 20, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -75,23 +75,21 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, Words]]:
         yield first, Words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
 
 
-def prefix_counts(docs: DataFrame, window: int, prefix: int) -> tuple[np.ndarray, int]:
-    """Windows by prefix bin over the whole corpus, and its text bytes."""
+def prefix_counts(docs: DataFrame, window: int, prefix: int) -> np.ndarray:
+    """Windows by prefix bin over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, size = np.zeros(1 << BIN_BITS, dtype=np.int64), 0
+        counts = np.zeros(1 << BIN_BITS, dtype=np.int64)
         for batch in batches:
             for _, words in texts_of(batch.column(0)):
-                size += len(words.data)
                 counts += np.bincount(words.windows(window, prefix)[3], minlength=len(counts))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([size, *counts[at]], pa.int64())], names=["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bin", "n"])
 
     found = docs.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most one row per bin
     counts = np.zeros(1 << BIN_BITS, dtype=np.int64)
-    real = found[found["bin"] >= 0]
-    counts[real["bin"].to_numpy(dtype=np.int64)] = real["n"].to_numpy(dtype=np.int64)
-    return counts, int(found.loc[found["bin"] < 0, "n"].sum())
+    counts[found["bin"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return counts
 
 
 def group_plan(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,14 +200,14 @@ def spaced_texts(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, batch_bytes: int = BATCH_BYTES, group_nodes: int = GROUP_NODES, spaced: bool = False) -> DataFrame:
     """doc_id, text, n_words, n_removed, kept (the words left, joined by one space, or spaced: as they stood), and `row`, a struct of the other columns of docs."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    counts, size = prefix_counts(docs, window, prefix)
+    counts = prefix_counts(docs, window, prefix)
     first, parts = group_plan(counts, group_nodes)
-    bounds = batch_bounds(docs, max(batch_bytes, size // MOST_BATCHES))
-    n_batches = len(bounds) + 1
+    bounds = batch_bounds(docs, batch_bytes)  # 8 bytes for each batch, so 1.4 MB a TB: tasks stay as they are at any size
+    n_batches, dealt_at = len(bounds) + 1, spark.sparkContext.broadcast(bounds)
 
     @F.pandas_udf("long")
     def batch_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="left"))
+        return pd.Series(np.searchsorted(dealt_at.value, ids.to_numpy(), side="left"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*others) if others else F.struct(F.lit(None).cast("boolean").alias("none"))).alias("row"))
     with_id = rows.where("doc_id IS NOT NULL").withColumn("batch", batch_of("doc_id"))

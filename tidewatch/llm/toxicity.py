@@ -4,12 +4,14 @@ Texts are folded: lower case, marks and look-alike letters to plain ones, digits
 those letters. Digits and signs at a word's end may stand for letters or not, 1 for i or l: both readings are
 tried. One Aho-Corasick pass finds terms and exception phrases; a term counts as a whole word, or as a word's
 beginning if it is a stem, and not within an exception phrase. The score is a logistic function of the
-weight found, of the number of different terms and of the weight for each hundred words.
+weight found, of the number of different terms and of the weight for each hundred words (runs of anything but white space).
 
 Weights are log odds, learned from labelled rows: words and word beginnings whose association with the label
 is beyond doubt (a likelihood-ratio test). Near copies of a labelled text count once there, so words of one much
-copied text don't become terms. Fitting takes at most `sample_rows` labelled rows, chosen by a hash of doc_id, and of the terms
-found there the MOST_TERMS with the greatest ratios: both bound the model, not the documents that are scored.
+copied text don't become terms. Fitting takes at most `sample_rows` labelled rows, chosen by a hash of doc_id, which bounds the terms, too: one
+needs several toxic texts of these rows. All terms beyond doubt are in the lexicon.
+
+Exception phrases come from a file, a phrase a line; their words may stand apart by any white space, hyphens or dashes.
 
 Defined results: null, empty and termless texts have the score of a text without terms. Labels that are
 null or for absent documents are ignored. Without usable labels the seed lexicon and default
@@ -24,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from importlib.resources import files
 
 import ahocorasick
 import numpy as np
@@ -33,13 +36,16 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.quality import learnable
 from tidewatch.llm.shelf import Shelf
+from tidewatch.llm.textops import SPACE
 
 SAMPLE_ROWS, THRESHOLD = 40_000, 0.7
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "clown", "imbecile", "vermin", "bastard", "asshole", "bitch", "retard")
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "pond scum", "clown fish", "class clown", "loser bracket", "worthless check")
+EXCEPTIONS = tuple(line.strip() for line in files(__package__).joinpath("toxic_exceptions.txt").read_text(encoding="utf-8").splitlines() if line.strip() and not line.startswith("#"))
+#: What may stand between an exception phrase's words.
+APART = r"[\s\-\u2010-\u2015]+"
 SEED_WEIGHT, STEMS, STEM_MARK = 5.0, (4, 5, 6, 7, 8), "*"
-#: Least likelihood ratio (twice its logarithm) of a term, least log odds, and most terms of a lexicon.
-LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS = 25.0, 2.5, 10_000
+#: Least likelihood ratio (twice its logarithm) and least log odds of a term.
+LEAST_RATIO, LEAST_WEIGHT = 25.0, 2.5
 
 #: Terms that a task counts before it hands them on.
 COUNTED_TERMS = 50_000
@@ -118,6 +124,13 @@ def spells(shown: str, word: str) -> bool:
     return all(c == w or STANDS_FOR.get(c) == w or (c == "1" and w == "l") for c, w in zip(shown, word, strict=True))
 
 
+def count_words(text: str) -> int:
+    """Runs of anything but white space (0x20, 0x09 to 0x0D)."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    solid = ~SPACE[data]
+    return int(np.count_nonzero(solid[1:] & ~solid[:-1])) + bool(len(solid) and solid[0])
+
+
 @dataclass
 class Lexicon:
     """Terms (a stem ends in an asterisk) with weights, exception phrases, and the score's coefficients."""
@@ -134,8 +147,9 @@ class Lexicon:
         for term, weight in self.weights.items():
             word = fold(term.removesuffix(STEM_MARK))
             kinds.setdefault(coarse(word), []).append((word, weight, term.endswith(STEM_MARK)))
-        for phrase in self.exceptions:
-            kinds.setdefault(coarse(fold(phrase)), []).append((fold(phrase), None, False))
+        phrases = [[fold(w) for w in re.split(APART, phrase)] for phrase in self.exceptions]
+        meant = re.compile("|".join(r"(?<![^\W\d_])" + APART.join(f"({re.escape(coarse(w))})" for w in words) + r"(?![^\W\d_])" for words in phrases) or r"(?!)")
+        asked = [w for words in phrases for w in words]
         for text, found in kinds.items():
             automaton.add_word(text, (len(text), found))
         if kinds:
@@ -145,7 +159,7 @@ class Lexicon:
             shown = plain(text)
             text = DISGUISED.sub(letters, shown)
             read = coarse(text)
-            hits, spans = [], []
+            hits = []
             for end, (size, found) in automaton.iter(read) if kinds else ():
                 start = end - size + 1
                 if start and read[start - 1].isalpha():
@@ -157,20 +171,17 @@ class Lexicon:
                     same = text.startswith(word, start)
                     if not same and not spells(shown[start : end + 1], word):
                         continue
-                    if weight is None:
-                        spans.append((start, end))
-                    else:
-                        hits.append((start, end, word, weight, same))
-            if spans:
-                hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spans)]
+                    hits.append((start, end, word, weight, same))
+            if hits:
+                spans = [m.span() for m in meant.finditer(read) if all(m[g] is None or text.startswith(w, m.start(g)) or spells(shown[m.start(g) : m.end(g)], w) for g, w in enumerate(asked, 1))]
+                hits = [h for h in hits if not any(a <= h[0] and h[1] < b for a, b in spans)]
             best: dict[int, float] = {}
             for start, _, _, weight, _ in hits:  # of a word and its stems the heaviest counts
                 best[start] = max(best.get(start, 0.0), weight)
             total = sum(best.values())
             first = {h[0] for h in hits if h[4]}  # another reading of a term that is found as it stands is no second term
             different = {h[2][:4] for h in hits if h[4] or h[0] not in first}
-            words = text.count(" ") + text.count("\n") + 1
-            return float(np.log1p(total)), float(len(different)) ** 0.5, float(np.log1p(100 * total / words))
+            return float(np.log1p(total)), float(len(different)) ** 0.5, float(np.log1p(100 * total / max(1, count_words(shown)))) if total else 0.0
 
         return features
 
@@ -234,8 +245,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ratio = 2 * (toxic * F.log(toxic / (both * rate)) + F.when(clean > 0, clean * F.log(clean / (both * (1 - rate)))).otherwise(0.0))
     weight = F.log((toxic + 0.5) / (n1 + 1)) - F.log((clean + 0.5) / (n0 + 1))
     strong = counts.where("term != '' AND toxic > 0").withColumns({"ratio": ratio, "weight": weight}).where((F.col("ratio") >= LEAST_RATIO) & (F.col("weight") >= LEAST_WEIGHT))
-    rows = strong.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term", "weight", "toxic").collect()
-    lexicon = Lexicon(weights=dict.fromkeys(SEED_TERMS, SEED_WEIGHT / 2) | _telling({r.term: (float(r.weight), r.toxic) for r in rows}))
+    rows = strong.select("term", "weight", "toxic").collect()  # as many as sample_rows texts can put beyond doubt
+    lexicon = Lexicon(weights=dict.fromkeys(SEED_TERMS, SEED_WEIGHT / 2) | _telling({r.term: (float(r.weight), r.toxic) for r in sorted(rows)}))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lexicon.matcher()
