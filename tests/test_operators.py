@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -220,22 +221,22 @@ def test_layers_and_closure(spark):
     assert graph.closure(e.where("source != 'd'")).count() == 6
     roles = spark.createDataFrame([("d", "sink"), ("c", "sink"), ("a", "source")], "node string, role string")
     assert {r.node: r.layer for r in graph.pinned(layered, roles, forward).collect()} == {"a": 0, "d": 0, "b": 1, "c": 2}
-    with pytest.raises(ValueError):
-        graph.layers(e.where("source != 'd'"))
+    assert {r.node: r.layer for r in graph.layers(e.where("source != 'd'")).collect()} == {"a": 0, "b": 1, "c": 1}
 
 
 def test_tables_are_stored_in_the_checkpoint_folder(spark):
     df = lineage.stored(spark.createDataFrame([(1, "a", None)], "a int, b string, c timestamp_ntz"))
     assert [tuple(r) for r in df.collect()] == [(1, "a", None)] and df.schema.simpleString() == "struct<a:int,b:string,c:timestamp_ntz>"
     assert all(lineage.folder(spark).split("/")[-1] in f for f in df.inputFiles())
-
-
-def test_small_tables_are_counted(spark):
-    from tidewatch.session import small
-
-    few, many = spark.range(5), spark.range(20)
-    plan = lambda d: d._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(small(few, 10)) and "broadcast" not in plan(small(many, 10))
+    exists = lambda path: os.path.exists(path.removeprefix("file:"))
+    before = list(lineage.FOLDERS)
+    with lineage.scratch(spark):
+        inner = lineage.stored(spark.range(3))
+        assert inner.count() == 3 and exists(lineage.FOLDERS[-1])
+        path = lineage.FOLDERS[-1]
+    assert not exists(path) and lineage.FOLDERS == before and exists(before[-1])
+    lineage.clear(spark)
+    assert not exists(before[-1]) and lineage.FOLDERS == []
 
 
 def test_pages_and_codes(spark):

@@ -19,19 +19,31 @@ def forward_edges(edges: DataFrame) -> DataFrame:
     return plain.join(reverse, ["source", "target"], "left_anti")
 
 
-def layers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """The longest path to each node from a node without incoming edges. edges: source, target, without cycles."""
-    edges = cut(edges.select("source", "target").distinct())
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    now = cut(nodes.withColumn("layer", F.lit(0)))
-    limit = min(rounds, now.count())
-    for _ in range(limit):
-        pushed = edges.join(now, edges.source == now.node).groupBy(F.col("target").alias("node")).agg((F.max("layer") + 1).alias("below"))
-        after = cut(now.join(pushed, "node", "left").select("node", F.greatest("layer", F.coalesce("below", F.lit(0))).alias("layer")))
-        if after.join(now, ["node", "layer"], "left_anti").isEmpty():
-            return after
-        now = after
-    raise ValueError("the edges have a cycle")
+def layers(edges: DataFrame) -> DataFrame:
+    """The longest path to each node from a node without incoming edges. edges: source, target.
+
+    Nodes are peeled off when all edges into them have come from peeled ones, so a node's layer is its round, and a round goes through the edges of
+    its own nodes and the nodes that wait. What is left waits in a cycle or behind one: a node there is below those of its
+    sources that have a layer, and at 0 if none has.
+    """
+    plain = edges.select("source", "target").distinct()
+    into = plain.groupBy("target").agg(F.count("*").alias("wanted"))
+    plain = cut(plain.join(into, "target"))
+    now = cut(plain.select(F.col("source").alias("node")).distinct().join(plain.select(F.col("target").alias("node")), "node", "left_anti"))
+    spark, layer = edges.sparkSession, 0
+    waiting = spark.createDataFrame([], plain.select(F.col("target").alias("node"), "wanted", F.lit(0).cast("long").alias("got"), F.lit(0).alias("layer")).schema)
+    done = now.select("node", F.lit(0).alias("layer"))
+    while not now.isEmpty():
+        layer += 1
+        reached = plain.join(now, F.col("source") == F.col("node")).select(F.col("target").alias("node"), "wanted", F.lit(1).cast("long").alias("got"), F.lit(layer).alias("layer"))
+        touched = cut(waiting.unionByName(reached).groupBy("node").agg(F.max("wanted").alias("wanted"), F.sum("got").alias("got"), F.max("layer").alias("layer")))
+        waiting, now = touched.where("got < wanted").select("node", "wanted", "got", "layer"), touched.where("got = wanted").select("node")
+        done = done.unionByName(touched.where("got = wanted").select("node", "layer"))
+        if layer % 32 == 0:  # so that plans don't grow with the rounds
+            done = cut(done)
+    placed = done.unionByName(waiting.select("node", "layer"))
+    left = plain.select(F.col("source").alias("node")).union(plain.select("target")).distinct().join(placed, "node", "left_anti")
+    return placed.unionByName(left.withColumn("layer", F.lit(0)))
 
 
 def pinned(layered: DataFrame, roles: DataFrame, edges: DataFrame) -> DataFrame:

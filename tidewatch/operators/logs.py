@@ -13,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.filters.predicates import glob_column
-from tidewatch.session import small
+from tidewatch.operators.globs import glob_join
 
 #: Line numbers in a slice of a file.
 SLICE_LINES = 1_000_000
@@ -174,13 +173,17 @@ def kept_folders(paths: DataFrame, matches: Column) -> DataFrame:
 
 
 def read_lines(spark, folder: str, glob: str = "*") -> DataFrame:
-    """The lines of all text files below a folder whose names fit, numbered within their file.
+    """The lines of all text files below a folder whose names fit, numbered within their file; empty lines count but are left out.
 
-    Files are read whole so that lines keep their order; a log file must fit into a task.
+    Files are read in Spark's splits of any size. Lines of a split are in order, so a line's number is the number of lines in the splits before it, of which
+    there is a row for each split, and its place in its own.
     """
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "\n")).alias("line_no", "line"))
-    return lines.where("line != ''")
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = splits.select("file", "block", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(before, ["file", "block"]).where("line != ''").select("file", (F.col("before") + F.col("n") - F.col("first")).alias("line_no"), "line")
 
 
 def file_table(spark, folder: str, glob: str = "*") -> DataFrame:
@@ -265,7 +268,7 @@ def log_path(pattern: str, service: str, server: str, pid: int, env: str, day) -
 def newest_file(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """For each key the newest file that its pattern fits; of a key's patterns the first with any file counts.
 
-    patterns: key, idx, pattern (a glob), a handful for each service in view; they are broadcast if they are as few.
+    patterns: key, idx, pattern (a glob).
     """
-    hit = files.join(small(patterns.select("key", "idx", glob_column(F.col("pattern")).alias("pattern"))), F.regexp_like("FullPath", F.col("pattern")))
+    hit = glob_join(files.select("FullPath", "ModifiedUtc"), F.col("FullPath"), patterns.select("key", "idx", "pattern"), "pattern")
     return hit.groupBy("key").agg(F.max_by("FullPath", F.struct(-F.col("idx"), "ModifiedUtc", "FullPath")).alias("FullPath"))

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.filters.predicates import glob_column
-from tidewatch.session import small
+from tidewatch.operators.globs import glob_join
 
 #: Pipeline states by rank; a node shows the highest of its rows.
 STATES = ("NotStarted", "Completed", "Idle", "InProgress", "Active", "Errored")
@@ -94,14 +93,14 @@ def moves_and_places(events: DataFrame) -> DataFrame:
 def edges(events: DataFrame) -> DataFrame:
     """Hops counted by edge, with the chunks done at the source but not seen at the target, and the source's state.
 
-    Waiting is the source's done chunks less those also seen at the target, so the edge's chunks are never listed.
-    Events are read by two branches: give a table rather than a plan.
+    Waiting is the source's done chunks less those also seen at the target, so the edge's chunks are never listed. What is done at a source is
+    one of the counted pairs, so the chunks are gone through once.
     """
-    counted = moves_and_places(events)
-    total = counted.where("source = target AND source_pipeline = target_pipeline").select("source", "source_pipeline", F.col("both").alias("at_source"))
-    rows = pipeline_rows(events).select(F.col("Service").alias("source"), F.col("Pipeline").alias("source_pipeline"), "state")
-    joined = counted.where("hops > 0").join(total, ["source", "source_pipeline"], "left").join(rows, ["source", "source_pipeline"], "left")
     zero = F.lit(0).cast("long")
+    own = F.when((F.col("source") == F.col("target")) & (F.col("source_pipeline") == F.col("target_pipeline")), F.col("both"))
+    counted = moves_and_places(events).withColumn("at_source", F.max(own).over(Window.partitionBy("source", "source_pipeline")))  # a row for each pair of places
+    rows = pipeline_rows(events).select(F.col("Service").alias("source"), F.col("Pipeline").alias("source_pipeline"), "state")
+    joined = counted.where("hops > 0").join(rows, ["source", "source_pipeline"], "left")
     return joined.select(*EDGE, F.col("hops").alias("done"), (F.coalesce("at_source", zero) - F.col("both")).alias("waiting"), F.coalesce("state", F.lit("NotStarted")).alias("state"))
 
 
@@ -148,9 +147,9 @@ def blueprint_nodes(observed: DataFrame, hints: DataFrame, label: Label = plain)
 
     Labels without regard to case. observed: id; hints: idx, name, role, grp.
     """
-    pattern = small(hints.select("idx", glob_column(F.col("name")).alias("pattern"), "role", "grp"))
-    found = observed.join(pattern, F.regexp_like(label(F.col("id")), F.col("pattern")), "left").groupBy("id").agg(F.min_by(F.struct("role", "grp"), "idx").alias("h"), F.count("idx").alias("n"))
-    seen = found.select("id", (F.col("n") > 0).alias("is_declared"), F.lit(True).alias("is_observed"), "h.role", "h.grp")
+    ids = observed.select("id").distinct()
+    found = glob_join(ids, label(F.col("id")), hints.select("idx", "name", "role", "grp"), "name").groupBy("id").agg(F.min_by(F.struct("role", "grp"), "idx").alias("h"))
+    seen = ids.join(found, "id", "left").select("id", F.col("h").isNotNull().alias("is_declared"), F.lit(True).alias("is_observed"), "h.role", "h.grp")
     literal = hints.where(~F.col("name").rlike("[*?]")).groupBy(F.lower("name").alias("low")).agg(F.min_by(F.struct("name", "role", "grp"), "idx").alias("h"))
     unseen = literal.join(observed.select(F.lower(label(F.col("id"))).alias("low")), "low", "left_anti")
     return seen.unionByName(unseen.select(F.col("h.name").alias("id"), F.lit(True).alias("is_declared"), F.lit(False).alias("is_observed"), "h.role", "h.grp"))
@@ -159,7 +158,7 @@ def blueprint_nodes(observed: DataFrame, hints: DataFrame, label: Label = plain)
 def resolved_edges(nodes: DataFrame, declared: DataFrame, label: Label = plain) -> DataFrame:
     """Declared edges between the nodes (id) whose labels their ends' names or globs fit, without loops: source, target."""
     ends = declared.select("source").union(declared.select("target")).distinct().select(F.col("source").alias("name"))
-    fit = nodes.join(small(ends.withColumn("pattern", glob_column(F.col("name")))), F.regexp_like(label(F.col("id")), F.col("pattern"))).select("name", "id")
+    fit = glob_join(nodes.select("id"), label(F.col("id")), ends, "name")
     end = lambda c: fit.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
     pairs = declared.join(end("source"), "source").join(end("target"), "target").where("lower(source_id) != lower(target_id)")
     return pairs.groupBy(F.lower("source_id").alias("a"), F.lower("target_id").alias("b")).agg(F.min(F.struct("source_id", "target_id")).alias("e")).select(F.col("e.source_id").alias("source"), F.col("e.target_id").alias("target"))
@@ -176,8 +175,8 @@ def blueprint_edges(observed: DataFrame, nodes: DataFrame, declared: DataFrame,
 
 def variant(observed: DataFrame, variants: DataFrame) -> DataFrame:
     """The first variant of which some observed service fits the glob; null, so the default, if none does. variants: idx, any_service."""
-    pattern = small(variants.where("trim(any_service) != ''").select("idx", glob_column(F.col("any_service")).alias("pattern")))
-    return observed.join(pattern, F.regexp_like("id", F.col("pattern"))).agg(F.min("idx").alias("variant"))
+    globs = variants.where("trim(any_service) != ''").select("idx", "any_service")
+    return glob_join(observed.select("id"), F.col("id"), globs, "any_service").agg(F.min("idx").alias("variant"))
 
 
 def group_colours(groups: DataFrame) -> DataFrame:

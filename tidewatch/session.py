@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -29,20 +31,37 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 BATCH_ROWS = "2000"
 
 
+def packed(folder: Path) -> str:
+    """The package as a zip below a folder of this machine; its name tells its contents, so a changed package is another file."""
+    files = sorted(p for p in Path(ROOT, "tidewatch").rglob("*") if p.is_file() and "__pycache__" not in p.parts)
+    digest = hashlib.sha256()
+    for p in files:
+        digest.update(str(p.relative_to(ROOT)).encode() + p.read_bytes())
+    path = folder / f"tidewatch-{digest.hexdigest()[:16]}.zip"
+    if not path.exists():
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in files:
+                z.write(p, p.relative_to(ROOT))
+    return str(path)
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place where the driver found it, and keep their batches small unless the session says otherwise."""
+    """Let Python workers import this package, and keep their batches small unless the session says otherwise.
+
+    Executors get a zip of it by Spark's own files; workers of a local session import it from where the driver found it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, BATCH_ROWS)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = ":".join([ROOT, *paths])
-
-
-def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """rows, marked for broadcasting if they are counted to be at most so many; else Spark chooses."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    context = spark.sparkContext
+    if context.master.startswith("local["):
+        env = context.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = ":".join([ROOT, *paths])
+    elif getattr(context, "_tidewatch", None) is None:
+        context._tidewatch = packed(Path(tempfile.mkdtemp(prefix="tidewatch-")))  # read by the driver, which serves it
+        context.addPyFile(context._tidewatch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
