@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import protobuf
 from tidewatch.operators import events, logs, metrics
-from tidewatch.sources import catalog, config
+from tidewatch.sources import catalog, config, tables
 from tidewatch.sources.reporter import Reporter
 
 T0 = datetime(2024, 1, 1)
@@ -58,6 +58,21 @@ def test_catalog(spark, tmp_path):
     assert sorted(map(tuple, columns.collect())) == [("a", "int", 0, 2), ("b c", "string", 2, 1)]
 
 
+def test_kept_statistics_are_those_of_the_whole_table(spark, tmp_path):
+    path, store = str(tmp_path / "t"), tables.EventLog(spark, str(tmp_path / "store"), catalog.SKETCHES)
+    make = lambda low, high: spark.range(low, high, 1, 1).select("id", (F.col("id") % 7).cast("string").alias("b c"), F.when(F.col("id") % 5 != 0, F.col("id") / 2).alias("x"), F.array("id").alias("a"))
+    make(0, 3000).write.parquet(path)
+    assert catalog.refresh(spark, path, store) == 1 and catalog.refresh(spark, path, store) == 0
+    make(2000, 6000).write.mode("append").parquet(path)
+    assert catalog.refresh(spark, path, store) == 1
+    got = {r.column: r for r in catalog.kept_stats(spark, path, store).collect()}
+    assert {c: (r.kind, r.rows, r.nulls) for c, r in got.items()} == {"id": ("bigint", 7000, 0), "b c": ("string", 7000, 0), "x": ("double", 7000, 1400), "a": ("array<bigint>", 7000, 0)}
+    assert abs(got["id"].distinct - 6000) < 180 and got["b c"].distinct == 7 and abs(got["x"].distinct - 4800) < 150 and abs(got["a"].distinct - 6000) < 180
+    assert abs(got["id"].median - 2857) < 120 and got["b c"].median is None and got["x"].median is not None
+    make(0, 10).write.mode("overwrite").parquet(path)
+    assert catalog.refresh(spark, path, store) == 1 and {r.column: r.rows for r in catalog.kept_stats(spark, path, store).collect()}["id"] == 10
+
+
 def test_decoding_rules(spark):
     df = spark.createDataFrame([("orders.a", bytearray(b"123")), ("other", bytearray(b"1"))], "Topic string, Value binary")
     rules = [("orders.%", [F.lit(None).cast("string"), F.lit("second")]), ("%", [F.lit(None).cast("string")])]
