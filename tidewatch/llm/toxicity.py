@@ -26,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from importlib.resources import files
 
 import ahocorasick
@@ -148,8 +149,24 @@ class Lexicon:
             word = fold(term.removesuffix(STEM_MARK))
             kinds.setdefault(coarse(word), []).append((word, weight, term.endswith(STEM_MARK)))
         phrases = [[fold(w) for w in re.split(APART, phrase)] for phrase in self.exceptions]
-        meant = re.compile("|".join(r"(?<![^\W\d_])" + APART.join(f"({re.escape(coarse(w))})" for w in words) + r"(?![^\W\d_])" for words in phrases) or r"(?!)")
-        asked = [w for words in phrases for w in words]
+        patterns = [re.compile(APART.join(f"({re.escape(coarse(w))})" for w in words) + r"(?![^\W\d_])") for words in phrases]
+
+        @lru_cache(maxsize=None)
+        def about(term: str) -> list[int]:
+            """The exception phrases that a term can stand in."""
+            return [i for i, words in enumerate(phrases) if any(w.startswith(term) for w in words)]
+
+        def excepted(shown: str, text: str, read: str, terms: set[str]) -> list[tuple[int, int]]:
+            """Where exception phrases stand."""
+            spans = []
+            for i in {i for term in terms for i in about(term)}:
+                for m in patterns[i].finditer(read):
+                    start = m.start()
+                    said = all(text.startswith(w, m.start(g)) or spells(shown[m.start(g) : m.end(g)], w) for g, w in enumerate(phrases[i], 1))
+                    if said and not (start and read[start - 1].isalpha()):
+                        spans.append(m.span())
+            return spans
+
         for text, found in kinds.items():
             automaton.add_word(text, (len(text), found))
         if kinds:
@@ -173,7 +190,7 @@ class Lexicon:
                         continue
                     hits.append((start, end, word, weight, same))
             if hits:
-                spans = [m.span() for m in meant.finditer(read) if all(m[g] is None or text.startswith(w, m.start(g)) or spells(shown[m.start(g) : m.end(g)], w) for g, w in enumerate(asked, 1))]
+                spans = excepted(shown, text, read, {h[2] for h in hits})
                 hits = [h for h in hits if not any(a <= h[0] and h[1] < b for a, b in spans)]
             best: dict[int, float] = {}
             for start, _, _, weight, _ in hits:  # of a word and its stems the heaviest counts
