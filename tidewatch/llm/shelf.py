@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; the context's own, or in local tests a temporary one, where that is unset."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if folder := spark.sparkContext.getCheckpointDir():
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
-    return spark.sparkContext.getCheckpointDir()
+from tidewatch.plans.lineage import delete, folder
 
 
 #: Folders of this process' shelves.
 FOLDERS: list[str] = []
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process; call it when no result that reads them is needed any more."""
     while FOLDERS:
@@ -39,7 +23,7 @@ class Shelf:
     """Writes intermediate tables; what is no longer needed can be taken off."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.count = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         FOLDERS.append(self.folder)
 
     def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
