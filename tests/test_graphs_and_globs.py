@@ -4,6 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import globs, graph, logs
@@ -93,6 +94,22 @@ def test_files_in_splits_of_any_size_give_the_same_entries(spark, tmp_path):
     assert want[0] == sorted(plain)
 
 
+def test_files_parsed_in_pieces_are_those_parsed_whole(spark, tmp_path):
+    rng = random.Random(11)
+    formats = [logs.template("[{level}] {host}: {message}({caller})"), logs.template("{timestamp}|{pid}|{host}|{message}"), logs.template("[{level}] {host}: {message}")]
+    shapes = ["[INFO ] a: one(c) and rest", "2024| 7x|h|two", "[WARN] b: three", "more", "", "  ", "[X]", "a|b", "[E] h: m (c)", "|-12|  h |"]
+    texts = {f"f{i}.log": "\n".join(rng.choice(shapes) for _ in range(60)) for i in range(3)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    fields = ("level", "timestamp", "host", "pid", "message", "caller")
+    whole = logs.parse_files(spark.createDataFrame(list(texts.items()), "file string, text string"), formats).collect()
+    want = sorted((r.file, r.entry + 1, *(r[f] for f in fields), [c for c in r.continuations if c.strip()]) for r in whole)
+    pieces = logs.parse_lines(logs.read_lines(spark, str(tmp_path)), formats, 7).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.entry_no, *(r[f] for f in fields), [c for c in r.continuations if c.strip()]) for r in pieces) == want and len(want) > 60
+    with pytest.raises(ValueError):
+        logs.parse_lines(logs.read_lines(spark, str(tmp_path)), [logs.template("{level}{newline}{message}")])
+
+
 def test_executors_get_the_package(tmp_path):
     """On a cluster of other processes, started elsewhere and without the driver's path."""
     code = f"""

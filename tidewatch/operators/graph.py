@@ -14,7 +14,7 @@ from tidewatch.plans.lineage import cut
 
 def forward_edges(edges: DataFrame) -> DataFrame:
     """Edges without loops; of two that are each other's reverse, the one with the smaller source."""
-    plain = edges.select("source", "target").where("source != target").distinct()
+    plain = cut(edges.select("source", "target").where("source != target").distinct())  # read twice, and small beside what it is made of
     reverse = plain.select(F.col("target").alias("source"), F.col("source").alias("target")).where("source > target")
     return plain.join(reverse, ["source", "target"], "left_anti")
 
@@ -26,7 +26,7 @@ def layers(edges: DataFrame) -> DataFrame:
     its own nodes and the nodes that wait. What is left waits in a cycle or behind one: a node there is below those of its
     sources that have a layer, and at 0 if none has.
     """
-    plain = edges.select("source", "target").distinct()
+    plain = cut(edges.select("source", "target").distinct())
     into = plain.groupBy("target").agg(F.count("*").alias("wanted"))
     plain = cut(plain.join(into, "target"))
     now = cut(plain.select(F.col("source").alias("node")).distinct().join(plain.select(F.col("target").alias("node")), "node", "left_anti"))

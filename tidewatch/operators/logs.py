@@ -131,6 +131,27 @@ def parse_files(files: DataFrame, templates: list[Template] = ()) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, PARSED)
 
 
+def parse_lines(lines: DataFrame, templates: list[Template], slice_lines: int = SLICE_LINES) -> DataFrame:
+    """`parse_files` for templates of one line, over numbered lines (`read_lines`), so that files of any size are read in pieces.
+
+    file, entry_no, the fields, and continuations: what the template leaves of its line, and later lines that aren't empty.
+    """
+    if any(r"\n" in t.pattern.replace(r"[^\n", "").replace(r"|\n)", "") for t in templates):
+        raise ValueError("a template over several lines needs whole files")
+    line = F.col("line")
+    fits = [line.rlike(t.pattern) & (F.regexp_extract(line, t.pattern, 0) != "") for t in templates]
+    which = F.coalesce(*(F.when(fit, i) for i, fit in enumerate(fits)))
+    found = entries(lines.select("file", "line_no", "line"), slice_lines, which.isNotNull())
+    first = found.withColumns({"which": which, "more": F.when(F.col("n_lines") > 1, F.split("continuation", "\n")).otherwise(F.array().cast("array<string>"))})
+    pick = lambda value: F.coalesce(*(F.when(F.col("which") == i, value(t)) for i, t in enumerate(templates)))
+    text = lambda name: F.coalesce(pick(lambda t: F.regexp_extract(line, t.pattern, t.fields.index(name) + 1) if name in t.fields else F.lit("")), F.lit(""))
+    number = lambda name: F.coalesce(F.regexp_extract(text(name), r"\A\s*([+-]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0))
+    rest = pick(lambda t: F.substring(line, F.length(F.regexp_extract(line, t.pattern, 0)) + 1, F.lit(1 << 30)))
+    fields = [stripped(text("timestamp")).alias("timestamp"), stripped(text("level")).alias("level"), text("host").alias("host"), number("pid").alias("pid"), number("thread").alias("thread"), text("message").alias("message"), text("caller").alias("caller")]
+    left = F.when(F.trim(rest) != "", F.array(rest)).otherwise(F.array().cast("array<string>"))
+    return first.select("file", "entry_no", *fields, F.concat(left, F.filter("more", lambda m: m != "")).alias("continuations"))
+
+
 def _named(t: Template, names: list[str]) -> str:
     """The template's pattern with names for its captures, in order."""
     left = iter(names)
@@ -145,12 +166,12 @@ def _continue(out: list[list], text: str) -> None:
         out[-1][9] += len(lines)
 
 
-def entries(lines: DataFrame, slice_lines: int = SLICE_LINES) -> DataFrame:
-    """Entries: a line that begins with a time and the lines after it, joined; what stands before the first is left out.
+def entries(lines: DataFrame, slice_lines: int = SLICE_LINES, start: Column | None = None) -> DataFrame:
+    """Entries: a line that begins with a time (or for which start is true) and the lines after it, joined; what stands before the first is left out.
 
     Files are cut into slices of line numbers; of each only its number of entries is carried on to the later ones, so no file is one task.
     """
-    begins = F.when(F.col("line").rlike(ENTRY_START), 1).otherwise(0)
+    begins = F.when(F.col("line").rlike(ENTRY_START) if start is None else start, 1).otherwise(0)
     sliced = lines.withColumns({"begins": begins, "slice": F.floor(F.col("line_no") / slice_lines)})
     later = Window.partitionBy("file").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice of a file
     before = sliced.groupBy("file", "slice").agg(F.sum("begins").alias("n")).select("file", "slice", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))

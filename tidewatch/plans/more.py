@@ -82,13 +82,16 @@ def events_safety_lag(spark, sf):
     return ev.since(log, ev.Cursor(100), datetime(2024, 1, 20), timedelta(hours=1), "event_id", "ts").select("event_id")
 
 
-query("events_of_run", E + """SELECT Id AS id, Name AS name, "Start" AS start_ts, coalesce(RecordCount, 0) AS records, '' AS source FROM ev WHERE Name IN (SELECT max(Name) FROM ev) AND "Start" >= TIMESTAMP '1990-01-01'""")(
-    lambda spark, sf: (
-        lambda e: ev.run_events_scan(e.withColumn("RunId", F.col("Name")).join(e.agg(F.max("Name").alias("RunId")), "RunId").withColumn("RunId", F.lit("r")), "r", datetime(1990, 1, 1)).select(
-            F.col("Id").alias("id"), F.col("Name").alias("name"), F.col("Start").alias("start_ts"), F.col("RecordCount").alias("records"), F.col("Source").alias("source")
-        )
-    )(stored_events(spark, sf))
+@query(
+    "events_of_run",
+    E + """SELECT Id AS id, Name AS name, "Start" AS start_ts, coalesce(RecordCount, 0) AS records, '' AS source FROM ev WHERE Service = 'svc-3' AND "Start" >= TIMESTAMP '1998-03-01'""",
 )
+def events_of_run(spark, sf):
+    """One of five runs, from a moment on."""
+    rows = ev.run_events_scan(event_table(spark, sf).withColumn("RunId", F.col("Service")), "svc-3", datetime(1998, 3, 1))
+    return rows.select(F.col("Id").alias("id"), F.col("Name").alias("name"), F.col("Start").alias("start_ts"), F.col("RecordCount").alias("records"), F.col("Source").alias("source"))
+
+
 query("events_log_rows", E + "SELECT Id AS id, Error AS error, NULLIF(CASE WHEN RecordCount % 2 = 0 THEN '' ELSE Service END, '') AS service FROM ev")(
     lambda spark, sf: ev.to_log(event_table(spark, sf).select(F.col("Id").alias("id"), F.coalesce("Error", F.lit("")).alias("error"), F.when(F.col("RecordCount") % 2 == 0, "").otherwise(F.col("Service")).alias("service")))
 )

@@ -442,20 +442,23 @@ query("topic_residual_json", M + "SELECT event_id FROM messages WHERE CAST(json_
 query("topic_fields", M + "SELECT event_id, CAST(json_extract_string(Payload, '$.k') AS BIGINT) AS k FROM messages")(lambda spark, sf: topics.named_fields(message_table(spark, sf), {"k": "$.k long"}).select("event_id", "k"))
 query("topic_partition_stats", M + "SELECT Topic, Part, min(Off) AS low, max(Off) + 1 AS high, arg_min(Ts, Off) AS first_ts, arg_max(Ts, Off) AS last_ts, max(Off) + 1 - min(Off) AS n FROM messages GROUP BY 1, 2")(lambda spark, sf: topics.partition_stats(message_table(spark, sf)))
 query("topic_stats", M + "SELECT Topic, count(DISTINCT Part) AS partitions, count(*) AS messages FROM messages GROUP BY 1")(lambda spark, sf: topics.topic_stats(message_table(spark, sf)))
-COMMITS = [("g1", "view", 0, 5), ("g1", "view", 1, 100000), ("g1", "click", 2, 7), ("g2", "error", 0, 0)]
-COMMITS_SQL = "commits(grp, Topic, Part, Committed) AS (VALUES " + ", ".join(f"('{g}', '{t}', {p}, {c})" for g, t, p, c in COMMITS) + "), high AS (SELECT Topic, Part, max(Off) + 1 AS high FROM messages GROUP BY 1, 2)"
+COMMITS_SQL = """commits AS (SELECT 'g' || CAST(event_id % 3 AS VARCHAR) AS grp, Topic, Part, max(Off) - count(*) % 7 AS Committed FROM messages WHERE NOT (event_id % 3 = 1 AND Topic = 'view') AND NOT (event_id % 3 = 2 AND Part = 1) GROUP BY 1, 2, 3),
+high AS (SELECT Topic, Part, max(Off) + 1 AS high FROM messages GROUP BY 1, 2)"""
 
 
-def commits(spark):
-    return spark.createDataFrame(COMMITS, "grp string, Topic string, Part int, Committed long")
+def commits(messages: DataFrame) -> DataFrame:
+    """Three groups that have read a third of the messages each; one hasn't begun a topic, one a partition."""
+    third = F.col("event_id") % 3
+    read = messages.where(~((third == 1) & (F.col("Topic") == "view")) & ~((third == 2) & (F.col("Part") == 1)))
+    return read.groupBy(F.concat(F.lit("g"), third.cast("string")).alias("grp"), "Topic", "Part").agg((F.max("Off") - F.count("*") % 7).alias("Committed"))
 
 
 LAG_SQL = M[:-1] + f""", {COMMITS_SQL}, lag AS (SELECT a.grp, a.Topic, CAST(sum(greatest(high - coalesce(Committed, 0), 0)) AS BIGINT) AS lag, count(*) AS partitions
 FROM (SELECT DISTINCT grp, Topic FROM commits) a JOIN high USING (Topic) LEFT JOIN commits c ON c.grp = a.grp AND c.Topic = a.Topic AND c.Part = high.Part GROUP BY 1, 2) """
-query("group_lag", LAG_SQL + "SELECT * FROM lag")(lambda spark, sf: topics.group_lag(message_table(spark, sf), commits(spark)))
+query("group_lag", LAG_SQL + "SELECT * FROM lag")(lambda spark, sf: (lambda m: topics.group_lag(m, commits(m)))(message_table(spark, sf)))
 query("group_lag_all_topics", M[:-1] + f""", {COMMITS_SQL} SELECT a.grp, high.Topic, CAST(sum(greatest(high - coalesce(Committed, 0), 0)) AS BIGINT) AS lag, count(*) AS partitions
-FROM (SELECT DISTINCT grp FROM commits) a CROSS JOIN high LEFT JOIN commits c ON c.grp = a.grp AND c.Topic = high.Topic AND c.Part = high.Part GROUP BY 1, 2""")(lambda spark, sf: topics.group_lag(message_table(spark, sf), commits(spark), False))
-query("group_overview", LAG_SQL + "SELECT grp, CAST(sum(lag) AS BIGINT) AS lag, count(*) AS n_topics, string_agg(Topic, ',' ORDER BY Topic) AS topics FROM lag GROUP BY 1")(lambda spark, sf: topics.group_overview(message_table(spark, sf), commits(spark)))
+FROM (SELECT DISTINCT grp FROM commits) a CROSS JOIN high LEFT JOIN commits c ON c.grp = a.grp AND c.Topic = high.Topic AND c.Part = high.Part GROUP BY 1, 2""")(lambda spark, sf: (lambda m: topics.group_lag(m, commits(m), False))(message_table(spark, sf)))
+query("group_overview", LAG_SQL + "SELECT grp, CAST(sum(lag) AS BIGINT) AS lag, count(*) AS n_topics, string_agg(Topic, ',' ORDER BY Topic) AS topics FROM lag GROUP BY 1")(lambda spark, sf: (lambda m: topics.group_overview(m, commits(m)))(message_table(spark, sf)))
 
 # --- logs ---------------------------------------------------------------------------------------------------------
 
@@ -534,4 +537,5 @@ def docs_raw_match(spark, sf):
     return e.where(match_column(match, e.schema)).select("event_id")
 
 
-from tidewatch.plans import more as _more  # noqa: E402, F401  its queries register themselves
+from tidewatch.plans import further as _further  # noqa: E402, F401  their queries register themselves
+from tidewatch.plans import more as _more  # noqa: E402, F401

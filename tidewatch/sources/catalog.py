@@ -31,10 +31,11 @@ def table_stats(spark: SparkSession, folder: str, page: list[str]) -> DataFrame:
     return sizes.join(rows, "name").withColumn("row_bytes", F.floor(F.coalesce(F.try_divide(F.col("bytes"), F.col("rows")), F.lit(0.0))))
 
 
-def column_stats(table: DataFrame) -> DataFrame:
-    """Each column's type, nulls and different values (estimated by a sketch)."""
+def column_stats(table: DataFrame, exact: bool = False) -> DataFrame:
+    """Each column's type, nulls and different values (estimated by a sketch, or counted)."""
+    different = F.countDistinct if exact else F.approx_count_distinct
     kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
-    one = table.agg(*(F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.approx_count_distinct(f"`{c}`").alias("distinct")).alias(c) for c in kinds))
+    one = table.agg(*(F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), different(F.col(f"`{c}`")).alias("distinct")).alias(c) for c in kinds))
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col(f"`{c}`.nulls").alias("nulls"), F.col(f"`{c}`.distinct").alias("distinct")) for c, k in kinds.items()))).alias("s")).select("s.*")
 
 
