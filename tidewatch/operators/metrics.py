@@ -74,8 +74,9 @@ def series(samples: DataFrame, group: str) -> DataFrame:
     return rows.select("grp", "ts", F.round((F.col("main") + F.col("child")) / 1e6, 6).alias("mb"), F.round(F.col("child") / 1e6, 6).alias("child_mb"))
 
 
-def legend(samples: DataFrame, group: str) -> DataFrame:
-    """Members, sum and mean of the latest values of each group, in MB."""
+def legend(samples: DataFrame, group: str | None = None) -> DataFrame:
+    """Members, sum and mean of the latest values of each group, in MB; without a group each process is one."""
+    group = group or "key"
     mb = (F.col("current") + F.col("child")) / 1e6
     return latest(samples).groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("members"), F.round(F.sum(mb), 6).alias("sum_mb"), F.round(F.avg(mb), 6).alias("avg_mb"))
 
@@ -114,10 +115,9 @@ def trailing(samples: DataFrame, as_of: str, hours: float) -> DataFrame:
 
 def spark_points(points: DataFrame) -> DataFrame:
     """Points of a small chart of each key: x from 0 to 100, y from 40 (zero) to 0 (the greatest value)."""
-    all_of = Window.partitionBy("key")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = points.select("key", "ts", "id", t.alias("t"), "value").select("*", F.min("t").over(all_of).alias("a"), F.max("t").over(all_of).alias("b"), F.max("value").over(all_of).alias("top"), F.count("*").over(all_of).alias("n"))
-    fit = rows.where("n >= 2 AND b > a AND top > 0")
+    rows = points.select("key", "ts", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
+    bounds = rows.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("value").alias("top"), F.count("*").alias("n"))  # a row for each key, so a busy key can be split
+    fit = rows.join(bounds.where("n >= 2 AND b > a AND top > 0"), "key")
     return fit.select("key", "id", F.round((F.col("t") - F.col("a")) / (F.col("b") - F.col("a")) * 100, 6).alias("x"), F.round(40 - F.col("value") / F.col("top") * 40, 6).alias("y"))
 
 

@@ -118,6 +118,10 @@ def statistics(runs: DataFrame, unit: str, as_of: str, by_env: bool = True, zone
 
 
 def numbered(runs: DataFrame, unit: str) -> DataFrame:
-    """Runs with their place by start in their bucket."""
+    """Runs with their place by start in their bucket: places within an hour, after the runs of the bucket's earlier hours, of which there is a row each."""
     b = bucket(F.col("Start"), unit)
-    return runs.select("RunId", b.alias("bucket"), F.row_number().over(Window.partitionBy(b).orderBy("Start", "RunId")).alias("place"))
+    rows = runs.select("RunId", "Start", b.alias("bucket"), F.struct(b.alias("bucket"), F.date_trunc("HOUR", "Start").alias("hour")).alias("slice"))
+    earlier = Window.partitionBy("slice.bucket").orderBy("slice.hour").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("slice").agg(F.count("*").alias("n")).select("slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("slice").orderBy("Start", "RunId"))
+    return rows.withColumn("own", own).join(slices, "slice").select("RunId", "bucket", (F.col("own") + F.col("before")).alias("place"))

@@ -104,6 +104,34 @@ def edges(events: DataFrame) -> DataFrame:
     return joined.select(*EDGE, F.col("hops").alias("done"), (F.coalesce("at_source", zero) - F.col("both")).alias("waiting"), F.coalesce("state", F.lit("NotStarted")).alias("state"))
 
 
+def chunk_bitmaps(events: DataFrame, buckets: int = 64) -> DataFrame:
+    """Bitmaps of the chunks of each place: Service, Pipeline, piece, and as bits of chunk numbers seen and done.
+
+    Chunks are numbered within buckets of their names' hashes, so no numbering goes through one task; a bitmap is 32,768 numbers of one bucket.
+    """
+    dealt = events.select("Name", "Service", "Pipeline", done().alias("done"), F.pmod(F.xxhash64("Name"), F.lit(buckets)).alias("bucket")).where(F.col("Name").isNotNull())
+    number = F.dense_rank().over(Window.partitionBy("bucket").orderBy("Name")).cast("long")
+    rows = dealt.groupBy("bucket", "Name", "Service", "Pipeline").agg(F.max("done").alias("done")).withColumn("n", number)
+    at = F.bitmap_bit_position("n")
+    bits = rows.groupBy("Service", "Pipeline", F.struct("bucket", F.bitmap_bucket_number("n").alias("b")).alias("piece"))
+    return bits.agg(F.bitmap_construct_agg(at).alias("seen"), F.bitmap_construct_agg(F.when(F.col("done"), at)).alias("done"))
+
+
+def waiting(edges: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Edges (EDGE) with the chunks done at the source and not seen at the target, by counting bits.
+
+    A chunk that visits many places sets a bit for each, where pairs of its places would be their square; work goes by edges and pieces of bitmaps.
+    """
+    bits = bitmaps.select("Service", "Pipeline", "piece", "seen", "done")
+    own = edges.select(*EDGE).join(bits.select(F.col("Service").alias("source"), F.col("Pipeline").alias("source_pipeline"), "piece", F.col("done").alias("bits")), ["source", "source_pipeline"])
+    other = edges.select(*EDGE).join(bits.select(F.col("Service").alias("target"), F.col("Pipeline").alias("target_pipeline"), "piece", F.col("seen").alias("bits")), ["target", "target_pipeline"])
+    of_source = own.groupBy(*EDGE).agg(F.sum(F.bitmap_count("bits")).alias("at_source"))
+    both = own.unionByName(other).groupBy(*EDGE, "piece").agg(F.count("*").alias("sides"), F.bitmap_count(F.bitmap_and_agg("bits")).alias("n")).where("sides = 2")
+    met = both.groupBy(*EDGE).agg(F.sum("n").alias("both"))
+    zero = F.lit(0).cast("long")
+    return of_source.join(met, list(EDGE), "left").select(*EDGE, (F.col("at_source") - F.coalesce("both", zero)).alias("waiting"))
+
+
 def summary(events: DataFrame) -> DataFrame:
     """One row: chunks, events, events done and in progress, and the estimated progress. A chunk's places are no more than pipelines."""
     per_name = events.groupBy("Name").agg(F.size(F.collect_set(F.struct("Service", "Pipeline"))).alias("hops"), F.count("*").alias("events"), F.count_if(done()).alias("done"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import events as ev
-from tidewatch.operators import globs, graph, logs
-from tidewatch.plans.queries import ENTRIES_SQL, PARSED, S, lines, query
+from tidewatch.operators import globs, graph, logs, metrics, topology
+from tidewatch.operators.sorting import sorted_by
+from tidewatch.plans import lineage
+from tidewatch.plans.queries import EDGE_COLUMNS, EDGES_SQL, ENTRIES_SQL, PARSED, ROW_COLUMNS, SAMPLES_SQL, S, lines, query, samples
 from tidewatch.session import table
-from tidewatch.sources import catalog
-from tidewatch.sources.adapters import as_events, services
+from tidewatch.sources import catalog, tail
+from tidewatch.sources.adapters import as_events, services, stored_events
+from tidewatch.sources.tables import EventLog
+from tidewatch.streaming import events as st
 
 # --- graphs -------------------------------------------------------------------------------------------------------
 
@@ -48,6 +53,25 @@ def globs_matched(spark: SparkSession, sf: str) -> DataFrame:
     return globs.glob_join(as_events(table(spark, sf, "lineitem")).select("Id"), F.col("Id"), patterns, "pattern").groupBy("idx").agg(F.count("*").alias("n"))
 
 
+@query("topo_waiting", EDGES_SQL + "SELECT source, source_pipeline, target, target_pipeline, waiting FROM edges")
+def topo_waiting(spark: SparkSession, sf: str) -> DataFrame:
+    """Waiting on edges from bitmaps of chunks."""
+    rows = stored_events(spark, sf, *EDGE_COLUMNS)
+    found = topology.hops(rows).select(*topology.EDGE).distinct()
+    return topology.waiting(found, topology.chunk_bitmaps(rows, 8))
+
+
+@query(
+    "topo_rows_sorted",
+    EDGES_SQL + "SELECT Service, Pipeline, errors, row_number() OVER (ORDER BY errors DESC, upper(Pipeline), upper(Service), Pipeline, Service) AS place FROM topo ORDER BY place LIMIT 10",
+)
+def topo_rows_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten worst pipelines by three columns."""
+    rows = topology.pipeline_rows(stored_events(spark, sf, *ROW_COLUMNS)).select("Service", "Pipeline", "errors")
+    best = sorted_by(rows, "-errors", "Pipeline", "Service", "nothing", allowed=("errors", "Pipeline", "Service")).limit(10)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("errors"), F.upper("Pipeline"), F.upper("Service"))).cast("long"))  # of ten rows
+
+
 # --- events -------------------------------------------------------------------------------------------------------
 
 
@@ -65,6 +89,26 @@ def events_advanced(spark: SparkSession, sf: str) -> DataFrame:
     return left.select(F.lit(cursor.last_id).cast("long").alias("last_id"), F.lit(cursor.last_time).cast("timestamp_ntz").alias("last_time"), "left_")
 
 
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+def streamed(stream: DataFrame, schema: str) -> DataFrame:
+    """What a stream gives, all that is there, as a table."""
+    spark = stream.sparkSession
+    folder = f"{lineage.folder(spark)}/live-{uuid.uuid4().hex}"
+    lineage.FOLDERS.append(folder)
+    log = EventLog(spark, f"{folder}/log", schema)
+    st.fan_out(stream, f"{folder}/checkpoint", lambda batch, n: log.append(batch, n)).awaitTermination()
+    return log.read()
+
+
+@query("events_streamed", "SELECT event_id, user_id, ts FROM events")
+def events_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The log by its ids as a stream."""
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    return streamed(tail.log_stream(spark, f"{sf}/events.parquet", schema, "event_id", "ts", ids=2000, start=-1), schema)
+
+
 # --- logs ---------------------------------------------------------------------------------------------------------
 
 BARRED = "{timestamp}|{level}|{host}|{pid}|{thread}|{message}|{caller}"
@@ -95,6 +139,11 @@ def log_detected(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit("click").alias("file"), F.lit(which).cast("int").alias("template"))
 
 
+@query("mem_legend_single", SAMPLES_SQL + "SELECT key AS grp, 1 AS members, round((current + child) / 1e6, 6) AS sum_mb, round((current + child) / 1e6, 6) AS avg_mb FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS n FROM samples) WHERE n = 1")
+def mem_legend_single(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.legend(samples(spark, sf))
+
+
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 COLUMNS = ("RamMb", "PeakMb", "ProcessId", "ServiceName", "HostName")

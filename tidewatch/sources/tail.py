@@ -44,7 +44,7 @@ class Ids(InputPartition):
 class LogTail(DataSource):
     """Rows of a Parquet table that others append to, by increasing ids.
 
-    Options: path, id (LogId), time (LoggedAtUtc), lag (seconds), ids (ids of one task). Ids are given before rows are committed, so a row may appear after one
+    Options: path, id (LogId), time (LoggedAtUtc), lag (seconds), ids (ids of one task), start (the first poll reads ids above it, 0). Ids are given before rows are committed, so a row may appear after one
     with a greater id. An id counts as reached when no row up to it is younger than the lag: a row that is committed within the lag after its time is read, once.
     """
 
@@ -65,14 +65,14 @@ class LogTailReader(DataSourceStreamReader):
         self.id, self.time = options.get("id", "LogId"), options.get("time", "LoggedAtUtc")
         self.lag, self.ids = timedelta(seconds=float(options.get("lag", 0))), int(options.get("ids", 1_000_000))
         self.now = options.get("now")
-        self.reached = 0
+        self.first = self.reached = int(options.get("start", 0))
 
     def _log(self) -> ds.Dataset:
         system, path = opened(self.path)
         return ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
 
     def initialOffset(self) -> dict:
-        return {"id": 0}
+        return {"id": self.first}
 
     def latestOffset(self) -> dict:
         """The greatest id below which all rows are older than the lag. Of row groups below what was reached only the statistics are read."""

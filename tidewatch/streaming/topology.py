@@ -19,11 +19,11 @@ from tidewatch.streaming.keyed import milliseconds, use_rocksdb
 
 #: kind: `hop` and `both` (chunks done at the source and seen at the target) of two places; `done`, `open` and `error` of a place. at: the second of a place's finish or start.
 DELTAS = "kind string, source string, source_pipeline string, target string, target_pipeline string, at long, n long"
-HELD = "id string, start long, arrival long, finish long, service string, pipeline string, failed boolean"
+HELD = "events array<struct<id: string, start: bigint, arrival: bigint, finish: bigint, service: string, pipeline: string, failed: boolean>>"
 
 
 def counts_of(events: dict[str, tuple]) -> Counter:
-    """What a chunk's events (HELD without their ids, by id) add to the topology."""
+    """What a chunk's events (by id: start, arrival, finish, service, pipeline, failed) add to the topology."""
     found: Counter = Counter()
     before, seen, finished = None, set(), set()
     for start, _, finish, service, pipeline, failed in (e for _, e in sorted(events.items(), key=lambda item: (item[1][0], item[0]))):
@@ -46,18 +46,16 @@ class Chunk(StatefulProcessor):
         self.idle = milliseconds(idle)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getMapState("events", "id string", HELD.removeprefix("id string, "), self.idle)
+        self.events = handle.getValueState("events", HELD, self.idle)  # a chunk's few events, read and written at once
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        held = {k[0]: tuple(v) for k, v in self.events.iterator()} if self.events.exists() else {}
+        held = {e[0]: tuple(e[1:]) for e in self.events.get()[0]} if self.events.exists() else {}
         after = dict(held)
         for r in rows:
             known = after.get(r["id"])
             if known is None or (r["start"], -r["arrival"]) > (known[0], -known[1]):  # newer, or of one time the earlier to arrive
                 after[r["id"]] = r["start"], r["arrival"], r["finish"], r["service"], r["pipeline"], r["failed"]
-        for i, event in after.items():
-            if self.idle or held.get(i) != event:
-                self.events.updateValue((i,), event)
+        self.events.update(([(i, *event) for i, event in after.items()],))
         difference = counts_of(after)
         difference.subtract(counts_of(held))
         for (kind, a, b, c, d, at), n in difference.items():
