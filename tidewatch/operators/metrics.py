@@ -85,18 +85,18 @@ def interpolated(points: DataFrame) -> DataFrame:
     """Each series at the moments of all series: linear between its own points, its end values beyond them.
 
     points: series, ts (milliseconds), value, one row for each series and moment. The moments are joined by hour, with
-    the points before and after carried along, so a series' moments needn't stand in one window.
+    the points before and after carried along, so a series' moments needn't stand in one window; a gap is carried only to hours that have a moment.
     """
     own = Window.partitionBy("series").orderBy("ts")
     spans = points.select("series", "ts", "value", F.lead("ts").over(own).alias("ts2"), F.lead("value").over(own).alias("value2"), F.lag("ts").over(own).alias("ts0"))
-    far = F.lit(2**62)
-    low, high = F.when(F.col("ts0").isNull(), -far).otherwise(F.col("ts")), F.coalesce(F.col("ts2") - 1, far)
-    times = points.select(F.col("ts").alias("t")).distinct()
     hour = 3_600_000
-    first, last = times.agg(F.min("t")).scalar(), times.agg(F.max("t")).scalar()
-    spans = spans.withColumn("low", F.greatest(low, first)).withColumn("high", F.least(high, last))
-    spans = spans.withColumn("h", F.explode(F.sequence(F.floor(F.col("low") / hour), F.floor(F.col("high") / hour))))
-    joined = spans.join(times.withColumn("h", F.floor(F.col("t") / hour)), "h").where("t BETWEEN low AND high")
+    times = points.select(F.col("ts").alias("t")).distinct().withColumn("h", F.floor(F.col("t") / hour))
+    hours = times.select("h").distinct().withColumn("k", F.row_number().over(Window.orderBy("h")))  # a row for each hour that has a moment
+    place = lambda c, name: hours.select(F.col("h").alias(c), F.col("k").alias(name))
+    placed = spans.withColumns({"h1": F.floor(F.col("ts") / hour), "h2": F.floor(F.coalesce("ts2", "ts") / hour)}).join(place("h1", "k1"), "h1").join(place("h2", "k2"), "h2")
+    first, last = F.when(F.col("ts0").isNull(), 1).otherwise(F.col("k1")), F.when(F.col("ts2").isNull(), hours.agg(F.max("k")).scalar()).otherwise(F.col("k2"))
+    own = (F.col("ts0").isNull() | (F.col("t") >= F.col("ts"))) & (F.col("ts2").isNull() | (F.col("t") < F.col("ts2")))
+    joined = placed.withColumn("k", F.explode(F.sequence(first, last))).join(times.join(hours, "h").select("t", "k"), "k").where(own)
     linear = F.col("value") + (F.col("value2") - F.col("value")) * F.coalesce(F.try_divide(F.col("t") - F.col("ts"), F.col("ts2") - F.col("ts")), F.lit(0.0))
     return joined.select("series", F.col("t").alias("ts"), F.round(F.when(F.col("ts2").isNull() | (F.col("t") <= F.col("ts")), F.col("value")).otherwise(linear), 6).alias("value"))
 

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import events as ev
-from tidewatch.operators import globs, graph, logs, metrics, topology
+from tidewatch.operators import globs, graph, logs, metrics, timeline, topology
 from tidewatch.operators.sorting import sorted_by
 from tidewatch.plans import lineage
-from tidewatch.plans.queries import EDGE_COLUMNS, EDGES_SQL, ENTRIES_SQL, PARSED, ROW_COLUMNS, SAMPLES_SQL, S, lines, query, samples
+from tidewatch.plans.queries import EDGE_COLUMNS, EDGES_SQL, ENTRIES_SQL, PARSED, ROW_COLUMNS, SAMPLES_SQL, E, S, lines, query, samples
 from tidewatch.session import table
 from tidewatch.sources import catalog, tail
 from tidewatch.sources.adapters import as_events, services, stored_events
+from tidewatch.sources.adapters import events as event_table
 from tidewatch.sources.tables import EventLog
 from tidewatch.streaming import events as st
 
@@ -144,6 +145,16 @@ def mem_legend_single(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.legend(samples(spark, sf))
 
 
+@query("tl_csv", E + """SELECT Id AS id, Service AS service, ProcessId AS pid, "Start" AS start_ts, Finish AS finish_ts, Error AS error, RecordCount AS records FROM ev""")
+def tl_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as CSV and read again."""
+    folder = f"{lineage.folder(spark)}/csv-{uuid.uuid4().hex}"
+    lineage.FOLDERS.append(folder)
+    timeline.write_csv(event_table(spark, sf), folder)
+    back = timeline.read_csv(spark, folder, "2024-01-31")
+    return back.select(F.col("Id").alias("id"), F.col("Service").alias("service"), F.col("ProcessId").alias("pid"), F.col("Start").alias("start_ts"), F.col("Finish").alias("finish_ts"), F.col("Error").alias("error"), F.col("RecordCount").alias("records"))
+
+
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 COLUMNS = ("RamMb", "PeakMb", "ProcessId", "ServiceName", "HostName")
