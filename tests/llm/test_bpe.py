@@ -43,3 +43,10 @@ def test_columns(spark):
     back = bpe.decode_column(coded, PATH, P.PATTERN)
     assert sorted((bytes(r.data).decode(), r.doc_id) for r in back.collect() if r.doc_id) == sorted((t or "", i) for i, t, _ in rows if i)
     assert bpe.encode_column(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_repeated_rows_stay(spark):
+    rows = [(1, "one and the same"), (1, "one and the same"), (1, "another"), (2, "one and the same")]
+    coded = bpe.encode_column(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN)
+    back = sorted((r.doc_id, bytes(r.data).decode()) for r in bpe.decode_column(coded, PATH, P.PATTERN).collect())
+    assert back == sorted(rows)

@@ -76,3 +76,17 @@ def test_empty(spark):
     assert quality.score(docs, quality.learn(docs, labels)).count() == 0
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert quality.score(docs, quality.learn(docs, labels)).select(F.col("score")).first().score == 0.5
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["good", "words", "here"]) for _ in range(40)) if i % 2 else "!!! 9 " * 30, i % 2) for i in range(200)]
+    long = "good words here " * 50_000
+    docs = spark.createDataFrame([(i, t, 7.0, "p") for i, t, _ in rows] + [(1000, long, 7.0, "p"), (1000, long, 7.0, "p"), (1001, None, None, None), (None, "", 7.0, "p")], "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    scored = quality.score(docs, quality.learn(docs.select("doc_id", "text"), labels))
+    assert scored.columns == ["doc_id", "text", "score", "predicted"] and dict(scored.dtypes)["predicted"] == "int"
+    got = scored.select("doc_id", "score", "predicted").collect()
+    assert len(got) == 204 and len({r.score for r in got if r.doc_id == 1000}) == 1 and sum(r.doc_id == 1000 for r in got) == 2
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert sum(r.predicted == dict((i, q) for i, _, q in rows)[r.doc_id] for r in got if r.doc_id is not None and r.doc_id < 1000) > 195

@@ -16,7 +16,7 @@ measured there against brute force: over half where vectors have no structure, f
 
 Defined results: rows without an id, and vectors that are null, zero, of another length than most, or hold null or
 non-finite components, take no part. An id is never its own neighbour, repeated or not. Extra columns
-are not read.
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ reading back is exact.
 
 Defined results: null texts and roles are empty. Turns are ordered by turn (null first), then role,
 then text; repeated rows are turns of their own. A conversation is one group, as its digest must be,
-but windows are built per window. Extra columns are not read.
+but windows are built per window. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ outweighs them. For the same reason the zero bytes that fill up a payload are st
 
 Defined results: null and empty texts have a payload of 64 zero bytes, which is transformed. Long payloads are transformed
 in blocks of frames, so memory beyond the payload itself is bounded. Repeated rows give repeated
-rows; extra columns are not read.
+rows; extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

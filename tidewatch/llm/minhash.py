@@ -20,7 +20,7 @@ With 40 bands of 6 registers a pair of exactly 0.8 similarity meets in no bucket
 Defined results: null, empty and blank texts have an empty set and are linked with nothing. Repeated
 rows are linked with each other. Rows with one doc_id and different texts are different documents, linked only if their texts are.
 Rows without a doc_id have the component of an equal set, else none, and are kept in that case. Long texts are hashed in pieces. Extra
-columns are not read.
+columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

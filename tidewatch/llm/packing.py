@@ -14,7 +14,7 @@ have saved beyond that stays as it is, and every piece is packed all the same. R
 
 Defined results: null and empty texts have one piece, the end token. Repeated rows are packed each, rows without a doc_id too.
 Texts longer than a sequence are cut into whole sequences after a first piece that may be shorter.
-Extra columns are not read.
+Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ labelled rows, chosen by a hash of their doc_id.
 Defined results: null and empty texts have zero statistics and a score like any other. Labels that are null or for
 absent documents are ignored; of several labels for a doc_id the greatest counts. Without usable
 labels every score is 0.5. Repeated rows are scored each. Extra columns are carried, but for ones named score or predicted, which
-the results replace.
+the results replace. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ depth of a window are not built; README gives the reason.
 
 Defined results: null texts have no words. Documents with fewer words than a window lose nothing. Rows
 without a doc_id are returned unchanged and are no source of others. Rows with the same doc_id don't
-take words from each other. Extra columns are carried as they are.
+take words from each other. Extra columns are carried as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Exception phrases come from a file, a phrase a line; their words may stand apart
 Defined results: null, empty and termless texts have the score of a text without terms. Labels that are
 null or for absent documents are ignored. Without usable labels the seed lexicon and default
 coefficients hold. Repeated rows are scored each. Texts are read whole; extra columns are carried, but for ones named score
-or predicted, which the results replace.
+or predicted, which the results replace. An empty table gives no rows.
 """
 
 from __future__ import annotations

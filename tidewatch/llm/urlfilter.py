@@ -9,7 +9,7 @@ has decided aren't searched, and each worker builds its automaton once.
 
 Defined results: a null, empty or malformed url (no `://`) has an empty host and path and no rule; the
 vocabulary judges what text there is, and allows null and empty ones. Urls of any length are read
-whole. Repeated rows give repeated rows. Extra columns of the input are not read.
+whole. Repeated rows give repeated rows. Extra columns of the input are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
