@@ -125,6 +125,30 @@ def test_families_that_are_not_alike_enough(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
 
 
+def test_blocks_and_tasks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(minhash, "TASK_BYTES", 20_000)
+    rng = random.Random(21)
+    rows, base = family(rng, 30, 60, 12), [f"b{i}" for i in range(150)]
+    for i in range(40):  # books of about 1, 2 and 40 thousand bytes, alike by 0.7 to 1
+        text = list(base)
+        for j in rng.sample(range(150), rng.randrange(0, 14)):
+            text[j] = f"x{rng.randrange(4)}"
+        rows.append((1000 + i, " ".join(text * (1, 2, 40)[i % 3]), "n", "c"))
+    seen, put = [], minhash.Shelf.put
+
+    def looked_at(self, df):
+        out = put(self, df)
+        if "among" in out.columns:
+            seen.extend(out.where("n - n_most > 1").selectExpr("a", "ceil((bytes - bytes_most) / 3000D) AS parts", "n - n_most AS rows").collect())
+        return out
+
+    monkeypatch.setattr(minhash.Shelf, "put", looked_at)
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+    assert seen and all(r.a == min(r.rows, r.parts) for r in seen) and max(r.a for r in seen) > 3
+
+
 def dealt_rows(spark, rows, monkeypatch):
     """Rows that the comparison of what stars leave open gets, and buckets' rows by rare shingles."""
     seen = {"dealt": 0, "rare": 0}

@@ -8,7 +8,7 @@ maxima, so sketches are mergeable, and equal registers are the likelier the more
 Documents with equal sets are one node from the start; nodes are numbered in the order of their least doc_id. Nodes that
 agree on all registers of a band meet in a bucket. Buckets are first linked by stars: all members against the least. A bucket may then still
 hold several components. All outside its most common component are compared with that component and with each other, within
-tasks and in blocks of bounded size; such a task gives only links that join components, so no pairs within a group
+tasks and in blocks of bounded size (in rows and in bytes of text); such a task gives only links that join components, so no pairs within a group
 are listed. Where more nodes than a block are outside, as in a family of texts that have much in common but not enough,
 they aren't compared block by block with each other: two of them can be similar enough only if they have one of their rarest shingles in common
 (those beyond the number that may differ, by how many nodes of such buckets have them), so they are put into buckets by these
@@ -31,12 +31,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.graph import components
 from tidewatch.llm.shelf import Shelf
-from tidewatch.llm.textops import LOWER, U64, Hasher, mix, string_buffers, text_chunks, word_spans
+from tidewatch.llm.textops import LOWER, U64, Hasher, bounded_slices, mix, string_buffers, text_chunks, word_spans
 
 BANDS, ROWS, BASE, RATE, Q = 40, 6, 1.001, 20.0, (1 << 16) - 2
 REGISTERS = BANDS * ROWS
@@ -44,6 +45,8 @@ REGISTERS = BANDS * ROWS
 MARGIN = 5.0
 #: Nodes up to which their list is broadcast, members of a block, and rows that a task of blocks gets on average.
 BROADCAST_NODES, BLOCK, TASK_ROWS = 1_000_000, 512, 4_000
+#: Bytes of text of a block (a longer text is a block of its own), and those that a task of blocks gets on average.
+BLOCK_BYTES, TASK_BYTES = 1 << 22, 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -115,7 +118,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_id (a hash of the text), n_shingles, fingerprint (of the whole set, null if empty) and sketch."""
+    """doc_id, text_id (a hash of the text), n_bytes, n_shingles, fingerprint (of the whole set, null if empty) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +127,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sets = list(shingle_sets(part.column(2), k))
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 rows = [s.tobytes() for s in sketch(sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "text_id", "n_shingles", "fingerprint", "sketch"])
+                sizes = pc.fill_null(pc.binary_length(part.column(2)), 0).cast(pa.int64())
+                columns = [part.column(0), part.column(1), sizes, pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "n_bytes", "n_shingles", "fingerprint", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, f"doc_id {kind}, text_id long, n_shingles long, fingerprint binary, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, f"doc_id {kind}, text_id long, n_bytes long, n_shingles long, fingerprint binary, sketch binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -223,7 +228,7 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
 
 
-def rare_shingles(nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+def rare_shingles(shelf: Shelf, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     """Buckets (key, node) in which any two of nodes (node, text) meet that are similar enough: by their rarest shingles.
 
     Sets of sizes a <= b that have as many elements in common as they must have one among the first
@@ -233,14 +238,13 @@ def rare_shingles(nodes: DataFrame, k: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
+            for part in bounded_slices(batch, 1, 64):
                 sets = list(shingle_sets(part.column(1), k))
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 every = np.concatenate([*sets, np.empty(0, U64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(every)], names=["node", "n", "g"])
 
-    shingles = nodes.select("node", "text").mapInArrow(run, "node long, n long, g long")
+    shingles = shelf.put(nodes.select("node", "text").mapInArrow(run, "node long, n long, g long"))  # read twice
     common = shingles.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     counted = shingles.join(common, "g", "left").select("node", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g").alias("x"))
     first = lambda numerator, denominator: F.col("n") - F.ceil(F.lit(numerator) * F.col("n") / denominator) + 1
@@ -251,19 +255,22 @@ def rare_shingles(nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     return rows.select("key", "node").join(useful, "key")
 
 
-def joining_links(shelf: Shelf, members: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, threshold: float, refine: bool = True) -> DataFrame:
+def joining_links(shelf: Shelf, members: DataFrame, known: DataFrame, nodes: DataFrame, k: int, threshold: float, refine: bool = True) -> DataFrame:
     """Links (u, v) within buckets (key, node) between nodes of different components, enough to join all that are linked there.
 
-    refine: nodes outside a bucket's most common component meet each other by rare shingles where they are more than a block.
+    known: node, label (of its component) and n_bytes. refine: nodes outside a bucket's most common component meet each other by rare shingles where they are more than a block.
     """
     percent, margin = round(100 * threshold), MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
-    marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    split = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    split = split.select("key", "most", "n_most", "n", blocks(F.col("n") - F.col("n_most")).alias("a"), blocks(F.col("n_most")).alias("b"))
-    split = shelf.put(split.withColumn("among", F.when(F.lit(refine) & (F.col("a") > 1), 0).otherwise(F.col("a"))))  # so that Spark can split the join on a common key
-    dealt_rows = split.agg(F.sum((F.col("n") - F.col("n_most")) * (F.col("among") + F.col("b")) + F.col("n_most") * F.col("a"))).first()[0] or 0
-    tasks = max(1, dealt_rows // TASK_ROWS)
+    marked = members.select("key", "node").join(known, "node")
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    most = lambda c: F.max_by(c, F.struct("n", "label"))
+    split = parts.groupBy("key").agg(most("label").alias("most"), F.max("n").alias("n_most"), most("bytes").alias("bytes_most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, size: F.least(n, F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))).cast("int")
+    split = split.drop("parts").withColumns({"a": blocks(F.col("n") - F.col("n_most"), F.col("bytes") - F.col("bytes_most")), "b": blocks(F.col("n_most"), F.col("bytes_most"))})
+    split = shelf.put(split.withColumn("among", F.when(F.lit(refine) & (F.col("n") - F.col("n_most") > BLOCK), 0).otherwise(F.col("a"))))  # so that Spark can split the join on a common key
+    total = lambda all_, most_: F.coalesce(F.sum((F.col(all_) - F.col(most_)) * (F.col("among") + F.col("b")) + F.col(most_) * F.col("a")), F.lit(0))
+    dealt_rows, dealt_bytes = split.agg(total("n", "n_most"), total("bytes", "bytes_most")).first()
+    tasks = max(1, dealt_rows // TASK_ROWS, dealt_bytes // TASK_BYTES)
     placed = marked.join(split.select("key", "most", "a", "b", "among"), "key")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     upto = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f)
@@ -300,8 +307,8 @@ def joining_links(shelf: Shelf, members: DataFrame, labels: DataFrame, nodes: Da
     links = dealt.join(nodes.select("node", "sketch", "text"), "node").groupBy("task").applyInArrow(compare, "u long, v long")
     if refine and not split.where("among < a").isEmpty():
         crowd = placed.where("among < a AND label != most").select("node").distinct()
-        met = shelf.put(rare_shingles(nodes.join(crowd, "node", "left_semi"), k, threshold))
-        links = links.union(joining_links(shelf, met, labels, nodes, k, threshold, refine=False))
+        met = shelf.put(rare_shingles(shelf, nodes.join(crowd, "node", "left_semi"), k, threshold))
+        links = links.union(joining_links(shelf, met, known, nodes, k, threshold, refine=False))
     return links
 
 
@@ -317,7 +324,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     numbered = least.select("fingerprint", F.col("least.doc_id").alias("doc"), F.col("least.text_id").alias("text_id")).orderBy("doc", "fingerprint").withColumn("node", F.monotonically_increasing_id())
     same = shelf.put(numbered)  # a table: the numbers stay, and Spark can split a join on a common fingerprint
     owner = same.select("fingerprint", F.col("doc").alias("doc_id"), "text_id", "node")
-    nodes = shelf.put(marked.join(owner, ["fingerprint", "doc_id", "text_id"]).dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
+    nodes = shelf.put(marked.join(owner, ["fingerprint", "doc_id", "text_id"]).dropDuplicates(["node"]).select("node", "n_bytes", "n_shingles", "sketch"))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     key = F.xxhash64("band", F.substring("sketch", F.col("band") * 2 * ROWS + 1, F.lit(2 * ROWS)))
@@ -339,7 +346,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
 
     crowded = members.where("n > 2")  # of two, the star has told all
     both = texts.join(sketches.select("node", "sketch"), "node")
-    more = shelf.put(joining_links(shelf, crowded, labels, both, k, threshold))
+    known = sketches.select("node", "n_bytes").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "n_bytes")
+    more = shelf.put(joining_links(shelf, crowded, known, both, k, threshold))
     if not more.isEmpty():
         relabelled = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         merged = more.join(relabelled("u"), "u", "left").join(relabelled("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
