@@ -12,13 +12,15 @@ from tidewatch.operators import events as ev
 from tidewatch.operators import globs, graph, logs, metrics, timeline, topology
 from tidewatch.operators.sorting import sorted_by
 from tidewatch.plans import lineage
-from tidewatch.plans.queries import EDGE_COLUMNS, EDGES_SQL, ENTRIES_SQL, PARSED, ROW_COLUMNS, SAMPLES_SQL, E, S, lines, query, samples
+from tidewatch.plans.queries import EDGE_COLUMNS, EDGES_SQL, ENTRIES_SQL, LINES_SQL, ORACLE_SQL, PARSED, ROW_COLUMNS, SAMPLES_SQL, E, S, lines, newest_sql, query, samples
 from tidewatch.session import table
 from tidewatch.sources import catalog, tail
-from tidewatch.sources.adapters import as_events, services, stored_events
+from tidewatch.sources.adapters import arriving_events, as_events, raw_events, services, stored_events
 from tidewatch.sources.adapters import events as event_table
-from tidewatch.sources.tables import EventLog
+from tidewatch.sources.tables import EventLog, KeyedTable
 from tidewatch.streaming import events as st
+from tidewatch.streaming import keyed
+from tidewatch.streaming import topology as live
 
 # --- graphs -------------------------------------------------------------------------------------------------------
 
@@ -93,21 +95,84 @@ def events_advanced(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
-def streamed(stream: DataFrame, schema: str) -> DataFrame:
-    """What a stream gives, all that is there, as a table."""
-    spark = stream.sparkSession
+def new_folder(spark: SparkSession) -> str:
     folder = f"{lineage.folder(spark)}/live-{uuid.uuid4().hex}"
     lineage.FOLDERS.append(folder)
+    return folder
+
+
+def streamed(stream: DataFrame, schema: str, mode: str = "append") -> DataFrame:
+    """What a stream gives, all that is there, as a table."""
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
     log = EventLog(spark, f"{folder}/log", schema)
-    st.fan_out(stream, f"{folder}/checkpoint", lambda batch, n: log.append(batch, n)).awaitTermination()
+    st.fan_out(stream, f"{folder}/checkpoint", lambda batch, n: log.append(batch, n), mode=mode).awaitTermination()
     return log.read()
 
 
+def trickled(rows: DataFrame) -> DataFrame:
+    """A table as a stream of four batches, in no order."""
+    spark = rows.sparkSession
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = lineage.stored(rows.repartition(files))
+    return st.read_log(spark, lineage.FOLDERS[-1], kept.schema, -(-files // 4))
+
+
+def event_stream(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    return tail.log_stream(spark, f"{sf}/events.parquet", ", ".join(("event_id long", "user_id long", "ts timestamp_ntz", *more)), "event_id", "ts", ids=2000, start=-1)
+
+
 @query("events_streamed", "SELECT event_id, user_id, ts FROM events")
 def events_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The log by its ids as a stream."""
-    schema = "event_id long, user_id long, ts timestamp_ntz"
-    return streamed(tail.log_stream(spark, f"{sf}/events.parquet", schema, "event_id", "ts", ids=2000, start=-1), schema)
+    return streamed(event_stream(spark, sf), "event_id long, user_id long, ts timestamp_ntz")
+
+
+@query("events_upsert_streamed", newest_sql("events_upsert_ties"))
+def events_upsert_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that come in no order, upserted batch by batch into a table of buckets."""
+    rows = arriving_events(spark, sf).withColumn("Month", F.date_trunc("month", "Start"))
+    stream, folder = trickled(rows), new_folder(spark)
+    kept = KeyedTable(spark, f"{folder}/table", rows.schema, "Name", "Month", "Arrival", buckets=8)
+    st.fan_out(stream, f"{folder}/checkpoint", lambda batch, n: kept.upsert(batch, n)).awaitTermination()
+    return kept.read().select(F.col("Name").alias("id"), F.col("Start").alias("start_ts"), F.col("Finish").alias("finish_ts"), F.col("RecordCount").alias("records"))
+
+
+@query("mem_history_streamed", ORACLE_SQL["mem_history_cap"])
+def mem_history_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories kept as state by key; the last that each key has sent."""
+    stream, folder = st.history(trickled(samples(spark, sf).select("key", "ts", "id", "current", "child")), 30), new_folder(spark)
+    arrays = "ts array<long>, current array<long>, child array<long>"
+    kept = KeyedTable(spark, f"{folder}/table", f"key string, {arrays}, batch int", "key", "batch", "batch", buckets=8)
+    st.fan_out(stream, f"{folder}/checkpoint", lambda batch, n: kept.upsert(batch.withColumn("batch", F.lit(n)), n), mode="update").awaitTermination()
+    moments = kept.read().select("key", F.inline(F.arrays_zip("ts", "current", "child")))
+    return moments.select("key", F.timestamp_micros("ts").cast("timestamp_ntz").alias("ts"), "current", "child")
+
+
+@query("health_streak_streamed", f"SELECT key, ts, streak FROM ({ORACLE_SQL['health_streak']})")
+def health_streak_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    checks = event_stream(spark, sf, "event_type string").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
+    rows = streamed(st.failure_streaks(checks), "key string, ts timestamp, streak long", "update")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    "mem_backfilled_streamed",
+    SAMPLES_SQL[:-1] + """, live AS (SELECT key, ts, id FROM samples WHERE ts >= TIMESTAMP '2024-01-10' AND grp <> 'view'), f AS (SELECT key, min(ts) AS first FROM live GROUP BY 1),
+a AS (SELECT key, ts FROM live UNION ALL SELECT s.key, s.ts FROM samples s JOIN f ON f.key = s.key WHERE s.ts < first) SELECT key, count(DISTINCT ts) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM a GROUP BY 1""",
+)
+def mem_backfilled_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Live samples and a backfill as one stream; of a key without a live one nothing has come yet."""
+    log = event_stream(spark, sf, "event_type string").select(F.col("user_id").cast("string").alias("key"), "ts", "event_type")
+    both = keyed.live_with_backfill(log.where("ts >= TIMESTAMP_NTZ '2024-01-10' AND event_type != 'view'").drop("event_type"), log.drop("event_type"), "key", "ts", wait="1 hour")
+    return streamed(both, "key string, ts timestamp_ntz").groupBy("key").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("topo_edges_streamed", EDGES_SQL + "SELECT * FROM edges")
+def topo_edges_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from the differences that batches of events make, in no order. Of equal times the row that `events` keeps counts as the earlier."""
+    order = F.when(F.col("Finish").isNull(), 1000).otherwise(0) - F.col("RecordCount")
+    deltas = live.topology_deltas(trickled(raw_events(spark, sf)), order)
+    return live.edges_of(streamed(deltas, live.DELTAS))
 
 
 # --- logs ---------------------------------------------------------------------------------------------------------
@@ -116,6 +181,16 @@ BARRED = "{timestamp}|{level}|{host}|{pid}|{thread}|{message}|{caller}"
 WHOLE_SQL = ENTRIES_SQL + f"SELECT file, CAST(entry_no AS BIGINT) AS entry_no, {PARSED}, continuation FROM entries"
 
 
+@query("log_folder_read", LINES_SQL + "SELECT file, CAST(line_no // 500 AS INTEGER) AS part, row_number() OVER (PARTITION BY file, line_no // 500 ORDER BY line_no) - 1 AS line_no, line FROM lines")
+def log_folder_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files in folders below each other, of 500 log ids each, found again and numbered by line."""
+    folder, part = new_folder(spark), F.floor(F.col("line_no") / 500).alias("part")
+    rows = lines(spark, sf).select("file", part, "line_no", "line").repartition("file", "part").sortWithinPartitions("file", "part", "line_no")
+    rows.drop("line_no").write.partitionBy("file", "part").text(folder)
+    within = lambda name: F.regexp_extract("file", f"/{name}=([^/]*)/", 1)
+    return logs.read_lines(spark, folder, "*.txt").select(within("file").alias("file"), within("part").cast("int").alias("part"), "line_no", "line")
+
+
 @query("log_parsed_files", WHOLE_SQL)
 def log_parsed_files(spark: SparkSession, sf: str) -> DataFrame:
     """Whole files as one text each."""

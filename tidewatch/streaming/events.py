@@ -87,8 +87,8 @@ def failure_streaks(stream: DataFrame, idle: str | None = None) -> DataFrame:
     return kept_by_key(stream, "key", "key string, ts timestamp, streak long", "streak long", step, idle)
 
 
-def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None):
-    """One query that hands each batch to several sinks; every: a processing time, else all that is there, once."""
+def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None, mode: str = "append"):
+    """One query that hands each batch to several sinks; every: a processing time, else all that is there, once. mode: the output mode, `update` for `newest_live`, `history` and `failure_streaks`."""
 
     def both(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -96,7 +96,7 @@ def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int
             sink(batch, number)
         batch.unpersist()
 
-    writer = stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(both).option("checkpointLocation", checkpoint)
     if every:
         return writer.trigger(processingTime=every).start()
     with no_empty_batches(stream.sparkSession):
