@@ -40,6 +40,26 @@ def test_topology_of_a_stream_is_that_of_the_table(spark, tmp_path):
     assert sorted(map(tuple, live.edges_of(packed.read()).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_topology_of_batches_is_that_of_the_table(spark, tmp_path, monkeypatch):
+    rows, whole = events(4), live.LiveTopology(spark, str(tmp_path / "t"), buckets=4)
+    part = lambda k: spark.createDataFrame(rows[k * 50 : k * 50 + 50], SCHEMA)
+    commit, log = tables.Table.commit, type(whole.log)
+    for k in range(3):
+        # the chunks' commit is lost after the log's: the batch runs again and is logged once
+        monkeypatch.setattr(tables.Table, "commit", lambda self, *a: commit(self, *a) if isinstance(self, log) else (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            whole.take(part(k), F.col("n"), k)
+        monkeypatch.setattr(tables.Table, "commit", commit)
+        assert whole.take(part(k), F.col("n"), k) and not whole.take(part(k), F.col("n"), k)
+        want = topology.edges(upsert(spark.createDataFrame(rows[: k * 50 + 50], SCHEMA), arrival="n"))
+        assert sorted(map(tuple, live.edges_of(whole.log.read()).collect())) == sorted(map(tuple, want.collect()))
+    few = spark.createDataFrame([("e0", "c0", "s0", "p0", T0, None, None, -1)], SCHEMA)  # older than what is there, so nothing changes
+    before = whole.log.read().count()
+    assert whole.take(few, F.col("n"), 3) and whole.log.read().count() == before
+    whole.vacuum()
+    assert whole.read().count() == 9
+
+
 def test_differences_are_small():
     one = {"a": (1, 0, None, "s", "p", False), "c": (9, 0, 10, "t", "p", False)}
     two = one | {"b": (5, 0, None, "u", "p", False)}

@@ -87,14 +87,19 @@ def failure_streaks(stream: DataFrame, idle: str | None = None) -> DataFrame:
     return kept_by_key(stream, "key", "key string, ts timestamp, streak long", "streak long", step, idle)
 
 
-def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None, mode: str = "append"):
-    """One query that hands each batch to several sinks; every: a processing time, else all that is there, once. mode: the output mode, `update` for `newest_live`, `history` and `failure_streaks`."""
+def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None, mode: str = "append", persist: bool = True):
+    """One query that hands each batch to several sinks; every: a processing time, else all that is there, once. mode: the output mode, `update` for `newest_live`, `history` and `failure_streaks`.
+
+    persist: keep a batch while the sinks read it; without, each read makes it anew, which is less work where it is only columns of files, and wrong for one that comes from state.
+    """
 
     def both(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        if persist:
+            batch.persist()
         for sink in sinks:
             sink(batch, number)
-        batch.unpersist()
+        if persist:
+            batch.unpersist()
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(both).option("checkpointLocation", checkpoint)
     if every:
