@@ -47,6 +47,20 @@ def fits(text, glob):
     return re.fullmatch(body + r"\n?", text, re.I) is not None
 
 
+def test_beginnings_that_are_no_globs_key_are_passed_over_before_the_shuffle(spark):
+    """Texts whose beginnings are mostly no keys, a literal glob that all texts begin with, and one text that ends in a line feed."""
+    rows = spark.range(2000).select(F.concat(F.lit("7"), F.col("id").cast("string"), F.lit("-x")).alias("id")).union(spark.createDataFrame([("K7\n",), ("",)], "id string"))
+    many = spark.createDataFrame([("7",), ("k7",), ("75-*",), ("7?1-X",), ("*99-x",), ("",), ("71234",)], "pattern string")
+    found = globs.glob_join(rows, F.col("id"), many, "pattern")
+    got = sorted(map(tuple, found.collect()))
+    ends = [("7" + n + "-x", "*99-x") for n in map(str, range(2000)) if ("7" + n).endswith("99")]
+    assert got == sorted([("K7\n", "k7"), ("", ""), ("75-x", "75-*"), *ends, *(("7" + n + "-x", "7?1-X") for n in map(str, range(2000)) if len(n) == 2 and n[1] == "1")])
+    keyed = globs.keyed_globs(many, "pattern")
+    assert {r._key for r in keyed.where("_size IS NULL").collect()} == {"=7", "=k7", "=71234", "="}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bits" in plan and "_own" in plan
+
+
 def test_glob_join_is_every_pattern_on_every_text(spark):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abKs.é-") for _ in range(rng.randint(0, n)))
