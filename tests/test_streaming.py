@@ -1,6 +1,7 @@
 import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
@@ -170,3 +171,47 @@ def test_every_sink_gets_every_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert one[-1] == (3, [9])  # goes on where it stopped
+
+
+class Counted:
+    """A state of the kinds that Backfill uses, which counts calls."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "exists":
+                return bool(self.values)
+            if name == "get":
+                return self.values[0] if self.single else iter(list(self.values))
+            self.values = [] if name == "clear" else [args[0]] if name == "update" else self.values + args[0]
+
+        return call
+
+
+def test_backfill_calls_its_state_a_few_times_however_many_rows_come():
+    whole, states = keyed.Backfill("ts", ["key", "ts"], "key string, ts timestamp_ntz", "1 minute", "1 hour"), {}
+
+    class Handle:
+        def made(self, name, single):
+            states[name] = Counted()
+            states[name].single = single
+            return states[name]
+
+        getValueState = lambda self, name, *a: self.made(name, True)
+        getListState = getMapState = lambda self, name, *a: self.made(name, False)
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Clock:
+        getCurrentProcessingTimeInMs = lambda self: 0
+
+    whole.init(Handle())
+    at = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    rows = lambda live, *ns: [Row(key="a", ts=at(n), _live=live) for n in ns]
+    sent = lambda rows: [r.ts for r in whole.handleInputRows(("a",), iter(rows), Clock())]
+    assert sent(rows(False, *range(1000))) == []
+    assert sorted(sent(rows(True, *range(600, 1500), 700) + rows(False, 3, 900))) == [at(n) for n in range(1500)]
+    assert sent(rows(True, 700, 2000) + rows(False, 5, 1999)) == [at(2000)]
+    assert sum(s.calls for s in states.values()) < 40

@@ -120,26 +120,31 @@ class Backfill(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.first = handle.getValueState("first", "at timestamp_ntz, timer long", None)
-        self.seen = handle.getMapState("seen", "at timestamp_ntz", "live boolean", self.idle)
+        self.seen = handle.getListState("seen", "at timestamp_ntz", self.idle)  # read and added to at once: a call for each moment would be most of the time
         self.waiting = handle.getListState("waiting", self.schema, self.idle)
 
-    def _new(self, row: Row, live: bool) -> bool:
-        at = (row[self.moment],)
-        if self.seen.containsKey(at):
-            return False
-        self.seen.updateValue(at, (live,))
-        return True
+    def _sent(self) -> set:
+        return {r[0] for r in self.seen.get()} if self.seen.exists() else set()
+
+    def _send(self, rows: list[Row], sent: set) -> Iterator[Row]:
+        """The rows of new moments, each once."""
+        fresh = {}
+        for row in rows:
+            if row[self.moment] not in sent:
+                fresh.setdefault(row[self.moment], row)
+        if fresh:
+            self.seen.appendList([(at,) for at in fresh])
+        sent.update(fresh)
+        for row in fresh.values():
+            yield Row(**{n: row[n] for n in self.names})
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         held = self.first.get() if self.first.exists() else (None, None)
-        first, late = held[0], []
+        first, live, late = held[0], [], []
         for row in rows:
-            if not row["_live"]:
-                late.append(row)
-                continue
-            first = row[self.moment] if first is None else min(first, row[self.moment])
-            if self._new(row, True):
-                yield Row(**{n: row[n] for n in self.names})
+            (live if row["_live"] else late).append(row)
+        if live:
+            first = min([r[self.moment] for r in live] + ([first] if first is not None else []))
         if first is None:  # no live one yet
             if late:
                 self.waiting.appendList([tuple(r[n] for n in self.names) for r in late])
@@ -154,15 +159,12 @@ class Backfill(StatefulProcessor):
         if held[0] is None:
             late += [Row(**dict(zip(self.names, r, strict=True))) for r in self.waiting.get()] if self.waiting.exists() else []
             self.waiting.clear()
-        for row in late:
-            if row[self.moment] < first and self._new(row, False):
-                yield Row(**{n: row[n] for n in self.names})
+        # live samples first, so that of one moment the live one goes out
+        yield from self._send(live + [r for r in late if r[self.moment] < first], self._sent())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        for r in self.waiting.get() if self.waiting.exists() else []:
-            row = Row(**dict(zip(self.names, r, strict=True)))
-            if self._new(row, False):
-                yield row
+        late = [Row(**dict(zip(self.names, r, strict=True))) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield from self._send(late, self._sent())
         self.waiting.clear()
         self.first.clear()
 
