@@ -2,6 +2,11 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyspark.sql.types import StructType
+
 from tidewatch.sources import tail
 from tidewatch.streaming import keyed
 
@@ -72,3 +77,18 @@ def test_pieces_of_any_size_give_the_same_lines(tmp_path, monkeypatch):
         got = [row for p in reader.partitions() for row in reader.read(p)]
         assert [r[2] for r in got] == want
         assert [r[1] for r in got] == sorted({r[1] for r in got})
+
+
+def test_where_a_log_ends_is_told_by_footers(tmp_path, monkeypatch):
+    schema = StructType().add("id", "long").add("at", "timestamp_ntz")
+    for n, statistics in ((0, True), (1, True), (2, False)):
+        ids = list(range(n * 10, n * 10 + 10))
+        pq.write_table(pa.table({"id": pa.array(ids, pa.int64()), "at": pa.array([datetime(2024, 1, 1)] * 10, pa.timestamp("us"))}), tmp_path / f"{n}.parquet", write_statistics=statistics, row_group_size=4)
+        reader = tail.LogTailReader({"path": str(tmp_path), "id": "id", "time": "at", "start": "-1"}, schema)
+        if statistics:
+            with monkeypatch.context() as m:
+                m.setattr(tail.LogTailReader, "_log", lambda self: type("D", (), {"get_fragments": lambda _: ds.dataset(str(tmp_path), format="parquet").get_fragments()})())
+                assert reader.latestOffset() == {"id": n * 10 + 9}  # no rows are read
+        assert reader.latestOffset() == {"id": n * 10 + 9}
+    (tmp_path / "none").mkdir()
+    assert tail.LogTailReader({"path": str(tmp_path / "none"), "id": "id", "time": "at", "start": "-1"}, schema).latestOffset() == {"id": -1}

@@ -75,9 +75,11 @@ class LogTailReader(DataSourceStreamReader):
         return {"id": self.first}
 
     def latestOffset(self) -> dict:
-        """The greatest id below which all rows are older than the lag. Of row groups below what was reached only the statistics are read."""
+        """The greatest id below which all rows are older than the lag. Of row groups below what was reached only the statistics are read, and without a lag of all."""
         now = datetime.fromisoformat(self.now) if self.now else datetime.now(UTC).replace(tzinfo=None)
         greatest, young = self.reached, None
+        if not self.lag:
+            return {"id": max([self.reached, *(self._greatest(f) for f in self._log().get_fragments())])}
         for batch in self._log().to_batches(columns=[self.id, self.time], filter=ds.field(self.id) > self.reached):
             if not len(batch):
                 continue
@@ -88,6 +90,14 @@ class LogTailReader(DataSourceStreamReader):
                 young = least if young is None else min(young, least)
         return {"id": greatest if young is None else max(self.reached, young - 1)}
 
+    def _greatest(self, file: ds.ParquetFileFragment) -> int:
+        """A file's greatest id by its footer, or from its ids where the footer doesn't say."""
+        groups = [g.statistics or {} for g in file.row_groups]
+        if all("max" in g.get(self.id, {}) for g in groups):
+            return max((g[self.id]["max"] for g in groups), default=self.reached)
+        found = (pc.max(b.column(0)).as_py() for b in file.to_batches(columns=[self.id], filter=ds.field(self.id) > self.reached))
+        return max((n for n in found if n is not None), default=self.reached)
+
     def partitions(self, start: dict, end: dict) -> list[Ids]:
         self.reached = max(self.reached, start["id"])
         return [Ids(after, min(after + self.ids, end["id"])) for after in range(start["id"], end["id"], self.ids)]
