@@ -254,3 +254,20 @@ def test_interpolation_ends(spark):
 def test_point_fetch(spark):
     m = spark.createDataFrame([("t", 0, 5, T0, "k", "{}"), ("t", 1, 5, T0, "k", "{}")], "Topic string, Part int, Off long, Ts timestamp_ntz, Key string, Payload string")
     assert topics.fetch(m, "t", 1, 5).count() == 1
+
+
+def test_pieces_of_a_file_are_the_whole_file(spark):
+    """Pieces that begin with continuations, have nothing else, or come before any entry; and files that have none."""
+    rng = random.Random(3)
+    made = lambda n: [rng.choice(["a|INFO|m", "b|WARN|x|y", "  at", "", "more", "   "]) for _ in range(n)]
+    texts = {f"f{k}": [*(["head", ""] if k % 2 else []), *made(40), *["  at"] * 9, *made(5)] for k in range(4)} | {"none": ["x", "y", "z"]}
+    formats = [logs.template("{timestamp}|{level}|{message}")]
+    whole = spark.createDataFrame([(f, "\n".join(t)) for f, t in texts.items()], "file string, text string")
+    fields = ("file", "entry", "timestamp", "level", "message", "continuations", "n_lines")
+    want = sorted(map(str, logs.parse_files(whole, formats).select(*fields).collect()))
+    for size in (1, 4, 7):
+        cut = [(f, k // size, "\n".join(t[k : k + size])) for f, t in texts.items() for k in range(0, len(t), size)]
+        pieces = spark.createDataFrame(cut, "file string, piece long, text string")
+        assert sorted(map(str, logs.parse_files(pieces, formats).select(*fields).collect())) == want
+    with pytest.raises(ValueError):
+        logs.parse_files(pieces, [logs.template("{level}{newline}{message}")])

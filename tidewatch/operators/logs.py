@@ -90,45 +90,92 @@ def parse(lines: DataFrame, templates: list[Template] = (), line: str = "line")
 PARSED = "file string, entry int, line_index int, timestamp string, level string, host string, pid int, thread int, message string, caller string, continuations array<string>, n_lines int, plain boolean"
 
 
+#: Rows of a table that a task hands over at once.
+OUT_ROWS = 20_000
+
+
 def parse_files(files: DataFrame, templates: list[Template] = ()) -> DataFrame:
     """Entries of whole files (file, text): wherever one of the templates matches, the first that does; a template may span lines.
 
     Lines between matches are continuations of the entry before them, lines before the first are left out. Without
-    templates each line is an entry. Numbers that are none are 0. A file is one row, so it must fit into a task.
+    templates each line is an entry. Numbers that are none are 0. A file is one row, so it must fit into a task; with a column piece (a long that orders the
+    pieces of a file, which end where lines end) only a piece must, and templates must be of one line. `line_index` then counts within a piece.
     """
+    if "piece" in files.columns:
+        return _parse_pieces(files, templates)
+    return _parse_texts(files, templates)
+
+
+#: The line_index of rows with a piece's lines before its first match, of which the last entry of an earlier piece is continued, or after its last one.
+CONTINUES = -1
+
+
+def _parse_pieces(pieces: DataFrame, templates: list[Template]) -> DataFrame:
+    """Each piece for itself; only numbers of entries go from piece to piece, and lines that continue the last entry of an earlier piece."""
+    if not templates or any(spans_lines(t) for t in templates):
+        raise ValueError("pieces need templates of one line")
+    rows = _parse_texts(pieces, templates)
+    later = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    counts = rows.groupBy("file", "piece").agg(F.count_if(F.col("line_index") != CONTINUES).alias("n"))
+    before = counts.select("file", "piece", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    numbered = rows.join(before, ["file", "piece"]).withColumn("entry", (F.col("entry") + F.col("before")).cast("int"))
+    own, several = F.col("line_index") != CONTINUES, F.array_sort(F.collect_list(F.struct("piece", "continuations")))
+    # lines between two entries continue the first one unless all of them are blank; plain tells where one isn't
+    more = numbered.where(~own).groupBy("file", "entry").agg(F.bool_or("plain").alias("any"), F.flatten(F.transform(several, lambda s: s["continuations"])).alias("more")).where("any").drop("any")
+    joined = numbered.where(own).join(more, ["file", "entry"], "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
+    names = [c.split()[0] for c in PARSED.split(", ")]
+    return joined.withColumns({"continuations": F.concat("continuations", "more"), "n_lines": (F.col("n_lines") + F.size("more")).cast("int")}).select(*names)
+
+
+def spans_lines(t: Template) -> bool:
+    return r"\n" in t.pattern.replace(r"[^\n", "").replace(r"|\n)", "")
+
+
+def _parse_texts(files: DataFrame, templates: list[Template]) -> DataFrame:
+    """Entries of texts; of pieces also piece, and rows for what stands before the first match and after the last."""
+    whole = "piece" not in files.columns
     groups = [[f"t{i}_{name}" for name in t.fields] for i, t in enumerate(templates)]
     pattern = "|".join(f"(?:{_named(t, gs)})" for t, gs in zip(templates, groups, strict=True))
 
-    def entries_of(text: str) -> list[tuple]:
+    def entries_of(text: str) -> tuple[list, str, str]:
+        """Entries, the text before the first one, and after the last one's match."""
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         if not templates:
             lines = text.split("\n")
-            return [(i, "", "", "", 0, 0, line, "", [], 1, True) for i, line in enumerate(lines) if line or i < len(lines) - 1]
+            return [(i, "", "", "", 0, 0, line, "", [], 1, True) for i, line in enumerate(lines) if line or i < len(lines) - 1], "", ""
         out: list[list] = []
-        at, index = 0, 0
+        at, index, head = 0, 0, None
         for m in re.finditer(pattern, text, re.M):
             if not m[0]:
                 continue
             gap = text[at : m.start()]
             index += gap.count("\n")
             _continue(out, gap)
+            head = gap if head is None else head
             which = next(i for i, gs in enumerate(groups) if m[gs[0]] is not None)
             found = {name: m[g] or "" for name, g in zip(templates[which].fields, groups[which], strict=True)}
             number = lambda name: int(n[0]) if (n := re.match(r"\s*[+-]?\d{1,9}", found.get(name, ""))) else 0  # noqa: E731, B023
             field = lambda name: found.get(name, "")  # noqa: E731, B023
             out.append([index, field("timestamp").strip(), field("level").strip(), field("host"), number("pid"), number("thread"), field("message"), field("caller"), [], 1 + m[0].count("\n"), False])
             index, at = index + m[0].count("\n"), m.end()
-        _continue(out, text[at:])
-        return [tuple(e) for e in out]
+        return out, text if head is None else head, text[at:] if out else ""
+
+    names, given = [c.split()[0] for c in PARSED.split(", ")], ["file", "text"] if whole else ["file", "text", "piece"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PARSED.split(", ")]
         for part in parts:
-            for file, text in zip(part["file"], part["text"], strict=True):
-                rows = [(file, i, *e) for i, e in enumerate(entries_of(text or ""))]
-                yield pd.DataFrame(rows, columns=names)
+            for file, text, *piece in part[given].itertuples(index=False):
+                found, head, tail = entries_of(text or "")
+                if whole:
+                    _continue(found, tail)
+                rows = [(file, i, *e, *piece) for i, e in enumerate(found)]
+                for i, gap in ((-1, head), (len(found) - 1, tail)) if not whole else ():
+                    if left := [line for line in gap.split("\n") if line]:
+                        rows.append((file, i, CONTINUES, "", "", "", 0, 0, "", "", left, len(left), bool(gap.strip()), *piece))
+                for k in range(0, len(rows), OUT_ROWS):
+                    yield pd.DataFrame(rows[k : k + OUT_ROWS], columns=[*names, *given[2:]])
 
-    return files.select("file", "text").mapInPandas(run, PARSED)
+    return files.select(*given).mapInPandas(run, PARSED if whole else PARSED + ", piece long")
 
 
 def parse_lines(lines: DataFrame, templates: list[Template], slice_lines: int = SLICE_LINES) -> DataFrame:
@@ -136,7 +183,7 @@ def parse_lines(lines: DataFrame, templates: list[Template], slice_lines: int =
 
     file, entry_no, the fields, and continuations: what the template leaves of its line, and later lines that aren't empty.
     """
-    if any(r"\n" in t.pattern.replace(r"[^\n", "").replace(r"|\n)", "") for t in templates):
+    if any(spans_lines(t) for t in templates):
         raise ValueError("a template over several lines needs whole files")
     line = F.col("line")
     fits = [line.rlike(t.pattern) & (F.regexp_extract(line, t.pattern, 0) != "") for t in templates]
