@@ -271,3 +271,14 @@ def test_pieces_of_a_file_are_the_whole_file(spark):
         assert sorted(map(str, logs.parse_files(pieces, formats).select(*fields).collect())) == want
     with pytest.raises(ValueError):
         logs.parse_files(pieces, [logs.template("{level}{newline}{message}")])
+
+
+def test_more_events_are_more_tasks_of_bitmaps_not_larger_ones(spark):
+    assert [topology.chunk_buckets(n) for n in (0, 800_000, 36_000_000, 216_000_000)] == [8, 8, 360, 2160]
+    rows = spark.range(4000).select((F.col("id") % 700).cast("string").alias("Name"), (F.col("id") % 3).cast("string").alias("Service"), F.lit("p").alias("Pipeline"), F.when(F.col("id") % 2 == 0, F.lit(T0)).alias("Finish"))
+    for buckets, tasks in ((8, 8), (160, 40)):
+        bits = topology.chunk_bitmaps(rows, buckets)
+        assert "RepartitionByExpression [bucket" in (plan := bits._jdf.queryExecution().optimizedPlan().toString()) and f", {tasks}" in plan.split("RepartitionByExpression", 1)[1].split("\n", 1)[0]
+        seen = bits.groupBy("Service").agg(F.sum(F.bitmap_count("seen")).alias("n"), F.sum(F.bitmap_count("done")).alias("d"))
+        want = rows.groupBy("Service").agg(F.countDistinct("Name").alias("n"), F.countDistinct(F.when(F.col("Finish").isNotNull(), F.col("Name"))).alias("d"))
+        assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, want.collect()))

@@ -104,12 +104,23 @@ def edges(events: DataFrame) -> DataFrame:
     return joined.select(*EDGE, F.col("hops").alias("done"), (F.coalesce("at_source", zero) - F.col("both")).alias("waiting"), F.coalesce("state", F.lit("NotStarted")).alias("state"))
 
 
+#: Events of a bucket of chunks, and buckets of a task.
+BUCKET_EVENTS, TASK_BUCKETS = 100_000, 4
+
+
+def chunk_buckets(events: int) -> int:
+    """Buckets for so many events, so that a bucket doesn't grow with the table."""
+    return max(8, -(-events // BUCKET_EVENTS))
+
+
 def chunk_bitmaps(events: DataFrame, buckets: int = 64) -> DataFrame:
     """Bitmaps of the chunks of each place: Service, Pipeline, piece, and as bits of chunk numbers seen and done.
 
-    Chunks are numbered within buckets of their names' hashes, so no numbering goes through one task; a bitmap is 32,768 numbers of one bucket.
+    Chunks are numbered within buckets of their names' hashes, so no numbering goes through one task; a bitmap is 32,768 numbers of one bucket. A task has
+    few buckets: with `chunk_buckets` there are as many more tasks as there are more events, and one shuffle brings events to them.
     """
     dealt = events.select("Name", "Service", "Pipeline", done().alias("done"), F.pmod(F.xxhash64("Name"), F.lit(buckets)).alias("bucket")).where(F.col("Name").isNotNull())
+    dealt = dealt.repartition(max(8, -(-buckets // TASK_BUCKETS)), "bucket")
     number = F.dense_rank().over(Window.partitionBy("bucket").orderBy("Name")).cast("long")
     rows = dealt.groupBy("bucket", "Name", "Service", "Pipeline").agg(F.max("done").alias("done")).withColumn("n", number)
     at = F.bitmap_bit_position("n")
