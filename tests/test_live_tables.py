@@ -110,3 +110,13 @@ def test_keyed_table_is_the_upsert(spark, tmp_path):
         table.vacuum()
         assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect()))
         assert table.upsert(spark.createDataFrame([], SCHEMA), 3) and table.read().count() == want.count()
+
+
+def test_an_upsert_shuffles_its_rows_once(spark, tmp_path, monkeypatch):
+    plans, kind = [], type(spark.range(1))
+    write = kind.write
+    monkeypatch.setattr(kind, "write", property(lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), write.fget(self))[1]))
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), SCHEMA, "Id", "Start", "n", buckets=8)
+    for k in range(2):
+        assert table.upsert(spark.createDataFrame(events(6, 60)[k * 30 : k * 30 + 30], SCHEMA), k)
+    assert [p.count("Exchange ") for p in plans] == [1, 1]

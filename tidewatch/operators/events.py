@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(events: DataFrame, key: str = "Id", time: str = "Start", arrival: str | None = None, prefer_finished: str | None = None, ties: tuple[str, ...] = ("Finish", "RecordCount")) -> DataFrame:
+def upsert(events: DataFrame, key: str | list[str] = "Id", time: str = "Start", arrival: str | None = None, prefer_finished: str | None = None, ties: tuple[str, ...] = ("Finish", "RecordCount")) -> DataFrame:
     """The newest row of each key by time; Spark limits each key to one row before the shuffle.
 
     Of rows of one time the first to arrive stays: arrival is a column that numbers them, such as a log id or `_metadata.row_index`. prefer_finished: a column;

@@ -115,9 +115,11 @@ class KeyedTable(Table):
         parts = dict(now["parts"])
         if touched:
             known = self.rows(sorted(parts[str(b)] for b in touched if str(b) in parts))
-            newest = upsert(known.select(*names).unionByName(batch.select(*names)), self.key, self.time, self.arrival, self.prefer_finished)
+            # one shuffle, by bucket, serves both the upsert and the write
+            both = known.select(*names).unionByName(batch.select(*names)).withColumn("bucket", bucket).repartition("bucket")
+            newest = upsert(both, ["bucket", self.key], self.time, self.arrival, self.prefer_finished)
             folder = f"data/{uuid.uuid4().hex}"
-            newest.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            newest.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
             parts |= {str(b): f"{folder}/bucket={b}" for b in touched}
         self.commit(now, parts, now["writers"] | {writer: number})
         return True
