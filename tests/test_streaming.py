@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
 from tidewatch.operators.events import upsert
+from tidewatch.plans import further
 from tidewatch.streaming import events as st
 from tidewatch.streaming import keyed
 
@@ -58,6 +59,26 @@ def test_history_is_the_batch_history(spark, tmp_path):
     assert {k: list(zip(r[2], r[3], r[4], strict=True)) for k, r in last.items()} == want and len(want) == 2
 
 
+def test_history_of_batches_is_the_batch_history(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "key string, ts timestamp_ntz, id long, current long, child long"
+    table = st.LiveHistory(spark, str(tmp_path / "t"), keep=4, buckets=2)
+    for k in range(4):  # moments that come again in one batch and in later ones, older ones later; a key without any, one that comes once
+        rows = [("ab"[i % 2], T0 + timedelta(seconds=(i * 5 + k * 3) % 17, microseconds=i % 3), k * 100 + i, i + k, None if i == 7 else i) for i in range(24)]
+        write(spark, log, [*rows, (None, T0, k * 100 + 50, k, k), *([("c", T0, 1, 1, 1)] if k == 1 else [])], schema)
+        assert st.fan_out(st.read_log(spark, log, schema, 1), str(tmp_path / "c"), lambda batch, n: table.take(batch, n), persist=False).awaitTermination(180)
+        want = metrics.history(spark.read.schema(schema).parquet(log), 4).select("key", "ts", "current", "child")
+        assert sorted(map(str, table.read().select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert not table.take(spark.createDataFrame([("a", T0 + timedelta(9), 9999, 1, 1)], schema), 3)  # a batch that is run again
+    assert sorted(map(str, table.read().drop("id").collect())) == sorted(map(str, want.collect()))
+    table.vacuum()
+    assert table.read().count() == 10
+
+
+def test_the_history_query_keeps_no_state_in_python(spark, monkeypatch):
+    monkeypatch.setattr(st, "kept_by_key", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a call of Python for each key")))
+    assert further.mem_history_streamed(spark, "/root/testdata/sf0.001").count() == 450
+
+
 def test_newest_live_loses_no_late_key(spark, tmp_path):
     log, schema = str(tmp_path / "log"), "Id string, ts timestamp, n long"
     day, minute = timedelta(days=1), timedelta(minutes=1)

@@ -63,8 +63,14 @@ def latest(samples: DataFrame) -> DataFrame:
 
 def history(samples: DataFrame, keep: int = HISTORY) -> DataFrame:
     """The newest samples of each key, one for each moment."""
-    once = samples.groupBy("key", "ts").agg(F.max_by("current", "id").alias("current"), F.max_by("child", "id").alias("child"))
-    order = Window.partitionBy("key").orderBy(F.desc("ts"))
+    return newest_samples(samples, keep).drop("id")
+
+
+def newest_samples(samples: DataFrame, keep: int, *key: str) -> DataFrame:
+    """The columns of key (`key`), ts, id, current and child of each key's newest samples; of one moment the last to arrive (id)."""
+    key = key or ("key",)
+    once = samples.groupBy(*key, "ts").agg(F.max("id").alias("id"), F.max_by("current", "id").alias("current"), F.max_by("child", "id").alias("child"))
+    order = Window.partitionBy(*key).orderBy(F.desc("ts"))
     return once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
 
 

@@ -3,15 +3,19 @@
 State is Spark's own. `newest` is a grouped `max_by`: an older row that comes late changes nothing, and the state grows with the
 number of keys. `newest_live`, `history` and `failure_streaks` take `idle`: a key that has had no rows for so long by the clock is
 forgotten (see `keyed`), so their state is bounded by the keys in use. No row is left out because other keys are further on in time.
+`history` calls Python for each row and key; `LiveHistory` keeps the same in a table, by Spark's own functions, for batches of many rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators import metrics
+from tidewatch.sources.tables import Table
 from tidewatch.streaming.keyed import kept_by_key, no_empty_batches
 
 
@@ -68,6 +72,33 @@ def history(stream: DataFrame, keep: int = 1000, idle: str | None = "3 hours") -
     return kept_by_key(rows, "key", f"key string, n int, {arrays}", "ts array<long>, id array<long>, current array<long>, child array<long>", step, idle)
 
 
+class LiveHistory(Table):
+    """`history` as a table of key, ts, id, current and child, in buckets of keys; a batch writes the buckets that it touches anew. No key is forgotten.
+
+    A batch is brought down to each key's newest samples before it meets the table's, so a bucket's task gets at most twice as many rows of a key as are kept.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 1000, buckets: int = 64):
+        super().__init__(spark, path, "key string, ts timestamp_ntz, id long, current long, child long")
+        self.keep, self.buckets = keep, buckets
+
+    def take(self, batch: DataFrame, number: int, writer: str = "stream") -> bool:
+        """Take a batch of samples in once; whether it was new. batch: key, ts (a timestamp_ntz), id (order of arrival), current, child."""
+        now = self.manifest()
+        if now["writers"].get(writer, -1) >= number:
+            return False
+        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+        touched, parts = [r.bucket for r in batch.select(bucket).distinct().collect()], dict(now["parts"])  # no more than buckets
+        if touched:
+            known = self.rows(sorted(parts[str(b)] for b in touched if str(b) in parts))
+            both = known.unionByName(metrics.newest_samples(batch, self.keep)).withColumn("bucket", bucket)
+            folder = f"data/{uuid.uuid4().hex}"
+            metrics.newest_samples(both.repartition("bucket"), self.keep, "bucket", "key").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            parts |= {str(b): f"{folder}/bucket={b}" for b in touched}
+        self.commit(now, parts, now["writers"] | {writer: number})
+        return True
+
+
 def alive(latest: DataFrame, as_of: str, seconds: int = 30) -> DataFrame:
     """Latest heartbeats with whether they are online; liveness is decided when read."""
     age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("Updated").cast("timestamp"))
