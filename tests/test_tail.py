@@ -1,12 +1,15 @@
 import os
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import duckdb
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyspark.sql.types import StructType
 
+from tidewatch.plans import further, lineage, queries
 from tidewatch.sources import tail
 from tidewatch.streaming import keyed
 
@@ -92,3 +95,29 @@ def test_where_a_log_ends_is_told_by_footers(tmp_path, monkeypatch):
         assert reader.latestOffset() == {"id": n * 10 + 9}
     (tmp_path / "none").mkdir()
     assert tail.LogTailReader({"path": str(tmp_path / "none"), "id": "id", "time": "at", "start": "-1"}, schema).latestOffset() == {"id": -1}
+
+
+def test_files_are_written_whole_and_once(spark, tmp_path):
+    rows = [(f"d{i % 3}/e{i % 2}/f{i}.txt", None if i == 5 else f"é{i}\n" * i) for i in range(40)]
+    for folder in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        for _ in range(2):  # a task that is run again
+            assert tail.write_files(spark.createDataFrame(rows, "path string, text string").repartition(4), folder) == 40
+    for name in "abc":
+        found = {str(p.relative_to(tmp_path / name)): p.read_bytes().decode() for p in (tmp_path / name).rglob("*") if p.is_file()}
+        assert found == {path: text or "" for path, text in rows}
+    assert tail.write_files(spark.createDataFrame([], "path string, text string"), str(tmp_path / "none")) == 0
+
+
+def test_a_folder_of_logs_has_many_files_and_any_names(spark, tmp_path, monkeypatch):
+    names = ["click", "a b/ü%2B+c", "..", "", "x=1&y", None]
+    rows = [(i, T0 + timedelta(seconds=i), i % 7, names[i % 6] if i % 6 < 5 or i % 5 in (3, 4) else "click") for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(further, "FOLDER_PARTS", 4)
+    got = further.log_folder_read(spark, str(tmp_path))
+    folder = lineage.FOLDERS[-1].removeprefix("file:")
+    files, folders = ([p for p in Path(folder).rglob("*") if p.is_dir() == kind] for kind in (False, True))
+    assert len(files) == 6 * 6 and len(folders) == 6 + 6 * 2  # files share folders
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.execute(queries.ORACLE_SQL["log_folder_read"]).fetchall()
+    assert sorted(map(str, map(tuple, got.select("file", "part", "line_no", "line").collect()))) == sorted(map(str, want)) and len(want) == 3000

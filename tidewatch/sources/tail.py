@@ -1,4 +1,4 @@
-"""Streams that go on where they stopped: an event log by its ids, and text files by their bytes.
+"""Streams that go on where they stopped: an event log by its ids, and text files by their bytes. Small text files are written, too.
 
 Both are Python data sources: offsets are planned on the driver from footers and file sizes, rows are read in tasks. Spark
 keeps the offsets in the checkpoint, so after a restart nothing is lost or read twice. Paths may be of any file system that pyarrow opens.
@@ -6,6 +6,7 @@ keeps the offsets in the checkpoint, so after a restart nothing is lost or read
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
@@ -16,6 +17,7 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -265,3 +267,26 @@ def line_table(spark: SparkSession, path: str, glob: str = "*", piece: str = "64
     """All lines of files in pieces."""
     register(spark)
     return spark.read.format("tidewatch_lines").options(path=path, glob=glob, piece=piece).load()
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write a text file below a folder for each row (path, text), and count them. For files so many and small that Spark's writer would spend its time on opening and closing them.
+
+    Tasks write under hidden names and rename, so a file is there whole or not at all, and a task that is run again gives the same files. Paths differ; a text is one row, so it must fit into a task.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, top), made = opened(folder), set()
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                within = f"{top}/{path}".rpartition("/")[0]
+                if within not in made:
+                    system.create_dir(within, recursive=True)
+                    made.add(within)
+                hidden = f"{within}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as f:
+                    f.write((text or "").encode())
+                system.move(hidden, f"{top}/{path}")
+            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return files.select("path", "text").mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
